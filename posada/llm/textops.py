@@ -52,7 +52,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         base = 0x5851F42D4C957F2D
         with np.errstate(over="ignore"):
-            _powers = tuple(np.cumprod(np.concatenate([[1], np.full(n - 1, b, np.uint64)]).astype(np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+            _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
     return _powers
 
 
