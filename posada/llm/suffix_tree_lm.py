@@ -29,9 +29,9 @@ from .components import ensure_checkpoints
 from .quality import fold
 
 DEPTH = 5
-LEAST_SHARE = 4e-5
-#: Least divergence, in bits, of a retained context from its longest shorter one.
-DIVERGENCE = 0.01
+LEAST_SHARE = 2e-6
+#: Least divergence of a retained context from its longest shorter one: bits per symbol, and bits over all its occurrences.
+DIVERGENCE, EVIDENCE = 0.01, 30.0
 FREQUENT = 1 << 19
 END, BLANK = 0x0A, 0x20
 STRETCH = 256
@@ -39,21 +39,24 @@ RUN, WORD, TEXT = 0, 1, 2
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """(sequence, row starts, words): per text DEPTH end signs, then its words with a blank after each, then an end sign."""
+    """(sequence, row starts, words): per text DEPTH end signs, then its words with a blank after each, then an end sign.
+
+    The words are given as lower-case data, starts, ends and rows.
+    """
     data = textops.LOWER[data]
-    spans = starts, ends, rows = textops.words(data, offsets, textops.NON_BLANK)
+    starts, ends, rows = textops.words(data, offsets, textops.NON_BLANK)
     n = len(offsets) - 1
     sizes = ends - starts
     length = np.bincount(rows, sizes + 1, minlength=n).astype(np.int64) + DEPTH + 1
     first = np.concatenate([[0], np.cumsum(length)])
     out = np.full(first[-1], END, np.uint8)
+    place = np.cumsum(sizes + 1) - (sizes + 1) + (DEPTH + 1) * rows + DEPTH
     if len(starts):
-        place = np.cumsum(sizes + 1) - (sizes + 1) + (DEPTH + 1) * rows + DEPTH
         inside = np.flatnonzero(textops.NON_BLANK[data])
         word = np.repeat(np.arange(len(starts)), sizes)
         out[place[word] + inside - starts[word]] = data[inside]
         out[place + sizes] = BLANK
-    return out, first, (data, *spans)
+    return out, first, (data, starts, ends, rows)
 
 
 def predicted(first: np.ndarray) -> np.ndarray:
@@ -139,7 +142,8 @@ class Tree:
                     continue
                 shorter = spread[context[1:]]
                 spread[context] = p = smooth(counts, shorter)
-                if float((p * np.log2(p / shorter)).sum()) >= divergence:
+                apart = sum(m * np.log2(p[self.classes[b]] / shorter[self.classes[b]]) for b, m in counts.items())
+                if apart >= max(EVIDENCE, divergence * sum(counts.values())):
                     while context not in kept:
                         kept.add(context)
                         context = context[1:]
@@ -167,7 +171,7 @@ class Tree:
         self.log10 = log10
 
     def score(self, sequence: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The log10 probability of each text of a sequence made by ``symbols``."""
+        """The log10 probability of each symbol of a sequence made by ``symbols``; 0 for those in front of texts."""
         lengths = np.diff(first) - DEPTH
         parts = -(-lengths // STRETCH)
         owner = np.repeat(np.arange(len(lengths)), parts)
@@ -175,11 +179,12 @@ class Tree:
         start = first[:-1][owner] + STRETCH * nth  # of the DEPTH symbols before the stretch
         left = np.minimum(STRETCH, lengths[owner] - STRETCH * nth)
         order = np.argsort(-left, kind="stable")
-        start, left, owner = start[order], left[order], owner[order]
+        start, left = start[order], left[order]
+        out = np.zeros(len(sequence))
         coded = self.classes[sequence].astype(np.int64)
         width = self.follow.shape[1]
         follow, log10 = self.follow.ravel(), self.log10.ravel()
-        state, total = np.zeros(len(start), np.int64), np.zeros(len(start))
+        state = np.zeros(len(start), np.int64)
         active = len(start)
         for step in range(DEPTH + STRETCH):
             if step >= DEPTH:
@@ -188,9 +193,9 @@ class Tree:
                     break
             at = state[:active] * width + coded[start[:active] + step]
             if step >= DEPTH:
-                total[:active] += log10[at]
+                out[start[:active] + step] = log10[at]
             state[:active] = follow[at]
-        return np.bincount(owner, total, minlength=len(lengths))
+        return out
 
 
 def fit_tree(counts: DataFrame, least_share: float = LEAST_SHARE, divergence: float = DIVERGENCE) -> Tree:
@@ -236,11 +241,12 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str
             known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
             base = np.bincount(owner[known], np.log10(numbers[at[known]] + 1) if len(keys) else None, minlength=n) + np.log10(texts + 1)
             many = np.bincount(owner, minlength=n) + 1
+            model = np.add.reduceat(tree.score(sequence, first), first[:-1])
             rare, offsets = textops.distinct_by_row(hashes[~known], owner[~known], n)
             pair = np.stack([owner[~known], hashes[~known]])[:, np.lexsort((hashes[~known], owner[~known]))]
             times = np.diff(np.flatnonzero(np.concatenate([[True], (pair[:, 1:] != pair[:, :-1]).any(axis=0), [True]]))) if pair.shape[1] else np.zeros(0, np.int64)
             columns = [batch.column("id"), batch.column("held_out"), pa.array(many, pa.int64()), pa.array(np.bincount(owner[known], minlength=n) + (texts > 0), pa.int64())]
-            columns += [pa.array(base - many * unit, pa.float64()), pa.array(tree.score(sequence, first), pa.float64())]
+            columns += [pa.array(base - many * unit, pa.float64()), pa.array(model, pa.float64())]
             columns += [textops.list_column(rare, offsets, pa.int64()), textops.list_column(times, offsets, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"])
 

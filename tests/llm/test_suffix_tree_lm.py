@@ -44,8 +44,12 @@ def test_query_counts_and_held_out_scores(spark, sf, monkeypatch):
     got = collected(op8_suffix_tree(spark, sf))
     want = base(rows)
     check(got, want)
-    out = [r for r in got.values() if r[0]]
-    assert sum(r[5] for r in out) > sum(r[4] for r in out)
+    # On texts that were held out, the tree must be well above its own root.
+    monkeypatch.setattr(lm, "LEAST_SHARE", 2.0)
+    monkeypatch.setattr(lm.fit_tree, "__defaults__", (2.0, lm.DIVERGENCE))
+    root = collected(op8_suffix_tree(spark, sf))
+    out = [i for i, r in got.items() if r[0]]
+    assert sum(got[i][5] for i in out) > 0.75 * sum(root[i][5] for i in out)
 
 
 def test_edge_cases(spark):
@@ -76,6 +80,7 @@ def test_automaton_equals_longest_suffix(spark, sf):
 
     seq, first, _ = lm.symbols(*lm.textops.text_buffers(pa.array(rows)))
     assert len(tree.contexts) > 100
-    assert np.allclose(tree.score(seq, first), [slow_score(tree, t) for t in rows], rtol=1e-5)
+    by_text = np.add.reduceat(tree.score(seq, first), first[:-1])
+    assert np.allclose(by_text, [slow_score(tree, t) for t in rows], rtol=1e-5)
     p = 10.0 ** tree.log10.astype(float)
     assert np.allclose(p[:, :-1].sum(axis=1) + p[:, -1] * (256 - (p.shape[1] - 1)), 1, atol=1e-3)
