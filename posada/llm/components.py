@@ -16,6 +16,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for tables between steps."""
+    ensure_checkpoints(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours are linked to its least neighbour (or itself)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

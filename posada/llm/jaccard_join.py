@@ -9,15 +9,16 @@ Texts of equal sets form one class, represented by its least id; the join runs b
   sets hold come last, the others in the order of their hashes. Lists of at least two sets are scanned: each
   set against the list's pivot first. Only lists that still hold several components are compared pair by pair,
   in blocks, with parity bitmaps that can't miss a link, and give a spanning forest of the pairs left.
-  Candidates are confirmed on their whole sets, and scans repeat until a round has no candidate that fails.
+  Candidates are confirmed on their whole sets, and scans of the lists with candidates that failed repeat, with
+  ever more forests, until a round has none that fails.
 * The boundary is the size that makes the sum over all sets of the estimated costs least: subsets for small
   ones, postings with their later comparison for large ones.
 
 Edges therefore connect the same components as all links would, without the pairs of a group being listed.
 Elements are 64-bit hashes of word runs, a set is known by a hash of its elements and its size.
 
-Null and empty texts have an empty set and link with nothing. Repeated ids are rows of their own with equal
-ids. Columns other than id and text are ignored.
+Null and empty texts have an empty set and link with nothing, and so do rows without an id. Repeated ids are
+rows of their own with equal ids. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +38,12 @@ from .components import components, ensure_checkpoints
 POSTING_COST = 6.0
 #: The largest size for which subsets are ever enumerated.
 MOST_SMALL = 24
-#: Elements in the table of very common ones, and the number of sets of a part of the input from which one is counted.
+#: Elements in the table of very common ones, and the number of times in a part of the input from which one is counted.
 COMMON, COMMON_FROM = 1 << 16, 8
 #: Sets of a list that are compared with one another in one go.
 BLOCK = 1024
 #: Bits of the filter of documents whose sets are fetched again.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 24
 
 
 def least_overlap(s: int, t: int, percent: int) -> int:
@@ -73,17 +74,21 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
     return best[1]
 
 
-def document_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of the runs of k words of each text, as (values, offsets)."""
-    data, offsets = textops.text_buffers(batch.column("text"))
+def elements(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every run of k words of the texts, repeated ones included."""
+    data, offsets = textops.text_buffers(column)
     data = textops.LOWER[data]
     starts, ends, rows = textops.words(data, offsets, textops.NON_BLANK)
-    values, rows = textops.shingle_hashes(textops.word_hashes(data, starts, ends), rows, batch.num_rows, k)
-    return textops.distinct_by_row(values, rows, batch.num_rows)
+    return textops.shingle_hashes(textops.word_hashes(data, starts, ends), rows, len(offsets) - 1, k)
+
+
+def document_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of the runs of k words of each text, as (values, offsets)."""
+    return textops.distinct_by_row(*elements(column, k), len(column))
 
 
 def common_elements(texts: DataFrame, k: int) -> np.ndarray:
-    """Hashes of elements that very many sets hold, ``COMMON`` at most. It only decides an order: results do not depend on it."""
+    """Hashes of elements that are very frequent, ``COMMON`` at most. They only decide an order: results do not depend on them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -97,7 +102,7 @@ def common_elements(texts: DataFrame, k: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["e", "n"])
 
         for batch in textops.pieces(batches):
-            values, _ = document_sets(batch, k)
+            values, _ = elements(batch.column("text"), k)
             held.append(values)
             size += len(values)
             if size > 4_000_000:
@@ -110,8 +115,8 @@ def common_elements(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements on each bit, with four bits an element; more differences than bits that differ can't be."""
-    bits = 1 << max(8, int(4 * len(values) - 1).bit_length())
+    """Parity of the number of elements on each bit, with eight bits an element at least; more differences than bits that differ can't be."""
+    bits = 1 << max(8, int(8 * len(values) - 1).bit_length())
     odd = np.bincount((values >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -126,15 +131,22 @@ def most_differences(s: np.ndarray | int, t: np.ndarray | int, percent: int):  #
     return s + t + 2 * ((-percent * (s + t)) // (100 + percent))
 
 
+def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textops.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
+        return textops.mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
+
+
 def describe(texts: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Per text: id, n (size of its set), sig (hash of it), prefix (its first elements in the common order) and bits."""
+    """Per text (id, body, text): id, body, n (size of its set), sig (hash of it), prefix (its first elements in the common order) and small (the set itself, if it is small)."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
     lengths = np.array([0, *(prefix_length(s, percent) for s in range(1, 4096))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in textops.pieces(batches):
-            values, offsets = document_sets(batch, k)
+            values, offsets = document_sets(batch.column("text"), k)
             sizes = np.diff(offsets)
             if len(often):
                 at = np.minimum(np.searchsorted(often, values), len(often) - 1)
@@ -142,21 +154,17 @@ def describe(texts: DataFrame, k: int, percent: int, common: np.ndarray) -> Data
             else:
                 late = np.zeros(len(values), np.int8)
             rows = np.repeat(np.arange(len(sizes)), sizes)
-            with np.errstate(over="ignore"):
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textops.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
-                sigs = textops.mix(sums[offsets[1:]] - sums[offsets[:-1]] + sizes.astype(np.uint64))
-            ordered = values[np.lexsort((values, late, rows))]
+            ordered = values[np.argsort((2 * rows + late).astype(np.uint16 if len(sizes) < 1 << 15 else np.int64), kind="stable")]
             prefixes = [prefix_length(int(n), percent) if n >= len(lengths) else int(lengths[n]) for n in sizes]
             keys = [ordered[a : a + p].view(np.int64) for a, p in zip(offsets[:-1], prefixes, strict=True)]
             small = [values[a:b].view(np.int64) if b - a <= MOST_SMALL else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            bits = [bitmap(values[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(sigs.view(np.int64)), pa.array(keys, longs), pa.array(small, longs), pa.array(bits, pa.binary())],
-                ["id", "n", "sig", "prefix", "small", "bits"],
+                [batch.column("id"), batch.column("body"), pa.array(sizes, pa.int64()), pa.array(signatures(values, offsets)), pa.array(keys, longs), pa.array(small, longs)],
+                ["id", "body", "n", "sig", "prefix", "small"],
             )
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n long, sig long, prefix array<long>, small array<long>, bits binary")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, body long, n long, sig long, prefix array<long>, small array<long>")
 
 
 def subset_edges(sets: DataFrame, most: int, percent: int) -> DataFrame:
@@ -188,29 +196,31 @@ def subset_edges(sets: DataFrame, most: int, percent: int) -> DataFrame:
     return subsets.join(least, ["key", "c"]).where("sig != least.sig").where(near).select(F.col("least.sig").alias("u"), F.col("sig").alias("v")).distinct()
 
 
-def _bits_allow(a: bytes, b: bytes, s: int, t: int, percent: int) -> bool:
-    size = min(len(a), len(b))
-    x, y = (folded(np.frombuffer(v, np.uint8), size) for v in (a, b))
-    return int(np.bitwise_count(x ^ y).sum()) <= most_differences(s, t, percent)
-
+def _bits_allow(a: tuple[int, int], b: tuple[int, int], s: int, t: int, percent: int) -> bool:
+    """Whether two bitmaps, each as (number, bytes), allow a link of sets of s and t elements."""
+    (x, xw), (y, yw) = a, b
+    while xw != yw:  # the wider one is folded
+        if xw > yw:
+            xw //= 2
+            x = (x ^ (x >> 8 * xw)) & ((1 << 8 * xw) - 1)
+        else:
+            yw //= 2
+            y = (y ^ (y >> 8 * yw)) & ((1 << 8 * yw) - 1)
+    return (x ^ y).bit_count() <= most_differences(s, t, percent)
 
-def filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of sets whose bitmaps do not rule a link out."""
-    bits = sets.select("sig", "n", "bits")
-    full = pairs.join(bits.select(F.col("sig").alias("u"), F.col("n").alias("un"), F.col("bits").alias("ub")), "u").join(bits.select(F.col("sig").alias("v"), F.col("n").alias("vn"), F.col("bits").alias("vb")), "v")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("ub", "vb", "un", "vn")), strict=True)
-            yield batch.select(["u", "v"]).filter(pa.array([_bits_allow(*r, percent) for r in rows], pa.bool_()))
+def _number(bits: bytes) -> tuple[int, int]:
+    return int.from_bytes(bits, "little"), len(bits)
 
-    return full.select("u", "v", "ub", "vb", "un", "vn").mapInArrow(run, "u long, v long")
 
+def fetched(texts: DataFrame, bodies: DataFrame, k: int, bits: bool) -> DataFrame:
+    """(body, x) of the texts whose hashes are asked for: the bitmap of the text's set, or the text itself.
 
-def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) with ``linked``: whether their whole sets reach the threshold. Sets are made again from the texts of the representatives that occur."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(sets.select("sig", F.col("id").alias("nid")), "sig")
-    marks = needed.select(F.pmod(F.xxhash64("nid"), F.lit(FILTER_BITS)).alias("at"))
+    A bit filter of fixed size lets only texts through that may be asked for; where it is too full, more pass than are,
+    and the join drops them.
+    """
+    bodies = bodies.distinct().checkpoint()
+    marks = bodies.select(F.pmod("body", F.lit(FILTER_BITS)).alias("at"))
     blocks = marks.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
     mask = np.zeros(FILTER_BITS // 64, np.int64)
     for batch in blocks.toArrow().to_batches():  # at most FILTER_BITS / 64 rows
@@ -218,102 +228,179 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, perce
     shared = texts.sparkSession.sparkContext.broadcast(mask)
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        held = shared.value
         for batch in batches:
-            at = batch.column("at").to_numpy()
-            on = (bits[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            at = batch.column("body").to_numpy() & (FILTER_BITS - 1)
+            on = (held[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1)
             some = batch.filter(pa.array(on.astype(bool)))
-            for piece in textops.pieces([some]):
-                values, offsets = document_sets(piece, k)
-                yield pa.RecordBatch.from_arrays([piece.column("id"), textops.list_column(values.view(np.int64), offsets, pa.int64())], ["nid", "e"])
+            if not bits:
+                yield some.rename_columns(["body", "x"])
+                continue
+            for piece in textops.pieces(iter([some])):
+                values, offsets = document_sets(piece.column("text"), k)
+                maps = [bitmap(values[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column("body"), pa.array(maps, pa.binary())], ["body", "x"])
 
-    kind = texts.schema["id"].dataType.simpleString()
-    some = texts.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(maybe, f"nid {kind}, e array<long>")
-    found = needed.join(some, "nid").select("sig", "e").groupBy("sig").agg(F.first("e").alias("e")).checkpoint()
-    full = pairs.join(found.select(F.col("sig").alias("u"), F.col("e").alias("ue")), "u").join(found.select(F.col("sig").alias("v"), F.col("e").alias("ve")), "v")
+    found = texts.select("body", "text").where("text is not null").mapInArrow(maybe, f"body long, x {'binary' if bits else 'string'}")
+    return found.dropDuplicates(["body"]).join(bodies, "body", "left_semi")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def with_fetched(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, bits: bool) -> DataFrame:
+    """The pairs (u, v) with un, vn (sizes) and ux, vx (bitmaps or texts)."""
+    side = lambda s: classes.select(F.col("sig").alias(s), F.col("n").alias(f"{s}n"), F.col("body").alias(f"{s}b"))
+    named = pairs.join(side("u"), "u").join(side("v"), "v").checkpoint()
+    found = fetched(texts, named.select(F.explode(F.array("ub", "vb")).alias("body")), k, bits)
+    full = named.join(found.select(F.col("body").alias("ub"), F.col("x").alias("ux")), "ub").join(found.select(F.col("body").alias("vb"), F.col("x").alias("vx")), "vb")
+    return full.select("u", "v", "un", "vn", "ux", "vx")
+
+
+def filtered(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of sets whose bitmaps do not rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("ux", "vx", "un", "vn")), strict=True)
+            yield batch.select(["u", "v"]).filter(pa.array([_bits_allow(_number(a), _number(b), s, t, percent) for a, b, s, t in rows], pa.bool_()))
+
+    return with_fetched(pairs, classes, texts, k, bits=True).mapInArrow(run, "u long, v long")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) with ``linked``: whether their whole sets reach the threshold. The sets are made again from one text of each."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textops.pieces(batches, "ux"):
+            sides = [document_sets(batch.column(c), k) for c in ("ux", "vx")]
             linked = []
-            for a, b in zip(batch.column("ue"), batch.column("ve"), strict=True):
-                x, y = a.values.to_numpy(), b.values.to_numpy()
+            for i in range(batch.num_rows):
+                x, y = (values[offsets[i] : offsets[i + 1]] for values, offsets in sides)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
 
-    return full.select("u", "v", "ue", "ve").mapInArrow(check, "u long, v long, linked boolean").checkpoint()
+    return with_fetched(pairs, classes, texts, k, bits=False).mapInArrow(check, "u long, v long, linked boolean").checkpoint()
 
 
-def forest(sigs: np.ndarray, sizes: np.ndarray, groups: np.ndarray, bits: list[bytes], half: np.ndarray, across: bool, failed: dict, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that bitmaps allow, between sets of different components. half: 0 or 1, the block; across: only pairs of both blocks."""
-    root = {g: g for g in groups.tolist()}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+def allowed(sizes: np.ndarray, groups: np.ndarray, bits: list[bytes], low: np.ndarray, half: np.ndarray, across: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of positions that bitmaps allow, between sets of different components, not both of the band below. half: the block; across: only pairs of both blocks."""
+    if len(sizes) <= 64:
+        own, size, group, below, part = [_number(b) for b in bits], sizes.tolist(), groups.tolist(), low.tolist(), half.tolist()
+        for i in range(len(size)):
+            for j in range(i):
+                if group[i] == group[j] or below[i] and below[j] or across and part[i] == part[j] or 100 * min(size[i], size[j]) < percent * max(size[i], size[j]):
+                    continue
+                if _bits_allow(own[i], own[j], size[i], size[j], percent):
+                    yield i, j
+        return
     widths = {len(b) for b in bits}
-    tables = {}
-    for w in widths:
-        tables[w] = np.stack([folded(np.frombuffer(b, np.uint8), w) if len(b) >= w else np.zeros(w, np.uint8) for b in bits]).view(np.uint64)
+    tables = {w: np.stack([folded(np.frombuffer(b, np.uint8), w) if len(b) >= w else np.zeros(w, np.uint8) for b in bits]).view(np.uint64) for w in widths}
     own = np.array([len(b) for b in bits])
+    place = np.arange(len(sizes))
+    for i in range(len(sizes)):
+        w = int(own[i])
+        others = (own > w) | (own == w) & (place > i)
+        others &= groups != groups[i]
+        if low[i]:
+            others &= ~low
+        if across:
+            others &= half != half[i]
+        others &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
+        at = np.flatnonzero(others)
+        if len(at):
+            differ = np.bitwise_count(tables[w][at] ^ tables[w][i]).sum(axis=1, dtype=np.int64)
+            yield from ((i, j) for j in at[differ <= most_differences(sizes[at], sizes[i], percent)].tolist())
+
+
+def forests(pairs: Iterator[tuple[int, int]], sigs: np.ndarray, groups: np.ndarray, failed: dict, width: int) -> list[tuple[int, int]]:
+    """``width`` edge-disjoint spanning forests, over components, of the pairs that have not failed before."""
+    sig, group = sigs.tolist(), groups.tolist()
+    left = []
+    for i, j in pairs:
+        low, high = sorted((sig[i], sig[j]))
+        if high not in failed.get(low, ()):
+            left.append((low, high, group[i], group[j]))
     out = []
-    for i in range(len(sigs)):
-        for w in widths:
-            if w > own[i]:
-                continue
-            others = (own == w) if w < own[i] else (own >= w)
-            others &= groups != groups[i]
-            others &= np.arange(len(sigs)) > i if w == own[i] else True
-            if across:
-                others &= half != half[i]
-            smaller, larger = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-            others &= 100 * smaller >= percent * larger
-            at = np.flatnonzero(others)
-            if not len(at):
-                continue
-            table = tables[w]
-            differ = np.bitwise_count(table[at] ^ table[i]).sum(axis=1, dtype=np.int64)
-            for j in at[differ <= most_differences(sizes[at], sizes[i], percent)].tolist():
-                a, b = find(int(groups[i])), find(int(groups[j]))
-                pair = (min(int(sigs[i]), int(sigs[j])), max(int(sigs[i]), int(sigs[j])))
-                if a != b and pair[1] not in failed.get(pair[0], ()):
-                    root[b] = a
-                    out.append(pair)
+    for _ in range(width):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:  # noqa: B023
+                root[x] = root[root[x]]  # noqa: B023
+                x = root[x]  # noqa: B023
+            return x
+
+        more = []
+        for low, high, x, y in left:
+            a, b = find(x), find(y)
+            if a == b:
+                more.append((low, high, x, y))
+            else:
+                root[b] = a
+                out.append((low, high))
+        left = more
+        if not left:
+            break
     return out
 
 
-def block_pairs(lists: DataFrame, sets: DataFrame, failed: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs from lists that hold several components: lists (key, sig, label). Blocks of a list meet two by two."""
-    counts = lists.groupBy("key").agg(F.count("*").alias("m"))
+def banded(labelled: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, sig, n, label) of lists cut into bands of sizes, where several components remain in one.
+
+    A set can link with sets of its own band and of the next one only; it is in both, in the next one as ``low``.
+    """
+    own = F.floor(F.log(100.0 / percent, "n") + 1e-9) if percent < 100 else F.col("n")
+    rows = labelled.withColumn("own", own.cast("int")).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    rows = rows.withColumn("low", F.col("band") != F.col("own")).drop("own")
+    mixed = rows.groupBy("key", "band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("low").alias("l"), F.count("*").alias("m")).where("x != y and not l")
+    return rows.join(mixed.select("key", "band", "m"), ["key", "band"])
+
+
+def block_pairs(lists: DataFrame, classes: DataFrame, texts: DataFrame, failed: DataFrame, k: int, percent: int, width: int) -> DataFrame:
+    """Candidate pairs from the banded lists. Blocks of a list meet two by two."""
     parts = F.expr(f"cast(ceil(m / {BLOCK}) as int)")
-    member = lists.join(counts, "key").withColumn("parts", parts).withColumn("own", F.expr("cast(pmod(xxhash64(sig), parts) as int)"))
+    member = lists.withColumn("parts", parts).withColumn("own", F.expr("cast(pmod(xxhash64(sig), parts) as int)"))
     # Block pair (a, b), a <= b: a member of block x goes to the pairs (x, x..) and (..x, x).
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     bad = failed.groupBy("u").agg(F.collect_list("v").alias("bad"))
-    member = member.join(sets.select("sig", "n", "bits"), "sig").join(bad.withColumnRenamed("u", "sig"), "sig", "left")
-    member = member.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "sig", "label", "n", "bits", "bad")
-    dealt = member.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "sig")
+    named = lists.select("sig").distinct().join(classes.select("sig", "body"), "sig").checkpoint()
+    bits = fetched(texts, named.select("body"), k, bits=True).join(named, "body").select("sig", F.col("x").alias("bits"))
+    member = member.join(bits, "sig").join(bad.withColumnRenamed("u", "sig"), "sig", "left")
+    member = member.select("key", "band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "low", "sig", "label", "n", "bits", "bad")
+    order = ["key", "band", "a", "b"]
+    dealt = member.repartition(*order).sortWithinPartitions(*order, "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                column = lambda c: np.array([r[c] for r in held])
-                one = held[0]
-                pairs = forest(column("sig"), column("n"), column("label"), [r["bits"] for r in held], column("own"), one["a"] != one["b"], {r["sig"]: set(r["bad"]) for r in held if r["bad"]}, percent)
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["u", "v"])
-            held.clear()
-
+        def pairs(part: pa.Table) -> list[tuple[int, int]]:
+            """Of the whole lists in a table."""
+            column = {c: part.column(c).to_numpy() for c in (*order, "own", "low", "sig", "label", "n")}
+            bits, bad = part.column("bits").to_pylist(), part.column("bad").to_pylist()
+            new = np.ones(len(bits) + 1, bool)
+            new[1:-1] = np.any([column[c][1:] != column[c][:-1] for c in order], axis=0)
+            cuts, out = np.flatnonzero(new), []
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if y - x > 1:
+                    failures = {int(column["sig"][i]): set(bad[i]) for i in range(x, y) if bad[i]}
+                    found = allowed(column["n"][x:y], column["label"][x:y], bits[x:y], column["low"][x:y], column["own"][x:y], bool(column["a"][x] != column["b"][x]), percent)
+                    out += forests(found, column["sig"][x:y], column["label"][x:y], failures, width)
+            return out
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            found = list(dict.fromkeys(found))
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["u", "v"])
+
+        held = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and any(held[0][c] != row[c] for c in ("key", "a", "b")):
-                    yield from flush()
-                held.append(row)
-        yield from flush()
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            last = [held.column(c)[-1].as_py() for c in order] if held.num_rows else None
+            if last:
+                same = np.ones(held.num_rows, bool)
+                for c, v in zip(order, last, strict=True):
+                    same &= held.column(c).to_numpy() == v
+                start = int(np.argmax(same))
+                yield batch_of(pairs(held.slice(0, start)))
+                held = held.slice(start).combine_chunks()
+        if held is not None and held.num_rows:
+            yield batch_of(pairs(held))
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
@@ -322,40 +409,51 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """Per document: the id, n_shingles (size of its set), class_id (least id of an equal set, null if empty) and component_id (least id that links lead to)."""
     spark = docs.sparkSession
     ensure_checkpoints(spark)
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    every = describe(texts, k, percent, common_elements(texts, k))
-    every = every.checkpoint()
-    some = every.where("n > 0")
-    sets = some.groupBy("sig", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("small").alias("small"), F.first("bits").alias("bits")).checkpoint()
-    histogram = {r.n: r.m for r in sets.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("m")).collect()}
+    texts = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("body"), docs[text_col].cast("string").alias("text"))
+    every = describe(texts, k, percent, common_elements(texts, k)).checkpoint()
+    some = every.where("n > 0 and id is not null")
+    classes = some.groupBy("sig", "n").agg(F.min(F.struct("id", "body")).alias("least")).select("sig", "n", "least.id", "least.body").checkpoint()
+    histogram = {r.n: r.m for r in classes.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("m")).collect()}
     most = boundary(histogram, percent)
-    edges = subset_edges(sets, most, percent)
-    # Sets that can only link with small ones need no lists.
-    postings = sets.where(F.col("n") * 100 >= percent * (most + 1)).select("sig", "n", F.explode("prefix").alias("key"))
-    lists = postings.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("n", "sig")).alias("low"), F.max(F.struct("n", "sig")).alias("high")).where("m > 1")
-    shared = postings.join(lists.select("key"), "key").select("key", "sig", "n").checkpoint()
+    edges = subset_edges(some.join(classes.select("sig", "id"), ["sig", "id"], "left_semi").where(F.col("n") <= most), most, percent)
+    # Sets that can only link with small ones need no lists. Equal sets post alike; they are merged in the lists.
+    postings = some.where(F.col("n") * 100 >= percent * (most + 1)).select("sig", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
+    several = postings.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a != b").select("key")
+    lists = postings.join(several, "key").select("key", "sig", "n").distinct().checkpoint()
     # The pivot of a list: the set of the least hash, so that lists of the same sets have the same one.
-    pivots = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n")).alias("p")).select("key", F.col("p.sig").alias("p"), F.col("p.n").alias("pn"))
-    near = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
-    first = shared.join(pivots, "key").where("sig != p").where(near).select(F.least("sig", "p").alias("u"), F.greatest("sig", "p").alias("v")).distinct()
-    found = confirmed(filtered(first, sets, percent).checkpoint(), sets, texts, k, percent)
+    described = lists.groupBy("key").agg(
+        F.count("*").alias("m"), F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n")).alias("p"), F.expr("bit_xor(xxhash64(sig, 1))").alias("x"), F.expr("bit_xor(xxhash64(sig, 2))").alias("y")
+    )
+    described = described.select("key", "m", "x", "y", F.col("p.sig").alias("p"), F.col("p.n").alias("pn")).checkpoint()
+    # Of lists of the same sets one is enough.
+    alone = described.groupBy("m", "x", "y").agg(F.min(F.struct("key", "p", "pn")).alias("one")).select("m", "one.*")
+    spread = lists.join(alone, "key").where("sig != p")
+    near = F.expr(f"100 * cast(least(n, pn) as long) >= {percent} * cast(greatest(n, pn) as long)")
+    first = spread.where(near).select(F.least("sig", "p").alias("u"), F.greatest("sig", "p").alias("v")).distinct()
+    found = confirmed(filtered(first, classes, texts, k, percent).checkpoint(), classes, texts, k, percent)
     edges = edges.union(found.where("linked").select("u", "v")).checkpoint()
     failed = found.where("not linked").select("u", "v")
+    rest = spread.where("m > 2").select("key", "sig", "n").checkpoint()
+    width = 1
     while True:
         labels = components(edges)
-        labelled = shared.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("component", "sig"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-        pairs = block_pairs(labelled.join(mixed, "key").select("key", "sig", "label"), sets, failed, percent).checkpoint()
+        labelled = rest.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("component", "sig"))
+        mixed = banded(labelled.select("key", "sig", "n", "label"), percent).checkpoint()
+        pairs = block_pairs(mixed, classes, texts, failed, k, percent, width).checkpoint()
         if pairs.isEmpty():
             break
-        found = confirmed(pairs, sets, texts, k, percent)
+        found = confirmed(pairs, classes, texts, k, percent)
         edges = edges.union(found.where("linked").select("u", "v")).checkpoint()
         if found.where("not linked").isEmpty():
             labels = components(edges)
             break
-        failed = failed.union(found.where("not linked").select("u", "v")).checkpoint()
-    classes = sets.select("sig", "n", F.col("id").alias("class_id")).join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-    classes = classes.withColumn("component", F.coalesce("component", "sig"))
+        # Only lists with a candidate that failed can hold further ones.
+        missed = found.where("not linked").select("u", "v")
+        failed = failed.union(missed).checkpoint()
+        both = rest.join(missed, rest["sig"] == missed["u"]).select("key", "v").join(rest, "key").where("sig = v").select("key").distinct()
+        rest = rest.join(both, "key", "left_semi").checkpoint()
+        width *= 16
+    classes = classes.drop("body").withColumnRenamed("id", "class_id").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
     classes = classes.join(least, "component").select("sig", "n", "class_id", "component_id")
     out = every.select("id", "n", "sig").join(classes, ["sig", "n"], "left")

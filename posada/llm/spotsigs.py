@@ -117,7 +117,7 @@ def near_pairs(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_
     sets = members.groupBy("sigs").agg(F.min("id").alias("id")).where(F.size("sigs") > 0)
     # The base of the partitions is the ratio that two lengths may have at most.
     ratio = 100.0 / percent
-    sets = sets.select("id", "sigs", F.size("sigs").alias("n"), F.floor(F.log(F.lit(ratio), F.size("sigs")) if percent < 100 else F.size("sigs")).alias("part"))
+    sets = sets.select("id", "sigs", F.size("sigs").alias("n"), F.floor(F.log(ratio, F.size("sigs")) if percent < 100 else F.size("sigs")).alias("part"))
     hits = sets.select("id", F.explode("sigs").alias("sig"))
     often = hits.groupBy("sig").agg(F.count("*").alias("m"))
     ranked = hits.join(often, "sig").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m", "sig"))).alias("ranked"))

@@ -131,9 +131,18 @@ def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, n_rows: int, k: int) ->
         return mix(np.concatenate([codes, extra])), np.concatenate([rows[full], short])
 
 
+def by_row_and_value(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The order by row, then by value."""
+    order = np.argsort(values)
+    small = rows[order]
+    if len(small) and small.max() < 1 << 16:
+        small = small.astype(np.uint16)  # sorted by radix
+    return order[np.argsort(small, kind="stable")]
+
+
 def distinct_by_row(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of each row in ascending order, as (values, offsets)."""
-    order = np.lexsort((values, rows))
+    order = by_row_and_value(values, rows)
     values, rows = values[order], rows[order]
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])

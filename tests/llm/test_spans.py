@@ -1,0 +1,91 @@
+import base64
+import hashlib
+import random
+import re
+
+from posada.llm import pii, secrets
+from posada.llm.queries import op4_secrets, op9_pii
+
+SECRETS = {"assign": (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+PERSONAL = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def passes(kind, m):
+    digits = re.sub("[^0-9]", "", m[0])
+    if kind == "assign":
+        return len(m[2]) >= 12
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m[0].split("."))
+    if kind == "card":
+        return 14 <= len(digits) <= 19 and sum(d * (1 + i % 2) - 9 * (d * (1 + i % 2) > 9) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+    return {"access": len(m[0]) >= 18, "hex": len(m[0]) >= 16, "email": True, "phone": 10 <= len(digits) <= 15}[kind]
+
+
+def brute(text, patterns):
+    kinds = list(patterns)
+    found = [(m.start(), kinds.index(k), m.end()) for k in kinds for m in re.finditer(patterns[k], text or "") if passes(k, m)]
+    return found, hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(found)).encode()).hexdigest()
+
+
+def check(rows, patterns, texts):
+    for r in rows:
+        found, sha = brute(texts[r.doc_id], patterns)
+        assert r.base_sha256 == sha
+        for i, kind in enumerate(patterns):
+            assert r[f"n_{kind}"] == sum(k == i for _, k, _ in found)
+        spans = r.spans.split(",") if r.spans else []
+        assert {f"{list(patterns)[k]}:{a}:{b}" for a, k, b in found} <= set(spans)
+
+
+def test_queries_equal_brute_force(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    check(op4_secrets(spark, sf).collect(), SECRETS, texts)
+    check(op9_pii(spark, sf).collect(), PERSONAL, texts)
+
+
+def test_base_patterns_on_random_texts():
+    rng = random.Random(8)
+    for _ in range(4000):
+        text = "".join(rng.choice("a1.2@-+ ()5%é9.@\nſ") for _ in range(rng.randint(0, 70)))
+        assert sorted((a, list(PERSONAL).index(k), b) for k, a, b in pii.base_spans(text)) == sorted(brute(text, PERSONAL)[0])
+        text = "".join(rng.choice(["token", "API_key", "passwd", "=", ": ", '"', "abc123", "AKIA", "Z9", "deadbeef", "ſecret", " ", "K"]) for _ in range(rng.randint(0, 14)))
+        assert sorted((a, list(SECRETS).index(k), b) for k, a, b in secrets.base_spans(text)) == sorted(brute(text, SECRETS)[0])
+
+
+EDGE = [(1, None), (2, ""), (3, "9" * 50_000), (4, "a" * 50_000 + "@"), (5, "1." * 30_000), (6, "+" * 20_000), (7, "(" * 20_000), (8, "token" + " " * 30_000), (9, "a@" * 20_000), (10, "M" * 40_000), (10, "x")]
+
+
+def test_edge_cases_end_soon(spark):
+    df = spark.createDataFrame(EDGE, "doc_id long, text string").selectExpr("*", "'x' as spans", "1 as id")
+    assert secrets.scan(df).count() == pii.scan(df).count() == len(EDGE)
+    assert [tuple(r) for r in secrets.scan(df.where("doc_id = 1")).collect()] == [(1, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")]
+    assert secrets.scan(df.where("false")).count() == pii.scan(df.where("false")).count() == 0
+
+
+def test_structures_are_confirmed():
+    part = lambda s: base64.urlsafe_b64encode(s).decode().rstrip("=")
+    token = part(b'{"alg":"HS256"}') + "." + part(b'{"sub":1}') + ".abcdefghijklmnopqrst"
+    der = bytes([0x30, 0x2E, 2, 1, 0, 0x30, 5, 6, 3, 0x2B, 0x65, 0x70, 4, 0x22, 4, 0x20]) + bytes(range(32))
+    b64 = base64.b64encode(der).decode()
+    added = lambda t: {k for k, _, _ in secrets.confirmed_spans(t)}
+    assert added(f"x {token} y") == {"token"} and added(token.replace("eyJ", "eyK")) == set()
+    assert added(b64) == added(der.hex()) == {"key"} and added(b64[:-8]) == added(der.hex()[:-2]) == set()
+    assert added(f"-----BEGIN PRIVATE KEY-----\n{b64}\n-----END PRIVATE KEY-----") == {"armour", "key"}
+    assert added("-----BEGIN PRIVATE KEY-----\nnothing here\n-----END PRIVATE KEY-----") == added("M" + "a" * 60) == set()
+    assert added(base64.b64encode(b"\0\0\0\7ssh-rsa\0\0\0\3\1\0\1\0\0\0\x0babcdefghijk").decode()) == {"key"}
+
+
+def test_masking_and_loopy_field(spark, sf):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[0-9@]'").collect()]
+    model = pii.train(texts)
+    text = "Call +1 (386) 555-3733 now, the number 555-3733 again, write bob@mail.example.com"
+    spans = pii.base_spans(text)
+    added = pii.added_spans(text, spans, model)
+    assert all(not (a < y and x < b) for _, a, b in added for _, x, y in spans)
+    masked = pii.masked(text, spans)
+    assert masked.startswith("Call [PHONE] now") and masked.endswith("write [EMAIL]")
+    field = pii.Field(text)
+    assert field.skip and abs(model.marginals(field).sum(axis=1) - 1).max() < 1e-9
+    df = spark.createDataFrame([(1, text, None), (2, None, 3)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in pii.redact(df, model).collect()}
+    assert "555-3733 now" not in got[1] and got[2] is None
