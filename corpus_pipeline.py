@@ -31,7 +31,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"), max_words=9, max_coverage=0.8)
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"), max_words=0, max_coverage=0.8)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

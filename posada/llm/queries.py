@@ -68,4 +68,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = lambda pattern: f"list_filter(string_split_regex({_LOWER}, '{pattern}'), lambda x: x <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS('[\\x20\\x09-\\x0D]+')} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS e FROM d),
+x AS (SELECT doc_id, len(e) AS n, unnest(e) AS v FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM x a JOIN x b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT u, v FROM p WHERE 100 * c >= 85 * (n + m - c) UNION ALL SELECT v, u FROM p WHERE 100 * c >= 85 * (n + m - c)),
+r AS (SELECT doc_id AS u, doc_id AS c FROM documents UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.u)
+SELECT s.doc_id, len(e)::BIGINT AS n_shingles, m.c AS component_id FROM s JOIN (SELECT u, min(c) AS c FROM r GROUP BY u) m ON m.u = s.doc_id""",
+    "op7_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS('[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS('[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')} AS w FROM benchmark),
+k AS (SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, greatest(2, len(w) - 8)), lambda i: array_to_string(w[i:i + 9], ' '))) AS v FROM b WHERE len(w) > 0),
+o AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM k)),
+h AS (SELECT o.doc_id, o.i, o.n, k.item_id FROM o JOIN d USING (doc_id) JOIN k ON k.n = o.n AND k.v = array_to_string(d.w[o.i:o.i + o.n - 1], ' ')),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id),
+its AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS l FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+}
