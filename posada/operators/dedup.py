@@ -21,21 +21,12 @@ from posada.functions.prices import digits
 from posada.functions.text import canonical_url, title_key
 
 from .order import first_per_key
+from .shared import checkpointed
 
 #: Distinct titles of one price that are compared with one another in one go.
 BLOCK = 256
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a copy in the shared checkpoint folder; one of its own is set only where the session names none."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def ratio(new: str, old: str) -> float:
     """Ratcliff-Obershelp similarity, in this order of arguments."""
     return SequenceMatcher(None, new, old).ratio()

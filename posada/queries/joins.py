@@ -326,3 +326,47 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("w1_last_sighting", f"WITH {bind.SIGHTINGS} SELECT url, arg_max(event_type, (run_no, event_id)) AS event_type, max(run_no) AS run_no FROM sightings GROUP BY url")
 def last_sighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.first_per_key(bind.sightings(spark, sf_dir), ["url"], [c("run_no"), c("event_id")], last=True).select("url", "event_type", "run_no")
+
+
+_RUN = "floor(epoch(ts) / 432000)::BIGINT"
+
+
+@register(
+    "st1_snapshot_stream",
+    f"WITH r AS (SELECT DISTINCT 'https://x.example/' || user_id::VARCHAR AS url, {_RUN} AS run_no FROM events), runs AS (SELECT DISTINCT run_no FROM r), "
+    "n AS (SELECT run_no, row_number() OVER (ORDER BY run_no) AS k FROM runs), i AS (SELECT url, k, k - lag(k) OVER (PARTITION BY url ORDER BY k) AS gap FROM r JOIN n USING (run_no)), "
+    "l AS (SELECT url, max(k) AS k FROM i GROUP BY url) SELECT url, ((SELECT max(k) FROM n) - k)::INT AS ausencias FROM l WHERE (SELECT max(k) FROM n) - k < 3",
+)
+def snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as snapshots of runs of five days, merged by the stream job."""
+    import uuid
+
+    from pyspark.sql import types as T
+
+    from posada.operators.shared import folder
+    from posada.schema import LISTING
+    from posada.streaming import snapshots
+
+    root = f"{folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    e = bind.table(spark, sf_dir, "events")
+    run = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) div 432000")
+    seen = e.select(F.concat(F.lit("https://x.example/"), c("user_id").cast("string")).alias("url"), run.alias("run_no")).distinct()
+    seen.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(T.StructType([*LISTING.fields, T.StructField("run_no", T.LongType())])).parquet(f"{root}/in")
+    snapshots.start(stream, f"{root}/table", f"{root}/progress").awaitTermination()
+    return snapshots.current(spark, f"{root}/table").select("url", "ausencias")
+
+
+@register("k1_json_round_trip", f"WITH {bind.LISTINGS} SELECT {URL} AS url, max(ord) AS ord, arg_max_null(price, ord) AS price FROM listings GROUP BY {URL}")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings exported as JSON and read again, the last record of each URL."""
+    import uuid
+
+    from posada.operators.shared import folder
+    from posada.sources import store
+
+    rows = bind.listings(spark, sf_dir).withColumn("url", canonical_url(c("url")))
+    path = f"{folder(spark)}/export-{uuid.uuid4().hex}"
+    store.export_json(rows.select("url", "price", "title", "ord"), path)
+    read = spark.read.schema("url string, price string, ord long").json(path)
+    return store.last_per_key(read, "url").select("url", "ord", "price")
