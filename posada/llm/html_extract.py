@@ -30,10 +30,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LEFT_OUT = frozenset("script style noscript template iframe object svg math canvas head title nav footer aside form button select textarea menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adslot adsense banner banners promo promotion sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay "
+    "ad ads adv adbox advert adverts advertisement advertising adslot adsense banner banners promo promotion sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe subscription signup comment comments commentlist disqus reply replies respond discussion sidebar side rail menu menus nav navbar navigation breadcrumb breadcrumbs topbar "
     "masthead toolbar share sharing social related recommended recommendations widget widgets login search pagination pager footer skip copyright alert".split()
 )
+#: With one of these a name tells of a layout around the content, as in "with-sidebar".
+LAYOUT = frozenset("has with no without layout wrapper container page".split())
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
 _CLASS_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Share of the first cluster's text that the kept container holds at least.
@@ -66,12 +68,17 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and (value or "").lower() in ROLES:
                 return True
-            if name in ("class", "id") and any(w.lower() in NAMES for w in _CLASS_WORDS.findall(value or "")):
+            if name in ("class", "id") and any(self.boilerplate(part) for part in (value or "").split()):
                 return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I):
                 return True
         return False
 
+    @staticmethod
+    def boilerplate(name: str) -> bool:
+        words = {w.lower() for w in _CLASS_WORDS.findall(name)}
+        return bool(words & NAMES) and not words & LAYOUT
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCKS
         if tag not in VOID:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import ensure_checkpoints
+from .samples import least_hashes
 from .spans import Span, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
@@ -270,7 +272,8 @@ def added_spans(text: str, base: list[Span], model: Model) -> list[Span]:
 
 def fit(docs: DataFrame, rows: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    some = texts.where(F.col("text").rlike("[0-9@]")).select("id").sort(F.xxhash64("id"), "id").limit(rows)
+    ensure_checkpoints(docs.sparkSession)
+    some = least_hashes(texts.where(F.col("text").rlike("[0-9@]")).select("id").checkpoint(), "id", rows)
     found = texts.join(F.broadcast(some.distinct()), "id").sort(F.xxhash64("id"), "id").limit(rows).select("text").toArrow()
     return train([t for t in found.column("text").to_pylist() if t])
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .samples import least_hashes
 
 TRAIN_ROWS = 6000
 BUCKETS = 1 << 18
@@ -120,7 +121,7 @@ def fold(id_col: str, parts: int, at: int) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[pa.RecordBatch]:
     """At most ``rows`` labelled texts, those of the least hashes of their ids, as Arrow batches of text and label."""
     some = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and __id is not null")
-    some = some.groupBy("__id").agg(F.max("label").alias("label")).sort(F.xxhash64("__id"), "__id").limit(rows)
+    some = least_hashes(some.groupBy("__id").agg(F.max("label").alias("label")), "__id", rows)
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "__id")
     return found.sort(F.xxhash64("__id"), "__id").limit(rows).select("text", "label").toArrow().to_batches()
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from . import textops
 from .components import ensure_checkpoints
 from .quality import fold
+from .samples import frequent
 
 DEPTH = 5
 LEAST_SHARE = 2e-6
@@ -226,9 +227,10 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str
     seen = words.agg(F.count("*"), F.sum("n")).first()
     texts = counts.where(F.col("kind") == TEXT).agg(F.sum("n")).first()[0] or 0
     train_tokens, distinct = (seen[1] or 0) + texts, seen[0] + (texts > 0)
-    table = words.sort(F.desc("n"), "key").limit(FREQUENT).sort("key").toArrow()
-    frequent = table.column("key").to_numpy(), table.column("n").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast((tree, frequent))
+    table = frequent(words, FREQUENT).toArrow()
+    order = np.argsort(table.column("key").to_numpy())
+    often = table.column("key").to_numpy()[order], table.column("n").to_numpy()[order]
+    shared = docs.sparkSession.sparkContext.broadcast((tree, often))
     unit = np.log10(train_tokens + distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ def test_query_equals_article(spark, sf):
 
 LONG = "Long text of the article that goes on &amp; on for a while, with many words in it."
 PAGE = f"""<html><head><title>x</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><div id="main-nav"><a href=x>x</a></div><div class="cookie-notice"><p>We use cookies. {LONG}</p></div>
-<main><div class="post"><header><h1>Title</h1></header><p>{LONG}</p><p>Ok.</p><div class="advert">Buy! {LONG}</div><ul><li>one&nbsp;<b>two</b></li></ul><pre>a
+<main><div class="post with-sidebar"><header><h1>Title</h1></header><p>{LONG}</p><p>Ok.</p><div class="advert">Buy! {LONG}</div><ul><li>one&nbsp;<b>two</b></li></ul><pre>a
   b</pre><form><p>{LONG}</p></form><p>{LONG}<script>var t="</p><p>no";</script></p></div>
 <section class="comments"><p>Nice! {LONG}</p></section></main><aside><p>{LONG}</p></aside><div class=sidebar><p>a b c</p></div><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul><footer>&copy; x</footer></body></html>"""
 
