@@ -16,24 +16,35 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+#: Rows of a small table that one task reads.
+ROWS_A_TASK = 250_000
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows without their lineage, on as many partitions as their number asks for, so that shuffles of few rows write few files."""
+    ensure_checkpoints(rows.sparkSession)
+    out = rows.checkpoint()
+    return out.coalesce(max(1, -(-out.count() // ROWS_A_TASK)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share for tables between steps."""
     ensure_checkpoints(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame, tasks: int) -> DataFrame:
     """Every node's larger neighbours are linked to its least neighbour (or itself)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").where("m < v").select(F.col("m").alias("u"), "v").distinct()
+    return both.where("v > u").join(least, "u").where("m < v").select(F.col("m").alias("u"), "v").coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_stars(edges: DataFrame) -> DataFrame:
+def _small_stars(edges: DataFrame, tasks: int) -> DataFrame:
     """Every node's smaller neighbours and the node are linked to the least of them. Edges have u < v."""
     least = edges.groupBy("v").agg(F.min("u").alias("m"))
     moved = edges.join(least, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
-    return moved.where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    return moved.where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -42,13 +53,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Needs a number of rounds logarithmic in the number of nodes; each is two shuffles of the edges. Rows with
     nulls and loops are dropped, an empty table gives an empty one. Raises where ``rounds`` do not suffice.
     """
-    ensure_checkpoints(edges.sparkSession)
-    now = edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint()
-    before = None
+    now = settled(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    tasks, before = max(1, -(-now.count() // ROWS_A_TASK)), None
     for _ in range(rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not mark[0] or mark == before:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+            own = now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct().coalesce(tasks)
+            return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(own)
         before = mark
-        now = _small_stars(_stars(now)).checkpoint()
+        now = _small_stars(_stars(now, tasks), tasks).checkpoint()
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -32,14 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .components import components, ensure_checkpoints
+from .components import components, ensure_checkpoints, settled
+from .samples import frequent
 
 #: A set's posting is shuffled, met with its list and compared again; a subset is only shuffled.
 POSTING_COST = 6.0
 #: The largest size for which subsets are ever enumerated.
 MOST_SMALL = 24
 #: Elements in the table of very common ones, and the number of times in a part of the input from which one is counted.
-COMMON, COMMON_FROM = 1 << 16, 8
+COMMON, COMMON_FROM = 1 << 19, 2
+#: Number of times from which one is common.
+LEAST_COMMON = 8
 #: Sets of a list that are compared with one another in one go.
 BLOCK = 1024
 #: Bits of the filter of documents whose sets are fetched again.
@@ -110,13 +113,13 @@ def common_elements(texts: DataFrame, k: int) -> np.ndarray:
                 size = 0
         yield from flush()
 
-    found = texts.select("text").mapInArrow(count, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * COMMON_FROM)
-    return np.sort(np.array([r.e for r in found.sort(F.desc("n"), "e").limit(COMMON).collect()], np.int64).view(np.uint64))
+    found = texts.select("text").mapInArrow(count, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COMMON)
+    return np.sort(frequent(found.checkpoint(), COMMON).select("e").toArrow().column("e").to_numpy().view(np.uint64))
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements on each bit, with eight bits an element at least; more differences than bits that differ can't be."""
-    bits = 1 << max(8, int(8 * len(values) - 1).bit_length())
+    """Parity of the number of elements on each bit, with four bits an element at least; more differences than bits that differ can't be."""
+    bits = 1 << max(8, int(4 * len(values) - 1).bit_length())
     odd = np.bincount((values >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -196,17 +199,17 @@ def subset_edges(sets: DataFrame, most: int, percent: int) -> DataFrame:
     return subsets.join(least, ["key", "c"]).where("sig != least.sig").where(near).select(F.col("least.sig").alias("u"), F.col("sig").alias("v")).distinct()
 
 
-def _bits_allow(a: tuple[int, int], b: tuple[int, int], s: int, t: int, percent: int) -> bool:
-    """Whether two bitmaps, each as (number, bytes), allow a link of sets of s and t elements."""
+def _differing(a: tuple[int, int], b: tuple[int, int]) -> int:
+    """The number of bits in which two bitmaps, each as (number, bytes), differ; the wider one is folded."""
     (x, xw), (y, yw) = a, b
-    while xw != yw:  # the wider one is folded
+    while xw != yw:
         if xw > yw:
             xw //= 2
             x = (x ^ (x >> 8 * xw)) & ((1 << 8 * xw) - 1)
         else:
             yw //= 2
             y = (y ^ (y >> 8 * yw)) & ((1 << 8 * yw) - 1)
-    return (x ^ y).bit_count() <= most_differences(s, t, percent)
+    return (x ^ y).bit_count()
 
 
 def _number(bits: bytes) -> tuple[int, int]:
@@ -219,7 +222,7 @@ def fetched(texts: DataFrame, bodies: DataFrame, k: int, bits: bool) -> DataFram
     A bit filter of fixed size lets only texts through that may be asked for; where it is too full, more pass than are,
     and the join drops them.
     """
-    bodies = bodies.distinct().checkpoint()
+    bodies = settled(bodies.distinct())
     marks = bodies.select(F.pmod("body", F.lit(FILTER_BITS)).alias("at"))
     blocks = marks.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
     mask = np.zeros(FILTER_BITS // 64, np.int64)
@@ -248,7 +251,7 @@ def fetched(texts: DataFrame, bodies: DataFrame, k: int, bits: bool) -> DataFram
 def with_fetched(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, bits: bool) -> DataFrame:
     """The pairs (u, v) with un, vn (sizes) and ux, vx (bitmaps or texts)."""
     side = lambda s: classes.select(F.col("sig").alias(s), F.col("n").alias(f"{s}n"), F.col("body").alias(f"{s}b"))
-    named = pairs.join(side("u"), "u").join(side("v"), "v").checkpoint()
+    named = settled(pairs.join(side("u"), "u").join(side("v"), "v"))
     found = fetched(texts, named.select(F.explode(F.array("ub", "vb")).alias("body")), k, bits)
     full = named.join(found.select(F.col("body").alias("ub"), F.col("x").alias("ux")), "ub").join(found.select(F.col("body").alias("vb"), F.col("x").alias("vx")), "vb")
     return full.select("u", "v", "un", "vn", "ux", "vx")
@@ -260,7 +263,7 @@ def filtered(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, per
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("ux", "vx", "un", "vn")), strict=True)
-            yield batch.select(["u", "v"]).filter(pa.array([_bits_allow(_number(a), _number(b), s, t, percent) for a, b, s, t in rows], pa.bool_()))
+            yield batch.select(["u", "v"]).filter(pa.array([_differing(_number(a), _number(b)) <= most_differences(s, t, percent) for a, b, s, t in rows], pa.bool_()))
 
     return with_fetched(pairs, classes, texts, k, bits=True).mapInArrow(run, "u long, v long")
 
@@ -278,20 +281,22 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
 
-    return with_fetched(pairs, classes, texts, k, bits=False).mapInArrow(check, "u long, v long, linked boolean").checkpoint()
+    return settled(with_fetched(pairs, classes, texts, k, bits=False).mapInArrow(check, "u long, v long, linked boolean"))
 
 
-def allowed(sizes: np.ndarray, groups: np.ndarray, bits: list[bytes], low: np.ndarray, half: np.ndarray, across: bool, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of positions that bitmaps allow, between sets of different components, not both of the band below. half: the block; across: only pairs of both blocks."""
+def allowed(sizes: np.ndarray, groups: np.ndarray, bits: list[bytes], low: np.ndarray, half: np.ndarray, across: bool, percent: int) -> list[tuple[int, int, int]]:
+    """(bits that differ, i, j) of the pairs that bitmaps allow, between sets of different components, not both of the band below. half: the block; across: only pairs of both blocks."""
+    out = []
     if len(sizes) <= 64:
         own, size, group, below, part = [_number(b) for b in bits], sizes.tolist(), groups.tolist(), low.tolist(), half.tolist()
         for i in range(len(size)):
             for j in range(i):
                 if group[i] == group[j] or below[i] and below[j] or across and part[i] == part[j] or 100 * min(size[i], size[j]) < percent * max(size[i], size[j]):
                     continue
-                if _bits_allow(own[i], own[j], size[i], size[j], percent):
-                    yield i, j
-        return
+                d = _differing(own[i], own[j])
+                if d <= most_differences(size[i], size[j], percent):
+                    out.append((d, i, j))
+        return out
     widths = {len(b) for b in bits}
     tables = {w: np.stack([folded(np.frombuffer(b, np.uint8), w) if len(b) >= w else np.zeros(w, np.uint8) for b in bits]).view(np.uint64) for w in widths}
     own = np.array([len(b) for b in bits])
@@ -307,18 +312,24 @@ def allowed(sizes: np.ndarray, groups: np.ndarray, bits: list[bytes], low: np.nd
         others &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
         at = np.flatnonzero(others)
         if len(at):
-            differ = np.bitwise_count(tables[w][at] ^ tables[w][i]).sum(axis=1, dtype=np.int64)
-            yield from ((i, j) for j in at[differ <= most_differences(sizes[at], sizes[i], percent)].tolist())
+            d = np.bitwise_count(tables[w][at] ^ tables[w][i]).sum(axis=1, dtype=np.int64)
+            on = d <= most_differences(sizes[at], sizes[i], percent)
+            out += [(x, i, j) for x, j in zip(d[on].tolist(), at[on].tolist(), strict=True)]
+    return out
 
 
-def forests(pairs: Iterator[tuple[int, int]], sigs: np.ndarray, groups: np.ndarray, failed: dict, width: int) -> list[tuple[int, int]]:
-    """``width`` edge-disjoint spanning forests, over components, of the pairs that have not failed before."""
+def forests(pairs: list[tuple[int, int, int]], sigs: np.ndarray, groups: np.ndarray, failed: dict, width: int) -> list[tuple[int, int]]:
+    """``width`` edge-disjoint least spanning forests, over components, of the pairs that have not failed before.
+
+    The order of the pairs is the same in all lists, so that lists of nearly the same sets give nearly the same pairs.
+    """
     sig, group = sigs.tolist(), groups.tolist()
     left = []
-    for i, j in pairs:
-        low, high = sorted((sig[i], sig[j]))
-        if high not in failed.get(low, ()):
-            left.append((low, high, group[i], group[j]))
+    for d, i, j in pairs:
+        low, high = (sig[i], sig[j]) if sig[i] < sig[j] else (sig[j], sig[i])
+        if not failed or high not in failed.get(low, ()):
+            left.append((d, low, high, group[i], group[j]))
+    left.sort()
     out = []
     for _ in range(width):
         root: dict[int, int] = {}
@@ -330,13 +341,13 @@ def forests(pairs: Iterator[tuple[int, int]], sigs: np.ndarray, groups: np.ndarr
             return x
 
         more = []
-        for low, high, x, y in left:
-            a, b = find(x), find(y)
+        for pair in left:
+            a, b = find(pair[3]), find(pair[4])
             if a == b:
-                more.append((low, high, x, y))
+                more.append(pair)
             else:
                 root[b] = a
-                out.append((low, high))
+                out.append(pair[1:3])
         left = more
         if not left:
             break
@@ -351,8 +362,14 @@ def banded(labelled: DataFrame, percent: int) -> DataFrame:
     own = F.floor(F.log(100.0 / percent, "n") + 1e-9) if percent < 100 else F.col("n")
     rows = labelled.withColumn("own", own.cast("int")).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
     rows = rows.withColumn("low", F.col("band") != F.col("own")).drop("own")
-    mixed = rows.groupBy("key", "band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("low").alias("l"), F.count("*").alias("m")).where("x != y and not l")
-    return rows.join(mixed.select("key", "band", "m"), ["key", "band"])
+    # A set of the band below needs one of the band itself that is small enough for it and of another component.
+    inside = rows.where("not low").groupBy("key", "band").agg(F.min("n").alias("least"), F.min("label").alias("x"), F.max("label").alias("y"))
+    rows = rows.join(inside, ["key", "band"]).where(f"not low or (100 * n >= {percent} * least and (x != label or y != label))").drop("least", "x", "y")
+    # Of groups of the same sets one is enough.
+    sets = [F.expr(f"bit_xor(xxhash64(sig, low, {i}))").alias(f"h{i}") for i in (1, 2)]
+    mixed = rows.groupBy("key", "band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), *sets).where("x != y")
+    alone = mixed.groupBy("band", "m", "h1", "h2").agg(F.min("key").alias("key"))
+    return rows.join(alone.select("key", "band", "m"), ["key", "band"])
 
 
 def block_pairs(lists: DataFrame, classes: DataFrame, texts: DataFrame, failed: DataFrame, k: int, percent: int, width: int) -> DataFrame:
@@ -362,7 +379,7 @@ def block_pairs(lists: DataFrame, classes: DataFrame, texts: DataFrame, failed:
     # Block pair (a, b), a <= b: a member of block x goes to the pairs (x, x..) and (..x, x).
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     bad = failed.groupBy("u").agg(F.collect_list("v").alias("bad"))
-    named = lists.select("sig").distinct().join(classes.select("sig", "body"), "sig").checkpoint()
+    named = settled(lists.select("sig").distinct().join(classes.select("sig", "body"), "sig"))
     bits = fetched(texts, named.select("body"), k, bits=True).join(named, "body").select("sig", F.col("x").alias("bits"))
     member = member.join(bits, "sig").join(bad.withColumnRenamed("u", "sig"), "sig", "left")
     member = member.select("key", "band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "low", "sig", "label", "n", "bits", "bad")
@@ -412,46 +429,46 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     texts = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("body"), docs[text_col].cast("string").alias("text"))
     every = describe(texts, k, percent, common_elements(texts, k)).checkpoint()
     some = every.where("n > 0 and id is not null")
-    classes = some.groupBy("sig", "n").agg(F.min(F.struct("id", "body")).alias("least")).select("sig", "n", "least.id", "least.body").checkpoint()
+    classes = settled(some.groupBy("sig", "n").agg(F.min(F.struct("id", "body")).alias("least")).select("sig", "n", "least.id", "least.body"))
     histogram = {r.n: r.m for r in classes.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("m")).collect()}
     most = boundary(histogram, percent)
     edges = subset_edges(some.join(classes.select("sig", "id"), ["sig", "id"], "left_semi").where(F.col("n") <= most), most, percent)
     # Sets that can only link with small ones need no lists. Equal sets post alike; they are merged in the lists.
     postings = some.where(F.col("n") * 100 >= percent * (most + 1)).select("sig", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
     several = postings.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a != b").select("key")
-    lists = postings.join(several, "key").select("key", "sig", "n").distinct().checkpoint()
+    lists = settled(postings.join(several, "key").select("key", "sig", "n").distinct())
     # The pivot of a list: the set of the least hash, so that lists of the same sets have the same one.
     described = lists.groupBy("key").agg(
         F.count("*").alias("m"), F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n")).alias("p"), F.expr("bit_xor(xxhash64(sig, 1))").alias("x"), F.expr("bit_xor(xxhash64(sig, 2))").alias("y")
     )
-    described = described.select("key", "m", "x", "y", F.col("p.sig").alias("p"), F.col("p.n").alias("pn")).checkpoint()
+    described = settled(described.select("key", "m", "x", "y", F.col("p.sig").alias("p"), F.col("p.n").alias("pn")))
     # Of lists of the same sets one is enough.
     alone = described.groupBy("m", "x", "y").agg(F.min(F.struct("key", "p", "pn")).alias("one")).select("m", "one.*")
     spread = lists.join(alone, "key").where("sig != p")
     near = F.expr(f"100 * cast(least(n, pn) as long) >= {percent} * cast(greatest(n, pn) as long)")
     first = spread.where(near).select(F.least("sig", "p").alias("u"), F.greatest("sig", "p").alias("v")).distinct()
-    found = confirmed(filtered(first, classes, texts, k, percent).checkpoint(), classes, texts, k, percent)
-    edges = edges.union(found.where("linked").select("u", "v")).checkpoint()
+    found = confirmed(settled(filtered(settled(first), classes, texts, k, percent)), classes, texts, k, percent)
+    edges = settled(edges.union(found.where("linked").select("u", "v")))
     failed = found.where("not linked").select("u", "v")
-    rest = spread.where("m > 2").select("key", "sig", "n").checkpoint()
+    rest = settled(spread.where("m > 2").select("key", "sig", "n"))
     width = 1
     while True:
-        labels = components(edges)
+        labels = settled(components(edges))
         labelled = rest.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("component", "sig"))
-        mixed = banded(labelled.select("key", "sig", "n", "label"), percent).checkpoint()
-        pairs = block_pairs(mixed, classes, texts, failed, k, percent, width).checkpoint()
+        mixed = settled(banded(labelled.select("key", "sig", "n", "label"), percent))
+        pairs = settled(block_pairs(mixed, classes, texts, failed, k, percent, width))
         if pairs.isEmpty():
             break
         found = confirmed(pairs, classes, texts, k, percent)
-        edges = edges.union(found.where("linked").select("u", "v")).checkpoint()
+        edges = settled(edges.union(found.where("linked").select("u", "v")))
         if found.where("not linked").isEmpty():
             labels = components(edges)
             break
         # Only lists with a candidate that failed can hold further ones.
         missed = found.where("not linked").select("u", "v")
-        failed = failed.union(missed).checkpoint()
+        failed = settled(failed.union(missed))
         both = rest.join(missed, rest["sig"] == missed["u"]).select("key", "v").join(rest, "key").where("sig = v").select("key").distinct()
-        rest = rest.join(both, "key", "left_semi").checkpoint()
+        rest = settled(rest.join(both, "key", "left_semi"))
         width *= 16
     classes = classes.drop("body").withColumnRenamed("id", "class_id").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
