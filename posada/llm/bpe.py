@@ -27,7 +27,7 @@ NONE = 1 << 60
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 _BLANK = regex.compile(r"\p{White_Space}+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

@@ -130,25 +130,26 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: in
     return train(training_rows(docs, labels, label_col, rows, id_col, text_col))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", output: str = "score") -> DataFrame:
-    """The rows with the score of their whole text as a further column."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", output: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """The rows (their columns ``keep``, by default all) with the score of their whole text as a further column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != output]
-    texts = docs.select(*(docs[c] for c in names), docs[text_col].cast("string").alias("__text"))
+    names = [c for c in (docs.columns if keep is None else keep) if c != output]
+    texts = docs.select(*(docs[c] for c in names if c != text_col), docs[text_col].cast("string").alias(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.pieces(batches, "__text"):
-            scores = shared.value.scores(pa.RecordBatch.from_arrays([batch.column("__text")], ["text"]))
+        for batch in textops.pieces(batches, text_col):
+            scores = shared.value.scores(pa.RecordBatch.from_arrays([batch.column(text_col)], ["text"]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64())], [*names, output])
 
-    return texts.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + f", `{output}` double")
+    kinds = {c: "string" if c == text_col else docs.schema[c].dataType.simpleString() for c in names}
+    return texts.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + f", `{output}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: the id, held_out, score, predicted. Labels of held-out ids are not learned from."""
     held = fold(id_col, 4, 2) if held_out is None else held_out
     model = fit(docs, labels.where(~held), id_col=id_col, text_col=text_col)
-    scored = score(docs.select(docs[id_col], docs[text_col]), model, text_col)
+    scored = score(docs, model, text_col, keep=[id_col])
     return scored.select(id_col, held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
