@@ -18,27 +18,40 @@ from posada.llm import bpe, decontaminate, jaccard_join, pii, quality
 from posada.llm.components import shared_folder
 
 
+#: Rows that Spark hands to a Python worker at once. Texts are long, and a worker and its task each hold a batch.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return quality.keep_good(docs, _table(spark, sf_dir, "labels"), threshold=0.5)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return jaccard_join.keep_first(docs, k=5, percent=80)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"), max_words=0, max_coverage=0.8)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return pii.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return bpe.encode_documents(docs)
 
 
