@@ -422,8 +422,8 @@ def block_pairs(lists: DataFrame, classes: DataFrame, texts: DataFrame, failed:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: the id, n_shingles (size of its set), class_id (least id of an equal set, null if empty) and component_id (least id that links lead to)."""
+def grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document: id, body (hash of the text), n (size of its set), class_id, component (a label that no other component has, null if the set is empty) and component_id."""
     spark = docs.sparkSession
     ensure_checkpoints(spark)
     texts = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("body"), docs[text_col].cast("string").alias("text"))
@@ -472,12 +472,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         width *= 16
     classes = classes.drop("body").withColumnRenamed("id", "class_id").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(least, "component").select("sig", "n", "class_id", "component_id")
-    out = every.select("id", "n", "sig").join(classes, ["sig", "n"], "left")
+    classes = classes.join(least, "component").select("sig", "n", "class_id", "component", "component_id")
+    return every.select("id", "body", "n", "sig").join(classes, ["sig", "n"], "left").drop("sig")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: the id, n_shingles (size of its set), class_id (least id of an equal set, null if empty) and component_id (least id that links lead to)."""
+    out = grouped(docs, k, percent, id_col, text_col)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each component: that of the least id. Documents of empty sets stay."""
-    found = jaccard_components(docs, k, percent, id_col, text_col).where(F.col("component_id") == F.col(id_col)).select(id_col)
-    return docs.join(found, id_col, "left_semi")
+    """The rows, one of each component: that of the least id, of these the least hash of its text, of these (repeated rows) the least as JSON. Rows of empty sets and rows without an id all stay."""
+    found = grouped(docs, k, percent, id_col, text_col).where("id is not null")
+    rows = found.where("n > 0").groupBy("component", "id", "body").agg(F.count("*").alias("m"))
+    first = rows.groupBy("component").agg(F.min(F.struct("id", "body", "m")).alias("least")).select("least.*")
+    kept = settled(first.union(found.where("n = 0").select("id", "body", F.lit(1).cast("long").alias("m")).distinct()))
+    keyed = docs.select(F.struct("*").alias("doc"), docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("body"))
+    out = keyed.join(kept.where("m = 1"), ["id", "body"], "left_semi").select("doc")
+    several = kept.where("m > 1")
+    if not several.isEmpty():
+        again = keyed.join(several, ["id", "body"], "left_semi")
+        out = out.union(again.groupBy("id", "body").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc"))
+    return out.union(keyed.where("id is null").select("doc")).select("doc.*")

@@ -68,3 +68,10 @@ def test_keep_first_and_empty(spark):
     assert sorted(r.doc_id for r in jaccard_join.keep_first(df).collect()) == [1, 3, 4]
     assert jaccard_join.keep_first(df.where("false")).count() == 0
     assert jaccard_join.jaccard_components(df.where("text is null")).count() == 1
+
+
+def test_keep_first_of_null_ids_and_repeated_rows(spark):
+    one, other = "a b c d e f", "g h i j k l"
+    rows = [(None, one, 1), (None, one, 2), (None, None, 3), (1, one, 5), (1, one, 4), (2, one, 6), (1, other, 7), (3, other, 8), (4, None, 9), (4, None, 10), (5, one + " ", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    assert sorted(r.x for r in jaccard_join.keep_first(df).collect()) == [1, 2, 3, 4, 7, 9, 10]
