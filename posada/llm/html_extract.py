@@ -3,10 +3,13 @@
 The parser's events are streamed into lines: a block element begins a new line, and each line has its text,
 its number of tags and the containers around it. The ratio of text to tags per line is smoothed with a
 Gaussian kernel; lines at or above the threshold (the standard deviation of the smoothed ratios) are one
-cluster, the others the second one. The region that is kept is the innermost container that holds nearly
-all text of the first cluster; within it every line stays, short ones too. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by element, role and
-class wherever they stand.
+cluster, the others the second one. The innermost container that holds nearly all text of the first cluster
+is widened to the article or else the main element around it; where there is neither, the region is the
+innermost container that holds the whole first cluster and the h1 headings. Within the region every line
+stays, short ones too; runs of short links go where no article or main element bounds the region. Menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by
+element, role and class wherever they stand, but a form or a class that holds most of the text in several
+blocks, with no h1, article or main outside, is a layout and stays. Omitted end tags are implied as in HTML.
 
 Null, empty and wholly boilerplate pages give an empty text. Unclosed elements and truncated pages are read
 as far as they go. Repeated rows are each extracted; columns besides the three used are ignored.
@@ -15,6 +18,7 @@ as far as they go. Repeated rows are each extracted; columns besides the three u
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -36,43 +40,112 @@ NAMES = frozenset(
 )
 #: With one of these a name tells of a layout around the content, as in "with-sidebar".
 LAYOUT = frozenset("has with no without layout wrapper container page".split())
+#: Left out only if the page's text is elsewhere.
+SOFT = frozenset(["form"])
+#: Start tags that do not end an open paragraph, and those that may stand in a head.
+IN_P = frozenset("body head html legend noscript option optgroup select tbody td tfoot th thead title tr frameset".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+TABLE = frozenset("caption table tbody td tfoot th thead tr".split())
+#: Open elements that the start of the key ends, and those that keep it from looking further out.
+_LISTS = BLOCKS - frozenset("address div p li dt dd".split())
+IMPLIED = {
+    "li": (frozenset(["li"]), _LISTS),
+    "dt": (frozenset(["dt", "dd"]), _LISTS),
+    "dd": (frozenset(["dt", "dd"]), _LISTS),
+    "option": (frozenset(["option"]), frozenset(["select", "optgroup"])),
+    "td": (frozenset(["td", "th"]), frozenset(["table"])),
+    "th": (frozenset(["td", "th"]), frozenset(["table"])),
+    "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])),
+    **dict.fromkeys(["thead", "tbody", "tfoot"], (frozenset("tbody td tfoot th thead tr".split()), frozenset(["table"]))),
+}
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
 _CLASS_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Share of the first cluster's text that the kept container holds at least.
+#: Share of the first cluster's text that the container holds at least from which an article or main element is looked for.
 SHARE = 0.9
 
 
 class Lines(HTMLParser):
-    """Collects lines as [text parts, tags, containers, left out, length of link text]."""
+    """Collects lines as [text parts, tags, container, group left out or -1, length of link text, whether in an h1]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.path: list[tuple[str, int]] = []
+        #: Open elements as (tag, container, group, link, h1), the last four as they hold inside.
+        self.open: list[tuple[str, int, int, bool, bool]] = []
+        self.many: Counter[str] = Counter()
         self.parents: dict[int, int] = {0: -1}
-        self.count = 0
-        self.skip: list[str] = []
-        self.links = 0
+        self.tags: dict[int, str] = {0: ""}
+        #: Groups of lines left out, as (group around it, whether it may be a layout).
+        self.groups: list[tuple[int, bool]] = []
         self.begin()
 
+    def inner(self) -> tuple[str, int, int, bool, bool]:
+        return self.open[-1] if self.open else ("", 0, -1, False, False)
+
     def begin(self) -> None:
         if self.lines and not self.lines[-1][0]:
             self.lines.pop()
-        self.lines.append([[], 0, self.path[-1][1] if self.path else 0, bool(self.skip), 0])
+        _, at, group, _, h1 = self.inner()
+        self.lines.append([[], 0, at, group, 0, h1])
+
+    def cut(self, at: int) -> None:
+        """Ends the open elements from a place on."""
+        group = self.inner()[2]
+        for tag, *_ in self.open[at:]:
+            self.many[tag] -= 1
+        del self.open[at:]
+        if self.inner()[2] != group:
+            self.begin()
 
-    def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in LEFT_OUT or tag == "header" and not any(t in ("article", "main") for t, _ in self.path):
-            return True
+    def place(self, tags: frozenset[str], stops: frozenset[str]) -> int:
+        """The place of the innermost open element of the tags, -1 if there is none or it stands outside one of the stops."""
+        if any(self.many[t] for t in tags):
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i][0] in tags:
+                    return i
+                if self.open[i][0] in stops:
+                    return -1
+        return -1
+
+    def imply(self, tag: str) -> None:
+        """Ends what HTML ends where the tag starts."""
+        if self.many["head"] and tag not in IN_HEAD and self.open[-1][0] in ("head", "title"):
+            self.cut(self.place(frozenset(["head"]), frozenset()))
+        if tag in BLOCKS and tag not in IN_P and (at := self.place(frozenset(["p"]), TABLE | {"button"})) >= 0:
+            self.cut(at)
+        if tag in IMPLIED:
+            ends, stops = IMPLIED[tag]
+            while (at := self.place(ends, stops)) >= 0:
+                self.cut(at)
+        if tag == "a":
+            self.end_inline("a")
+
+    def end_inline(self, tag: str) -> None:
+        """Ends an inline element alone: blocks that were opened in it stay open."""
+        at = self.place(frozenset([tag]), TABLE)
+        if at < 0:
+            return
+        if not any(t in BLOCKS for t, *_ in self.open[at + 1 :]):
+            self.cut(at)
+        elif tag == "a":
+            self.many[tag] -= 1
+            self.open[at:] = [(t, c, g, False, h) for t, c, g, _, h in self.open[at + 1 :]]
+
+    def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """"hard", "soft" (may turn out to be a layout) or nothing."""
+        if tag in LEFT_OUT - SOFT or tag == "header" and not (self.many["article"] or self.many["main"]):
+            return "hard"
         if tag in ("body", "html", "article", "main"):
-            return False
+            return ""
+        found = "soft" if tag in SOFT else ""
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and (value or "").lower() in ROLES:
-                return True
+                return "hard"
             if name in ("class", "id") and any(self.boilerplate(part) for part in (value or "").split()):
-                return True
+                found = "soft"
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I):
-                return True
-        return False
+                return "hard"
+        return found
 
     @staticmethod
     def boilerplate(name: str) -> bool:
@@ -80,24 +153,24 @@ class Lines(HTMLParser):
         return bool(words & NAMES) and not words & LAYOUT
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.imply(tag)
         block = tag in BLOCKS
         if tag not in VOID:
-            if self.skip:
-                if tag == self.skip[0]:
-                    self.skip.append(tag)
-            elif self.unwanted(tag, attrs):
-                self.skip.append(tag)
+            _, at, group, link, h1 = self.inner()
+            if (group < 0 or self.groups[group][1]) and (kind := self.unwanted(tag, attrs)):
+                self.groups.append((group, kind == "soft"))
+                group = len(self.groups) - 1
                 block = True
-            elif tag in CONTAINERS:
-                self.count += 1
-                self.parents[self.count] = self.path[-1][1] if self.path else 0
-                self.path.append((tag, self.count))
+            if tag in CONTAINERS:
+                self.parents[len(self.tags)] = at
+                at = len(self.tags)
+                self.tags[at] = tag
+            self.open.append((tag, at, group, link or tag == "a" and any(name == "href" for name, _ in attrs), h1 or tag == "h1"))
+            self.many[tag] += 1
         if block:
             self.begin()
         if tag == "br":
             self.lines[-1][0].append(" ")
-        if tag == "a":
-            self.links += 1
         self.lines[-1][1] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -107,28 +180,44 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.lines[-1][1] += 1
-        if tag == "a":
-            self.links = max(0, self.links - 1)
-        if self.skip:
-            if tag != self.skip[0]:
-                return
-            self.skip.pop()
-            if not self.skip:
-                self.links = 0
-                self.begin()
+        if tag in ("body", "html"):  # what follows still belongs to the open elements
             return
-        if tag in CONTAINERS and any(t == tag for t, _ in self.path):
-            while self.path.pop()[0] != tag:
-                pass
-        if tag in BLOCKS:
-            self.begin()
+        if tag not in BLOCKS:
+            self.end_inline(tag)
+            return
+        at = self.place(frozenset([tag]), frozenset(["table"]) if tag in TABLE else TABLE)
+        if at >= 0:
+            self.cut(at)
+        self.begin()
 
     def handle_data(self, data: str) -> None:
         line = self.lines[-1]
         line[0].append(data)
-        if self.links:
+        if self.inner()[3]:
             line[4] += len(data)
 
+    def left_out(self, lines: list[tuple]) -> list[bool]:
+        """By line, whether a group leaves it out. A group that may be a layout is one if it has most of the text in several blocks, and no h1, article or main stands outside."""
+        chain: list[frozenset[int]] = []
+        for i, (around, _) in enumerate(self.groups):
+            chain.append(frozenset([i]) | (chain[around] if around >= 0 else frozenset()))
+        hard = [any(not self.groups[g][1] for g in c) for c in chain]
+        seen = [x for x in lines if x[3] < 0 or not hard[x[3]]]
+        whole, size, blocks, first = 0, Counter(), Counter(), Counter()
+        anchors = 0
+        for text, _, at, group, links, h1 in seen:
+            length = max(0, len(text) - links)
+            while at >= 0 and self.tags[at] not in ("article", "main"):
+                at = self.parents[at]
+            anchor = h1 or at >= 0
+            whole, anchors = whole + length, anchors + anchor
+            for g in chain[group] if group >= 0 else ():
+                size[g] += length
+                blocks[g] += length >= 40
+                first[g] += anchor
+        layout = {g for g in size if 2 * size[g] > whole and blocks[g] >= 3 and first[g] == anchors}
+        return [group >= 0 and not chain[group] <= layout for _, _, _, group, _, _ in lines]
+
 
 def smoothed(ratios: np.ndarray, radius: int = 2) -> np.ndarray:
     """The ratios under a Gaussian kernel whose deviation is the radius; borders see the part of the kernel that lies inside."""
@@ -143,25 +232,34 @@ def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [(" ".join("".join(parts).split()), tags, at, out, links) for parts, tags, at, out, links in parser.lines]
+    lines = [(" ".join("".join(parts).split()), *rest) for parts, *rest in parser.lines]
     lines = [x for x in lines if x[0]]
     if not lines:
         return ""
     ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
     threshold = float(ratios.std())
-    wanted = [i for i, x in enumerate(lines) if not x[3]]
+    wanted = [i for i, out in enumerate(parser.left_out(lines)) if not out]
     dense = [i for i in wanted if ratios[i] >= threshold] or wanted
-    weight: dict[int, int] = {}
-    for i in dense:
-        at = lines[i][2]
-        while at >= 0:
-            weight[at] = weight.get(at, 0) + len(lines[i][0])
-            at = parser.parents[at]
-    whole = weight.get(0, 0)
     depth: dict[int, int] = {}
-    for c in sorted(weight):
+    for c in parser.parents:
         depth[c] = 0 if parser.parents[c] < 0 else depth[parser.parents[c]] + 1
-    region = max((c for c in weight if weight[c] >= SHARE * whole), key=lambda c: (depth[c], weight[c]), default=0)
+
+    def around(chosen: list[int], share: float) -> int:
+        """The innermost container with a share of the chosen lines' text."""
+        weight: dict[int, int] = {}
+        for i in chosen:
+            at = lines[i][2]
+            while at >= 0:
+                weight[at] = weight.get(at, 0) + len(lines[i][0])
+                at = parser.parents[at]
+        return max((c for c in weight if weight[c] >= share * weight[0]), key=lambda c: (depth[c], weight[c]), default=0)
+
+    at, outer = around(dense, SHARE), {}
+    while at >= 0:
+        outer[parser.tags[at]] = at
+        at = parser.parents[at]
+    bounded = "article" in outer or "main" in outer
+    region = outer.get("article", outer.get("main", 0)) if bounded else around(sorted({*dense, *(i for i in wanted if lines[i][5])}), 1)
 
     def inside(at: int) -> bool:
         while at >= 0 and at != region:
@@ -174,7 +272,7 @@ def main_text(html: str | None) -> str:
         end = k
         while end < len(kept) and kept[end][2]:
             end += 1
-        if end - k >= 3:  # a list of links is a menu
+        if end - k >= 3 and not bounded and sum(len(text.split()) for _, text, _ in kept[k:end]) < 5 * (end - k):  # a list of short links is a menu
             k = end
             continue
         end = max(end, k + 1)

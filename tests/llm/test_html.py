@@ -36,3 +36,16 @@ def test_edge_cases(spark):
     got = {r.page_id: r.text for r in html_extract.extract(df).collect() if r.page_id < 10}
     assert got[1] == got[2] == got[5] == got[9] == "" and got[3] == "plain < text" and got[4] == "cut of" and got[7] == "x" and got[8] == "&am"
     assert html_extract.extract(df.where("false")).count() == 0
+
+
+def test_the_whole_article_stays():
+    t, links = html.unescape(LONG), "".join(f"<li><a href={i}>Source {i}</a></li>" for i in range(4))
+    text = html_extract.main_text
+    sources = [f"Source {i}" for i in range(4)]
+    body = f"<p>{LONG}</p>" * 12
+    assert text(f"<body><article><h1>Title</h1><div class=entry-content>{body}</div><section><p>Last.</p><ul>{links}</ul></section></article></body>") == "\n".join(["Title", *[t] * 12, "Last.", *sources])
+    assert text(f"<body><div><h1>Title</h1><div>{body}</div></div></body>") == "\n".join(["Title", *[t] * 12])
+    assert text(f"<article><a name=x>{body}<p>End.</p></article>") == "\n".join([*[t] * 12, "End."])
+    assert text(f"<article><p>{LONG}<p class=notice>Buy<p>{LONG}<ul><li class=social>Share<li>one</ul><p>End.</article>") == "\n".join([t, t, "one", "End."])
+    assert text(f"<head><title>x</title><body><form action=x><div id=nav><a href=1>one</a></div><div class=sidebar-right><h1>Title</h1>{body}</div></form>") == "\n".join(["Title", *[t] * 12])
+    assert text(f"<article><h1>Title</h1><p>{LONG}</p></article><div class=comments>{body}</div>") == "\n".join(["Title", t])
