@@ -26,10 +26,18 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _WORDS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+#: The header of a signed token: a run before a dot. Its decoded text begins with a brace or a blank.
+_HEADER = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}(?=\.)")
+_JSON_START = re.compile(r"(?:e[w-z0-9_-]|I[A-P]|C[Q-Zg-va-f]|D[Q-Za-f])[A-Za-z0-9_-]+")
+_REST = re.compile(r"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: What a sequence, a length below 256 and the SSH magic look like in base64, and a run from there on.
+_START = re.compile(r"M[A-P]|AAAA|b3Bl")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]*={0,2}")
+_HEX_RUN = re.compile(r"[0-9a-fA-F]{32,}")
+_ESCAPE = re.compile(r"\\[nrt]|\\u00[0-9a-fA-F]{2}|%[0-9a-fA-F]{2}")
+_LINE_END = re.compile(r"(?:\\+r)?\\+n|\\+r|\\+u000[aAdD]|\r\n?")
+_HEADER_LINE = re.compile(r"[A-Za-z][A-Za-z0-9-]*:.*")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z ]{0,32}PRIVATE KEY)-----")
-_HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -111,32 +119,110 @@ def is_signed_token(text: str) -> bool:
     header, body, signature = text.split(".")
     try:
         head, payload = (json.loads(decoded(x) or b"null") for x in (header, body))
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(payload, dict) and (head["alg"].lower() == "none" or len(signature) >= 16)
 
 
+def starts_value(text: str, at: int) -> bool:
+    """Whether a value may start here: after anything but a letter or digit, or after an escaped sign."""
+    return not at or not (text[at - 1].isascii() and text[at - 1].isalnum()) or any(_ESCAPE.fullmatch(text, max(0, at - n), at) for n in (2, 3, 6))
+
+
+def key_end(text: str, start: int, end: int) -> int:
+    """Where the base64 key that starts here ends, or 0. It ends with its run (that ends at ``end``) or before a separator."""
+
+    def at_byte(n: int) -> int:
+        """Where n bytes end in the text, 0 unless the run ends or a separator stands there."""
+        to = start + -(-4 * n // 3)
+        if to > end or to < end and text[to] not in "/+_-=":
+            return 0
+        return end if text[to:end].strip("=") == "" else to
+
+    if text[start] == "M":
+        head = decoded(text[start : start + 8]) or b""
+        if len(head) < 6:
+            return 0
+        size = head[1] & 0x7F
+        size = 2 + size + int.from_bytes(head[2 : 2 + size], "big") if head[1] >= 0x80 and 1 <= size <= 4 else 2 + size
+        to = at_byte(size)
+        data = decoded(text[start:to]) if to else None
+        return to if data is not None and is_der_key(data) else 0
+    body = text[start:end].rstrip("=")
+    data = decoded(body[: len(body) - (len(body) % 4 == 1)])
+    if data is None:
+        return 0
+    if data.startswith(b"openssh-key-v1\0"):
+        return end
+    at, found = 0, 0
+    for n in range(64):
+        if at + 4 > len(data) or (size := int.from_bytes(data[at : at + 4], "big")) > len(data) - at - 4:
+            break
+        at += 4 + size
+        if n and (to := at_byte(at)) and is_wire_key(data[:at]):
+            found = to
+    return found
+
+
+def armour_body(text: str) -> tuple[bytes | None, dict[str, str]]:
+    """The bytes and the header lines of what stands in an armour; line ends may be escaped, also more than once."""
+    headers: dict[str, str] = {}
+    body, more = [], False
+    for line in map(str.strip, _LINE_END.sub("\n", text).split("\n")):
+        if not body and _HEADER_LINE.fullmatch(line):
+            name, _, value = line.partition(":")
+            headers[name.lower()] = value.strip()
+            more = True
+        elif more and line and not body and not re.fullmatch(r"[A-Za-z0-9+/=]{32,}", line):
+            headers[name.lower()] += line  # a header goes on
+        elif not line:
+            more = False
+        else:
+            body.append("".join(line.split()))
+    return decoded("".join(body)), headers
+
+
+def is_armoured_key(text: str) -> bool:
+    """A key, or by its headers an encrypted one: a cipher with its start vector, and whole blocks."""
+    body, headers = armour_body(text)
+    if body is None:
+        return False
+    if "ENCRYPTED" in headers.get("proc-type", "") and re.fullmatch(r"[A-Za-z0-9-]+,\s*(?:[0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})", headers.get("dek-info", "")):
+        return len(body) >= 24 and len(body) % 8 == 0
+    return is_der_key(body) or is_wire_key(body)
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Candidates whose decoded structure is that of a key or a signed token."""
     out: list[Span] = []
-    if "eyJ" in text:
-        out += [("token", m.start(), m.end()) for m in _SIGNED.finditer(text) if is_signed_token(m[0])]
+    if "." in text:
+        for m in _HEADER.finditer(text):
+            rest = _REST.match(text, m.end())
+            if rest:
+                for at in range(m.start(), m.end() - 11):
+                    if starts_value(text, at) and _JSON_START.match(text, at, m.end()) and is_signed_token(text[at : rest.end()]):
+                        out.append(("token", at, rest.end()))
+                        break
     if "PRIVATE KEY-----" in text:
         for m in _ARMOUR.finditer(text):
             end = text.find(f"-----END {m[1]}-----", m.end())
-            body = decoded("".join(text[m.end() : end].split())) if end >= 0 else None
-            if body is not None and (is_der_key(body) or is_wire_key(body)):
+            if end >= 0 and is_armoured_key(text[m.end() : end]):
                 out.append(("armour", m.start(), end + len(m[1]) + 14))
-    for m in _CANDIDATE.finditer(text):
-        word = m[0]
-        # The first byte of a DER sequence is "M" in base64 and "30" in hexadecimal, a length or magic begins with "AAAA" or "b3B".
-        forms = []
-        if word[0] == "M" or word.startswith(("AAAA", "b3B")):
-            forms.append(decoded(word))
-        if word[:2] == "30" and len(word) % 2 == 0 and _HEX_ONLY.fullmatch(word):
-            forms.append(bytes.fromhex(word))
-        if any(data is not None and (is_der_key(data) or is_wire_key(data)) for data in forms):
-            out.append(("key", m.start(), m.end()))
+    done = end = 0
+    for m in _START.finditer(text):
+        start = m.start()
+        if start >= done and starts_value(text, start):
+            if start >= end:
+                end = _RUN.match(text, start).end()
+            if end - start >= 32 and (to := key_end(text, start, end)):
+                out.append(("key", start, to))
+                done = to
+    for m in _HEX_RUN.finditer(text):
+        # Two digits are a byte, so that a key fills the digits.
+        if len(m[0]) % 2 == 0 and m[0].lower().startswith(("30", "000000", "6f70656e")):
+            data = bytes.fromhex(m[0])
+            if is_der_key(data) or is_wire_key(data):
+                out.append(("key", m.start(), m.end()))
     return out
 
 

@@ -75,6 +75,28 @@ def test_structures_are_confirmed():
     assert added(base64.b64encode(b"\0\0\0\7ssh-rsa\0\0\0\3\1\0\1\0\0\0\x0babcdefghijk").decode()) == {"key"}
 
 
+def test_keys_are_found_wherever_they_start():
+    der = bytes([0x30, 0x2E, 2, 1, 0, 0x30, 5, 6, 3, 0x2B, 0x65, 0x70, 4, 0x22, 4, 0x20]) + bytes(range(32))
+    wire = b"\0\0\0\7ssh-rsa\0\0\0\3\1\0\1\0\0\0\x0babcdefghijk"
+    b64, ssh = base64.b64encode(der).decode(), base64.b64encode(wire).decode()
+    found = lambda t: {(k, t[a:b]) for k, a, b in secrets.confirmed_spans(t)}
+    for before, after in (("", ""), ("path/", ""), ("a-b_", "/c"), ("x=", " y"), ("\\n", "\\n"), ("keys/v1/", "_old")):
+        assert found(before + b64 + after) == {("key", b64)} and found(before + ssh.rstrip("=") + after) == {("key", ssh.rstrip("="))}
+    assert found("id-" + wire.hex()) == {("key", wire.hex())} and found("0x" + der.hex().upper()) == {("key", der.hex().upper())}
+    assert found("path/" + b64[:-8]) == found("path/" + b64 + "abcd") == found("pathM" + b64) == set()
+    lines = [b64[:30], b64[30:]]
+    for end in ("\n", "\\n", "\\\\n", "\r\n", "\\r\\n"):
+        for head in ([], ["Comment: mine", ""]):
+            armour = end.join(["-----BEGIN PRIVATE KEY-----", *head, *lines, "-----END PRIVATE KEY-----"])
+            assert ("armour", armour) in found(f'{{"private_key": "{armour}"}}')
+    locked = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + base64.b64encode(bytes(range(64))).decode() + "\n-----END RSA PRIVATE KEY-----"
+    assert ("armour", locked) in found(locked) and found(locked.replace("DEK-Info", "Other")) == set()
+    part = lambda s: base64.urlsafe_b64encode(s).decode().rstrip("=")
+    for head in (b'{"alg":"HS256"}', b'{ "alg":"HS256"}', b'{\n"alg":"HS256"}', b'\n {"alg":"HS256"}'):
+        token = part(head) + "." + part(b'{"sub":1}') + ".abcdefghijklmnopqrst"
+        assert all(found(before + token) == {("token", token)} for before in ("", "session_", "a-", "averyveryverylonghost.", "\\n"))
+
+
 def test_masking_and_loopy_field(spark, sf):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[0-9@]'").collect()]
     model = pii.train(texts)
