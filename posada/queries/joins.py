@@ -89,6 +89,18 @@ def region_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.regions_of(texts, bind.gazetteer(spark, sf_dir), "body", by_length=False)
 
 
+@register("j11_region_longest_whole")
+def region_longest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``j4_region_longest``, over whole texts."""
+    return geo.regions_of(bind.table(spark, sf_dir, "documents").select(folded_lower(c("text")).alias("body")), bind.gazetteer(spark, sf_dir), "body")
+
+
+@register("f39_region_first_key_whole")
+def region_first_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``f27_region_first_key``, over whole texts."""
+    return geo.regions_of(bind.table(spark, sf_dir, "documents").select(F.lower("text").alias("body")), bind.gazetteer(spark, sf_dir), "body", by_length=False)
+
+
 _hit = lambda e: f"(SELECT {FIRST_KEY} FROM ranked WHERE contains(strip_accents(lower(coalesce({e}, ''))), key))"
 
 
