@@ -121,26 +121,19 @@ def portal_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.first_per_portal(bind.listings(spark, sf_dir)).select("source", "url", "ord")
 
 
-def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings whose prices are the same wherever titles begin alike, so that near copies meet."""
-    key = F.ascii(F.lower(F.regexp_replace("title", r"[^\p{L}]", "")))
-    letters = F.lower(F.left(F.regexp_replace("title", r"[^\p{L}]", ""), F.lit(12)))
-    return bind.listings(spark, sf_dir).withColumn("price", F.when(letters == "", "").otherwise(F.concat(F.pmod(F.xxhash64(letters), F.lit(10**9)).cast("string"), key.cast("string"), F.lit(" €"))))
-
-
 @register("d3_fuzzy_dedup")
 def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.fuzzy_dedup(dedup.admissible(blocked(spark, sf_dir))).select("ord", "url", "title")
+    return dedup.fuzzy_dedup(dedup.admissible(bind.listings(spark, sf_dir))).select("ord", "url", "title")
 
 
 @register("d4_place_dedup")
 def place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.place_dedup(dedup.admissible(blocked(spark, sf_dir))).select("ord", "url", "title")
+    return dedup.place_dedup(dedup.admissible(bind.listings(spark, sf_dir))).select("ord", "url", "title")
 
 
 @register("d5_table_dedup")
 def table_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.table_dedup(blocked(spark, sf_dir)).select("ord", "url", "title")
+    return dedup.table_dedup(bind.listings(spark, sf_dir)).select("ord", "url", "title")
 
 
 _letters = "lower(left(regexp_replace(title, '[^\\p{L}]', '', 'g'), 12))"
@@ -172,6 +165,12 @@ def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind.listings(spark, sf_dir).groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("rooms")), ",").alias("rooms"))
 
 
+@register("d8_distinct_price_rows")
+def distinct_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct prices of each source, one row each: no task gathers those of a source."""
+    return bind.listings(spark, sf_dir).select("source", "price").distinct()
+
+
 _map = lambda table, key, default: f"CASE {key} " + " ".join(f"WHEN {repr(k)} THEN {v}" for k, v in table.items()) + f" ELSE {default} END"
 REGIONS = list(model.OCCUPANCY)
 _region = "CASE c_custkey % 12 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(REGIONS)) + " ELSE 'Otras' END"

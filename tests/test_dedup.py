@@ -66,3 +66,24 @@ def test_place_and_table_dedup_are_greedy(spark):
 def test_native_scorer(spark):
     df = spark.createDataFrame([(1, "a", "casa azul", "9"), (2, "b", "casa azur", "9"), (3, "c", "molino", "9"), (4, "d", "casa azul", "8")], "ord long, url string, title string, price string")
     assert sorted(r.ord for r in dedup.fuzzy_dedup(df.withColumn("location", F.lit(None).cast("string")), scorer="levenshtein").collect()) == [1, 3, 4]
+
+
+def listings_of(spark, path, rows):
+    spark.createDataFrame([(i, f"{t}\nmore", 900, f"s{i}", "en") for i, t in rows], "doc_id long, text string, n_chars int, source string, lang string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["d3_fuzzy_dedup", "d5_table_dedup"])
+def test_queries_compare_titles_of_equal_listed_prices(spark, tmp_path, name):
+    from posada.queries import QUERIES
+
+    # Price "1€" of ids 3, 8 and 13; the price of id 4 differs though its title is that of id 3.
+    path = listings_of(spark, tmp_path, [(3, "Casa azul junto al mar"), (8, "Xasa azul junto al mar"), (13, "molino viejo del valle"), (4, "Casa azul junto al mar")])
+    assert sorted(r.ord for r in QUERIES[name](spark, path).collect()) == [3, 4, 13]
+
+
+def test_distinct_prices_of_a_source(spark, tmp_path):
+    from posada.queries import QUERIES
+
+    path = listings_of(spark, tmp_path, [(3, "a"), (4, "b")])
+    assert sorted(tuple(r) for r in QUERIES["d8_distinct_price_rows"](spark, path).collect()) == [("s3", "1€"), ("s4", "900,000")]
