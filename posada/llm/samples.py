@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +26,29 @@ def frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
             break
         least = level
     return counts.where(F.floor(F.log2(n)) >= least)
+
+
+#: Bits of a filter.
+FILTER_BITS = 1 << 26
+
+
+class BitFilter:
+    """A set of 64-bit keys in a fixed number of bits: it has every key that was put in, and others too where it is full."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.view(np.int64) & (64 * len(self.words) - 1)
+        return ((self.words[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def bit_filter(rows: DataFrame, key: str, bits: int | None = None) -> BitFilter:
+    """A filter of the keys of the rows. Spark sets the bits; at most bits / 64 numbers reach the driver."""
+    bits = bits or FILTER_BITS
+    marks = rows.select(F.expr(f"{key} & {bits - 1}L").alias("at"))
+    blocks = marks.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    words = np.zeros(bits // 64, np.int64)
+    for batch in blocks.toArrow().to_batches():
+        words[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+    return BitFilter(words)

@@ -1,22 +1,28 @@
 """Language-model scores from a probabilistic suffix tree.
 
-A text is the sequence of its lower-case words, each followed by a blank, and one end sign. The tree's nodes
-are contexts of up to ``DEPTH`` bytes. A context is looked at if its share of the training text is at least
-``LEAST_SHARE``, and retained if its next-symbol distribution diverges from that of its longest shorter
-context. Distributions are smoothed towards the shorter context, at the root towards the uniform one. The
-score of a text is the base-10 logarithm of its probability, each symbol under the longest retained suffix of
-what stands before it. The tree is applied as an automaton, to many stretches of texts in step.
-
-Counts of words and of byte runs cover all training texts and are made by Spark; the tree's size is bounded
-by ``DEPTH`` / ``LEAST_SHARE`` contexts at any size of the input. Base scores use the counts of words: the
-``FREQUENT`` most frequent ones come from a broadcast table of fixed size, all others from a join.
-
-Null and empty texts are one end sign. Without training texts all counts are 0 and the model is uniform.
-Repeated rows count and are scored each for itself, also where they share an id.
+A text is the sequence of its lower-case words and one end. The tree's nodes are contexts of up to two words that
+stand before a symbol. Its size follows the corpus: any context with ``CONTEXT_LEAST`` occurrences is looked at,
+with every follower that it has ``FOLLOWER_LEAST`` times. A follower stays if it gains more bits over the shorter
+context than its description takes, and a context is retained if all that stays diverges from the shorter context by
+``EVIDENCE`` bits or more. Distributions are smoothed towards the shorter context by a discount; at the root words of
+the training texts have their share of the counts, all others the rest times the probability of their spelling.
+Spellings have a suffix tree of their own, over the bytes of the distinct training words, with contexts of up to
+``DEPTH`` bytes that have ``LEAST_SHARE`` of its symbols, which bounds it; it is applied as an automaton.
+
+The score of a text is the base-10 logarithm of its probability, each symbol under the longest retained context
+before it. As a sum it has one value for each word, each pair of neighbours and each triple, so that contexts and
+followers are tables, and scoring is a join with them; the ``FREQUENT`` most frequent ones are broadcast. Fixed-size bit
+filters keep from the shuffles what can't be in a table: no pair or triple is lost, and where a filter is full more is
+shuffled. Counts cover all training texts.
+
+Null and empty texts are one end. Without training texts all counts are 0 and the spelling is uniform. Repeated rows
+count and are scored each for itself, also where they share an id; ids can be null (never held out), and ties need no
+rule. A long text is read in one piece. An empty table gives an empty one. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,98 +31,195 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .components import ensure_checkpoints
+from .components import settled
 from .quality import fold
-from .samples import frequent
-
-DEPTH = 5
-LEAST_SHARE = 2e-6
-#: Least divergence of a retained context from its longest shorter one: bits per symbol, and bits over all its occurrences.
-DIVERGENCE, EVIDENCE = 0.01, 30.0
+from .samples import BitFilter, bit_filter, frequent
+
+#: Occurrences of a context and of a follower in it from which they are looked at.
+CONTEXT_LEAST, FOLLOWER_LEAST = 16, 4
+#: Taken from the count of each follower for the shorter context.
+DISCOUNT = 0.75
+#: Least divergence of a retained context from its shorter one, in bits over all its occurrences.
+EVIDENCE = 30.0
+#: The spelling tree: longest context in bytes, least share of the symbols, least divergence of a context in bits per symbol.
+DEPTH, LEAST_SHARE, DIVERGENCE = 6, 1e-5, 0.01
 FREQUENT = 1 << 19
-END, BLANK = 0x0A, 0x20
+BLANK = 0x20
 STRETCH = 256
-RUN, WORD, TEXT = 0, 1, 2
+#: Counted entries that a task holds before it hands them on.
+HELD = 500_000
+END_KEY = np.uint64(0x1D8AF066E5F1A3C7)
 
 
-def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """(sequence, row starts, words): per text DEPTH end signs, then its words with a blank after each, then an end sign.
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of two neighbours (words, or overlapping pairs)."""
+    with np.errstate(over="ignore"):
+        return textops.mix(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
 
-    The words are given as lower-case data, starts, ends and rows.
-    """
-    data = textops.LOWER[data]
-    starts, ends, rows = textops.words(data, offsets, textops.NON_BLANK)
-    n = len(offsets) - 1
-    sizes = ends - starts
-    length = np.bincount(rows, sizes + 1, minlength=n).astype(np.int64) + DEPTH + 1
-    first = np.concatenate([[0], np.cumsum(length)])
-    out = np.full(first[-1], END, np.uint8)
-    place = np.cumsum(sizes + 1) - (sizes + 1) + (DEPTH + 1) * rows + DEPTH
-    if len(starts):
-        inside = np.flatnonzero(textops.NON_BLANK[data])
-        word = np.repeat(np.arange(len(starts)), sizes)
-        out[place[word] + inside - starts[word]] = data[inside]
-        out[place + sizes] = BLANK
-    return out, first, (data, starts, ends, rows)
 
+class Tokens:
+    """Of a batch: data (lower-case), starts, ends and rows of the words; keys and owners of all symbols, each text's end included."""
 
-def predicted(first: np.ndarray) -> np.ndarray:
-    """Positions of a sequence that are predicted: all but the signs in front of each text."""
-    on = np.ones(first[-1], bool)
-    on[(first[:-1, None] + np.arange(DEPTH)).ravel()] = False
-    return np.flatnonzero(on)
+    def __init__(self, column: pa.Array):
+        data, offsets = textops.text_buffers(column)
+        self.data = textops.LOWER[data]
+        self.starts, self.ends, self.rows = textops.words(self.data, offsets, textops.NON_BLANK)
+        self.words = textops.word_hashes(self.data, self.starts, self.ends)
+        n = len(offsets) - 1
+        last = np.cumsum(np.bincount(self.rows, minlength=n))
+        self.keys = np.insert(self.words, last, END_KEY)
+        self.owners = np.insert(self.rows, last, np.arange(n))
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, second, row) of all neighbours."""
+        at = np.flatnonzero(self.owners[1:] == self.owners[:-1])
+        return self.keys[at], self.keys[at + 1], self.owners[at]
 
-def count(texts: DataFrame) -> DataFrame:
-    """(kind, key, n): counts of runs of DEPTH + 1 symbols, of words by their hashes, and of texts."""
+    def spelt(self, which: np.ndarray) -> pa.Array:
+        """The words of those numbers."""
+        sizes = self.ends[which] - self.starts[which]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.starts[which] - offsets[:-1], sizes) + np.arange(offsets[-1])
+        return pa.LargeStringArray.from_buffers(len(which), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(self.data[at]))
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """(key, word, n) of all words, and of the end as the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {RUN: [], WORD: []}
-        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k in held}
-        size = texts_seen = 0
-
-        def settle() -> None:
-            for kind, parts in held.items():
-                if parts:
-                    values, counts = np.unique(np.concatenate(parts), return_counts=True)
-                    old, n = sums[kind]
-                    if len(old):
-                        values, at = np.unique(np.concatenate([old, values]), return_inverse=True)
-                        counts = np.bincount(at, np.concatenate([n, counts])).astype(np.int64)
-                    sums[kind] = values, counts
-                    parts.clear()
+        held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        ends = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            settle()
-            for kind, (values, counts) in sums.items():
-                for a in range(0, len(values), 100_000):
-                    part = values[a : a + 100_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(counts[a : a + 100_000].astype(np.int64))], ["kind", "key", "n"])
-                sums[kind] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if held:
+                keys, first, at = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
+                n = np.bincount(at, np.concatenate([n for _, _, n in held])).astype(np.int64)
+                words = pa.concat_arrays([w for _, w, _ in held]).take(pa.array(first))
+                held.clear()
+                for a in range(0, len(keys), 20_000):
+                    part = slice(a, a + 20_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), words[part].cast(pa.string()), pa.array(n[part])], ["key", "word", "n"])
 
         for batch in textops.pieces(batches):
-            sequence, first, (data, starts, ends, _) = symbols(*textops.text_buffers(batch.column("text")))
-            at = predicted(first)
+            t = Tokens(batch.column("text"))
+            ends += batch.num_rows
+            keys, first, n = np.unique(t.words, return_index=True, return_counts=True)
+            held.append((keys, t.spelt(first), n))
+            if sum(len(k) for k, _, _ in held) > HELD:
+                yield from flush()
+        yield from flush()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([int(END_KEY.view(np.int64))]), pa.array([""]), pa.array([ends])], ["key", "word", "n"])
+
+    return texts.mapInArrow(run, "key long, word string, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
+
+
+def count_neighbours(texts: DataFrame, firsts: BitFilter, seconds: BitFilter, of_pairs: bool) -> DataFrame:
+    """(a, b, n) of neighbouring words, or of pairs that overlap in a word, that have n >= FOLLOWER_LEAST. The filters hold all keys that a and b can have."""
+    shared = texts.sparkSession.sparkContext.broadcast((firsts, seconds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                _, first, n = np.unique(pair_keys(a, b), return_index=True, return_counts=True)
+                for at in range(0, len(first), 50_000):
+                    part = first[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(a[part].view(np.int64)), pa.array(b[part].view(np.int64)), pa.array(n[at : at + 50_000])], ["a", "b", "n"])
+
+        from_, to = shared.value
+        for batch in textops.pieces(batches):
+            a, b, owners = Tokens(batch.column("text")).pairs()
+            if of_pairs:
+                keys = pair_keys(a, b)
+                at = np.flatnonzero(owners[1:] == owners[:-1])
+                a, b = keys[at], keys[at + 1]
+            on = from_.has(a)
+            a, b = a[on], b[on]
+            on = to.has(b)
+            held.append((a[on], b[on]))
+            size += len(held[-1][0])
+            if size > 2 * HELD:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return texts.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= FOLLOWER_LEAST)
+
+
+def retained(followers: DataFrame, cost: float) -> tuple[DataFrame, Column]:
+    """((a, mass) of the retained contexts, the condition of followers that stay). followers: a, n, na (of the context), p (under the shorter context).
+
+    mass is what the followers that stay leave to the shorter context.
+    """
+    share = (F.col("n") - DISCOUNT) / F.col("na")
+    stays = F.col("n") * F.log2(share / F.col("p")) >= cost
+    sums = followers.where((F.col("na") >= CONTEXT_LEAST) & stays).groupBy("a").agg(
+        F.first("na").alias("na"), F.sum("n").alias("held"), F.sum(F.col("n") - DISCOUNT).alias("discounted"), F.sum(F.col("n") * F.log2(share / F.col("p"))).alias("bits")
+    )
+    mass = (F.col("na") - F.col("discounted")) / F.col("na")
+    apart = F.col("bits") + (F.col("na") - F.col("held")) * F.log2(mass)
+    return sums.where(apart >= EVIDENCE).select("a", mass.alias("mass")), stays
+
+
+def smoothed(followers: DataFrame, contexts: DataFrame, stays: Column) -> DataFrame:
+    """The followers with mass (of their context, null if that isn't retained), shorter (the probability by way of the shorter context) and p (the smoothed one)."""
+    rows = followers.join(contexts, "a", "left").withColumn("shorter", F.coalesce("mass", F.lit(1.0)) * F.col("p"))
+    own = F.when(F.col("mass").isNotNull() & stays, (F.col("n") - DISCOUNT) / F.col("na")).otherwise(0.0)
+    return rows.withColumn("p", F.col("shorter") + own)
+
+
+_KEY = "pair_key"
+
+
+def keyed(pairs: DataFrame) -> DataFrame:
+    """The rows with the key of (a, b)."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pair_keys(a, b).view(np.int64))], [*names, _KEY])
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in names)
+    return pairs.mapInArrow(run, f"{kinds}, {_KEY} long")
+
+
+def spelling_sequences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, starts in it): of each word DEPTH blanks, its bytes and a blank."""
+    sizes = ends - starts
+    first = np.concatenate([[0], np.cumsum(sizes + DEPTH + 1)])
+    out = np.full(first[-1], BLANK, np.uint8)
+    step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(first[:-1] + DEPTH, sizes) + step] = data[np.repeat(starts, sizes) + step]
+    return out, first
+
+
+def count_runs(words: DataFrame) -> DataFrame:
+    """(key, n): the runs of DEPTH + 1 bytes in the spellings of the words, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textops.pieces(batches, "word", textops.PIECE // 4):
+            data, offsets = textops.text_buffers(batch.column("word"))
+            sequence, first = spelling_sequences(data, offsets[:-1], offsets[1:])
+            on = np.ones(len(sequence), bool)
+            on[(first[:-1, None] + np.arange(DEPTH)).ravel()] = False
+            at = np.flatnonzero(on)
             key = np.zeros(len(at), np.uint64)
             for j in range(DEPTH + 1):
                 key = (key << np.uint64(8)) | sequence[at - DEPTH + j].astype(np.uint64)
-            held[RUN].append(key)
-            held[WORD].append(textops.word_hashes(data, starts, ends))
-            texts_seen += batch.num_rows
-            size += len(key)
-            if size > 8_000_000:
-                settle()
-                size = 0
-                if sum(len(v) for v, _ in sums.values()) > 6_000_000:
-                    yield from flush()
-        yield from flush()
-        yield pa.RecordBatch.from_arrays([pa.array([TEXT], pa.int8()), pa.array([0], pa.int64()), pa.array([texts_seen], pa.int64())], ["kind", "key", "n"])
+            keys, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    return texts.select("text").mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return words.where("word != ''").select("word").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class Tree:
-    """The automaton: ``follow`` and ``log10`` by state and symbol class, ``classes`` by byte."""
+    """The automaton of spellings: ``follow`` and ``log10`` by state and symbol class, ``classes`` by byte."""
 
     def __init__(self, levels: list[dict[bytes, dict[int, int]]], divergence: float = DIVERGENCE):
         """levels[d]: counts of the next byte by context of d bytes."""
@@ -172,12 +275,12 @@ class Tree:
         self.log10 = log10
 
     def score(self, sequence: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The log10 probability of each symbol of a sequence made by ``symbols``; 0 for those in front of texts."""
+        """The log10 probability of each byte of a sequence made by ``spelling_sequences``; 0 for the blanks in front."""
         lengths = np.diff(first) - DEPTH
         parts = -(-lengths // STRETCH)
         owner = np.repeat(np.arange(len(lengths)), parts)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = first[:-1][owner] + STRETCH * nth  # of the DEPTH symbols before the stretch
+        start = first[:-1][owner] + STRETCH * nth  # of the DEPTH bytes before the stretch
         left = np.minimum(STRETCH, lengths[owner] - STRETCH * nth)
         order = np.argsort(-left, kind="stable")
         start, left = start[order], left[order]
@@ -198,81 +301,165 @@ class Tree:
             state[:active] = follow[at]
         return out
 
+    def spelt(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The log10 probability of the spelling of each word."""
+        if not len(starts):
+            return np.zeros(0)
+        sequence, first = spelling_sequences(data, starts, ends)
+        return np.add.reduceat(self.score(sequence, first), first[:-1])
+
 
-def fit_tree(counts: DataFrame, least_share: float = LEAST_SHARE, divergence: float = DIVERGENCE) -> Tree:
-    """The tree of the run counts (key, n). Contexts are filtered by Spark; at most DEPTH / least_share of them reach the driver."""
-    runs = counts.select("key", "n")
+def fit_tree(runs: DataFrame, least_share: float = LEAST_SHARE, divergence: float = DIVERGENCE) -> Tree:
+    """The tree of the run counts (key, n). At most 1 / least_share contexts of a length reach the driver."""
     total = runs.agg(F.sum("n")).first()[0] or 0
     levels: list[dict[bytes, dict[int, int]]] = []
     for depth in range(DEPTH + 1):
-        context = F.expr(f"shiftright(key, 8) & {(1 << 8 * depth) - 1}L")
-        by = runs.groupBy(context.alias("context"), F.expr("key & 255L").alias("symbol")).agg(F.sum("n").alias("n"))
-        often = runs.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= least_share * total).select("context")
+        by = runs.groupBy(F.expr(f"key & {(1 << 8 * (depth + 1)) - 1}L").alias("key")).agg(F.sum("n").alias("n")).withColumn("context", F.shiftrightunsigned("key", 8))
+        often = by.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= least_share * total).select("context")
         level: dict[bytes, dict[int, int]] = {}
-        for batch in by.join(often, "context", "left_semi").toArrow().to_batches():
-            for c, s, n in zip(*(batch.column(x).to_pylist() for x in ("context", "symbol", "n")), strict=True):
-                level.setdefault(c.to_bytes(depth, "big"), {})[s] = n
+        for batch in by.join(F.broadcast(often), "context", "left_semi").select("key", "n").toArrow().to_batches():
+            for key, n in zip(*(batch.column(x).to_pylist() for x in ("key", "n")), strict=True):
+                level.setdefault((key >> 8).to_bytes(depth, "big"), {})[key & 255] = n
         levels.append(level)
     return Tree(levels, divergence)
 
 
+class Model:
+    """What scoring needs.
+
+    tree: of spellings. values: (key, n, value) of words (n: count, value: what the word as a context gives), of pairs
+    and of triples (n null). words_often and pairs_often: the most frequent ones, sorted by key. pairs and triples:
+    filters of the keys that values has. tokens, types: N and V. ends: count of the end.
+    """
+
+    def __init__(self, texts: DataFrame):
+        words = settled(count_words(texts))
+        seen = words.agg(F.count("*"), F.sum("n"), F.sum(F.when(F.col("word") == "", F.col("n")))).first()
+        self.types, self.tokens, self.ends = seen[0], seen[1] or 0, seen[2] or 0
+        self.tree = fit_tree(settled(count_runs(words)))
+        words = words.select("key", "n")
+        likely = words.where(F.col("n") >= FOLLOWER_LEAST)
+        cost = math.log2(self.types + 2)
+
+        pairs = count_neighbours(texts, bit_filter(words.where(F.col("n") >= CONTEXT_LEAST), "key"), bit_filter(likely, "key"), of_pairs=False)
+        pairs = settled(keyed(pairs))
+        named = pairs.join(likely.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(likely.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+        named = settled(named.select("a", _KEY, "n", "na", (F.col("nb") / (self.tokens + self.types + 1)).alias("p")))
+        contexts, stays = retained(named, cost)
+        contexts = settled(contexts)
+        named = settled(smoothed(named, contexts, stays))
+
+        triples = count_neighbours(texts, bit_filter(pairs.where(F.col("n") >= CONTEXT_LEAST), _KEY), bit_filter(pairs, _KEY), of_pairs=True)
+        triples = settled(keyed(triples))
+        long = triples.join(named.select(F.col(_KEY).alias("a"), F.col("n").alias("na")), "a").join(named.select(F.col(_KEY).alias("b"), "p"), "b")
+        long = settled(long.select("a", _KEY, "n", "na", "p"))
+        long_contexts, stays = retained(long, cost)
+        long_contexts = settled(long_contexts)
+        long = smoothed(long.join(long_contexts.select("a"), "a", "left_semi"), long_contexts, stays)
+
+        gain = F.log10(F.col("p") / F.col("shorter")).alias("value")
+        as_context = lambda c: c.select(F.col("a").alias("key"), F.log10("mass").alias("value"))
+        own = named.where("p > shorter").select(F.col(_KEY).alias("key"), gain)
+        of_pairs = settled(own.union(as_context(long_contexts)).groupBy("key").agg(F.sum("value").alias("value")))
+        of_triples = settled(long.where("p > shorter").select(F.col(_KEY).alias("key"), "n", gain))
+        self.pairs, self.triples = bit_filter(of_pairs, "key"), bit_filter(of_triples, "key")
+
+        valued = words.join(as_context(contexts), "key", "left").select("key", "n", F.coalesce("value", F.lit(0.0)).alias("value"))
+        valued = settled(valued)
+        counted = of_pairs.join(pairs.select(F.col(_KEY).alias("key"), "n"), "key").union(of_triples.select("key", "value", "n"))
+        self.words_often = self._sorted(frequent(valued, FREQUENT))
+        self.pairs_often = self._sorted(frequent(counted, FREQUENT).select("key", "n", "value"))
+        none = F.lit(None).cast("long").alias("n")
+        self.values = valued.union(of_pairs.select("key", none, "value")).union(of_triples.select("key", none, "value"))
+
+    @staticmethod
+    def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        table = rows.toArrow()
+        key = table.column("key").to_numpy()
+        order = np.argsort(key)
+        return tuple(table.column(c).to_numpy()[order] for c in ("key", "n", "value"))
+
+
+def _found(table: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the sorted table, whether the key is there)."""
+    at = np.minimum(np.searchsorted(table[0], keys), max(len(table[0]) - 1, 0))
+    return at, table[0][at] == keys if len(table[0]) else np.zeros(len(keys), bool)
+
+
 def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: the id, held_out, n_tokens, n_known, train_tokens, base_score and score. Held-out rows are not learned from."""
-    ensure_checkpoints(docs.sparkSession)
     held = fold(id_col, 7, 2) if held_out is None else held_out
     rows = docs.select(docs[id_col].alias("id"), held.alias("held_out"), docs[text_col].cast("string").alias("text"))
-    counts = count(rows.where("not held_out")).checkpoint()
-    words = counts.where(F.col("kind") == WORD).select("key", "n")
-    tree = fit_tree(counts.where(F.col("kind") == RUN))
-    seen = words.agg(F.count("*"), F.sum("n")).first()
-    texts = counts.where(F.col("kind") == TEXT).agg(F.sum("n")).first()[0] or 0
-    train_tokens, distinct = (seen[1] or 0) + texts, seen[0] + (texts > 0)
-    table = frequent(words, FREQUENT).toArrow()
-    order = np.argsort(table.column("key").to_numpy())
-    often = table.column("key").to_numpy()[order], table.column("n").to_numpy()[order]
-    shared = docs.sparkSession.sparkContext.broadcast((tree, often))
-    unit = np.log10(train_tokens + distinct + 1)
+    model = Model(rows.where("not held_out").select("text"))
+    values = model.values
+    tokens, types, ends = model.tokens, model.types, model.ends
+    root, base_unit = math.log10(tokens + types + 1), math.log10(tokens + types + 1)
+    escape = math.log10(types + 1) - root
+    shared = docs.sparkSession.sparkContext.broadcast((model.tree, model.words_often, model.pairs_often, model.pairs, model.triples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, (keys, numbers) = shared.value
+        tree, words, pairs, some_pairs, some_triples = shared.value
+        end = float(tree.log10[0, tree.classes[0x0A]]) + escape if not ends else math.log10(ends) - root
         for batch in textops.pieces(batches):
             n = batch.num_rows
-            sequence, first, (data, starts, ends, owner) = symbols(*textops.text_buffers(batch.column("text")))
-            hashes = textops.word_hashes(data, starts, ends).view(np.int64)
-            at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-            known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-            base = np.bincount(owner[known], np.log10(numbers[at[known]] + 1) if len(keys) else None, minlength=n) + np.log10(texts + 1)
-            many = np.bincount(owner, minlength=n) + 1
-            model = np.add.reduceat(tree.score(sequence, first), first[:-1])
-            rare, offsets = textops.distinct_by_row(hashes[~known], owner[~known], n)
-            pair = np.stack([owner[~known], hashes[~known]])[:, np.lexsort((hashes[~known], owner[~known]))]
-            times = np.diff(np.flatnonzero(np.concatenate([[True], (pair[:, 1:] != pair[:, :-1]).any(axis=0), [True]]))) if pair.shape[1] else np.zeros(0, np.int64)
-            columns = [batch.column("id"), batch.column("held_out"), pa.array(many, pa.int64()), pa.array(np.bincount(owner[known], minlength=n) + (texts > 0), pa.int64())]
-            columns += [pa.array(base - many * unit, pa.float64()), pa.array(model, pa.float64())]
-            columns += [textops.list_column(rare, offsets, pa.int64()), textops.list_column(times, offsets, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"])
+            t = Tokens(batch.column("text"))
+            hashes = t.words.view(np.int64)
+            at, known = _found(words, hashes)
+            total = lambda owners, weights: np.bincount(owners, weights, minlength=n).astype(float)  # noqa: B023, E731
+            base = total(t.rows[known], np.log10(words[1][at[known]] + 1)) + np.log10(ends + 1)
+            score = total(t.rows[known], np.log10(words[1][at[known]]) - root + words[2][at[known]]) + end
+            many = np.bincount(t.rows, minlength=n) + 1
+
+            # Words outside the broadcast table, with the probability of their spelling in case that no training text has them.
+            rare = np.flatnonzero(~known)
+            _, first, which = np.unique(hashes[rare], return_index=True, return_inverse=True)
+            spelt = tree.spelt(t.data, t.starts[rare[first]], t.ends[rare[first]])[which]
+            more = [(hashes[rare], t.rows[rare], spelt)]
+            a, b, owners = t.pairs()
+            keys = pair_keys(a, b)
+            both = np.flatnonzero(owners[1:] == owners[:-1])
+            for some, key, owner in ((some_pairs, keys, owners), (some_triples, pair_keys(keys[both], keys[both + 1]), owners[both])):
+                on = some.has(key)
+                key, owner = key[on].view(np.int64), owner[on]
+                at, there = _found(pairs, key)
+                score += total(owner[there], pairs[2][at[there]])
+                more.append((key[~there], owner[~there], np.full((~there).sum(), np.nan)))
+            key, owner, spelt = (np.concatenate(x) for x in zip(*more, strict=True))
+            order = textops.by_row_and_value(key, owner)
+            key, owner, spelt = key[order], owner[order], spelt[order]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])) if len(key) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(key)))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=n))])
+            columns = [batch.column("id"), batch.column("held_out"), pa.array(many, pa.int64()), pa.array(np.bincount(t.rows[known], minlength=n) + (ends > 0), pa.int64())]
+            columns += [pa.array(base - many * base_unit, pa.float64()), pa.array(score, pa.float64())]
+            columns += [textops.list_column(x, offsets, kind) for x, kind in ((key[new], pa.int64()), (times, pa.int32()), (spelt[new], pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_known", "base", "score", "keys", "times", "spelt"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>")
-    # One row for each text and one for each of its rarer words; the former have a key of their own that meets no word.
+    scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, keys array<long>, times array<int>, spelt array<float>")
+    # One row for each text and one for each of its rarer words and pairs; the former have a key of their own that meets none.
     scored = scored.withColumn("row", F.expr("monotonically_increasing_id()"))
     head = F.struct("id", "held_out", "n_tokens", "n_known", "base", "score")
-    one = F.array(F.struct(F.col("row").alias("key"), F.lit(0).cast("long").alias("times"), head.alias("head")))
-    rest = F.transform(F.arrays_zip("rare", "times"), lambda x: F.struct(x["rare"].alias("key"), x["times"].alias("times"), F.lit(None).cast(f"struct<id:{kind},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>").alias("head")))
+    one = F.array(F.struct(F.col("row").alias("key"), F.lit(0).alias("times"), F.lit(None).cast("float").alias("spelt"), head.alias("head")))
+    nothing = F.lit(None).cast(f"struct<id:{kind},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>")
+    rest = F.transform(F.arrays_zip("keys", "times", "spelt"), lambda x: F.struct(x["keys"].alias("key"), x["times"].alias("times"), x["spelt"].alias("spelt"), nothing.alias("head")))
     parts = scored.select("row", F.explode(F.concat(one, rest)).alias("x")).select("row", "x.*")
-    met = parts.join(words, "key", "left")
-    rare = F.col("head").isNull() & F.col("n").isNotNull()
+    met = parts.join(values, "key", "left")
+    tail, word = F.col("head").isNull(), F.col("spelt").isNotNull() & ~F.isnan("spelt")
+    known = tail & word & F.col("n").isNotNull()
+    gain = F.when(known, F.log10("n") - root + F.col("value")).when(tail & word, F.col("spelt") + escape).when(tail, F.coalesce("value", F.lit(0.0))).otherwise(0.0)
     found = met.groupBy("row").agg(
         F.max("head").alias("head"),
-        F.sum(F.when(rare, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.when(rare, F.col("times") * F.log10(F.col("n") + 1)).otherwise(0.0)).alias("more"),
+        F.sum(F.when(known, F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.when(known, F.col("times") * F.log10(F.col("n") + 1)).otherwise(0.0)).alias("more"),
+        F.sum(F.col("times") * gain).alias("gain"),
     )
     return found.select(
         F.col("head.id").alias(id_col),
         F.col("head.held_out").alias("held_out"),
         F.col("head.n_tokens").alias("n_tokens"),
         (F.col("head.n_known") + F.col("known")).alias("n_known"),
-        F.lit(int(train_tokens)).cast("long").alias("train_tokens"),
+        F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("head.base") + F.col("more")).alias("base_score"),
-        F.col("head.score").alias("score"),
+        (F.col("head.score") + F.col("gain")).alias("score"),
     )

@@ -6,6 +6,8 @@ working memory of a task does not depend on the size of its partition. Null text
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,17 +45,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * U64(_MULT))
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_BASE = 0x5851F42D4C957F2D
+#: Bytes that are hashed in one go; longer spans are hashed by themselves.
+STRIDE = 1 << 20
+with np.errstate(over="ignore"):
+    _UP, _DOWN = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(STRIDE, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd constant and of its inverse, modulo 2**64."""
-    global _powers
-    if len(_powers[0]) < n:
-        base = 0x5851F42D4C957F2D
-        with np.errstate(over="ignore"):
-            _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
-    return _powers
+def release() -> None:
+    """Gives memory that this worker no longer uses back to the system; otherwise it stays with the worker from one task to the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only with the C library of GNU
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +74,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices whose text column holds about ``size`` bytes; a longer text is a slice of its own."""
+    """The batches cut into slices whose text column holds about ``size`` bytes; a longer text is a slice of its own. At the end unused memory is released."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -82,6 +85,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,11 +105,32 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of the buffer, the same wherever the span lies."""
-    up, down = powers(len(data) + 1)
+    """A 64-bit hash of each span of the buffer, the same wherever the span lies. Spans are in order and don't overlap."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODE[data] * up[: len(data)])])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U64(_MULT))
+        while at < len(starts):
+            base = int(starts[at])
+            to = max(at + 1, int(np.searchsorted(ends, base + STRIDE, side="right")))
+            end = int(ends[to - 1])
+            if end - base > STRIDE:
+                out[at] = _long_hash(data[base:end])
+            else:
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODE[data[base:end]] * _UP[: end - base])])
+                a, b = starts[at:to] - base, ends[at:to] - base
+                out[at:to] = (sums[b] - sums[a]) * _DOWN[a]
+            at = to
+        return mix(out + (ends - starts).astype(np.uint64) * U64(_MULT))
+
+
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """The sum of the codes of a span's bytes times the powers of their places, in steps."""
+    total, scale = U64(0), U64(1)
+    for at in range(0, len(data), STRIDE):
+        part = data[at : at + STRIDE]
+        total = total + scale * np.sum(_BYTE_CODE[part] * _UP[: len(part)], dtype=np.uint64)
+        scale = scale * _UP[STRIDE]
+    return total
 
 
 def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
