@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows without their lineage, as a compressed table in the shared folder that goes when the session ends."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
+
+
 def _stars(edges: DataFrame, tasks: int) -> DataFrame:
     """Every node's larger neighbours are linked to its least neighbour (or itself)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

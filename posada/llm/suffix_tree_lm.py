@@ -31,18 +31,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .components import settled
+from .components import stored
 from .quality import fold
 from .samples import BitFilter, bit_filter, frequent
 
 #: Occurrences of a context and of a follower in it from which they are looked at.
-CONTEXT_LEAST, FOLLOWER_LEAST = 16, 4
+CONTEXT_LEAST, FOLLOWER_LEAST = 64, 8
 #: Taken from the count of each follower for the shorter context.
 DISCOUNT = 0.75
 #: Least divergence of a retained context from its shorter one, in bits over all its occurrences.
 EVIDENCE = 30.0
 #: The spelling tree: longest context in bytes, least share of the symbols, least divergence of a context in bits per symbol.
-DEPTH, LEAST_SHARE, DIVERGENCE = 6, 1e-5, 0.01
+DEPTH, LEAST_SHARE, DIVERGENCE = 5, 1e-5, 0.01
 FREQUENT = 1 << 19
 BLANK = 0x20
 STRETCH = 256
@@ -92,13 +92,13 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                keys, first, at = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
+                _, first, at = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
                 n = np.bincount(at, np.concatenate([n for _, _, n in held])).astype(np.int64)
                 words = pa.concat_arrays([w for _, w, _ in held]).take(pa.array(first))
                 held.clear()
-                for a in range(0, len(keys), 20_000):
+                for a in range(0, len(n), 20_000):
                     part = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), words[part].cast(pa.string()), pa.array(n[part])], ["key", "word", "n"])
+                    yield pa.RecordBatch.from_arrays([words[part].cast(pa.string()), pa.array(n[part])], ["word", "n"])
 
         for batch in textops.pieces(batches):
             t = Tokens(batch.column("text"))
@@ -109,9 +109,15 @@ def count_words(texts: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
         if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([int(END_KEY.view(np.int64))]), pa.array([""]), pa.array([ends])], ["key", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([ends])], ["word", "n"])
 
-    return texts.mapInArrow(run, "key long, word string, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textops.pieces(batches, "word"):
+            data, offsets = textops.text_buffers(batch.column("word"))
+            keys = np.where(offsets[1:] > offsets[:-1], textops.word_hashes(data, offsets[:-1], offsets[1:]), END_KEY)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("word"), batch.column("n")], ["key", "word", "n"])
+
+    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(key, "key long, word string, n long")
 
 
 def count_neighbours(texts: DataFrame, firsts: BitFilter, seconds: BitFilter, of_pairs: bool) -> DataFrame:
@@ -126,7 +132,10 @@ def count_neighbours(texts: DataFrame, firsts: BitFilter, seconds: BitFilter, of
             if held:
                 a, b = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
-                _, first, n = np.unique(pair_keys(a, b), return_index=True, return_counts=True)
+                order = np.lexsort((b, a))  # rows in order take less room in a shuffle
+                a, b = a[order], b[order]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+                n = np.diff(np.append(first, len(a)))
                 for at in range(0, len(first), 50_000):
                     part = first[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(a[part].view(np.int64)), pa.array(b[part].view(np.int64)), pa.array(n[at : at + 50_000])], ["a", "b", "n"])
@@ -333,44 +342,41 @@ class Model:
     """
 
     def __init__(self, texts: DataFrame):
-        words = settled(count_words(texts))
+        words = stored(count_words(texts))
         seen = words.agg(F.count("*"), F.sum("n"), F.sum(F.when(F.col("word") == "", F.col("n")))).first()
         self.types, self.tokens, self.ends = seen[0], seen[1] or 0, seen[2] or 0
-        self.tree = fit_tree(settled(count_runs(words)))
+        self.tree = fit_tree(stored(count_runs(words)))
         words = words.select("key", "n")
         likely = words.where(F.col("n") >= FOLLOWER_LEAST)
         cost = math.log2(self.types + 2)
 
-        pairs = count_neighbours(texts, bit_filter(words.where(F.col("n") >= CONTEXT_LEAST), "key"), bit_filter(likely, "key"), of_pairs=False)
-        pairs = settled(keyed(pairs))
-        named = pairs.join(likely.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(likely.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-        named = settled(named.select("a", _KEY, "n", "na", (F.col("nb") / (self.tokens + self.types + 1)).alias("p")))
-        contexts, stays = retained(named, cost)
-        contexts = settled(contexts)
-        named = settled(smoothed(named, contexts, stays))
-
-        triples = count_neighbours(texts, bit_filter(pairs.where(F.col("n") >= CONTEXT_LEAST), _KEY), bit_filter(pairs, _KEY), of_pairs=True)
-        triples = settled(keyed(triples))
-        long = triples.join(named.select(F.col(_KEY).alias("a"), F.col("n").alias("na")), "a").join(named.select(F.col(_KEY).alias("b"), "p"), "b")
-        long = settled(long.select("a", _KEY, "n", "na", "p"))
+        pairs = keyed(count_neighbours(texts, bit_filter(words.where(F.col("n") >= CONTEXT_LEAST), "key"), bit_filter(likely, "key"), of_pairs=False))
+        pairs = pairs.join(likely.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(likely.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+        pairs = stored(pairs.select("a", _KEY, "n", "na", (F.col("nb") / (self.tokens + self.types + 1)).alias("p")))
+        contexts, stays = retained(pairs, cost)
+        contexts = stored(contexts)
+        named = smoothed(pairs, contexts, stays)
+
+        triples = keyed(count_neighbours(texts, bit_filter(pairs.where(F.col("n") >= CONTEXT_LEAST), _KEY), bit_filter(pairs, _KEY), of_pairs=True))
+        long = triples.join(pairs.select(F.col(_KEY).alias("a"), F.col("n").alias("na")), "a").join(named.select(F.col(_KEY).alias("b"), "p"), "b")
+        long = stored(long.select("a", _KEY, "n", "na", "p"))
         long_contexts, stays = retained(long, cost)
-        long_contexts = settled(long_contexts)
+        long_contexts = stored(long_contexts)
         long = smoothed(long.join(long_contexts.select("a"), "a", "left_semi"), long_contexts, stays)
 
         gain = F.log10(F.col("p") / F.col("shorter")).alias("value")
         as_context = lambda c: c.select(F.col("a").alias("key"), F.log10("mass").alias("value"))
-        own = named.where("p > shorter").select(F.col(_KEY).alias("key"), gain)
-        of_pairs = settled(own.union(as_context(long_contexts)).groupBy("key").agg(F.sum("value").alias("value")))
-        of_triples = settled(long.where("p > shorter").select(F.col(_KEY).alias("key"), "n", gain))
-        self.pairs, self.triples = bit_filter(of_pairs, "key"), bit_filter(of_triples, "key")
-
+        of_pairs = named.where("p > shorter").select(F.col(_KEY).alias("key"), "n", gain)
+        of_contexts = long_contexts.join(pairs.select(F.col(_KEY).alias("a"), "n"), "a").select(F.col("a").alias("key"), "n", F.log10("mass").alias("value"))
+        of_triples = long.where("p > shorter").select(F.col(_KEY).alias("key"), "n", gain)
+        beyond = of_pairs.union(of_contexts).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
+        beyond = stored(beyond.withColumn("three", F.lit(False)).union(of_triples.select("key", "n", "value", F.lit(True))))
+        self.pairs, self.triples = bit_filter(beyond.where("not three"), "key"), bit_filter(beyond.where("three"), "key")
         valued = words.join(as_context(contexts), "key", "left").select("key", "n", F.coalesce("value", F.lit(0.0)).alias("value"))
-        valued = settled(valued)
-        counted = of_pairs.join(pairs.select(F.col(_KEY).alias("key"), "n"), "key").union(of_triples.select("key", "value", "n"))
-        self.words_often = self._sorted(frequent(valued, FREQUENT))
-        self.pairs_often = self._sorted(frequent(counted, FREQUENT).select("key", "n", "value"))
-        none = F.lit(None).cast("long").alias("n")
-        self.values = valued.union(of_pairs.select("key", none, "value")).union(of_triples.select("key", none, "value"))
+        often = frequent(words, FREQUENT).join(as_context(contexts), "key", "left").select("key", "n", F.coalesce("value", F.lit(0.0)).alias("value"))
+        self.words_often = self._sorted(often)
+        self.pairs_often = self._sorted(frequent(beyond.select("key", "n", "value"), FREQUENT))
+        self.values = valued.union(beyond.select("key", F.lit(None).cast("long"), "value"))
 
     @staticmethod
     def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

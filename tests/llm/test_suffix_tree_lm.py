@@ -127,6 +127,7 @@ def slow_scores(rows):
 
 
 def corpus(n, seed=3):
+    """Texts of some phrases and many words."""
     rng = random.Random(seed)
     phrases = ["new york city", "in the end", "of the sea", "as well as", "the red fox runs"]
     vocabulary = ["".join(rng.choices("abcde", k=rng.randint(1, 4))) for _ in range(60)]
@@ -134,7 +135,7 @@ def corpus(n, seed=3):
 
 
 def test_scores_equal_definition(spark, monkeypatch):
-    rows = [*corpus(160), (900, None), (901, "zzz Zürich unknownword " + "x" * 700), (902, "New York city the red")]
+    rows = [*corpus(500), (900, None), (901, "zzz Zürich unknownword " + "x" * 700), (902, "New York city the red")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want, ones, twos = slow_scores(rows)
     assert ones > 3 and twos > 1
@@ -157,7 +158,7 @@ def test_query_counts_and_held_out_scores(spark, sf):
 
 def test_model_grows_with_the_corpus(spark):
     sizes = []
-    for n in (150, 900):
+    for n in (300, 2500):
         df = spark.createDataFrame([(t,) for _, t in corpus(n)], "text string")
         sizes.append(lm.Model(df).values.count())
     assert sizes[1] > 1.5 * sizes[0]
