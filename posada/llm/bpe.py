@@ -15,6 +15,7 @@ import functools
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -23,8 +24,34 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from . import textops
+
 NONE = 1 << 60
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+
+
+# Letters and numbers of Unicode 16.0, which the standard library's tables (15.1) don't have yet.
+NEW_LETTERS = (
+    "\u1C89-\u1C8A\uA7CB-\uA7CD\uA7DA-\uA7DC\U000105C0-\U000105F3\U00010D4A-\U00010D65\U00010D6F-\U00010D85\U00010EC2-\U00010EC4"
+    "\U00011380-\U00011389\U0001138B\U0001138E\U00011390-\U000113B5\U000113B7\U000113D1\U000113D3\U00011BC0-\U00011BE0"
+    "\U00013460-\U000143FA\U00016100-\U0001611D\U00016D40-\U00016D6C\U00018CFF\U0001E5D0-\U0001E5ED\U0001E5F0"
+)
+NEW_NUMBERS = "\U00010D40-\U00010D49\U000116D0-\U000116E3\U00011BF0-\U00011BF9\U00016130-\U00016139\U00016D70-\U00016D79\U0001CCF0-\U0001CCF9\U0001E5F1-\U0001E5FA"
+# Small letters of capitals that are newer than those tables.
+NEW_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEW_SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+def assigned(kind: str) -> str:
+    """The set of code points of a general category (its first letter) in the standard library's Unicode tables, as ranges."""
+    inside = np.array([unicodedata.category(chr(c))[0] == kind for c in range(sys.maxunicode + 1)] + [False])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)))
+    return "".join(f"\\U{a:08X}-\\U{b - 1:08X}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+_LETTERS, _NUMBERS = assigned("L") + NEW_LETTERS, assigned("N") + NEW_NUMBERS
+_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\p{{White_Space}}{_LETTERS}{_NUMBERS}]+")
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+", re.ASCII)
+_NEW_CAPITALS = re.compile("[" + "".join(map(chr, NEW_SMALL)) + "]")
 _BLANK = regex.compile(r"\p{White_Space}+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 CACHED_WORDS = 150_000
@@ -123,7 +150,7 @@ class Vocabulary:
 
     def word(self, text: str) -> bytes:
         """The ids of one stretch without white space."""
-        found = _PIECES.findall(text)
+        found = [text] if text.isalpha() else (_ASCII_PIECES if text.isascii() else _PIECES).findall(text)
         if len(found) > 1:
             return b"".join(map(self.known.__getitem__, found))
         out = b""
@@ -142,6 +169,8 @@ class Vocabulary:
 
     def _plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not text.isascii() and _NEW_CAPITALS.search(text):
+            text = text.translate(NEW_SMALL)
         parts = text.split() if not _SEPARATORS.search(text) else [p for p in _BLANK.split(text) if p]
         return b"".join(map(self.known.__getitem__, parts))
 
@@ -199,6 +228,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        # Workers serve other tasks later; what they remember goes.
+        vocabulary.cache_clear()
+        del v
+        textops.release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -36,6 +36,14 @@ def test_edge_cases_and_round_trip(spark):
     assert bpe.encode_documents(df.where("false")).count() == 0
 
 
+def test_classes_equal_library_over_all_code_points():
+    t, v = Tokenizer.from_file(bpe.vocabulary_path()), bpe.vocabulary(bpe.vocabulary_path())
+    texts = [f"a{c}b {c}1" for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)])]
+    for k in range(0, len(texts), 50_000):
+        part = texts[k : k + 50_000]
+        assert [e.ids for e in t.encode_batch(part, add_special_tokens=False)] == [np.frombuffer(v.encode(x), "<u4").tolist() for x in part]
+
+
 def test_rank_tree_yields_leftmost_lowest():
     import random
 
