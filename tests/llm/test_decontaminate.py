@@ -17,7 +17,7 @@ def brute(docs, items, window):
     for i, t in items:
         w = words(t)
         for j in range(max(1, len(w) - window + 1)) if w else []:
-            windows.setdefault(tuple(w[j : j + window]), set()).add(str(i))
+            windows.setdefault(tuple(w[j : j + window]), set()).update([] if i is None else [str(i)])
     sizes = {len(k) for k in windows}
     out = {}
     for i, t in docs:
@@ -47,13 +47,31 @@ def test_random_words_short_items_and_shards(spark):
     items = [(i, text(rng.choice([0, 1, 2, 3, 4, 5, 8, 12]))) for i in range(2, 14)] + [(1, None), (None, "a b"), (99, "É ß")]
     docs = [(i, text(rng.randint(0, 60))) for i in range(80)] + [(100, None), (101, ""), (102, "!!"), (103, "Q É, ß q"), (104, "A-B,c " * 500)]
     for some in (items, [x for x in items if x[0] and len(words(x[1])) != 1], [x for x in items if x[0] and len(words(x[1])) > 3]):
-        want = brute(docs, [x for x in some if x[0] is not None], 4)
+        want = brute(docs, some, 4)
         d, b = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as items", "'x' as n_hit"), spark.createDataFrame(some, "item_id long, text string")
         for size in (1 << 20, 150):
             got = decontaminate.scan(d, b, window=4, item_bytes=size)
             assert {r.doc_id: tuple(r[c] for c in COLUMNS) for r in got.collect()} == want
 
 
+def test_automaton_of_many_followers_and_repeats(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice(["the", f"w{rng.randint(0, 80)}"]) for _ in range(40))) for i in range(60)] + [(70, "x " * 30), (71, "x " * 12), (71, "x " * 12), (72, "the " * 3)]
+    docs = [(i, " ".join(items[rng.randrange(60)][1].split()[rng.randint(0, 20) :]) + " " + "x " * rng.randint(0, 14)) for i in range(60)]
+    want = brute(docs, items, 6)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: tuple(r[c] for c in COLUMNS) for r in decontaminate.scan(d, b, window=6).collect()} == want
+
+
+def test_clean_keeps_own_columns(spark):
+    docs = [(1, "one two three", 77, ["mine"], "a"), (2, "one two", None, None, "b"), (None, None, 3, [], "c")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, n_words int, items array<string>, __hits string")
+    b = spark.createDataFrame([(1, "one two"), (2, "zzz " * 200)], "item_id long, text string")
+    for size in (1 << 20, 60):
+        got = decontaminate.clean(d, b, window=2, max_words=0, max_coverage=0.9, item_bytes=size)
+        assert got.schema == d.schema and [tuple(r) for r in got.collect()] == [(1, " three", 77, ["mine"], "a"), (None, None, 3, [], "c")]
+
+
 def test_clean_cuts_and_drops(spark):
     d = spark.createDataFrame([(1, "Keep ÄÖ. One two three four five, rest of the text is here and stays"), (2, "one two three four five"), (3, None), (4, "clean")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
