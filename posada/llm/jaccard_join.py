@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .components import components, ensure_checkpoints, settled
-from .samples import frequent
+from .components import components, ensure_checkpoints, settled, stored
+from .samples import BitFilter, bit_filter, frequent
 
 #: A set's posting is shuffled, met with its list and compared again; a subset is only shuffled.
 POSTING_COST = 6.0
@@ -46,7 +46,7 @@ LEAST_COMMON = 8
 #: Sets of a list that are compared with one another in one go.
 BLOCK = 1024
 #: Bits of the filter of documents whose sets are fetched again.
-FILTER_BITS = 1 << 24
+FETCH_BITS = 1 << 24
 
 
 def least_overlap(s: int, t: int, percent: int) -> int:
@@ -118,8 +118,8 @@ def common_elements(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements on each bit, with four bits an element at least; more differences than bits that differ can't be."""
-    bits = 1 << max(8, int(4 * len(values) - 1).bit_length())
+    """Parity of the number of elements on each bit, with a bit an element at least; fewer differences than bits that differ can't be."""
+    bits = 1 << max(8, int(len(values) - 1).bit_length())
     odd = np.bincount((values >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -141,16 +141,43 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return textops.mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-def describe(texts: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Per text (id, body, text): id, body, n (size of its set), sig (hash of it), prefix (its first elements in the common order) and small (the set itself, if it is small)."""
-    shared = texts.sparkSession.sparkContext.broadcast(common)
-    lengths = np.array([0, *(prefix_length(s, percent) for s in range(1, 4096))])
+def describe(texts: DataFrame, k: int) -> DataFrame:
+    """Per text (id, body, text): id, body, n (size of its set), sig (hash of it) and small (the set itself, if it is small)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
         for batch in textops.pieces(batches):
             values, offsets = document_sets(batch.column("text"), k)
             sizes = np.diff(offsets)
+            small = [values[a:b].view(np.int64) if b - a <= MOST_SMALL else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            columns = [batch.column("id"), batch.column("body"), pa.array(sizes, pa.int64()), pa.array(signatures(values, offsets)), pa.array(small, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "body", "n", "sig", "small"])
+
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, body long, n long, sig long, small array<long>")
+
+
+def postings(texts: DataFrame, k: int, percent: int, least: int, common: np.ndarray, leaders: BitFilter, keys: BitFilter | None) -> DataFrame:
+    """The prefixes (first elements in the common order) of the sets of ``least`` elements or more, of one text for each set: (key, m), in parts to be added up, or with ``keys`` (key, sig, n) of those only.
+
+    leaders has, for the text of each set's class, the hash of its id combined with that of the set; other texts of equal
+    sets that pass only post once more.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((common, leaders, keys))
+    lengths = np.array([0, *(prefix_length(s, percent) for s in range(1, 4096))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, leaders, keys = shared.value
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                values, counts = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["key", "m"])
+
+        for batch in textops.pieces(batches):
+            values, offsets = document_sets(batch.column("text"), k)
+            sizes, sigs = np.diff(offsets), signatures(values, offsets)
+            on = (sizes >= least) & leaders.has(batch.column("idh").to_numpy() ^ sigs)
             if len(often):
                 at = np.minimum(np.searchsorted(often, values), len(often) - 1)
                 late = (often[at] == values).astype(np.int8)
@@ -158,16 +185,22 @@ def describe(texts: DataFrame, k: int, percent: int, common: np.ndarray) -> Data
                 late = np.zeros(len(values), np.int8)
             rows = np.repeat(np.arange(len(sizes)), sizes)
             ordered = values[np.argsort((2 * rows + late).astype(np.uint16 if len(sizes) < 1 << 15 else np.int64), kind="stable")]
-            prefixes = [prefix_length(int(n), percent) if n >= len(lengths) else int(lengths[n]) for n in sizes]
-            keys = [ordered[a : a + p].view(np.int64) for a, p in zip(offsets[:-1], prefixes, strict=True)]
-            small = [values[a:b].view(np.int64) if b - a <= MOST_SMALL else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("body"), pa.array(sizes, pa.int64()), pa.array(signatures(values, offsets)), pa.array(keys, longs), pa.array(small, longs)],
-                ["id", "body", "n", "sig", "prefix", "small"],
-            )
+            prefix = np.where(sizes < len(lengths), lengths[np.minimum(sizes, len(lengths) - 1)], sizes + (-percent * sizes) // 100 + 1) * on
+            place = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+            found = ordered[np.repeat(offsets[:-1], prefix) + place]
+            if keys is None:
+                held.append(found)
+                if sum(map(len, held)) > 1_000_000:
+                    yield from flush()
+                continue
+            owner = np.repeat(np.arange(len(sizes)), prefix)
+            some = keys.has(found)
+            found, owner = found[some], owner[some]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(sigs[owner]), pa.array(sizes[owner].astype(np.int32))], ["key", "sig", "n"])
+        yield from flush()
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, body long, n long, sig long, prefix array<long>, small array<long>")
+    rows = texts.where("id is not null").select(F.xxhash64("id").alias("idh"), "text")
+    return rows.mapInArrow(run, "key long, m long" if keys is None else "key long, sig long, n int")
 
 
 def subset_edges(sets: DataFrame, most: int, percent: int) -> DataFrame:
@@ -223,19 +256,12 @@ def fetched(texts: DataFrame, bodies: DataFrame, k: int, bits: bool) -> DataFram
     and the join drops them.
     """
     bodies = settled(bodies.distinct())
-    marks = bodies.select(F.pmod("body", F.lit(FILTER_BITS)).alias("at"))
-    blocks = marks.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    mask = np.zeros(FILTER_BITS // 64, np.int64)
-    for batch in blocks.toArrow().to_batches():  # at most FILTER_BITS / 64 rows
-        mask[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(mask)
+    shared = texts.sparkSession.sparkContext.broadcast(bit_filter(bodies, "body", FETCH_BITS))
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+        asked = shared.value
         for batch in batches:
-            at = batch.column("body").to_numpy() & (FILTER_BITS - 1)
-            on = (held[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            some = batch.filter(pa.array(on.astype(bool)))
+            some = batch.filter(pa.array(asked.has(batch.column("body").to_numpy())))
             if not bits:
                 yield some.rename_columns(["body", "x"])
                 continue
@@ -427,16 +453,17 @@ def grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
     spark = docs.sparkSession
     ensure_checkpoints(spark)
     texts = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("body"), docs[text_col].cast("string").alias("text"))
-    every = describe(texts, k, percent, common_elements(texts, k)).checkpoint()
+    every = stored(describe(texts, k))
     some = every.where("n > 0 and id is not null")
     classes = settled(some.groupBy("sig", "n").agg(F.min(F.struct("id", "body")).alias("least")).select("sig", "n", "least.id", "least.body"))
     histogram = {r.n: r.m for r in classes.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("m")).collect()}
     most = boundary(histogram, percent)
     edges = subset_edges(some.join(classes.select("sig", "id"), ["sig", "id"], "left_semi").where(F.col("n") <= most), most, percent)
     # Sets that can only link with small ones need no lists. Equal sets post alike; they are merged in the lists.
-    postings = some.where(F.col("n") * 100 >= percent * (most + 1)).select("sig", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
-    several = postings.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a != b").select("key")
-    lists = settled(postings.join(several, "key").select("key", "sig", "n").distinct())
+    common, leaders, least = common_elements(texts, k), bit_filter(classes.select((F.xxhash64("id").bitwiseXOR(F.col("sig"))).alias("x")), "x"), -(-percent * (most + 1) // 100)
+    counted = postings(texts, k, percent, least, common, leaders, None).groupBy("key").agg(F.sum("m").alias("m")).where("m > 1")
+    # Of the elements only those in several prefixes make lists; with each set's own hash and size they are shuffled alone.
+    lists = settled(postings(texts, k, percent, least, common, leaders, bit_filter(counted, "key")).distinct())
     # The pivot of a list: the set of the least hash, so that lists of the same sets have the same one.
     described = lists.groupBy("key").agg(
         F.count("*").alias("m"), F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n")).alias("p"), F.expr("bit_xor(xxhash64(sig, 1))").alias("x"), F.expr("bit_xor(xxhash64(sig, 2))").alias("y")
