@@ -36,14 +36,14 @@ from .quality import fold
 from .samples import BitFilter, bit_filter, frequent
 
 #: Occurrences of a context and of a follower in it from which they are looked at.
-CONTEXT_LEAST, FOLLOWER_LEAST = 64, 8
+CONTEXT_LEAST, FOLLOWER_LEAST = 16, 4
 #: Taken from the count of each follower for the shorter context.
 DISCOUNT = 0.75
 #: Least divergence of a retained context from its shorter one, in bits over all its occurrences.
 EVIDENCE = 30.0
 #: The spelling tree: longest context in bytes, least share of the symbols, least divergence of a context in bits per symbol.
 DEPTH, LEAST_SHARE, DIVERGENCE = 5, 1e-5, 0.01
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 BLANK = 0x20
 STRETCH = 256
 #: Counted entries that a task holds before it hands them on.
