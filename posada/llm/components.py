@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Uses the cluster's spark.checkpoint.dir; sets a folder of its own only where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 #: Rows of a small table that one task reads.

@@ -5,7 +5,7 @@ the length of the longest match is tracked: from ``window`` words on, the matche
 fewer words is hit only as a whole. ``scan`` reports hits, ``clean`` removes them.
 
 A list of items passes through the driver: it is what all tasks need, and it does not grow with the documents. An
-automaton is built of at most ``ITEM_BYTES`` of it (some 60 bytes a byte of text); a larger list is split into shards,
+automaton is built of at most ``ITEM_BYTES`` of it (some 30 bytes a byte of text); a larger list is split into shards,
 and the texts pass the shards' automata one after another without a shuffle, so that what a worker holds stays bounded.
 
 Null and empty texts have no words and no hits; null and empty items match nothing; an item without an id counts in

@@ -9,7 +9,10 @@ come from loopy belief propagation; tokens that are surely an entity outside all
 Weights are learned by pseudo-likelihood in numpy on at most ``TRAIN_DOCS`` documents that hold digits or an
 at sign (those of the least hashes of their ids), with the base spans as labels.
 
-Null and empty texts have no spans. Whole texts are scanned, by patterns and loops of linear time.
+Null and empty texts have no spans. Whole texts are scanned, by patterns and loops of linear time. Repeated rows are
+each scanned, and rows without an id too; ties between labels go to the first in ``LABELS``. An empty table gives an
+empty one, and without training texts nothing is added. ``scan`` ignores columns other than id and text; ``redact``
+keeps them.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textops
 from .components import ensure_checkpoints
 from .samples import least_hashes
 from .spans import Span, digest, joined
@@ -35,6 +39,8 @@ AROUND = 2
 #: Least marginal probability of an added span's tokens.
 SURE = 0.9
 ROUNDS = 25
+#: Signs of a shape up to which it is a feature as it stands.
+LONG_SHAPE = 24
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -92,9 +98,12 @@ def base_spans(text: str) -> list[Span]:
 
 
 def shape(token: str) -> str:
+    """The kinds of a token's signs; of a shape that is longer than ``LONG_SHAPE`` the set of its signs and the digits' share of its length, in quarters."""
+    n = len(token)
+    digits = sum(c.isdigit() for c in token)
     for pattern, sign in _SHAPE:
         token = pattern.sub(sign, token)
-    return token[:24]
+    return token if len(token) <= LONG_SHAPE else f"{''.join(sorted(set(token)))}/{4 * digits // n}"
 
 
 class Field:
@@ -115,7 +124,7 @@ class Field:
         for i in order:
             for j in (i - 1, i, i + 1):
                 if 0 <= j < len(tokens) and j not in shapes:
-                    shapes[j] = shape(text[tokens[j][0] : min(tokens[j][1], tokens[j][0] + 64)])
+                    shapes[j] = shape(text[slice(*tokens[j])])
         seen: dict[str, int] = {}
         for k, i in enumerate(order):
             a, b = tokens[i]
@@ -147,13 +156,14 @@ class Field:
                     seen[key] = k
 
     def labels(self, spans: list[Span]) -> np.ndarray:
-        """The label of each token: the kind of the first base span over it."""
+        """The label of each token: the kind of the first base span over it. Tokens are in order and don't overlap."""
         out = np.zeros(len(self.spans), np.int64)
-        for k, (a, b) in enumerate(self.spans):
-            for kind, x, y in spans:
-                if x < b and a < y:
-                    out[k] = LABELS.index(kind)
-                    break
+        ends = np.array([b for _, b in self.spans], np.int64)
+        for kind, x, y in reversed(spans):
+            k = int(np.searchsorted(ends, x, side="right"))
+            while k < len(self.spans) and self.spans[k][0] < y:
+                out[k] = LABELS.index(kind)
+                k += 1
         return out
 
 
@@ -283,7 +293,7 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_col=id_col, text_col=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textops.pieces(batches):
             base, every = [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
@@ -313,14 +323,20 @@ def redact(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
     """The documents in their own columns, with all spans masked in the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_col=id_col, text_col=text_col))
 
-    @F.pandas_udf("string")
-    def mask(texts):  # noqa: ANN001, ANN202
-        def one(text: str | None) -> str | None:
-            if not text or not _ANY.search(text):
-                return text
-            base = base_spans(text)
-            return masked(text, base + added_spans(text, base, shared.value))
+    def one(text: str | None) -> str | None:
+        if not text or not _ANY.search(text):
+            return text
+        base = base_spans(text)
+        return masked(text, base + added_spans(text, base, shared.value))
 
-        return texts.astype(object).where(texts.notna(), None).map(one, na_action="ignore")
+    place = docs.columns.index(text_col)
 
-    return docs.withColumn(text_col, mask(F.col(text_col)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textops.pieces(batches, text_col):
+            columns = list(batch.columns)
+            columns[place] = pa.array(map(one, columns[place].to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays(columns, docs_names)
+
+    docs_names = docs.columns
+    kinds = ", ".join(f"`{c}` {'string' if c == text_col else docs.schema[c].dataType.simpleString()}" for c in docs_names)
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, kinds)

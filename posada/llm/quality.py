@@ -9,7 +9,10 @@ Scoring is one pass without a shuffle: as the output is linear in the mean, each
 multiplied with the output weights, and a fixed table of one number per bucket is broadcast.
 
 Null and empty texts have no features and get the score of the bias alone. Labels that are null or belong to
-no document are left out; without any label of one class every score is that of the prior.
+no document are left out, of an id's labels the greatest counts; without any label of one class every score is that of
+the prior. Texts of any length are scored whole. Repeated rows score alike, rows without an id are scored too, and an
+empty table gives an empty one. ``score`` and ``keep_good`` keep the documents' columns; one named like the score is
+replaced by ``score``. Runs are of bytes, so that a letter beyond ASCII counts as two or three.
 """
 
 from __future__ import annotations

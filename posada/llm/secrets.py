@@ -5,7 +5,9 @@ hexadecimal, are decoded and reported only where their structure confirms them:
 lengths fit, a key in the SSH wire format, an armoured private key around such a body, or a signed token
 whose header names an algorithm. Base spans are never taken back.
 
-Null and empty texts have no spans. Texts are scanned whole; every pattern runs in linear time.
+Null and empty texts have no spans. Texts are scanned whole; every pattern runs in linear time. Repeated rows are each
+scanned, and rows without an id too; of spans that begin together the kinds' order decides. An empty table gives an
+empty one. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ fingerprints are partitioned by the length of their sets, so that only the own a
 hold a partner, and candidates share one of the rarest-first prefix signatures that any partner must share.
 
 A text without any anchor before a content word is fingerprinted by its words, one without words has an empty
-fingerprint. Null texts count as empty. Two empty fingerprints are alike (1.0). Equal texts have equal ones.
+fingerprint. Null texts count as empty. Two empty fingerprints are alike (1.0). Equal texts have equal ones. Rows with one
+id are put in the order of their texts' hashes; a row without an id has no next one. Texts of any length are worked on
+whole, an empty table gives an empty one, and columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import ensure_checkpoints
+
 #: Very common words of English, German, French and Spanish.
 ANCHORS = (
     "the of and to a in is it that for on with as are be was this by he from at or an have not "
@@ -61,13 +65,14 @@ def alike(a: Column, b: Column) -> Column:
 
 
 def next_spans(spans: DataFrame) -> DataFrame:
-    """(span, after) for distinct spans: the next one in ascending order, after the last the first. Two levels of windows, so that no task sees all."""
-    coarse = spans.withColumn("group", F.shiftright("span", 12))
-    within = coarse.withColumn("after", F.lead("span").over(Window.partitionBy("group").orderBy("span")))
-    heads = coarse.groupBy("group").agg(F.min("span").alias("head"))
-    every = Window.orderBy("group")  # one row for 2**20 ids
-    heads = heads.select("group", F.coalesce(F.lead("head").over(every), F.first("head").over(every.rowsBetween(Window.unboundedPreceding, 0))).alias("other"))
-    return within.join(heads, "group").select("span", F.coalesce("after", "other").alias("after"))
+    """(span, after) for distinct spans: the next one in ascending order, after the last the first. Spans are dealt out by ranges, written once, and only the least one of each range meets the others' in one task."""
+    ensure_checkpoints(spans.sparkSession)
+    dealt = spans.repartitionByRange("span").withColumn("range", F.spark_partition_id()).checkpoint()
+    within = dealt.withColumn("after", F.lead("span").over(Window.partitionBy("range").orderBy("span")))
+    heads = dealt.groupBy("range").agg(F.min("span").alias("head"))
+    every = Window.orderBy("head")  # one row for a range
+    heads = heads.select("range", F.coalesce(F.lead("head").over(every), F.first("head").over(every.rowsBetween(Window.unboundedPreceding, 0))).alias("other"))
+    return within.join(heads, "range").select("span", F.coalesce("after", "other").alias("after"))
 
 
 def with_next(docs: DataFrame, more) -> DataFrame:  # noqa: ANN001
@@ -112,9 +117,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def near_pairs(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (a, b, similarity) of classes of equal fingerprints with 100 * similarity >= percent, plus (a, a, 1.0) for each class; members come with ``classes``."""
+    """Pairs (a, b, similarity) of classes of equal fingerprints with 100 * similarity >= percent, each class by its least id; ``classes`` gives the members. Empty fingerprints are in no pair."""
     members = classes(docs, id_col, text_col)
-    sets = members.groupBy("sigs").agg(F.min("id").alias("id")).where(F.size("sigs") > 0)
+    sets = members.where(F.size("sigs") > 0).groupBy("sigs").agg(F.min("id").alias("id")).where("id is not null")
     # The base of the partitions is the ratio that two lengths may have at most.
     ratio = 100.0 / percent
     sets = sets.select("id", "sigs", F.size("sigs").alias("n"), F.floor(F.log(ratio, F.size("sigs")) if percent < 100 else F.size("sigs")).alias("part"))
@@ -135,5 +140,8 @@ def near_pairs(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sigs): every document with its fingerprint as an array."""
-    return docs.select(docs[id_col].alias("id"), signatures(docs[text_col].cast("string")).alias("sigs"))
+    """(id, class_id, sigs): every document with its fingerprint as an array and the least id of those that have it."""
+    ensure_checkpoints(docs.sparkSession)
+    rows = docs.select(docs[id_col].alias("id"), signatures(docs[text_col].cast("string")).alias("sigs")).checkpoint()
+    heads = rows.groupBy("sigs").agg(F.min("id").alias("class_id"))
+    return rows.join(heads, "sigs").select("id", "class_id", "sigs")

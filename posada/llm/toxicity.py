@@ -9,7 +9,10 @@ toxic ones 1 or 2 as they hold fewer or more of the words that set the toxic row
 The model is fitted on at most ``TRAIN_ROWS`` labelled rows by stochastic gradient descent in numpy;
 scoring is one pass without a shuffle with a table of fixed size.
 
-Null and empty texts have no features and get the severity of the thresholds alone. Null labels are left out.
+Null and empty texts have no features and get the severity of the thresholds alone. Labels that are null, not 0 or 1,
+or of no document are left out; of an id's labels the greatest counts. Texts of any length are scored whole. Repeated rows
+score alike, rows without an id are scored too, and an empty table gives an empty one. Columns other than id and text are
+ignored. Without labels of both kinds every text gets one severity.
 """
 
 from __future__ import annotations

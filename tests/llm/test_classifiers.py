@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -63,3 +66,52 @@ def test_thresholds_ascend_and_severity_is_in_range(spark, sf):
     assert model.thresholds[0] < model.thresholds[1]
     rows = toxicity.score(docs, model).collect()
     assert all(0 <= r.expected_severity <= 2 and r.expected_severity >= r.toxic_probability for r in rows)
+
+
+def word_hash(word):
+    data = np.frombuffer(word, np.uint8)
+    return int(quality.textops.word_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+
+def slow_quality(model, text):
+    """Word by word and run by run, in plain Python."""
+    data, total, n = text.encode(), 0.0, 0
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", data):
+        total, n = total + float(model.weights[word_hash(w) & (quality.BUCKETS - 1)]), n + 1
+    blank = b"\x20\x09\x0a\x0b\x0c\x0d"
+    code = [0x9E3779B1 if b in blank else int(quality._CODE[b]) for b in data]
+    for size in (3, 4):
+        for i in range(len(data) - size + 1):
+            if any(b in blank for b in data[i + 1 : i + size - 1]):
+                continue
+            value = size
+            for c in code[i : i + size]:
+                value = ((value ^ c) * 0x85EBCA6B) & 0xFFFFFFFF
+                value ^= value >> 13
+            total, n = total + float(model.weights[value & (quality.BUCKETS - 1)]), n + 1
+    return 1 / (1 + math.exp(-(model.bias + total / max(n, 1))))
+
+
+def slow_severity(model, text):
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    counts = Counter()
+    for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", low):
+        counts[word_hash(w) & (toxicity.BUCKETS - 1)] += 1
+        for n in (4, 5, 6):
+            if len(w) > n:
+                counts[(word_hash(w[:n]) ^ n) & (toxicity.BUCKETS - 1)] += 1
+    total = sum(float(model.weights[b]) * math.log1p(n) for b, n in counts.items())
+    return [1 / (1 + math.exp(-max(-40, min(40, total - t)))) for t in model.thresholds]
+
+
+def test_scores_equal_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.text[:1500]) for r in docs.limit(25).collect()] + [(-1, ""), (-2, "É x\ty"), (-3, "ab" * 700)]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    good, toxic = quality.fit(docs, labels, rows=300), toxicity.train(quality.training_rows(docs, labels, "toxic", 300))
+    got = {r.doc_id: r.score for r in quality.score(some, good).collect()}
+    severe = {r.doc_id: (r.toxic_probability, r.expected_severity) for r in toxicity.score(some, toxic).collect()}
+    for i, text in rows:
+        assert math.isclose(got[i], slow_quality(good, text), rel_tol=1e-4)
+        above = slow_severity(toxic, text)
+        assert np.allclose(severe[i], (above[0], sum(above)), rtol=1e-4)

@@ -111,3 +111,35 @@ def test_masking_and_loopy_field(spark, sf):
     df = spark.createDataFrame([(1, text, None), (2, None, 3)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in pii.redact(df, model).collect()}
     assert "555-3733 now" not in got[1] and got[2] is None
+
+
+def test_marginals_equal_enumeration():
+    import itertools
+
+    import numpy as np
+
+    class Graph:
+        """Nodes with features, chain and skip edges, as a field has them."""
+
+        def __init__(self, n, chain, skip):
+            self.features, self.chain, self.skip, self.spans = [[f"f{i}"] for i in range(n)], chain, skip, [(i, i + 1) for i in range(n)]
+
+    rng = np.random.default_rng(4)
+    n = len(pii.LABELS)
+    for chain, skip, near in (([(0, 1), (1, 2), (3, 4)], [(2, 4)], 2e-3), ([(0, 1), (1, 2)], [(0, 2)], 0.08), ([], [], 1e-9)):
+        graph = Graph(5, chain, skip)
+        own, left, alike = rng.normal(0, 1, (5, n)), rng.normal(0, 0.5, (n, n)), np.eye(n) * 0.5
+        model = pii.Model({f"f{i}": i for i in range(5)}, own, left, alike)
+        exact = np.zeros((5, n))
+        for labels in itertools.product(range(n), repeat=5):
+            p = np.exp(sum(own[i, y] for i, y in enumerate(labels)) + sum(left[labels[a], labels[b]] for a, b in chain) + sum(alike[labels[a], labels[b]] for a, b in skip))
+            for i, y in enumerate(labels):
+                exact[i, y] += p
+        exact /= exact.sum(axis=1, keepdims=True)
+        assert np.abs(model.marginals(graph) - exact).max() < near
+
+
+def test_long_tokens_are_features_as_a_whole():
+    assert pii.shape("a" * 5000 + "@x.org") == pii.shape("b" * 400 + "@y.com") != pii.shape("a" * 5000)
+    long = "9a" * 40
+    assert pii.shape(long + "@") != pii.shape(long) and pii.shape("0A-" * 30) == pii.shape("1B-" * 40)

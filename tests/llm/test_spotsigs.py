@@ -66,3 +66,15 @@ def test_near_pairs_equal_brute_force(spark, sf):
     sets = [(i, s) for s, i in seen.items() if s]
     want = {(min(i, j), max(i, j)) for i, s in sets for j, t in sets if i < j and 100 * len(s & t) >= 60 * len(s | t)}
     assert {(r.a, r.b) for r in spotsigs.near_pairs(df, 60).collect()} == want
+
+
+def test_classes_cover_every_member(spark):
+    rows = [(3, "The house of cards"), (1, "the HOUSE of cards!"), (2, None), (5, ""), (7, "x y"), (7, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.id, r.class_id) for r in spotsigs.classes(df).collect()) == [(1, 1), (2, 2), (3, 1), (5, 2), (7, 7), (7, 7)]
+
+
+def test_next_of_sparse_ids(spark):
+    rows = [(i * 7_919_000_003, f"the word{i} and text{i}") for i in range(-150, 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert digest(spotsigs.compare_with_next(df)) == brute(rows)
