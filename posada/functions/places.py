@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,24 +12,59 @@ from .base import found, number, within
 LETTER = "A-Za-záéíóúñüÁÉÍÓÚÑÜ"
 
 
-def _cuts(c: Column, *patterns: str) -> Column:
-    for pattern in patterns:
-        c = F.regexp_replace(c, pattern, "")
-    return c
-
-
-def _or_self(c: Column, pattern: str) -> Column:
-    """The first group if the text begins with the pattern, else the text."""
-    return F.coalesce(found(c, "^" + pattern), c)
-
-
-WITH, GARAGE, POOL, CITY = r"(?i)\s+with\b.*", r"(?i)\bgarage\b.*", r"(?i)\bpool\b.*", r"(?i)\s+city\b.*"
+# Marks after which a place's text is no longer the place, by name.
+MARKS = {
+    "with": r"\s+with\b", "any with": r"\s*\bwith\b", "garage": r"\bgarage\b", "pool": r"\bpool\b", "city": r"\s+city\b", "ciudad": r"\s+ciudad\b",
+    "euro": "€", "dash and number": r"\s*-\s*\d", "dash and price": r"\s*-\s*(?:â|€|£|\d)", "dash and sign": r"\s*-\s*[â€¬\d]", "sign and number": r"\s*[â€¬]\s*[\d,. ]+",
+    "mangled euro": r"â[\x{82}¬]", "mangled sign": r"â[\x{80}-\x{ff}]", "slash": r"\s*/\s*(?=.)",
+}
+
+
+@dataclass(frozen=True)
+class PlaceRule:
+    """How a place's text is cleaned, in this order.
+
+    dropped: patterns that go wherever they stand. ends: names of ``MARKS``; the text goes from the first one on. later:
+    as dropped, after that. first: a pattern of the first of two names with a slash, which stays alone. late_ends and
+    late_dropped: once more, after the slash. comma: (least, most, rest): what stands before a comma stays alone if it
+    has least to most characters and rest or more come after.
+    """
+
+    ends: tuple[str, ...]
+    dropped: str = ""
+    later: str = ""
+    first: str = ""
+    late_ends: tuple[str, ...] = ()
+    late_dropped: str = ""
+    comma: tuple[int, int, int] | None = None
+
+
+def cleaned(c: Column, rule: PlaceRule) -> Column:
+    without = lambda c, pattern: F.regexp_replace(c, "(?i)" + pattern, "") if pattern else c
+    up_to = lambda c, ends: without(c, "(?:" + "|".join(MARKS[e] for e in ends) + ").*" if ends else "")
+    only = lambda c, pattern: F.trim(F.coalesce(found(c, "^" + pattern), c))
+    c = without(up_to(without(c, rule.dropped), rule.ends), rule.later)
+    if rule.first:
+        c = only(c, f"({rule.first})" + r"\s*/\s*.+")
+    c = F.trim(without(up_to(c, rule.late_ends), rule.late_dropped))
+    if rule.comma:
+        least, most, rest = rule.comma
+        c = only(c, rf"([^,]{{{least},{most}}}),\s*.{{{rest},}}")
+    return F.trim(c)
+
+
+_EXTRAS = ("with", "garage", "pool")
+# The five ways in which places have been cleaned.
+BASIC = PlaceRule((*_EXTRAS, "euro", "dash and number", "slash", "city"), dropped=r"â[\x00-\xff]{0,2}", comma=(3, 40, 4))
+FIRST_PART = PlaceRule((*_EXTRAS, "dash and sign", "sign and number", "mangled euro"), later=r"\s+$|\s*/\s*[\p{L}\p{N}_]+\s+city\b", first=rf"[{LETTER}][^/]+?")
+STERLING = PlaceRule((*_EXTRAS, "dash and price", "mangled sign", "euro"), first=rf"[{LETTER}][^/]{{2,30}}?", late_dropped=r"\bcity\b", comma=(3, 30, 1))
+FINAL = PlaceRule((*_EXTRAS, "dash and price", "euro", "any with"), dropped=r"â[\x00-\xff]*", first=rf"[{LETTER}'\s\-]{{3,35}}?", late_ends=("city", "ciudad"), comma=(3, 35, 3))
+TITLED = PlaceRule(("with", "dash and sign", "sign and number"), later=r"\s*\(.*?\)")
 
 
 def clean_place(c: Column) -> Column:
-    """Cuts a mangled euro sign, prices, extras and a second name off; the part before a comma if a longer one follows."""
-    c = _cuts(c, r"â[\x00-\xff]{0,2}", "€.*", WITH, GARAGE, POOL, r"\s*-\s*\d.*", r"\s*/\s*.+", CITY)
-    return F.trim(_or_self(c, r"([^,]{3,40}),\s*.{4,}"))
+    """Up to a mangled euro sign, prices, extras and a second name; the part before a comma if a longer one follows."""
+    return cleaned(c, BASIC)
 
 
 def clean_place_or_empty(c: Column) -> Column:
@@ -36,24 +73,17 @@ def clean_place_or_empty(c: Column) -> Column:
 
 def clean_place_first_part(c: Column) -> Column:
     """Without a comma rule; of two names with a slash the first one stays."""
-    c = _cuts(c, WITH, r"\s*-\s*[â€¬\d].*", r"\s*[â€¬]\s*[\d,. ]+.*", GARAGE, POOL, r"â[\x{82}¬].*", r"\s+$", r"(?i)\s*/\s*[\p{L}\p{N}_]+\s+city\b")
-    return F.trim(_or_self(c, rf"([{LETTER}][^/]+?)\s*/\s*.+"))
+    return cleaned(c, FIRST_PART)
 
 
 def clean_place_sterling(c: Column) -> Column:
     """Knows pound signs, drops only the word 'city', and takes up to 30 characters before a comma."""
-    c = _cuts(c, WITH, GARAGE, POOL, r"\s*-\s*(?:â|€|£|\d).*", r"â[\x{80}-\x{ff}].*", "€.*")
-    c = F.trim(_or_self(c, rf"([{LETTER}][^/]{{2,30}}?)\s*/\s*.+"))
-    c = F.trim(F.regexp_replace(c, r"(?i)\bcity\b", ""))
-    return F.trim(_or_self(c, r"([^,]{3,30}),\s*.+"))
+    return cleaned(c, STERLING)
 
 
 def clean_place_final(c: Column) -> Column:
     """Drops whole runs after a mangled sign and 'ciudad'; up to 35 characters before a comma."""
-    c = _cuts(c, WITH, GARAGE, POOL, r"\s*-\s*(?:â|€|£|\d).*", r"â[\x00-\xff]*", "€.*", r"(?i)\s*\bwith\b.*")
-    c = F.trim(_or_self(c, rf"([{LETTER}'\s\-]{{3,35}}?)\s*/\s*.+"))
-    c = _cuts(c, CITY, r"(?i)\s+ciudad\b.*")
-    return F.trim(_or_self(c, r"([^,]{3,35}),\s*.{3,}"))
+    return cleaned(c, FINAL)
 
 
 def title_case(c: Column) -> Column:
@@ -63,8 +93,8 @@ def title_case(c: Column) -> Column:
 
 
 def clean_place_titled(c: Column) -> Column:
-    """Cuts extras, prices and brackets off and capitalises."""
-    return title_case(F.trim(_cuts(c, WITH, r"\s*-\s*[â€¬\d].*", r"\s*[â€¬]\s*[\d,. ]+.*", r"\s*\(.*?\)")))
+    """Without extras, prices and brackets, capitalised."""
+    return title_case(cleaned(c, TITLED))
 
 
 # How portals spell "no place".
@@ -91,28 +121,37 @@ def place_from_title(title: Column) -> Column:
     return F.coalesce(after, F.trim(found(title, r"^.*,\s*([^,]+)$")))
 
 
-def portal_title(name: Column) -> Column:
-    """A portal's item name as title: no leading price, reference or trailing price; a title said twice once; key phrases translated."""
-    c = F.trim(_cuts(F.trim(_cuts(name, r"^\d[\d.,]*\s*€\s*")), r"^€\s*\d[\d.,]*\s*"))
-    c = F.trim(_cuts(c, r"\s*\(Ref:.*?\)", r"\s*-\s*€.*"))
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+# What portals put around a title, phrases that are put into Spanish, and what stands beside a title's place.
+AROUND = (r"^\s*(?:\d[\d.,]*\s*€\s*)?(?:€\s*\d[\d.,]*\s*)?", r"\s*\(Ref:.*?\)", r"\s*-\s*€.*")
+PHRASES = ((r"\bfor sale\b", "en venta"), (r"(\d+)\s+bedroom\s+", "$1 habitaciones "))
+BEFORE_PLACE, AFTER_PLACE = ("en venta en", "in"), ("Hotel", "Guesthouse")
+#: Words from which on a title may have been said twice, and characters in which both halves agree then.
+TWICE_WORDS, TWICE_CHARACTERS = 8, 20
+
+
+def said_once(title: Column) -> Column:
+    """The first half of the words where the second half begins like it."""
+    both = F.transform(
+        F.array(F.regexp_extract_all(title, F.lit(r"(\S+)"))),
+        lambda w: F.struct(F.size(w).alias("n"), F.array_join(F.slice(w, 1, F.floor(F.size(w) / 2).cast("int")), " ").alias("x"), F.array_join(F.slice(w, F.floor(F.size(w) / 2).cast("int") + 1, F.size(w)), " ").alias("y")),
+    )[0]
+    begins = F.left(F.lower(both["x"]), F.lit(TWICE_CHARACTERS)) == F.left(F.lower(both["y"]), F.lit(TWICE_CHARACTERS))
+    return F.when((both["n"] >= TWICE_WORDS) & begins, both["x"]).otherwise(title)
 
-    def halved(w: Column) -> Column:
-        middle = F.floor(F.size(w) / 2).cast("int")
-        part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
-        return F.struct(F.size(w).alias("n"), part(F.lit(1), middle).alias("x"), part(middle + 1, F.size(w)).alias("y"))
 
-    halves = F.transform(F.array(words), halved)[0]
-    twice = (halves["n"] >= 8) & (F.left(F.lower(halves["x"]), F.lit(20)) == F.left(F.lower(halves["y"]), F.lit(20)))
-    c = F.when(twice, halves["x"]).otherwise(c)
-    c = F.regexp_replace(c, r"(?i)\bfor sale\b", "en venta")
-    return F.trim(F.regexp_replace(c, r"(?i)(\d+)\s+bedroom\s+", "$1 habitaciones "))
+def portal_title(name: Column) -> Column:
+    """A portal's item name as title: no leading price, reference or trailing price; a title said twice once; key phrases translated."""
+    c = F.trim(F.regexp_replace(name, "|".join(AROUND), ""))
+    c = said_once(c)
+    for phrase, spanish in PHRASES:
+        c = F.regexp_replace(c, "(?i)" + phrase, spanish)
+    return F.trim(c)
 
 
 def portal_place(title: Column) -> Column:
     """The place in a portal title, 'España' if there is none."""
-    place = found(title, r"(?i)(?:en venta en|in)\s+(.+?)(?:\s+Hotel|\s+Guesthouse|$)")
-    return F.coalesce(F.trim(F.regexp_replace(F.trim(place), ",+$", "")), F.lit("España"))
+    place = found(title, rf"(?i)(?:{'|'.join(BEFORE_PLACE)})\s+(.+?)(?:\s+(?:{'|'.join(AFTER_PLACE)})|$)")
+    return F.coalesce(F.trim(F.rtrim(F.trim(place), F.lit(","))), F.lit("España"))
 
 
 def city_in_title(title: Column) -> Column:

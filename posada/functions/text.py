@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,15 +28,43 @@ TITLE_STOPWORDS = (
 MORE_TITLE_STOPWORDS = ("con", "garaje", "piscina")
 # Words that do not tell registered names apart.
 NAME_STOPWORDS = ("hotel", "hostal", "pension", "apartamentos", "casa", "rural", "albergue", "el", "la", "los", "las", "de", "del")
-# The character references that are decoded.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\xa0", "euro": "€", "copy": "©", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "amp": "&"}
+#: Named character references, by their names as HTML 5 has them, with or without a semicolon.
+REFERENCES = dict(html5)
+#: What numbers from 80 to 9F stand for, by the rule of HTML 5.
+WINDOWS = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+
+
+def _table(entries: dict[str, str]) -> Column:
+    """A map that is folded into a constant."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
 
 
 def unescape(c: Column) -> Column:
-    """Decodes the named references of ``ENTITIES``, the ampersand's last."""
-    for name, sign in ENTITIES.items():
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(sign))
-    return c
+    """Decodes numeric and named character references, once. A name without its semicolon counts only if it is a whole run of letters and digits."""
+
+    def sign(code: Column) -> Column:
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        nothing = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        return F.when(valid & nothing, "").when(valid, F.coalesce(F.try_element_at(_table(WINDOWS), code.cast("string")), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise("\ufffd")
+
+    def one(part: Column) -> Column:
+        ref = F.regexp_extract(part, r"^(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?", 0)
+        bare = F.rtrim(ref, F.lit(";"))
+        decimal = F.coalesce(F.substring(bare, 2, 12).try_cast("long"), F.lit(1 << 40))
+        hexadecimal = F.when(F.length(bare) <= 12, F.conv(F.substring(bare, 3, 12), 16, 10).try_cast("long")).otherwise(F.lit(1 << 40))
+        value = (
+            F.when(ref == "", None)
+            .when(bare.rlike("^#[xX]"), sign(hexadecimal))
+            .when(F.startswith(bare, F.lit("#")), sign(decimal))
+            .otherwise(F.try_element_at(_table(REFERENCES), ref))
+        )
+        return F.coalesce(F.concat(value, F.substring(part, F.length(ref) + 1, F.length(part))), F.concat(F.lit("&"), part))
+
+    def whole(parts: Column) -> Column:
+        return F.when(F.size(parts) == 1, parts[0]).otherwise(F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), "")))
+
+    # A one-element array binds the parts, so that the text is worked out once.
+    return F.get(F.transform(F.array(F.split(c, "&")), whole), F.lit(0))
 
 
 def strip_tags(c: Column) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,32 @@ def reaches(new: str, old: str, least: float, strict: bool = False) -> bool:
     return r > least if strict else r >= least
 
 
+#: Buckets of characters whose counts bound the likeness of two titles.
+BUCKETS = 64
+
+
+def counts_of(titles: list[str]) -> np.ndarray:
+    """How many characters of each title fall into each bucket."""
+    out = np.zeros((len(titles), BUCKETS), np.int16)
+    for i, title in enumerate(titles):
+        codes = np.frombuffer(title.encode("utf-32-le"), np.uint32) % BUCKETS
+        out[i] = np.minimum(np.bincount(codes, minlength=BUCKETS), 32_000)
+    return out
+
+
+def may_reach(counts: np.ndarray, lengths: np.ndarray, i: int, least: float) -> np.ndarray:
+    """The titles before i whose ratio with it can reach the least one: no more characters match than both have in a bucket."""
+    common = np.minimum(counts[:i], counts[i]).sum(axis=1)
+    return np.flatnonzero(2 * common >= least * (lengths[:i] + lengths[i]) - 1e-9)
+
+
+def banded(rows: DataFrame, least: float, text: str = "title") -> DataFrame:
+    """The rows in the ``band`` of their length and, as ``low``, in the next one: texts further apart than two neighbours can't have lengths in the ratio ``least``."""
+    own = F.floor(F.log(1 / least, F.greatest(F.length(text), F.lit(1))) + 1e-9) if least < 1 else F.length(text)
+    bands = rows.withColumn("__band", own.cast("int"))
+    return bands.withColumn("band", F.explode(F.array("__band", F.col("__band") + 1))).withColumn("low", F.col("band") != F.col("__band")).drop("__band")
+
+
 def blocks(rows: DataFrame, key: str, item: str, size: int = BLOCK) -> DataFrame:
     """The rows with the block pairs (a, b), a <= b, in which items of one key meet; keys of one row are left out."""
     counts = rows.groupBy(key).agg(F.count("*").alias("__m")).where("__m > 1")
@@ -58,12 +85,14 @@ def like_values(values: DataFrame, least: float, strict: bool = False, places: b
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["value"])
-        rows = list(zip(part["value"], part["title"], part["place"], part["own"], strict=True))
+        rows = list(zip(part["value"], part["title"], part["place"], part["own"], part["low"], strict=True))
         across = bool(len(part)) and part["a"].iloc[0] != part["b"].iloc[0]
+        counts, lengths = counts_of(part["title"].tolist()), part["title"].str.len().to_numpy()
         out = []
-        for i, (v, x, p, own) in enumerate(rows):
-            for w, y, q, other in rows[:i]:
-                if across and own == other or places and not (p in q or q in p):
+        for i, (v, x, p, own, low) in enumerate(rows):
+            for j in may_reach(counts, lengths, i, least).tolist():
+                w, y, q, other, below = rows[j]
+                if across and own == other or low and below or places and not (p in q or q in p):
                     continue
                 if reaches(x, y, least, strict):
                     out.append((v, w))
@@ -71,16 +100,19 @@ def like_values(values: DataFrame, least: float, strict: bool = False, places: b
                     out.append((w, v))
         return pd.DataFrame(out, columns=["new", "old"]).astype("int64")
 
-    return blocks(values, "price", "value").groupBy("price", "a", "b").applyInPandas(compare, "new long, old long")
+    # With lengths m <= n the ratio is 2 m / (m + n) at most.
+    ranged = banded(values, least / (2 - least)).withColumn("key", F.struct("price", "band"))
+    return blocks(ranged, "key", "value").groupBy("key", "a", "b").applyInPandas(compare, "new long, old long")
 
 
 def like_values_native(values: DataFrame, least: float) -> DataFrame:
-    """As ``like_values``, with 1 - Levenshtein distance / longer length as the likeness, by a join on the price."""
-    x = values.select("price", F.col("value").alias("new"), F.col("title").alias("x"))
-    y = values.select("price", F.col("value").alias("old"), F.col("title").alias("y"))
+    """As ``like_values``, with 1 - Levenshtein distance / longer length as the likeness, by a join on the price and the band of the length."""
+    ranged = banded(values, least)
+    x = ranged.select("price", "band", F.col("value").alias("new"), F.col("title").alias("x"), F.col("low").alias("xlow"))
+    y = ranged.select("price", "band", F.col("value").alias("old"), F.col("title").alias("y"), F.col("low").alias("ylow"))
     longer = F.greatest(F.length("x"), F.length("y"), F.lit(1))
     near = (F.least(F.length("x"), F.length("y")) >= least * longer) & (1 - F.levenshtein("x", "y") / longer >= least)
-    return x.join(y, "price").where((F.col("new") != F.col("old")) & near).select("new", "old")
+    return x.join(y, ["price", "band"]).where("new != old and not (xlow and ylow)").where(near).select("new", "old")
 
 
 def first_accepted(rows: DataFrame, values_alike: Callable[[DataFrame], DataFrame], price: Column, title: Column, place: Column, guarded: Column) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from posada.functions.dates import sort_date
 
+from .shared import checkpointed
+
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list, last: bool = False) -> DataFrame:  # noqa: ANN001
     """The first (or last) row of each key in the order given. Aggregates before the shuffle, so that a hot key costs no task its size."""
@@ -37,8 +39,11 @@ def union_in_order(parts: list[DataFrame], order: str = "ord") -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list, name: str = "ord", ranges: int = 64) -> DataFrame:  # noqa: ANN001
-    """Consecutive numbers from 0 in an order. Rows are dealt out by ranges and numbered within them, after the counts of the ranges before."""
-    dealt = rows.repartitionByRange(ranges, *order).withColumn("__p", F.spark_partition_id())
+    """Consecutive numbers from 0 in an order. Rows are dealt out by ranges and numbered within them, after the counts of the ranges before.
+
+    The ranges come from a sample, so the dealt rows are written once: numbers and counts must be of the same ranges.
+    """
+    dealt = checkpointed(rows.repartitionByRange(ranges, *order).withColumn("__p", F.spark_partition_id()))
     within = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__b", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n"))

@@ -46,17 +46,24 @@ def hit(e: str, pattern: str, group: int = 1, flags: str = "") -> str:
     return f"CASE WHEN regexp_matches({e}, '{pattern}'{more}) THEN regexp_extract({e}, '{pattern}', {group}{more}) END"
 
 
+#: The references that the given pages have; the SQL replaces them one after another, the ampersand's last.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\xa0", "euro": "€", "copy": "©", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "amp": "&"}
+
+
 def unescaped(e: str) -> str:
-    for name, sign in text.ENTITIES.items():
+    for name, sign in ENTITIES.items():
         quoted = sign.replace("'", "''")
         e = f"replace({e}, '&{name};', '{quoted}')"
     return e
 
 
 _tags = lambda e: f"regexp_replace(coalesce({e}, ''), '<[^>]+>', ' ', 'g')"
+_TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
+_references = lambda: F.concat(F.lit("&Aacute;&#x20AC;&#8364;&#128;&amp;lt;&ntilde;"), c("p_name"), F.lit("&nosuch; &aacute &#xD800;&#"), (c("p_size") + 64).cast("string"), F.lit(" & &NotEqualTilde;&#7;&;"))
+scalar("f1_references", lambda: {"plain": text.unescape(_references())}, {"plain": "'Á€€€&lt;ñ' || p_name || '&nosuch; á �' || chr(p_size + 64) || ' & ≂̸&;'"}, "part", "p_partkey")
 scalar("f1_clean", lambda: {"cleaned": text.clean(c("html"))}, {"cleaned": TRIM(unescaped(_tags("html")))}, "pages", "page_id")
 scalar("f2_clean_no_brackets", lambda: {"cleaned": text.clean_no_brackets(c("html"))}, {"cleaned": TRIM(f"translate({unescaped(_tags('html'))}, '<>', '')")}, "pages", "page_id")
-scalar("f3_scrub", lambda: {"cleaned": text.scrub(c("html")), "title": text.scrub(F.left("html", F.lit(300)))}, {"cleaned": TRIM(f"translate({_tags('html')}, '<>', '')"), "title": TRIM(f"translate({_tags('left(html, 300)')}, '<>', '')")}, "pages", "page_id")
+scalar("f3_scrub", lambda: {"cleaned": text.scrub(c("html")), "title": text.scrub(F.regexp_extract("html", "<title>(.*?)</title>", 1))}, {"cleaned": TRIM(f"translate({_tags('html')}, '<>', '')"), "title": TRIM(f"translate({_tags(_TITLE)}, '<>', '')")}, "pages", "page_id")
 
 
 def without_words(e: str, words: tuple[str, ...]) -> str:

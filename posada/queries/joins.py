@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from posada.functions.attributes import alias_value
 from posada.functions.dates import query_day
+from posada.functions.prices import digits
 from posada.functions.text import canonical_url, folded_lower
 from posada.operators import dedup, enrich, geo, merge, model, order
 from posada.schema import BOOKING
@@ -77,37 +78,37 @@ def carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIRST_KEY = "arg_min(region, (-length(key), ord))"
 
 
-@register("j4_region_longest", f"WITH {bind.GAZETTEER}, t AS (SELECT DISTINCT strip_accents(lower(split_part(text, chr(10), 1))) AS body FROM documents) SELECT body, {FIRST_KEY} AS region FROM t LEFT JOIN ranked ON contains(body, key) GROUP BY body")
+@register("j4_region_longest", f"WITH {bind.GAZETTEER}, t AS (SELECT DISTINCT strip_accents(lower(text)) AS body FROM conversations WHERE text IS NOT NULL) SELECT body, {FIRST_KEY} AS region FROM t LEFT JOIN ranked ON contains(body, key) GROUP BY body")
 def region_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = bind.table(spark, sf_dir, "documents").select(folded_lower(F.split_part("text", F.lit("\n"), F.lit(1))).alias("body"))
+    texts = bind.table(spark, sf_dir, "conversations").select(folded_lower(c("text")).alias("body"))
     return geo.regions_of(texts, bind.gazetteer(spark, sf_dir), "body")
 
 
-@register("f27_region_first_key", f"WITH {bind.GAZETTEER}, t AS (SELECT DISTINCT lower(split_part(text, chr(10), 1)) AS body FROM documents) SELECT body, arg_min(region, ord) AS region FROM t LEFT JOIN ranked ON contains(body, key) GROUP BY body")
+@register("f27_region_first_key", f"WITH {bind.GAZETTEER}, t AS (SELECT DISTINCT lower(text) AS body FROM conversations WHERE text IS NOT NULL) SELECT body, arg_min(region, ord) AS region FROM t LEFT JOIN ranked ON contains(body, key) GROUP BY body")
 def region_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = bind.table(spark, sf_dir, "documents").select(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))).alias("body"))
+    texts = bind.table(spark, sf_dir, "conversations").select(F.lower("text").alias("body"))
     return geo.regions_of(texts, bind.gazetteer(spark, sf_dir), "body", by_length=False)
 
 
 @register("j11_region_longest_whole")
 def region_longest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``j4_region_longest``, over whole texts."""
+    """As ``j4_region_longest``, over the documents' texts."""
     return geo.regions_of(bind.table(spark, sf_dir, "documents").select(folded_lower(c("text")).alias("body")), bind.gazetteer(spark, sf_dir), "body")
 
 
 @register("f39_region_first_key_whole")
 def region_first_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``f27_region_first_key``, over whole texts."""
+    """As ``f27_region_first_key``, over the documents' texts."""
     return geo.regions_of(bind.table(spark, sf_dir, "documents").select(F.lower("text").alias("body")), bind.gazetteer(spark, sf_dir), "body", by_length=False)
 
 
 _hit = lambda e: f"(SELECT {FIRST_KEY} FROM ranked WHERE contains(strip_accents(lower(coalesce({e}, ''))), key))"
 
 
-@register("f26_infer_region", f"WITH {bind.LISTINGS}, {bind.GAZETTEER} SELECT ord, CASE WHEN coalesce(location_region, '') <> '' THEN location_region ELSE coalesce({_hit('left(location, 3)')}, {_hit('location_city')}, {_hit('title')}, location_region) END AS location_region FROM listings")
+@register("f26_infer_region", f"WITH {bind.LISTINGS}, {bind.GAZETTEER} SELECT ord, CASE WHEN coalesce(location_region, '') <> '' THEN location_region ELSE coalesce({_hit('location')}, {_hit('location_city')}, {_hit('title')}, location_region) END AS location_region FROM listings")
 def infer_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bind.listings(spark, sf_dir)
-    sources = [folded_lower(x) for x in (F.left("location", F.lit(3)), c("location_city"), c("title"))]
+    sources = [folded_lower(x) for x in (c("location"), c("location_city"), c("title"))]
     return geo.infer_region(rows, bind.gazetteer(spark, sf_dir), sources).select("ord", "location_region")
 
 
@@ -136,17 +137,16 @@ def table_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.table_dedup(bind.listings(spark, sf_dir)).select("ord", "url", "title")
 
 
-_letters = "lower(left(regexp_replace(title, '[^\\p{L}]', '', 'g'), 12))"
+_digits = "regexp_replace(coalesce(price, ''), '[^0-9]', '', 'g')"
 
 
 @register(
     "j6_price_block_pairs",
-    f"WITH {bind.LISTINGS}, v AS (SELECT DISTINCT {_letters} AS price, trim(lower(title)) AS title FROM listings WHERE {_letters} <> '') SELECT x.title AS title, y.title AS other FROM v x JOIN v y ON x.price = y.price AND x.title < y.title "
+    f"WITH {bind.LISTINGS}, v AS (SELECT DISTINCT {_digits} AS price, trim(lower(title)) AS title FROM listings WHERE {_digits} <> '') SELECT x.title AS title, y.title AS other FROM v x JOIN v y ON x.price = y.price AND x.title < y.title "
     "WHERE 1 - levenshtein(x.title, y.title) / greatest(length(x.title), length(y.title), 1)::DOUBLE >= 0.72",
 )
 def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = F.lower(F.left(F.regexp_replace("title", r"[^\p{L}]", ""), F.lit(12)))
-    values = bind.listings(spark, sf_dir).select(letters.alias("price"), F.trim(F.lower("title")).alias("title")).where("price != ''").distinct().withColumn("value", F.col("title"))
+    values = bind.listings(spark, sf_dir).select(digits(c("price")).alias("price"), F.trim(F.lower("title")).alias("title")).where("price != ''").distinct().withColumn("value", F.col("title"))
     return dedup.like_values_native(values, 0.72).where("new < old").select(F.col("new").alias("title"), F.col("old").alias("other"))
 
 
@@ -165,7 +165,7 @@ def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind.listings(spark, sf_dir).groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("rooms")), ",").alias("rooms"))
 
 
-@register("d8_distinct_price_rows")
+@register("d8_distinct_price_rows", f"WITH {bind.LISTINGS} SELECT DISTINCT source, price FROM listings")
 def distinct_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct prices of each source, one row each: no task gathers those of a source."""
     return bind.listings(spark, sf_dir).select("source", "price").distinct()

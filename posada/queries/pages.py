@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posada.sources import pages, store
+from posada.operators import model
+from posada.sources import details, pages, store
 
 from . import bind
 from .functions import TRIM, unescaped
@@ -89,17 +90,38 @@ def extract_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "s8_extract_portals",
-    "SELECT p_partkey AS page_id, 'https://x.example/inmueble/' || p_partkey::VARCHAR || '/' AS url, p_name AS title, p_size::VARCHAR || '.000 €' AS price, 'Idealista' AS source FROM part WHERE p_partkey % 2 = 0 "
-    "UNION ALL SELECT p_partkey, 'https://x.example/es/p' || p_partkey::VARCHAR, p_name, '€ ' || p_size::VARCHAR || '.000', 'LuxuryEstate' FROM part WHERE p_partkey % 2 = 1",
+    "SELECT p_partkey AS page_id, 'https://www.idealista.com/inmueble/' || p_partkey::VARCHAR || '/' AS url, 'Local en ' || p_name || ', Ronda, ' || p_brand AS title, p_size::VARCHAR || '.000 €' AS price, p_brand AS location, 'Idealista' AS source FROM part WHERE p_partkey % 4 = 0 "
+    "UNION ALL SELECT p_partkey, 'https://x.example/es/p' || p_partkey::VARCHAR || '/hotel-for-sale-costa-azul', p_name, 'Desde' || p_size::VARCHAR || '.000 €', 'Costa Azul', 'LuxuryEstate' FROM part WHERE p_partkey % 4 = 1 "
+    "UNION ALL SELECT p_partkey, 'https://x.example/n', p_name, CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR || '.000 €' ELSE 'Precio a consultar' END, p_type, 'NegociosEnVenta' FROM part WHERE p_partkey % 4 = 2 AND length(p_name) >= 5 "
+    "UNION ALL SELECT p_partkey, 'https://x.example/page', 'Hotel ' || p_name, 'Precio a consultar', p_type, 'HotelSeVende' FROM part WHERE p_partkey % 4 = 3",
 )
 def extract_portals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, name, size = c("p_partkey").cast("string"), c("p_name"), c("p_size").cast("string")
-    say = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in p))
-    one = say('<div><article data-element-id="', key, '"><a href="https://x.example/inmueble/', key, '/" title="', name, '">', name, '</a><span class="item-price">', size, ".000 <i>€</i></span></article></div>")
-    two = say('<ul><li class="search-list__item"><a href="https://x.example/es/p', key, '"><b>', name, '</b></a><div class="the-price">Desde € ', size, ".000</div></li><li>x</li></ul>")
-    even = c("p_partkey") % 2 == 0
-    made = bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), F.lit("https://x.example").alias("url"), F.when(even, one).otherwise(two).alias("html"), F.when(even, "Idealista").otherwise("LuxuryEstate").alias("source"))
-    return pages.extract_listings(made).select("page_id", "url", "title", "price", "source")
+    key, name, size, brand, kind = c("p_partkey").cast("string"), c("p_name"), c("p_size").cast("string"), c("p_brand"), c("p_type")
+    title = _say("Local en ", name, ", Ronda, ", brand)
+    one = _say('<div><article data-element-id="', key, '"><a href="/x" title="', title, '">x</a><span class="item-price">', size, ".000 <i>€</i></span></article></div>")
+    two = _say('<ul><li class="search-list__item"><a href="https://x.example/es/p', key, '/hotel-for-sale-costa-azul"><b>', name, '</b></a><div class="the-price">Desde € ', size, ".000</div></li><li>x</li></ul>")
+    price = F.when(c("p_size") % 2 == 0, _say(size, ".000 €")).otherwise("1€")
+    three = _say('<div><span class="numPrice">', price, '</span><div><div><h2 class="listviewtitle"><a href="https://x.example/n">', name, '</a></h2><span class="textintro">', kind, "</span></div></div></div>")
+    four = _say("<body><h1>Hotel ", name, "</h1><p>€1</p><ul><li><strong>", kind, "</strong></li><li>Ciudad</li></ul></body>")
+    by = lambda *values: bind.by_remainder("p_partkey", *values)
+    made = bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), F.lit("https://x.example/page").alias("url"), by(one, two, three, four).alias("html"), by(*map(F.lit, ("Idealista", "LuxuryEstate", "NegociosEnVenta", "HotelSeVende"))).alias("source"))
+    return pages.extract_listings(made).select("page_id", "url", "title", "price", "location", "source")
+
+
+@register(
+    "s8_extract_more",
+    "SELECT p_partkey AS page_id, 'Finca ' || p_name AS title, p_size::VARCHAR || '.500 €' AS price, CASE WHEN p_partkey % 2 = 0 THEN 'Ciutadella, ' || p_brand ELSE 'Costa Brava' END AS location, "
+    "CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'About ' || p_type END AS description, CASE WHEN p_partkey % 2 = 0 THEN 'EngelVolkers' ELSE 'OiRealEstate' END AS source FROM part",
+)
+def extract_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place out of a card's first lines, and one out of the URL."""
+    name, size, even = c("p_name"), c("p_size").cast("string"), c("p_partkey") % 2 == 0
+    one = _say('<article><a href="/es/es/exposes/1"><img alt="Finca ', name, '"></a>\n<p>Nuevo</p>\n<p>Ciutadella, ', c("p_brand"), ", España</p>\n<p>", size, ".500 €</p></article>")
+    two = _say("<body><h1>Finca ", name, '</h1><b>', size, '.500 €</b><div class="desc">About ', c("p_type"), "</div></body>")
+    made = bind.table(spark, sf_dir, "part").select(
+        c("p_partkey").alias("page_id"), F.lit("https://x.example/propiedad/7/finca-en-venta-en-costa-brava").alias("url"), F.when(even, one).otherwise(two).alias("html"), F.when(even, "EngelVolkers").otherwise("OiRealEstate").alias("source")
+    )
+    return pages.extract_listings(made).select("page_id", "title", "price", "location", "description", "source")
 
 
 @register("s9_detail_patch", "SELECT p_partkey AS page_id, CASE WHEN p_size BETWEEN 1 AND 500 THEN p_size END AS rooms, CASE WHEN p_partkey BETWEEN 20 AND 100000 THEN p_partkey::INT END AS m2, p_brand AS location_city FROM part")
@@ -130,3 +152,123 @@ def licence_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(c("event_id") % 3 == 0, F.concat(F.lit("{"), c("props"))).otherwise(c("props"))
     return bind.table(spark, sf_dir, "events").select("event_id", store.is_valid_json(text).alias("valid"))
+
+
+def _say(*parts):  # noqa: ANN002, ANN202
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+
+def _parts_as_pages(spark: SparkSession, sf_dir: str, source: str, html, title=None, url=None, location=None) -> DataFrame:  # noqa: ANN001
+    none = F.lit(None).cast("string")
+    return bind.table(spark, sf_dir, "part").select(
+        c("p_partkey").alias("page_id"), (F.lit("https://x.example/1") if url is None else url).alias("url"), html.alias("html"), F.lit(source).alias("source"),
+        (none if title is None else title).alias("title"), (none if location is None else location).alias("location"),
+    )
+
+
+_in = lambda e, low, high: f"CASE WHEN {e} BETWEEN {low} AND {high} THEN ({e})::INT END"
+
+
+@register(
+    "s9_luxury_listing",
+    "SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 0 THEN p_size::INT ELSE (p_size + 1)::INT END AS rooms, (p_size * 2)::INT AS beds, (p_size * 1000 + 5)::INT AS m2, (p_size % 4)::INT AS bathrooms, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END AS location, "
+    "'About ' || p_brand || '   x' AS text FROM part",
+)
+def luxury_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first visit: labels in order of preference, the place from the heading or else from the crumbs, a tilde as a blank."""
+    size = c("p_size").cast("string")
+    heading = F.when(c("p_partkey") % 3 == 0, "Hotel de lujo").otherwise(_say("Hotel de lujo en venta ", c("p_name"), ", España"))
+    rooms = F.when(c("p_partkey") % 2 == 0, _say("Bedrooms: 77 Dormitorios: ", size)).otherwise(_say("Estancias: ", (c("p_size") + 1).cast("string"), " Rooms: 9"))
+    html = _say(
+        "<body><h1>", heading, '</h1><nav aria-label="breadcrumb"><a>Inicio</a><a>', c("p_type"), "</a><a>España</a></nav><div class='the-description'>About ", c("p_brand"), " ~ x</div><p>", rooms, "</p><p>Camas: ",
+        (c("p_size") * 2).cast("string"), " Superficie: ", size, ".005 m2 Baños: ", (c("p_size") % 4).cast("string"), "</p></body>",
+    )
+    return details.details(_parts_as_pages(spark, sf_dir, "LuxuryEstate", html), details.FIRST).select("page_id", "rooms", "beds", "m2", "bathrooms", "location", "text")
+
+
+@register(
+    "s9_luxury_again",
+    f"SELECT p_partkey AS page_id, {_in('p_size * 11', 1, 500)} AS rooms, (p_size)::INT AS beds, {_in('p_partkey', 20, 100000)} AS m2, CASE WHEN p_size % 10 BETWEEN 1 AND 5 THEN (p_size % 10)::INT END AS stars, "
+    "CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Costa Azul' END AS location_city FROM part",
+)
+def luxury_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later pass: numbers near their words within likely bounds, the place from meta tags or else from the URL."""
+    meta = F.when(c("p_partkey") % 2 == 0, _say('<meta property="og:locality" content="', c("p_brand"), '">')).otherwise("")
+    html = _say(
+        meta, "<ul><li>Dormitorios y más: <b>", (c("p_size") * 11).cast("string"), "</b></li></ul><p>", c("p_size").cast("string"), " camas</p><p>a pie de playa y campo</p><p>", c("p_partkey").cast("string"), " m²</p><p>", (c("p_size") % 10).cast("string"), " estrellas</p>",
+    )
+    made = _parts_as_pages(spark, sf_dir, "LuxuryEstate", html, url=F.lit("https://x.example/es/p1-hotel-for-sale-costa-azul"))
+    return details.details(made).select("page_id", "rooms", "beds", "m2", "stars", "location_city")
+
+
+@register(
+    "s9_think",
+    "SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 0 THEN p_size::INT ELSE 12 END AS rooms, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN 'San Pedro' ELSE 'Aguadulce' END AS location_city, "
+    "CASE WHEN p_partkey % 3 = 1 THEN 'San Pedro' WHEN p_partkey % 3 = 2 THEN 'Aguadulce Almeria' END AS region_hint, 250 AS m2 FROM part",
+)
+def think(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms and the place from the title, a province in brackets as a hint; the country is no place."""
+    rooms = F.when(c("p_partkey") % 2 == 0, _say(c("p_size").cast("string"), " bedroom Hotel")).otherwise("Hotel")
+    title = _say(rooms, " en venta in ", bind.by_remainder("p_partkey", F.lit("Spain"), F.lit("san pedro with pool"), F.lit("Aguadulce (Almeria) - € 490,000")))
+    html = F.lit("<p>x</p><ul class='features'><li>12 habitaciones</li><li>250 m2</li></ul><p>30 habitaciones</p>")
+    out = details.details(_parts_as_pages(spark, sf_dir, "ThinkSpain", html, title=title))
+    return out.select("page_id", "rooms", "location_city", F.when(c("location_city").isNotNull(), c("region_hint")).alias("region_hint"), "m2")
+
+
+@register("s9_idealista", "SELECT p_partkey AS page_id, p_size::INT AS rooms, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS location_city, CASE WHEN p_partkey % 2 = 0 THEN 'Hoteles ' || p_type || ' ' || p_brand END AS region_hint FROM part")
+def idealista(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place is the last crumb but one; a single crumb is none."""
+    more = F.when(c("p_partkey") % 2 == 0, _say("<li>", c("p_type"), "</li><li>", c("p_brand"), "</li>")).otherwise("")
+    html = _say("<ul class='breadcrumb-list'><li>Hoteles</li>", more, "</ul><p>", c("p_size").cast("string"), " hab.</p>")
+    return details.details(_parts_as_pages(spark, sf_dir, "Idealista", html)).select("page_id", "rooms", "location_city", "region_hint")
+
+
+@register("s9_generic", "SELECT p_partkey AS page_id, p_size::INT AS rooms, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS location_city, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS region_hint FROM part")
+def generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meta tags give the place, but not the country; else the listing's own place hints at the region."""
+    city = F.when(c("p_partkey") % 2 == 0, c("p_brand")).otherwise("Spain")
+    html = _say('<meta name="city" content="', city, '"><p>', c("p_size").cast("string"), " rooms</p>")
+    return details.details(_parts_as_pages(spark, sf_dir, "HotelSeVende", html, location=c("p_type"))).select("page_id", "rooms", "location_city", "region_hint")
+
+
+@register(
+    "s8_think_list",
+    "SELECT p_partkey AS page_id, 'https://x.example/' || p_partkey::VARCHAR AS url, p_size::VARCHAR || ',000 €' AS price, 'Hotel en venta in ' || p_brand AS title, p_brand AS location, p_type AS description, 'ThinkSpain' AS source FROM part",
+)
+def think_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portal's list from JSON-LD, with title, price and place out of the item's name."""
+    name = _say("€ ", c("p_size").cast("string"), ",000 Hotel for sale in ", c("p_brand"), " (Ref: 7)")
+    item = F.to_json(F.struct(F.struct(_say("https://x.example/", c("p_partkey").cast("string"), "/?a=b").alias("url"), name.alias("name"), _say("<b>", c("p_type"), "</b>").alias("description")).alias("item")))
+    html = _say('<script type="application/ld+json">{"@type":"ItemList","itemListElement":[', item, "]}</script>")
+    return pages.think_listings(bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), html.alias("html"))).select("page_id", "url", "price", "title", "location", "description", "source")
+
+
+@register(
+    "s8_regex_cards",
+    "SELECT p_partkey AS page_id, 0 AS pos, 'https://x.example/es/un-hotel-' || p_partkey::VARCHAR AS url, 'Hotel ' || p_name AS title, p_size::VARCHAR || '.000 €' AS price, p_type AS location FROM part "
+    "UNION ALL SELECT p_partkey, 1, 'https://x.example/list', 'Hotel ' || p_brand, 'Precio a consultar', 'España' FROM part",
+)
+def regex_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards by patterns alone: no markup is parsed, no Python runs. Cards that are not about hotels or have no title go."""
+    key = c("p_partkey").cast("string")
+    one = _say('<article class="property-card"><a href="/es/un-hotel-', key, '"><h2>Hotel ', c("p_name"), "</h2></a><b>", c("p_size").cast("string"), ".000 €</b><span class='location'> ", c("p_type"), " </span></article>")
+    html = _say("<div>", one, '<div class="result"><h3>Hotel ', c("p_brand"), '</h3></div><div class="card"><h3>Garage of ', c("p_brand"), '</h3></div><div class="card">hotel</div></div>')
+    made = bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), F.lit("https://x.example/list").alias("url"), html.alias("html"))
+    return pages.regex_cards(made, "https://x.example").select("page_id", "pos", "url", "title", "price", "location")
+
+
+@register("s9_booking_card", "SELECT p_partkey, (p_size + 20)::INT AS price, [(p_size + 20)::INT, 4000] AS seen, 8.5::DOUBLE AS rating, 1234 AS reviews, (CASE WHEN p_partkey % 2 = 0 THEN 0.9 ELSE 0.35 END)::DOUBLE AS match FROM part")
+def booking_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quote from a booking card: prices, rating, reviews, and how well the name fits the registered one."""
+    even, none = c("p_partkey") % 2 == 0, F.lit(None).cast("string")
+    text = _say("Hotel Sol, ", F.when(even, "Marbella").otherwise("Ronda"), " 8,5 Fabuloso 1.234 comentarios € ", (c("p_size") + 20).cast("string"), " 4.000 €")
+    match = model.match_score(F.when(even, 1.0).otherwise(0.5), F.lit("Marbella"), none, text)
+    quote = pages.booking_quote(text, [_say("€ ", (c("p_size") + 20).cast("string"))], F.lit("Hotel Sol"), F.lit("u"), match)
+    return bind.table(spark, sf_dir, "part").select("p_partkey", quote.alias("q")).select("p_partkey", c("q.precio_noche").alias("price"), c("q.precios_vistos").alias("seen"), "q.rating", "q.reviews", "q.match")
+
+
+@register("s9_travel_page", "SELECT p_partkey, 4.5::DOUBLE AS rating, p_size::INT AS reviews, (p_size + 100)::INT AS typical, [(p_size + 50)::INT, (p_size + 100)::INT] AS span FROM part")
+def travel_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quote from a travel page's text."""
+    text = _say("Hotel Sol 4,5 (", c("p_size").cast("string"), " reseñas) ", (c("p_size") + 50).cast("string"), " € ", (c("p_size") + 100).cast("string"), " € 9 €")
+    return bind.table(spark, sf_dir, "part").select("p_partkey", pages.travel_quote(text, F.lit("u")).alias("q")).select("p_partkey", "q.rating", "q.reviews", c("q.precio_tipico").alias("typical"), c("q.rango").alias("span"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -11,8 +11,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posada.functions.base import collapse, present
-from posada.functions.text import unescape
+from posada.functions.base import collapse, found, present
+from posada.functions.places import place_from_slug, portal_place, portal_title
+from posada.functions.prices import portal_price, price_or_request
+from posada.functions.text import about_hotels, canonical_url, clean, unescape
 
 _DROPPED = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
@@ -105,8 +107,12 @@ class Rule:
     """How one portal's pages are read.
 
     ``card`` names the element of a row as (tag, attribute, pattern); an empty tag takes any. A field is a list
-    of ways, tried in order: (tag, attribute, pattern, what), where what is 'text', an attribute's name, or
-    'match:REGEX' on the text of the element; a tag of '' with no attribute stands for the card itself.
+    of ways, tried in order: (tag, attribute, pattern, what), where what is 'text', 'lines' (the first three lines
+    of text), 'long' (texts of all such elements of more than 40 characters, joined), 'before' (the text of the bold
+    part of the element of the same kind before it), an attribute's name, or 'match:REGEX' on the text of the
+    element; a tag of '' with no attribute stands for the card itself. 'up N:' before that looks in the nearest of
+    N elements around the card that has such an element. A card needs all of ``needs``. ``finish`` makes the
+    columns final, from those that were read.
     """
 
     source: str
@@ -114,6 +120,8 @@ class Rule:
     fields: dict[str, tuple[tuple[str, str, str, str], ...]]
     defaults: dict[str, str] = field(default_factory=dict)
     least_title: int = 1
+    needs: tuple[str, ...] = ()
+    finish: dict[str, Callable[[], Column]] = field(default_factory=dict)
 
 
 # The markup of the portals, and what stands for a missing price or place.
@@ -123,12 +131,35 @@ PORTALS = {
     r.source: r
     for r in (
         Rule("LucasFox", ("li", "", ""), {"url": (("a", "href", r"/comprar-vivienda/espana/.*\.html$", "href"),), "title": (("", "class", "title|name", "text"),), "price": (("", "class", "price", AMOUNT),), "location": (("", "class", "location|area", "text"),)}, least_title=5),
-        Rule("LuxuryEstate", ("li", "class", "search-list__item"), {"url": (("a", "href", r"/es/p\d+", "href"),), "title": (("a", "href", r"/es/p\d+", "text"),), "price": (("", "class", "price", AMOUNT),)}),
-        Rule("NegociosEnVenta", ("div", "class", "listing"), {"url": (("a", "href", ".", "href"),), "title": (("h2", "class", "listviewtitle", "text"),), "price": (("span", "class", "numPrice", "text"),)}),
-        Rule("EngelVolkers", ("article", "", ""), {"url": (("a", "href", ".", "href"),), "title": (("img", "alt", ".", "alt"),), "price": (("", "", "", AMOUNT),)}),
-        Rule("HotelSeVende", ("body", "", ""), {"title": (("h1", "", "", "text"),), "price": (("", "", "", r"match:(€\s*\d[\d.,]*)"),)}),
-        Rule("OiRealEstate", ("body", "", ""), {"title": (("h1", "", "", "text"),), "price": (("", "", "", r"match:(\d[\d.,]*\s*€)"),), "description": (("", "class", "desc", "text"),)}),
-        Rule("Idealista", ("article", "data-element-id", "."), {"url": (("a", "href", "/inmueble/", "href"),), "title": (("a", "title", ".", "title"),), "price": (("span", "class", "item-price", "text"),), "description": (("", "class", "item-description", "text"),)}),
+        Rule(
+            "LuxuryEstate", ("li", "class", "search-list__item"),
+            {"url": (("a", "href", r"/es/p\d+", "href"),), "title": (("h[234]", "", "", "text"), ("a", "href", r"/es/p\d+", "text")), "price": (("", "class", "price", "text"),), "description": (("p", "", "", "text"),)},
+            needs=("url",), finish={"price": lambda: reordered(F.col("price")), "location": lambda: F.coalesce(place_from_slug(canonical_url(F.col("url")), "hotel-for-sale-(.+)$"), F.col("location"))},
+        ),
+        Rule(
+            "NegociosEnVenta", ("h2", "class", "listviewtitle"),
+            {"url": (("a", "href", ".", "href"),), "title": (("", "", "", "text"),), "price": (("span", "class", "numPrice", "up 8:text"),), "location": (("span", "class", "textintro", "up 1:text"),), "description": (("p", "", "", "up 1:text"),)},
+            least_title=5, needs=("url",), finish={"price": lambda: price_or_request(F.col("price"))},
+        ),
+        Rule(
+            "EngelVolkers", ("article", "", ""),
+            {"url": (("a", "href", "/es/es/exposes/", "href"),), "title": (("img", "alt", ".", "alt"),), "price": (("", "", "", r"match:(\d[\d.,]*\s*€)"),), "location": (("", "", "", "lines"),)},
+            least_title=8, needs=("url",), finish={"location": lambda: place_in_lines(F.col("location"))},
+        ),
+        Rule(
+            "HotelSeVende", ("body", "", ""),
+            {"title": (("h1", "", "", "text"),), "price": (("", "", "", r"match:(€\d[\d.,]*)"),), "location": (("li", "", "^Ciudad$", "before"),), "description": (("p", "", "", "long"),)},
+            least_title=8, finish={"price": lambda: price_or_request(F.col("price")), "description": lambda: F.left("description", F.lit(1500))},
+        ),
+        Rule(
+            "OiRealEstate", ("body", "", ""), {"title": (("h1", "", "", "text"),), "price": (("", "", "", r"match:(\d[\d.,]*\s*€)"),), "description": (("div", "class", "(?i)desc|content|text|body", "text"),)},
+            least_title=8, finish={"location": lambda: F.coalesce(place_from_slug(F.col("url"), r"/propiedad/\d+/[^/]+-en-venta-en-(.+)$"), F.lit(DEFAULTS["location"])), "description": lambda: F.left("description", F.lit(1500))},
+        ),
+        Rule(
+            "Idealista", ("article", "data-element-id", "."),
+            {"url": (("", "data-element-id", ".", "own"), ), "title": (("a", "title", ".", "title"),), "price": (("span", "class", "item-price", "text"),), "description": (("p", "class", "ellipsis", "text"), ("", "class", "item-description", "text"))},
+            least_title=8, needs=("url",), finish={"url": lambda: F.concat(F.lit("https://www.idealista.com/inmueble/"), F.col("url"), F.lit("/")), "location": lambda: F.coalesce(F.trim(found(F.col("title"), r",\s*[^,]+,\s*([^,]+)$")), F.col("location"))},
+        ),
         Rule("Kyero", ("a", "href", "/es/property/"), {"url": (("", "", "", "href"),), "title": (("img", "alt", ".", "alt"),), "price": (("", "", "", AMOUNT),)}),
         Rule("Fotocasa", ("", "class", "re-Card"), {"url": (("a", "href", ".", "href"),), "title": (("", "class", "[Tt]itle", "text"),), "price": (("", "class", "[Pp]rice", "text"),)}),
         Rule("Habitaclia", ("article", "", ""), {"url": (("a", "href", ".", "href"),), "title": (("h3", "", "", "text"),), "price": (("", "class", "price", "text"),)}),
@@ -152,7 +183,8 @@ class Node:
             yield node
             stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
-    def text(self) -> str:
+    def text(self, lines: str = "") -> str:
+        """The text with blanks collapsed, or with ``lines`` given as it stands, parts joined by that."""
         parts, stack = [], [self]
         while stack:
             node = stack.pop()
@@ -160,7 +192,7 @@ class Node:
                 parts.append(node)
             elif node.tag not in ("script", "style"):
                 stack += reversed(node.children)
-        return " ".join(" ".join(parts).split())
+        return lines.join(parts) if lines else " ".join(" ".join(parts).split())
 
 
 class Tree(HTMLParser):
@@ -188,21 +220,56 @@ class Tree(HTMLParser):
 
 
 def _fits(node: Node, tag: str, attribute: str, pattern: str) -> bool:
-    return (not tag or node.tag == tag) and (not attribute or attribute in node.attrs and regex.search(pattern, node.attrs[attribute]) is not None)
+    return (not tag or node.tag == tag or regex.fullmatch(tag, node.tag) is not None) and (not attribute or attribute in node.attrs and regex.search(pattern, node.attrs[attribute]) is not None)
+
+
+def _around(node: Node, n: int) -> Iterator[Node]:
+    while n and node.parent is not None:
+        node, n = node.parent, n - 1
+        yield node
+
+
+def _before(node: Node) -> str:
+    """The bold text of the nearest element of the same kind before the node."""
+    rows = [x for x in node.parent.children if isinstance(x, Node) and x.tag == node.tag] if node.parent else []
+    at = rows.index(node) if node in rows else 0
+    bold = next((x for x in rows[at - 1].walk() if x.tag == "strong"), None) if at else None
+    return bold.text() if bold else ""
+
+
+def _read(nodes: list[Node], pattern: str, what: str) -> str | None:
+    if what == "long":
+        return " ".join(t for t in (n.text() for n in nodes) if len(t) > 40)
+    for node in nodes:
+        if what == "text":
+            value = node.text()
+        elif what == "lines":
+            value = "\n".join([x for x in (line.strip() for line in node.text("\n").split("\n")) if x][:3])
+        elif what == "before":
+            value = _before(node) if regex.search(pattern, node.text(), regex.I) else ""
+        elif what.startswith("match:"):
+            m = regex.search(what[6:], node.text())
+            value = m[1] if m else ""
+        else:
+            value = node.attrs.get(what, "")
+        if value:
+            return value
+    return None
 
 
 def _value(card: Node, ways: tuple[tuple[str, str, str, str], ...]) -> str | None:
     for tag, attribute, pattern, what in ways:
-        nodes = [card] if not tag and not attribute else (n for n in card.walk() if n is not card and _fits(n, tag, attribute, pattern))
-        for node in nodes:
-            if what == "text":
-                value = node.text()
-            elif what.startswith("match:"):
-                m = regex.search(what[6:], node.text())
-                value = m[1] if m else ""
-            else:
-                value = node.attrs.get(what, "")
-            if value:
+        if what == "own":
+            if value := card.attrs.get(attribute):
+                return value
+            continue
+        tops: list[Node] | Iterator[Node] = [card]
+        if what.startswith("up "):
+            n, what = what[3:].split(":", 1)
+            tops = _around(card, int(n))
+        for top in tops:
+            nodes = [card] if not tag and not attribute else [n for n in top.walk() if n is not card and n is not top and _fits(n, tag, attribute, pattern)]
+            if nodes and (value := _read(nodes, pattern, what)):
                 return value
     return None
 
@@ -215,7 +282,7 @@ def cards(html: str | None, rule: Rule) -> list[dict[str, str | None]]:
     for node in parser.root.walk():
         if _fits(node, *rule.card):
             row = {f: _value(node, rule.fields.get(f, ())) or rule.defaults.get(f, DEFAULTS.get(f)) for f in ("url", "title", "price", "location", "description")}
-            if row["title"] and len(row["title"]) >= rule.least_title:
+            if row["title"] and len(row["title"]) >= rule.least_title and all(row[n] for n in rule.needs):
                 out.append(row)
     return out
 
@@ -236,7 +303,58 @@ def extract_listings(pages: DataFrame, rules: dict[str, Rule] | None = None) ->
             yield pd.DataFrame(out, columns=["page_id", "pos", "url", "title", "price", "location", "description", "source"])
 
     some = pages.where(F.col("source").isin(*known)).select("page_id", "url", "html", "source")
-    return some.mapInPandas(run, "page_id long, pos int, url string, title string, price string, location string, description string, source string")
+    names = ("url", "title", "price", "location", "description")
+    read = some.mapInPandas(run, "page_id long, pos int, " + ", ".join(f"{n} string" for n in names) + ", source string")
+
+    def final(name: str) -> Column:
+        value = F.col(name)
+        for rule in known.values():
+            if name in rule.finish:
+                value = F.when(F.col("source") == rule.source, rule.finish[name]()).otherwise(value)
+        return value.alias(name)
+
+    return read.select("page_id", "pos", *map(final, names), "source")
+
+
+def reordered(price: Column) -> Column:
+    """A price without blanks, the euro sign after the amount."""
+    return F.trim(F.regexp_replace(F.replace(price, F.lit(" "), F.lit("")), r"€\s*([\d.,]+)", "$1 €"))
+
+
+def place_in_lines(lines: Column) -> Column:
+    """What stands before the country in the first of the lines that names it, the islands, or anything with a comma; the default if there is none."""
+    named = F.filter(F.split(lines, "\n"), lambda x: F.contains(x, F.lit("España")) | F.contains(x, F.lit("Baleares")) | F.contains(x, F.lit(",")))
+    places = F.transform(named, lambda x: F.trim(F.rtrim(F.trim(F.split_part(x, F.lit("España"), F.lit(1))), F.lit(","))))
+    return F.coalesce(F.get(F.filter(places, lambda x: x != ""), F.lit(0)), F.lit(DEFAULTS["location"]))
+
+
+def think_listings(pages: DataFrame) -> DataFrame:
+    """(page_id, url, title, price, location, description, source) of a portal whose pages list items as JSON-LD, with all but the URL in the item's name; of repeated URLs on a page the first."""
+    items = json_ld_items(pages)
+    title = portal_title(F.col("name"))
+    rows = items.select("page_id", F.struct("script", "part", "pos").alias("at"), "url", title.alias("title"), portal_price(F.col("name")).alias("price"), portal_place(title).alias("location"), clean(F.col("description")).alias("description"))
+    first = rows.groupBy("page_id", "url").agg(F.min_by(F.struct("title", "price", "location", "description"), "at").alias("x"))
+    return first.select("page_id", "url", "x.*", F.lit("ThinkSpain").alias("source"))
+
+
+# What cards look like to patterns, without parsing.
+CARD_BODY = r'(?is)<(?:article|div)[^>]+class="[^"]*(?:property|listing|card|result)[^"]*"[^>]*>(.*?)</(?:article|div)>'
+CARD_TITLE, CARD_PRICE = "(?s)<h[123][^>]*>([^<]{10,100})</h[123]>", r"(?i)([\d.]+\s*€|[\d,]+\s*EUR|Precio[^<]{0,30})"
+CARD_PLACE, CARD_LINKS = r"(?i)(?:location|ciudad|ubicacion)[^>]*>\s*([^<]{3,40})\s*<", (r'(?i)href="(/es/[^"]+(?:hotel|propiedad|inmueble)[^"]*)"', r'href="(/es/propiedades/[^"]+)"')
+
+
+def regex_cards(pages: DataFrame, site: str) -> DataFrame:
+    """(page_id, pos, url, title, price, location) of cards about hotels, by patterns only; a card without a link has the page's URL."""
+    bodies = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(CARD_BODY), F.lit(1))
+    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(bodies).alias("pos", "card"))
+    title = found(F.col("card"), CARD_TITLE)
+    link = F.coalesce(*(found(F.col("card"), p) for p in CARD_LINKS))
+    some = rows.where(title.isNotNull() & about_hotels(F.concat(title, F.col("card")), veto=False))
+    price, place = found(F.col("card"), CARD_PRICE), found(F.col("card"), CARD_PLACE)
+    return some.select(
+        "page_id", "pos", F.coalesce(F.concat(F.lit(site), link), "page_url").alias("url"), clean(title).alias("title"),
+        F.when(price.isNotNull(), clean(price)).otherwise(DEFAULTS["price"]).alias("price"), F.when(place.isNotNull(), clean(place)).otherwise(DEFAULTS["location"]).alias("location"),
+    )
 
 
 def detail_patch(pages: DataFrame) -> DataFrame:
@@ -249,7 +367,6 @@ def detail_patch(pages: DataFrame) -> DataFrame:
 
 def posted_date(html: Column, as_of: Column) -> Column:
     """The listing's date on its page: a time element's day, else the first of the body's date forms."""
-    from posada.functions.base import found
     from posada.functions.dates import listing_date
 
     text = visible_text(html)
@@ -258,14 +375,18 @@ def posted_date(html: Column, as_of: Column) -> Column:
     return listing_date(F.coalesce(*ways, F.lit("")), as_of)
 
 
-def booking_quote(card_text: Column, shown: list[Column], name: Column, url: Column) -> Column:
-    """The quote struct of a booking card."""
+# The words after a count of reviews on a booking card.
+REVIEW_COUNT = r"(?i)([\d.]+)\s*(?:coment|reseñ|review)"
+
+
+def booking_quote(card_text: Column, shown: list[Column], name: Column, url: Column, match: Column | None = None) -> Column:
+    """The quote struct of a booking card; ``match`` is how well it fits the licence."""
     from posada.functions.prices import amounts, first_number, picked, rating
 
     seen = amounts(card_text)
     return F.struct(
         F.lit("booking").alias("fuente"), name.alias("nombre"), picked([first_number(c) for c in shown], seen).alias("precio_noche"), seen.alias("precios_vistos"),
-        rating(card_text).alias("rating"), F.lit(None).cast("int").alias("reviews"), url.alias("url"), F.lit(None).cast("double").alias("match"), F.lit(None).cast("string").alias("error"),
+        rating(card_text).alias("rating"), first_number(found(card_text, REVIEW_COUNT)).alias("reviews"), url.alias("url"), (F.lit(None).cast("double") if match is None else match).alias("match"), F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("boolean").alias("sin_resultado"), F.lit(None).cast("int").alias("precio_sospechoso"),
     )
 

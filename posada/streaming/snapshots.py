@@ -6,38 +6,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posada.operators.merge import alive, merge_run
+from posada.operators.order import first_per_key
 from posada.schema import LISTING
 
 
+#: Runs that are merged before a version is written, and versions that are kept.
+RUNS_A_VERSION, VERSIONS = 8, 2
+
+
 def start(snapshots: DataFrame, root: str, checkpoint: str):  # noqa: ANN201
     """Merges every run of a stream of listings with ``run_no`` into versions under ``root``, in run order.
 
-    Each version is named after its run, so that a run that comes again, late or repeated, is ignored, and a
-    batch that is retried after a failure changes nothing. The query stops when all that is there is read.
+    Each version is named after its last run, so that a run that comes again, late or repeated, is ignored, and a
+    batch that is retried after a failure changes nothing. Of rows of one URL in a run the one that is greatest as
+    JSON counts. Only the last versions stay. The query stops when all that is there is read.
     """
     spark = snapshots.sparkSession
 
     def merge(batch: DataFrame, _: int) -> None:
-        for run in sorted(r.run_no for r in batch.select("run_no").where("run_no is not null").distinct().collect()):
-            last = latest(spark, root)
-            if last is not None and run <= last:
-                continue
-            seen = batch.where(F.col("run_no") == run).drop("run_no").dropDuplicates(["url"])
-            table = spark.createDataFrame([], LISTING) if last is None else spark.read.schema(LISTING).parquet(f"{root}/run={last}")
-            alive(merge_run(table, seen)).write.mode("overwrite").parquet(f"{root}/run={run}")
+        last = latest(spark, root)
+        found = sorted(r.run_no for r in batch.select("run_no").where("run_no is not null").distinct().collect())
+        runs = [r for r in found if last is None or r > last]
+        for k in range(0, len(runs), RUNS_A_VERSION):
+            table = current(spark, root)
+            for run in runs[k : k + RUNS_A_VERSION]:
+                rows = batch.where(F.col("run_no") == run).drop("run_no")
+                table = alive(merge_run(table, first_per_key(rows, ["url"], [F.to_json(F.struct(*rows.columns))], last=True)))
+            table.write.mode("overwrite").parquet(f"{root}/run={run}")
+            _forget(spark, root)
 
     return snapshots.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, root: str) -> int | None:
-    """The last run whose version is whole."""
+def _whole(spark: SparkSession, root: str) -> tuple:
+    """The file system, and the runs whose versions are whole."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    runs = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("run=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max(runs, default=None)
+    found = fs.listStatus(path) if fs.exists(path) else []
+    return fs, sorted(int(s.getPath().getName().split("=")[1]) for s in found if s.getPath().getName().startswith("run=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+
+def _forget(spark: SparkSession, root: str) -> None:
+    fs, runs = _whole(spark, root)
+    for run in runs[:-VERSIONS]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/run={run}"), True)
+
+
+def latest(spark: SparkSession, root: str) -> int | None:
+    """The last run whose version is whole."""
+    return max(_whole(spark, root)[1], default=None)
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:

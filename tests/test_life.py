@@ -2,6 +2,7 @@ import json
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from posada.operators import geo, merge, order
 from posada.schema import LISTING
@@ -48,7 +49,8 @@ def test_stream_equals_replay_and_ignores_repeats(spark, tmp_path):
         rows = [{"url": u, "title": "t", "price": f"{r} €", "source": "s", "run_no": r} for u, rs in history.items() for r in rs if r in runs]
         (source / name).write_text("\n".join(map(json.dumps, rows)))
 
-    stream = lambda: spark.readStream.schema(LISTING.add("run_no", "long") if "run_no" not in LISTING.names else LISTING).json(str(source))
+    with_run = StructType([*LISTING.fields, StructField("run_no", LongType())])
+    stream = lambda: spark.readStream.schema(with_run).json(str(source))
     write("a.json", {0, 1, 2})
     snapshots.start(stream(), str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination()
     write("b.json", {3, 4, 5, 1})
@@ -102,3 +104,11 @@ def test_json_round_trip(spark, tmp_path):
 def test_numbered(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"))
     assert all(r.x == r.ord for r in order.numbered(df, [F.col("x")], ranges=9).collect())
+
+
+def test_numbered_wide_table(spark):
+    """Numbers must fit where columns besides the keys would let each use of the rows be dealt out anew."""
+    n = 400_000
+    df = spark.range(n, numPartitions=7).select((F.col("id") * 7919 % n).alias("x"), F.sha2(F.col("id").cast("string"), 256).alias("rest"))
+    found = order.numbered(df, [F.col("x")]).agg(F.count(F.when(F.col("x") != F.col("ord"), 1)).alias("wrong"), F.countDistinct("ord").alias("numbers"), F.max(F.length("rest")).alias("m")).first()
+    assert tuple(found) == (0, n, 64)
