@@ -9,7 +9,8 @@ innermost container that holds the whole first cluster and the h1 headings. With
 stays, short ones too; runs of short links go where no article or main element bounds the region. Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by
 element, role and class wherever they stand, but a form or a class that holds most of the text in several
-blocks, with no h1, article or main outside, is a layout and stays. Omitted end tags are implied as in HTML.
+blocks, with no h1, article or main outside, is a layout and stays, and so does a header by class that holds the
+only h1. Omitted end tags are implied as in HTML.
 
 Null, empty and wholly boilerplate pages give an empty text. Unclosed elements and truncated pages are read
 as far as they go. Repeated rows are each extracted; columns besides the three used are ignored.
@@ -26,18 +27,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import textops
+
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = frozenset("script style noscript template iframe object svg math canvas head title nav footer aside form button select textarea menu dialog".split())
+LEFT_OUT = frozenset("script style noscript template iframe object svg canvas head title nav footer aside form button select textarea menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv adbox advert adverts advertisement advertising adslot adsense banner banners promo promotion sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe subscription signup comment comments commentlist disqus reply replies respond discussion sidebar side rail menu menus nav navbar navigation breadcrumb breadcrumbs topbar "
-    "masthead toolbar share sharing social related recommended recommendations widget widgets login search pagination pager footer skip copyright alert".split()
+    "masthead toolbar share sharing social widget widgets login search pagination pager footer skip copyright alert".split()
 )
+#: Names of lists of other pages, alone or with one of the words after them.
+OTHERS, OTHERS_OF = frozenset("related recommended recommendations".split()), frozenset("posts post articles article links stories story items content products news reading list box block section widget pages videos".split())
+#: Names of a page's header, alone or with one of the words after them; it stays if it has the only h1.
+HEADERS, HEADERS_OF = frozenset(["header"]), frozenset("site top global main web blog inner nav bar fixed sticky".split())
 #: With one of these a name tells of a layout around the content, as in "with-sidebar".
 LAYOUT = frozenset("has with no without layout wrapper container page".split())
 #: Left out only if the page's text is elsewhere.
@@ -75,8 +82,8 @@ class Lines(HTMLParser):
         self.many: Counter[str] = Counter()
         self.parents: dict[int, int] = {0: -1}
         self.tags: dict[int, str] = {0: ""}
-        #: Groups of lines left out, as (group around it, whether it may be a layout).
-        self.groups: list[tuple[int, bool]] = []
+        #: Groups of lines left out, as (group around it, kind).
+        self.groups: list[tuple[int, str]] = []
         self.begin()
 
     def inner(self) -> tuple[str, int, int, bool, bool]:
@@ -132,7 +139,7 @@ class Lines(HTMLParser):
             self.open[at:] = [(t, c, g, False, h) for t, c, g, _, h in self.open[at + 1 :]]
 
     def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
-        """"hard", "soft" (may turn out to be a layout) or nothing."""
+        """"hard", "soft" (may turn out to be a layout), "header" (may turn out to have the title) or nothing."""
         if tag in LEFT_OUT - SOFT or tag == "header" and not (self.many["article"] or self.many["main"]):
             return "hard"
         if tag in ("body", "html", "article", "main"):
@@ -141,24 +148,28 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and (value or "").lower() in ROLES:
                 return "hard"
-            if name in ("class", "id") and any(self.boilerplate(part) for part in (value or "").split()):
-                found = "soft"
+            if name in ("class", "id"):
+                kinds = {self.boilerplate(part) for part in (value or "").split()}
+                found = "soft" if "soft" in kinds else found or ("header" if "header" in kinds and not (self.many["article"] or self.many["main"]) else "")
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I):
                 return "hard"
         return found
 
     @staticmethod
-    def boilerplate(name: str) -> bool:
+    def boilerplate(name: str) -> str:
         words = {w.lower() for w in _CLASS_WORDS.findall(name)}
-        return bool(words & NAMES) and not words & LAYOUT
+        if words & LAYOUT:
+            return ""
+        of = lambda names, more: bool(words & names) and (words <= names or bool(words & more))
+        return "soft" if words & NAMES or of(OTHERS, OTHERS_OF) else "header" if of(HEADERS, HEADERS_OF) else ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.imply(tag)
         block = tag in BLOCKS
         if tag not in VOID:
             _, at, group, link, h1 = self.inner()
-            if (group < 0 or self.groups[group][1]) and (kind := self.unwanted(tag, attrs)):
-                self.groups.append((group, kind == "soft"))
+            if (group < 0 or self.groups[group][1] != "hard") and (kind := self.unwanted(tag, attrs)):
+                self.groups.append((group, kind))
                 group = len(self.groups) - 1
                 block = True
             if tag in CONTAINERS:
@@ -197,25 +208,27 @@ class Lines(HTMLParser):
             line[4] += len(data)
 
     def left_out(self, lines: list[tuple]) -> list[bool]:
-        """By line, whether a group leaves it out. A group that may be a layout is one if it has most of the text in several blocks, and no h1, article or main stands outside."""
+        """By line, whether a group leaves it out. A group that may be a layout is one if it has most of the text in several blocks, and no h1, article or main stands outside; a header stays if it has all h1 lines."""
         chain: list[frozenset[int]] = []
         for i, (around, _) in enumerate(self.groups):
             chain.append(frozenset([i]) | (chain[around] if around >= 0 else frozenset()))
-        hard = [any(not self.groups[g][1] for g in c) for c in chain]
+        hard = [any(self.groups[g][1] == "hard" for g in c) for c in chain]
         seen = [x for x in lines if x[3] < 0 or not hard[x[3]]]
-        whole, size, blocks, first = 0, Counter(), Counter(), Counter()
-        anchors = 0
+        whole, size, blocks, first, titles = 0, Counter(), Counter(), Counter(), Counter()
+        anchors = headings = 0
         for text, _, at, group, links, h1 in seen:
             length = max(0, len(text) - links)
             while at >= 0 and self.tags[at] not in ("article", "main"):
                 at = self.parents[at]
             anchor = h1 or at >= 0
-            whole, anchors = whole + length, anchors + anchor
+            whole, anchors, headings = whole + length, anchors + anchor, headings + h1
             for g in chain[group] if group >= 0 else ():
                 size[g] += length
                 blocks[g] += length >= 40
                 first[g] += anchor
+                titles[g] += h1
         layout = {g for g in size if 2 * size[g] > whole and blocks[g] >= 3 and first[g] == anchors}
+        layout |= {g for g in titles if self.groups[g][1] == "header" and 0 < titles[g] == headings}
         return [group >= 0 and not chain[group] <= layout for _, _, _, group, _, _ in lines]
 
 
@@ -285,7 +298,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per page: the id, url, text and n_chars (code points). One pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textops.pieces(batches, "html"):
             texts = [main_text(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["id", "url", "text", "n_chars"])
 

@@ -49,3 +49,15 @@ def test_the_whole_article_stays():
     assert text(f"<article><p>{LONG}<p class=notice>Buy<p>{LONG}<ul><li class=social>Share<li>one</ul><p>End.</article>") == "\n".join([t, t, "one", "End."])
     assert text(f"<head><title>x</title><body><form action=x><div id=nav><a href=1>one</a></div><div class=sidebar-right><h1>Title</h1>{body}</div></form>") == "\n".join(["Title", *[t] * 12])
     assert text(f"<article><h1>Title</h1><p>{LONG}</p></article><div class=comments>{body}</div>") == "\n".join(["Title", t])
+
+
+def test_headers_by_class_and_what_stays_in_the_article():
+    body = f"<div><p>{LONG}</p><p>{LONG}</p></div>"
+    t = html.unescape(LONG)
+    text = lambda page: html_extract.main_text(page).split("\n")
+    assert text(f"<body><div class=header>Name</div><div class='site-header'>Name</div>{body}</body>") == [t, t]
+    assert text(f"<body><div class=header><h1>Title</h1></div>{body}</body>") == ["Title", t, t]
+    assert text(f"<body><div class=header><h1>Site</h1></div><h1>Title</h1>{body}</body>") == ["Title", t, t]
+    assert text(f"<article><div class='entry-header'><h1>Title</h1></div>{body}</article>") == ["Title", t, t]
+    assert text(f"<article>{body}<div class='related-work'><p>{LONG}</p></div><p>See <math><mi>x</mi></math></p></article>") == [t, t, t, "See x"]
+    assert text(f"<article>{body}</article><div class='related-posts'><p>{LONG}</p></div>") == [t, t]
