@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from posada.functions.attributes import alias_value
 from posada.functions.dates import query_day
@@ -381,3 +382,26 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.export_json(rows.select("url", "price", "title", "ord"), path)
     read = spark.read.schema("url string, price string, ord long").json(path)
     return store.last_per_key(read, "url").select("url", "ord", "price")
+
+
+@register(
+    "s2_enriched_last_wins",
+    f"WITH {bind.LICENCES} SELECT n_reg AS n_registro, max(ord) AS ord, arg_max(denominacion, ord) AS nombre, arg_max((ord % 90)::INT, ord) AS precio_noche, arg_max([(ord % 90)::INT, 500], ord) AS rango FROM licences WHERE n_reg <> '' GROUP BY n_reg",
+)
+def enriched_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched licences written as JSON and read again by their nested schema, the last record of each registration number."""
+    import uuid
+
+    from posada.operators.shared import folder
+    from posada.schema import ENRICHED
+    from posada.sources import store
+
+    price = (c("ord") % 90).cast("int")
+    rows = bind.licences(spark, sf_dir).select(
+        F.nullif(c("n_reg"), F.lit("")).alias("n_registro"), c("denominacion").alias("nombre"), "ord",
+        F.struct(price.alias("precio_noche")).alias("booking"), F.struct(F.array(price, F.lit(500)).alias("rango")).alias("google_travel"),
+    )
+    path = f"{folder(spark)}/export-{uuid.uuid4().hex}"
+    store.export_json(rows, path)
+    read = spark.read.schema(StructType([*ENRICHED.fields, StructField("ord", LongType())])).json(path)
+    return store.last_per_key(read, "n_registro").select("n_registro", "ord", "nombre", "booking.precio_noche", "google_travel.rango")

@@ -44,13 +44,11 @@ def licence_records(files: DataFrame, text: str = "value") -> DataFrame:
     lists = F.coalesce(*(F.when(F.schema_of_variant(v).startswith("ARRAY"), v) for v in (F.try_variant_get("root", f"$.{k}", "variant") for k in LIST_KEYS)))
     chosen = F.when(kind.startswith("ARRAY"), F.col("root")).otherwise(lists)
     root = root.where("root is not null").withColumn("list", chosen).withColumn("is_object", kind.startswith("OBJECT"))
-    root.createOrReplaceTempView("__licence_roots")
     spark = files.sparkSession
-    direct = spark.sql("select file, 0 as part, x.pos, x.value as record from __licence_roots, lateral variant_explode(list) x where list is not null")
-    values = spark.sql("select file, x.pos as part, x.value from __licence_roots, lateral variant_explode(root) x where list is null and is_object")
+    direct = spark.sql("select file, 0 as part, x.pos, x.value as record from {roots}, lateral variant_explode(list) x where list is not null", roots=root)
+    values = spark.sql("select file, x.pos as part, x.value from {roots}, lateral variant_explode(root) x where list is null and is_object", roots=root)
     values = values.withColumn("kind", F.schema_of_variant("value"))
-    values.createOrReplaceTempView("__licence_values")
-    nested = spark.sql("select file, part, x.pos, x.value as record from __licence_values, lateral variant_explode(value) x where kind like 'ARRAY%'")
+    nested = spark.sql("select file, part, x.pos, x.value as record from {parts}, lateral variant_explode(value) x where kind like 'ARRAY%'", parts=values)
     single = values.where("kind like 'OBJECT%'").select("file", "part", F.lit(0).alias("pos"), F.col("value").alias("record"))
     return direct.union(nested).union(single).select("record", F.struct("file", "part", "pos").alias("ord"))
 
