@@ -11,12 +11,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 from posada.functions.attributes import alias_value
 from posada.functions.dates import query_day
 from posada.functions.prices import digits
-from posada.functions.text import canonical_url, folded_lower
+from posada.functions.text import TITLE_STOPWORDS, canonical_url, folded_lower
 from posada.operators import dedup, enrich, geo, merge, model, order
 from posada.schema import BOOKING
 
 from . import bind
-from .functions import ROOMS_SQL
+from .functions import ROOMS_SQL, without_words
+from .functions import _title as TITLE
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +152,25 @@ def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.like_values_native(values, 0.72).where("new < old").select(F.col("new").alias("title"), F.col("old").alias("other"))
 
 
+_key = without_words(TITLE, TITLE_STOPWORDS)
+_like = "x.price <> '' AND x.title <> '' AND y.title <> '' AND 1 - levenshtein(x.title, y.title) / greatest(length(x.title), length(y.title), 1)::DOUBLE >= 0.72"
+
+
+@register(
+    "d9_levenshtein_dedup",
+    f"""WITH RECURSIVE {bind.LISTINGS},
+k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ord) AS i, ord, {URL} AS url, {_digits} AS price, {_key} AS title FROM listings WHERE {URL} <> '' AND length(title) >= 8),
+p AS (SELECT x.i AS i, y.i AS j FROM k x JOIN k y ON x.url = y.url AND y.i < x.i UNION SELECT x.i, y.i FROM k x JOIN k y ON x.price = y.price AND y.i < x.i WHERE {_like}),
+c AS MATERIALIZED (SELECT k.i, coalesce(list(p.j) FILTER (p.j IS NOT NULL), []::BIGINT[]) AS olds FROM k LEFT JOIN p ON p.i = k.i GROUP BY k.i),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+  SELECT c.i, CASE WHEN list_has_any(r.kept, c.olds) THEN r.kept ELSE list_append(r.kept, c.i) END FROM r JOIN c ON c.i = r.i + 1)
+SELECT k.ord FROM k WHERE list_contains((SELECT kept FROM r ORDER BY i DESC LIMIT 1), k.i)""",
+)
+def levenshtein_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greedy rule with the distance that SQL has as the scorer."""
+    return dedup.fuzzy_dedup(dedup.admissible(bind.listings(spark, sf_dir)), scorer="levenshtein").select("ord")
+
+
 _reg = "CASE WHEN n_reg NOT IN ('', '—', '-') THEN n_reg END"
 _nm = "coalesce(CASE WHEN nombre NOT IN ('', '—', '-') THEN nombre END, denominacion)"
 
