@@ -497,7 +497,9 @@ def grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
         both = rest.join(missed, rest["sig"] == missed["u"]).select("key", "v").join(rest, "key").where("sig = v").select("key").distinct()
         rest = settled(rest.join(both, "key", "left_semi"))
         width *= 16
+        textops.release(collect=True)
     classes = classes.drop("body").withColumnRenamed("id", "class_id").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    textops.release(collect=True)
     least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
     classes = classes.join(least, "component").select("sig", "n", "class_id", "component", "component_id")
     return every.select("id", "body", "n", "sig").join(classes, ["sig", "n"], "left").drop("sig")

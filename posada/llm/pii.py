@@ -285,7 +285,10 @@ def fit(docs: DataFrame, rows: int = TRAIN_DOCS, id_col: str = "doc_id", text_co
     ensure_checkpoints(docs.sparkSession)
     some = least_hashes(texts.where(F.col("text").rlike("[0-9@]")).select("id").checkpoint(), "id", rows)
     found = texts.join(F.broadcast(some.distinct()), "id").sort(F.xxhash64("id"), "id").limit(rows).select("text").toArrow()
-    return train([t for t in found.column("text").to_pylist() if t])
+    model = train([t for t in found.column("text").to_pylist() if t])
+    del found
+    textops.release(collect=True)
+    return model
 
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -130,7 +130,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, rows: int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return train(training_rows(docs, labels, label_col, rows, id_col, text_col))
+    model = train(training_rows(docs, labels, label_col, rows, id_col, text_col))
+    textops.release(collect=True)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", output: str = "score", keep: list[str] | None = None) -> DataFrame:

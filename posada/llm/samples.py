@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textops
+
 
 def least_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows: those of the least hashes of their keys. Rows of clearly greater hashes are dropped before they are sorted."""
@@ -49,6 +51,8 @@ def bit_filter(rows: DataFrame, key: str, bits: int | None = None) -> BitFilter:
     marks = rows.select(F.expr(f"{key} & {bits - 1}L").alias("at"))
     blocks = marks.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     words = np.zeros(bits // 64, np.int64)
-    for batch in blocks.toArrow().to_batches():
-        words[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+    found = blocks.toArrow()
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    del found
+    textops.release()
     return BitFilter(words)

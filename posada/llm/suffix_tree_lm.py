@@ -376,6 +376,7 @@ class Model:
         often = frequent(words, FREQUENT).join(as_context(contexts), "key", "left").select("key", "n", F.coalesce("value", F.lit(0.0)).alias("value"))
         self.words_often = self._sorted(often)
         self.pairs_often = self._sorted(frequent(beyond.select("key", "n", "value"), FREQUENT))
+        textops.release(collect=True)
         self.values = valued.union(beyond.select("key", F.lit(None).cast("long"), "value"))
 
     @staticmethod

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,8 +53,10 @@ with np.errstate(over="ignore"):
     _UP, _DOWN = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(STRIDE, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
-def release() -> None:
-    """Gives memory that this worker no longer uses back to the system; otherwise it stays with the worker from one task to the next."""
+def release(collect: bool = False) -> None:
+    """Gives memory that this process no longer uses back to the system; otherwise it stays with a worker from one task to the next. The driver also collects its references to Spark's plans."""
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only with the C library of GNU
         ctypes.CDLL(None).malloc_trim(0)

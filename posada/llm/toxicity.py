@@ -141,5 +141,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_ou
     """Per document: the id, held_out, expected_severity, score (probability of any toxicity), predicted. Labels of held-out ids are not learned from."""
     held = fold(id_col, 4, 2) if held_out is None else held_out
     model = train(training_rows(docs, labels.where(~held), "toxic", TRAIN_ROWS, id_col, text_col))
+    textops.release(collect=True)
     found = score(docs, model, id_col, text_col)
     return found.select(id_col, held.alias("held_out"), "expected_severity", F.col("toxic_probability").alias("score"), F.when(F.col("toxic_probability") >= threshold, 1).otherwise(0).alias("predicted"))
