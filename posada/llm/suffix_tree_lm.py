@@ -43,7 +43,7 @@ DISCOUNT = 0.75
 EVIDENCE = 30.0
 #: The spelling tree: longest context in bytes, least share of the symbols, least divergence of a context in bits per symbol.
 DEPTH, LEAST_SHARE, DIVERGENCE = 5, 1e-5, 0.01
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
 BLANK = 0x20
 STRETCH = 256
 #: Counted entries that a task holds before it hands them on.
