@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, jaccard_join, pii, quality, secrets, spotsigs, suffix_tree_lm, toxicity
+from . import bpe, decontaminate, filter_audit, html_extract, jaccard_join, pii, quality, secrets, spotsigs, suffix_tree_lm, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_pii": op9_pii,
     "op10_html": op10_html,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -91,4 +96,22 @@ hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(ra
 its AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS l FROM h GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op11_filter_audit": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+  || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failed FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+o AS (SELECT '' AS s UNION ALL SELECT s || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(s, x)),
+p AS (SELECT s AS filter_order, step::INT AS step, s[step] AS x, s[1:step - 1] AS before FROM o, range(1, 6) r(step) WHERE length(s) = 5),
+m AS (SELECT part, filter_order, step, x, n, good, toxic, contains(failed, x) AS fails, failed = x AS alone,
+  coalesce(len(list_intersect(string_split(failed, ''), string_split(before, ''))), 0) = 0 OR failed = '' OR before = '' AS there FROM c, p),
+g AS (SELECT part, filter_order, step, x, sum(CASE WHEN there AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN there AND fails THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN NOT there AND fails THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN there AND fails THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN there AND fails THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM m GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM g""",
 }
