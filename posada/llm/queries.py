@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, filter_audit, html_extract, jaccard_join, pii, quality, secrets, spotsigs, suffix_tree_lm, toxicity
+from . import bpe, decontaminate, filter_audit, html_extract, jaccard_join, pii, quality, secrets, spotsigs, suffix_tree_lm, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -71,9 +75,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_html": op10_html,
     "op11_filter_audit": op11_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Parts of vectors as integer lists, then one step for each assignment and each update of the codebooks."""
+    nearest = lambda k: f"""a{k} AS MATERIALIZED (SELECT vec_id, label, p, arg_min(e, d * 256 + e) AS e, min(d) AS d, any_value(v) AS v FROM (
+  SELECT x.vec_id, x.label, x.p, b.e, x.v, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts x JOIN b{k} b ON b.p = x.p) GROUP BY vec_id, label, p)"""
+    update = lambda k: f"""m{k} AS (SELECT p, e, i, floor(sum(c)::DECIMAL(38, 0) / count(*))::BIGINT AS c FROM (SELECT p, e, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM a{k}) GROUP BY p, e, i),
+b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(u.v, b.v) AS v FROM b{k} b LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS v FROM m{k} GROUP BY p, e) u ON u.p = b.p AND u.e = b.e)"""
+    steps = [s for k in range(rounds) for s in (nearest(k), update(k))] + [nearest(rounds)]
+    return f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS v FROM kept, range(4) r(p)),
+b0 AS MATERIALIZED (SELECT p, e, v FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 256) f USING (vec_id)),
+{",".join(chr(10) + s for s in steps)},
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+c AS (SELECT vec_id, label, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c, h"""
+
+
 _WORDS = lambda pattern: f"list_filter(string_split_regex({_LOWER}, '{pattern}'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +138,5 @@ g AS (SELECT part, filter_order, step, x, sum(CASE WHEN there AND NOT fails THEN
   sum(CASE WHEN NOT there AND fails THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
   sum(CASE WHEN there AND fails THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN there AND fails THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM m GROUP BY ALL)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM g""",
+    "op13_vector_codes": _codes_sql(),
 }
