@@ -253,6 +253,6 @@ def compress(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         met = codes.join(F.broadcast(sums.withColumnRenamed("label", "of")), F.col("label").eqNullSafe(F.col("of")))
     else:
         salted = codes.withColumn("salt", F.pmod(F.xxhash64("id", "code"), F.lit(SALTS)))
-        shares = sums.withColumnRenamed("label", "of").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        shares = sums.withColumnRenamed("label", "of").withColumn("share", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
         met = salted.join(shares, F.col("label").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("share")))
     return met.select(F.col("id").alias(id_col), "code", "error", "label_error", F.lit(model[0].digest()).alias("codebooks_sha256"))
