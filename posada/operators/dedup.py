@@ -5,13 +5,12 @@ lexicographically first maximal independent set by ``ord``. It is found in round
 undecided row conflicts with it, and goes once an earlier row that stayed does.
 
 Likeness is worked out between distinct titles of one price, not between rows, so that copies cost nothing; a
-popular price is split into blocks of titles that meet two by two. Rows with a null ``ord`` are dropped.
+popular price is split into blocks of titles that meet two by two, on as many tasks as the number of pairs asks for. Rows with a null ``ord`` are dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,47 +20,12 @@ from pyspark.sql import functions as F
 from posada.functions.prices import digits
 from posada.functions.text import canonical_url, title_key
 
+from .likeness import alike_pairs, blocks, near_by_edits, ratio, scored  # noqa: F401
 from .order import first_per_key
 from .shared import checkpointed
 
-#: Distinct titles of one price that are compared with one another in one go.
-BLOCK = 256
-
-
-def ratio(new: str, old: str) -> float:
-    """Ratcliff-Obershelp similarity, in this order of arguments."""
-    return SequenceMatcher(None, new, old).ratio()
-
-
-def reaches(new: str, old: str, least: float, strict: bool = False) -> bool:
-    """Whether the ratio reaches the least one; cheap upper bounds are tried first."""
-    n = len(new) + len(old)
-    if n and 2 * min(len(new), len(old)) / n < least:
-        return False
-    m = SequenceMatcher(None, new, old)
-    if m.quick_ratio() < least:
-        return False
-    r = m.ratio()
-    return r > least if strict else r >= least
-
-
-#: Buckets of characters whose counts bound the likeness of two titles.
-BUCKETS = 64
-
-
-def counts_of(titles: list[str]) -> np.ndarray:
-    """How many characters of each title fall into each bucket."""
-    out = np.zeros((len(titles), BUCKETS), np.int16)
-    for i, title in enumerate(titles):
-        codes = np.frombuffer(title.encode("utf-32-le"), np.uint32) % BUCKETS
-        out[i] = np.minimum(np.bincount(codes, minlength=BUCKETS), 32_000)
-    return out
-
-
-def may_reach(counts: np.ndarray, lengths: np.ndarray, i: int, least: float) -> np.ndarray:
-    """The titles before i whose ratio with it can reach the least one: no more characters match than both have in a bucket."""
-    common = np.minimum(counts[:i], counts[i]).sum(axis=1)
-    return np.flatnonzero(2 * common >= least * (lengths[:i] + lengths[i]) - 1e-9)
+#: Distinct titles of one price that are compared with one another in one go, and the pairs for which one task is made.
+BLOCK, PAIRS_A_TASK, MOST_TASKS = 256, 50_000, 100_000
 
 
 def banded(rows: DataFrame, least: float, text: str = "title") -> DataFrame:
@@ -71,48 +35,35 @@ def banded(rows: DataFrame, least: float, text: str = "title") -> DataFrame:
     return bands.withColumn("band", F.explode(F.array("__band", F.col("__band") + 1))).withColumn("low", F.col("band") != F.col("__band")).drop("__band")
 
 
-def blocks(rows: DataFrame, key: str, item: str, size: int = BLOCK) -> DataFrame:
-    """The rows with the block pairs (a, b), a <= b, in which items of one key meet; keys of one row are left out."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("__m")).where("__m > 1")
-    parts = F.ceil(F.col("__m") / size).cast("int")
-    out = rows.join(counts, key).withColumn("__parts", parts).withColumn("__own", F.pmod(F.xxhash64(item), F.col("__parts")).cast("int"))
-    out = out.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    return out.withColumn("a", F.least("__own", "__other")).withColumn("b", F.greatest("__own", "__other")).withColumn("own", F.col("__own")).drop("__m", "__parts", "__own", "__other")
-
-
 def like_values(values: DataFrame, least: float, strict: bool = False, places: bool = False) -> DataFrame:
     """(new, old): ids of distinct values (value, price, title, place) of one price that are alike in this order of arguments."""
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["value"])
-        rows = list(zip(part["value"], part["title"], part["place"], part["own"], part["low"], strict=True))
-        across = bool(len(part)) and part["a"].iloc[0] != part["b"].iloc[0]
-        counts, lengths = counts_of(part["title"].tolist()), part["title"].str.len().to_numpy()
-        out = []
-        for i, (v, x, p, own, low) in enumerate(rows):
-            for j in may_reach(counts, lengths, i, least).tolist():
-                w, y, q, other, below = rows[j]
-                if across and own == other or low and below or places and not (p in q or q in p):
-                    continue
-                if reaches(x, y, least, strict):
-                    out.append((v, w))
-                if reaches(y, x, least, strict):
-                    out.append((w, v))
-        return pd.DataFrame(out, columns=["new", "old"]).astype("int64")
+        ids, titles, place, own, low = (part[c].to_numpy() for c in ("value", "title", "place", "own", "low"))
+        right, left = np.triu_indices(len(part), 1)
+        met = ~(low[left] & low[right])
+        if len(part) and part["a"].iloc[0] != part["b"].iloc[0]:
+            met &= own[left] != own[right]
+        left, right = left[met], right[met]
+        if places:
+            within = np.array([p in q or q in p for p, q in zip(place[left], place[right], strict=True)], bool)
+            left, right = left[within], right[within]
+        pairs = alike_pairs(list(titles), left, right, least, strict)
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in pairs], columns=["new", "old"]).astype("int64")
 
     # With lengths m <= n the ratio is 2 m / (m + n) at most.
     ranged = banded(values, least / (2 - least)).withColumn("key", F.struct("price", "band"))
-    return blocks(ranged, "key", "value").groupBy("key", "a", "b").applyInPandas(compare, "new long, old long")
+    met = checkpointed(blocks(ranged, "key", "value", BLOCK))
+    # A number of tasks from the number of pairs; without one, small groups of rows with much work would be merged into one task.
+    pairs = met.groupBy("key", "a", "b").count().select(F.sum(F.col("count") * F.col("count") / 2)).first()[0] or 0
+    tasks = int(min(MOST_TASKS, max(1, pairs // PAIRS_A_TASK)))
+    return met.repartition(tasks, "key", "a", "b").groupBy("key", "a", "b").applyInPandas(compare, "new long, old long")
 
 
 def like_values_native(values: DataFrame, least: float) -> DataFrame:
-    """As ``like_values``, with 1 - Levenshtein distance / longer length as the likeness, by a join on the price and the band of the length."""
-    ranged = banded(values, least)
-    x = ranged.select("price", "band", F.col("value").alias("new"), F.col("title").alias("x"), F.col("low").alias("xlow"))
-    y = ranged.select("price", "band", F.col("value").alias("old"), F.col("title").alias("y"), F.col("low").alias("ylow"))
-    longer = F.greatest(F.length("x"), F.length("y"), F.lit(1))
-    near = (F.least(F.length("x"), F.length("y")) >= least * longer) & (1 - F.levenshtein("x", "y") / longer >= least)
-    return x.join(y, ["price", "band"]).where("new != old and not (xlow and ylow)").where(near).select("new", "old")
+    """As ``like_values``, with 1 - Levenshtein distance / longer length as the likeness, by shared rare grams."""
+    return near_by_edits(values, least)
 
 
 def first_accepted(rows: DataFrame, values_alike: Callable[[DataFrame], DataFrame], price: Column, title: Column, place: Column, guarded: Column) -> DataFrame:
@@ -186,14 +137,3 @@ def licence_dedup(rows: DataFrame, registry_id: Column, name: Column, municipali
     blank = F.lit("")
     key = F.coalesce(F.nullif(registry_id, blank), F.lower(F.concat(F.coalesce(name, blank), F.lit("|"), F.coalesce(municipality, blank))))
     return first_per_key(rows.withColumn("__key", key), ["__key"], [F.col("ord")]).drop("__key")
-
-
-def scored(pairs: DataFrame, new: str = "new", old: str = "old", output: str = "ratio") -> DataFrame:
-    """The pairs of texts with their Ratcliff-Obershelp similarity."""
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([None if a is None or b is None else ratio(a, b) for a, b in zip(x, y, strict=True)], dtype="float64")
-
-    return pairs.withColumn(output, score(F.col(new), F.col(old)))

@@ -1,53 +1,115 @@
-"""Regions from text by a gazetteer (key, region, ord)."""
+"""Regions from text by a gazetteer (key, region, ord).
+
+The keys are compiled into Aho-Corasick automata: a text is read once, whatever the number of keys, and every place where a key ends
+gives its rank. Rows are not moved: regions are columns, worked out where the rows lie. A gazetteer of more than ``SHARD_BYTES``
+is cut into shards by hash of the key, each an automaton of its own that texts pass one after another; the best rank of all counts.
+
+Null texts have no region; an empty text holds no key. Empty keys are left out; of a key given twice the last region counts, at the
+first one's place. An empty gazetteer gives null everywhere.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a gazetteer up to which it is held as a literal; beyond, texts and keys meet on three-character pieces.
-LITERAL_ROWS = 4096
+#: Bytes of the keys of one automaton, which takes some fifty times as much in a worker, and shards whose keys are sent out at once.
+SHARD_BYTES, SHARDS_AT_ONCE = 2_000_000, 8
+#: Automata that a worker keeps, by a name of their broadcast.
+_BUILT: dict[str, ahocorasick.Automaton] = {}
 
 
 def ranked(gazetteer: DataFrame, by_length: bool = True) -> DataFrame:
     """(key, region, rank): of a key given twice the last region counts, at the first one's place; lower ranks win."""
     keys = gazetteer.where("key is not null and key != ''").groupBy("key").agg(F.max_by("region", F.struct("ord", "region")).alias("region"), F.min("ord").alias("ord"))
-    return keys.select("key", "region", F.struct((-F.length("key") if by_length else F.lit(0)).alias("length"), "ord").alias("rank"))
+    return keys.select("key", "region", F.struct((-F.length("key") if by_length else F.lit(0)).alias("length"), F.col("ord").cast("long").alias("ord")).alias("rank"))
 
 
-def regions_of(texts: DataFrame, gazetteer: DataFrame, text: str, by_length: bool = True, whole_words: bool = False) -> DataFrame:
-    """(text, region) for each distinct text: the region of the key that it contains, the longest one or the first one; null if none.
+def automaton(keys: list[str]) -> ahocorasick.Automaton:
+    """Finds all keys in one pass; each gives its place in the list."""
+    found = ahocorasick.Automaton()
+    for i, key in enumerate(keys):
+        found.add_word(key, i)
+    found.make_automaton()
+    return found
+
+
+def best_of(machine: ahocorasick.Automaton, text: str) -> int:
+    """The least place of a key that the text holds, -1 if none."""
+    best = -1
+    for _, place in machine.iter(text):
+        if best < 0 or place < best:
+            best = place
+            if not best:
+                break
+    return best
+
+
+class Gazetteer:
+    """A gazetteer compiled for a session; ``region`` gives the region of a text column."""
 
-    A gazetteer of at most ``LITERAL_ROWS`` rows is collected and tested as a literal array, row by row; a larger
-    one is joined by three-character pieces of the keys, so that nothing unbounded is broadcast.
-    """
-    keys = ranked(gazetteer, by_length)
+    def __init__(self, spark: SparkSession, gazetteer: DataFrame, by_length: bool = True, whole_words: bool = False):
+        keys = ranked(gazetteer, by_length)
+        size = keys.agg(F.sum(F.octet_length("key"))).first()[0] or 0
+        self.whole_words = whole_words
+        self.shards = []
+        n = -(-size // SHARD_BYTES)
+        if n > SHARDS_AT_ONCE:
+            raise ValueError(f"a gazetteer of {size} bytes; cut it into parts of {SHARDS_AT_ONCE * SHARD_BYTES} and take the best rank of their regions")
+        for i in range(n):
+            part = keys.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i).orderBy("rank", "key").collect()
+            names = [f" {r.key} " if whole_words else r.key for r in part]
+            values = [(r["rank"].length, r["rank"].ord, r.region) for r in part]
+            self.shards.append((uuid.uuid4().hex, spark.sparkContext.broadcast((names, values))))
+
+    def _hit(self, shard: tuple, text: Column) -> Column:
+        name, sent = shard
+
+        @F.pandas_udf("length int, ord long, region string")
+        def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            names, values = sent.value
+            if name not in _BUILT:
+                if len(_BUILT) >= SHARDS_AT_ONCE:
+                    _BUILT.clear()
+                _BUILT[name] = automaton(names)
+            machine = _BUILT[name]
+            none = (None, None, None)
+            for texts in batches:
+                hits = [-1 if t is None else best_of(machine, t) for t in texts]
+                out = pd.DataFrame([values[i] if i >= 0 else none for i in hits], columns=["length", "ord", "region"])
+                yield out.astype({"length": "Int32", "ord": "Int64"})
+
+        return find(text)
+
+    def best(self, text: Column) -> Column:
+        """struct(length, ord, region) of the best key in the text, its fields null if there is none."""
+        hay = F.concat(F.lit(" "), text, F.lit(" ")) if self.whole_words else text
+        found = [self._hit(shard, hay) for shard in self.shards]
+        if not found:
+            return F.lit(None).cast("struct<length:int,ord:bigint,region:string>")
+        # A null field is the least in an order of structs, so that no hit must be no struct.
+        hits = [F.when(h["length"].isNotNull(), h) for h in found]
+        return hits[0] if len(hits) == 1 else F.least(*hits)
+
+    def region(self, text: Column) -> Column:
+        return self.best(text)["region"]
+
+
+def regions_of(texts: DataFrame, gazetteer: DataFrame, text: str, by_length: bool = True, whole_words: bool = False) -> DataFrame:
+    """(text, region) for each distinct text: the region of the key that it contains, the longest one or the first one; null if none."""
+    compiled = Gazetteer(texts.sparkSession, gazetteer, by_length, whole_words)
     distinct = texts.select(F.col(text)).where(F.col(text).isNotNull()).distinct()
-    hay = F.concat(F.lit(" "), F.col(text), F.lit(" ")) if whole_words else F.col(text)
-    needle = (lambda k: F.concat(F.lit(" "), k, F.lit(" "))) if whole_words else (lambda k: k)
-    if keys.limit(LITERAL_ROWS + 1).count() <= LITERAL_ROWS:
-        rows = keys.orderBy("rank").collect()
-        if not rows:
-            return distinct.withColumn("region", F.lit(None).cast("string"))
-        names = F.array(*(needle(F.lit(r.key)) for r in rows))
-        first = F.array_position(F.transform(names, lambda k: F.contains(hay, k)), True)
-        return distinct.withColumn("region", F.when(first > 0, F.get(F.array(*(F.lit(r.region) for r in rows)), (first - 1).cast("int"))))
-    size = F.least(F.length("key"), F.lit(3))
-    piece = keys.withColumn("piece", F.left("key", size))
-    cut = distinct.withColumn("piece", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.array(*(F.substr(F.col(text), i, F.lit(n)) for n in (1, 2, 3))))))))
-    met = cut.join(piece, "piece").where(F.contains(hay, needle(F.col("key"))))
-    best = met.groupBy(text).agg(F.min_by("region", "rank").alias("region"))
-    return distinct.join(best, text, "left")
+    return distinct.withColumn("region", compiled.region(F.col(text)))
 
 
 def infer_region(rows: DataFrame, gazetteer: DataFrame, sources: list[Column], target: str = "location_region", by_length: bool = True, whole_words: bool = False) -> DataFrame:
-    """Fills the region of rows that have none from the first source that holds a key. Sources are already normalised texts."""
-    named = rows
-    for i, s in enumerate(sources):
-        named = named.withColumn(f"__s{i}", F.when(F.coalesce(F.col(target), F.lit("")) == "", s))
-    for i in range(len(sources)):
-        hits = regions_of(named, gazetteer, f"__s{i}", by_length, whole_words).withColumnRenamed("region", f"__r{i}")
-        named = named.join(hits, f"__s{i}", "left")
-    first = F.coalesce(*(F.col(f"__r{i}") for i in range(len(sources))))
-    named = named.withColumn(target, F.when(F.coalesce(F.col(target), F.lit("")) == "", F.coalesce(first, F.col(target))).otherwise(F.col(target)))
-    return named.select(*rows.columns) if target in rows.columns else named.select(*rows.columns, target)
+    """Fills the region of rows that have none from the first source that holds a key, in one pass over the rows. Sources are already normalised texts."""
+    compiled = Gazetteer(rows.sparkSession, gazetteer, by_length, whole_words)
+    missing = F.coalesce(F.col(target), F.lit("")) == ""
+    first = F.coalesce(*(compiled.region(F.when(missing, s)) for s in sources))
+    return rows.withColumn(target, F.when(missing, F.coalesce(first, F.col(target))).otherwise(F.col(target)))

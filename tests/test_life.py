@@ -59,6 +59,26 @@ def test_stream_equals_replay_and_ignores_repeats(spark, tmp_path):
     assert got == {u: a for u, (_, a) in fold(history, 6).items()}
 
 
+def test_stream_touches_only_the_urls_of_a_run_and_compacts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "CHANGES_A_BASE", 2)
+    history = histories(3, n=15, runs=9)
+    source, table, with_run = tmp_path / "in", str(tmp_path / "table"), StructType([*LISTING.fields, StructField("run_no", LongType())])
+    source.mkdir()
+    for run in range(9):
+        rows = [{"url": u, "title": f"t{run}", "price": f"{run} €", "source": "s", "run_no": run} for u, rs in history.items() if run in rs]
+        rows += [{"url": None, "run_no": run}, {"url": "x", "run_no": None}] + rows[:1]
+        (source / f"{run}.json").write_text("\n".join(map(json.dumps, rows)))
+        snapshots.start(spark.readStream.schema(with_run).json(str(source)), table, str(tmp_path / "cp")).awaitTermination()
+        if run in (2, 8):
+            got = {r.url: (int(r.title[1:]), r.price, r.ausencias) for r in snapshots.current(spark, table).collect()}
+            last = {u: max(r for r in rs if r <= run) for u, rs in history.items() if any(r <= run for r in rs)}
+            want = fold({u: {r for r in rs if r <= run} for u, rs in history.items()}, run + 1)
+            assert got == {u: (first, f"{last[u]} €", a) for u, (first, a) in want.items()}
+    changes = snapshots._whole(spark, table, "changes")
+    assert snapshots._whole(spark, table, "base") and len(changes) < 9
+    assert spark.read.parquet(f"{table}/changes={changes[-1]}").count() <= len(history)
+
+
 def test_merge_is_idempotent_and_knows_failed_portals(spark):
     old = spark.createDataFrame([("a", "1", "x", "p", 2), ("b", "2", "y", "q", 2), (None, "3", "z", "p", 0)], "url string, price string, description string, source string, ausencias int")
     new = spark.createDataFrame([("c", "", None, "p")], "url string, price string, description string, source string")
@@ -70,19 +90,37 @@ def test_merge_is_idempotent_and_knows_failed_portals(spark):
     assert [tuple(r) for r in merge.alive(again).collect()] == [tuple(r) for r in merge.alive(once).collect()]
 
 
-def test_gazetteer_literal_and_joined_agree(spark, monkeypatch):
+def test_gazetteer_equals_a_search_key_by_key(spark, monkeypatch):
     rng = random.Random(1)
-    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
-    keys = [(word(rng.randint(1, 5)), f"r{i % 4}", i) for i in range(40)]
-    texts = spark.createDataFrame([(word(rng.randint(0, 14)) + " " + word(3),) for _ in range(80)] + [(None,), ("",)], "t string")
+    word = lambda n: "".join(rng.choice("abcñ") for _ in range(n))
+    keys = [(word(rng.randint(0, 5)), f"r{i % 4}", i) for i in range(60)] + [(None, "r", 99), ("ab", "last", 100)]
+    values = [word(rng.randint(0, 14)) + " " + word(3) for _ in range(80)] + [None, "", "z" * 100_000 + " ab"]
+    texts = spark.createDataFrame([(t,) for t in values], "t string")
     g = spark.createDataFrame(keys, "key string, region string, ord int")
+    table = {}
+    for k, region, i in keys:
+        if k:
+            table[k] = (table[k][0] if k in table else i, region)
     for by_length in (True, False):
         for whole in (True, False):
-            a = {tuple(r) for r in geo.regions_of(texts, g, "t", by_length, whole).collect()}
-            with monkeypatch.context() as m:
-                m.setattr(geo, "LITERAL_ROWS", 0)
-                b = {tuple(r) for r in geo.regions_of(texts, g, "t", by_length, whole).collect()}
-            assert a == b and len(a) > 50
+            want = {}
+            for t in set(values) - {None}:
+                hits = [((-len(k) if by_length else 0), *table[k]) for k in table if (f" {k} " in f" {t} " if whole else k in t)]
+                want[t] = min(hits, default=(None,))[-1]
+            for size in (2_000_000, 25):
+                monkeypatch.setattr(geo, "SHARD_BYTES", size)
+                monkeypatch.setattr(geo, "SHARDS_AT_ONCE", 50)
+                assert {r.t: r.region for r in geo.regions_of(texts, g, "t", by_length, whole).collect()} == want
+
+
+def test_regions_are_filled_in_place(spark):
+    g = spark.createDataFrame([("lugo", "Galicia", 1), ("madrid", "Madrid", 0)], "key string, region string, ord int")
+    rows = spark.createDataFrame([(1, "x lugo", None, "madrid"), (2, None, "", "madrid"), (3, "", "Own", "lugo"), (4, "q", None, None), (4, "q", None, None)], "ord int, a string, location_region string, b string")
+    found = geo.infer_region(rows, g, [F.col("a"), F.col("b")])
+    assert sorted((r.ord, r.location_region or "") for r in found.collect()) == [(1, "Galicia"), (2, "Madrid"), (3, "Own"), (4, ""), (4, "")]
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    none = geo.infer_region(rows, g.where("false"), [F.col("a")])
+    assert [r.location_region for r in none.orderBy("ord").collect()] == [None, "", "Own", None, None]
 
 
 def test_json_round_trip(spark, tmp_path):
