@@ -45,6 +45,17 @@ NAMES = frozenset(
 OTHERS, OTHERS_OF = frozenset("related recommended recommendations".split()), frozenset("posts post articles article links stories story items content products news reading list box block section widget pages videos".split())
 #: Names of a page's header, alone or with one of the words after them; it stays if it has the only h1.
 HEADERS, HEADERS_OF = frozenset(["header"]), frozenset("site top global main web blog inner nav bar fixed sticky".split())
+#: Words that make a compound with a name, as in "cookie-box" or "sidebar-right"; with any other word a name is part of a topic, as in "social-history".
+BESIDE = frozenset(
+    "area bar block body bottom box btn button buttons center close col column content count cta desktop fixed floating form google header icon icons id info inline inner item items js left link links list "
+    "main message mobile nav note panel policy pop post primary right row secondary section site slot small sticky tag text title toggle top unit up view wrap zone".split()
+)
+#: Names that an article's own blocks bear as well: there they are left out only if most of their text is links.
+COMMON = frozenset("alert copyright discussion rail replies reply respond search side skip toolbar widget widgets".split())
+#: Left out without ending the line around them.
+INLINE_OUT = frozenset("script style template iframe object svg canvas button select textarea".split())
+#: The group of text inside such an element.
+MUTE = -2
 #: With one of these a name tells of a layout around the content, as in "with-sidebar".
 LAYOUT = frozenset("has with no without layout wrapper container page".split())
 #: Left out only if the page's text is elsewhere.
@@ -90,9 +101,11 @@ class Lines(HTMLParser):
         return self.open[-1] if self.open else ("", 0, -1, False, False)
 
     def begin(self) -> None:
+        _, at, group, _, h1 = self.inner()
+        if group == MUTE:
+            return
         if self.lines and not self.lines[-1][0]:
             self.lines.pop()
-        _, at, group, _, h1 = self.inner()
         self.lines.append([[], 0, at, group, 0, h1])
 
     def cut(self, at: int) -> None:
@@ -101,9 +114,14 @@ class Lines(HTMLParser):
         for tag, *_ in self.open[at:]:
             self.many[tag] -= 1
         del self.open[at:]
-        if self.inner()[2] != group:
+        if MUTE not in (group, self.inner()[2]) and self.inner()[2] != group:
             self.begin()
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """A comment without an end goes on to the end of the page."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
+
     def place(self, tags: frozenset[str], stops: frozenset[str]) -> int:
         """The place of the innermost open element of the tags, -1 if there is none or it stands outside one of the stops."""
         if any(self.many[t] for t in tags):
@@ -139,7 +157,7 @@ class Lines(HTMLParser):
             self.open[at:] = [(t, c, g, False, h) for t, c, g, _, h in self.open[at + 1 :]]
 
     def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
-        """"hard", "soft" (may turn out to be a layout), "header" (may turn out to have the title) or nothing."""
+        """"hard", "soft" (may turn out to be a layout), "header" (may turn out to have the title), "links" (goes if it is mostly links) or nothing."""
         if tag in LEFT_OUT - SOFT or tag == "header" and not (self.many["article"] or self.many["main"]):
             return "hard"
         if tag in ("body", "html", "article", "main"):
@@ -149,8 +167,11 @@ class Lines(HTMLParser):
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and (value or "").lower() in ROLES:
                 return "hard"
             if name in ("class", "id"):
+                inside = bool(self.many["article"] or self.many["main"])
                 kinds = {self.boilerplate(part) for part in (value or "").split()}
-                found = "soft" if "soft" in kinds else found or ("header" if "header" in kinds and not (self.many["article"] or self.many["main"]) else "")
+                if "common" in kinds:
+                    kinds.add("links" if inside else "soft")
+                found = "soft" if "soft" in kinds else found or ("header" if "header" in kinds and not inside else "links" if "links" in kinds else "")
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I):
                 return "hard"
         return found
@@ -161,14 +182,21 @@ class Lines(HTMLParser):
         if words & LAYOUT:
             return ""
         of = lambda names, more: bool(words & names) and (words <= names or bool(words & more))
-        return "soft" if words & NAMES or of(OTHERS, OTHERS_OF) else "header" if of(HEADERS, HEADERS_OF) else ""
+        names = {w for w in words if not w.isdigit()}
+        if words & NAMES and names <= NAMES | BESIDE:
+            return "soft" if words & (NAMES - COMMON) else "common"
+        return "soft" if of(OTHERS, OTHERS_OF) else "header" if of(HEADERS, HEADERS_OF) else ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.imply(tag)
         block = tag in BLOCKS
         if tag not in VOID:
             _, at, group, link, h1 = self.inner()
-            if (group < 0 or self.groups[group][1] != "hard") and (kind := self.unwanted(tag, attrs)):
+            if group == MUTE:
+                block = False
+            elif tag in INLINE_OUT:
+                group = MUTE
+            elif (group < 0 or self.groups[group][1] != "hard") and (kind := self.unwanted(tag, attrs)):
                 self.groups.append((group, kind))
                 group = len(self.groups) - 1
                 block = True
@@ -202,34 +230,46 @@ class Lines(HTMLParser):
         self.begin()
 
     def handle_data(self, data: str) -> None:
+        if self.inner()[2] == MUTE:
+            return
         line = self.lines[-1]
         line[0].append(data)
         if self.inner()[3]:
             line[4] += len(data)
 
     def left_out(self, lines: list[tuple]) -> list[bool]:
-        """By line, whether a group leaves it out. A group that may be a layout is one if it has most of the text in several blocks, and no h1, article or main stands outside; a header stays if it has all h1 lines."""
-        chain: list[frozenset[int]] = []
-        for i, (around, _) in enumerate(self.groups):
-            chain.append(frozenset([i]) | (chain[around] if around >= 0 else frozenset()))
-        hard = [any(self.groups[g][1] == "hard" for g in c) for c in chain]
-        seen = [x for x in lines if x[3] < 0 or not hard[x[3]]]
-        whole, size, blocks, first, titles = 0, Counter(), Counter(), Counter(), Counter()
-        anchors = headings = 0
-        for text, _, at, group, links, h1 in seen:
+        """By line, whether a group leaves it out. A group that may be a layout is one if it has most of the text in several blocks, and no h1, article or main stands outside; a header stays if it has all h1 lines, and one that goes for its links if less than half of its text is links.
+
+        Groups and containers are numbered as they begin, so that one pass from the last to the first sums up what stands in each.
+        """
+        hard: list[bool] = []
+        for around, kind in self.groups:
+            hard.append(kind == "hard" or around >= 0 and hard[around])
+        anchored: list[bool] = []
+        for at in range(len(self.tags)):
+            anchored.append(self.tags[at] in ("article", "main") or self.parents[at] >= 0 and anchored[self.parents[at]])
+        n = len(self.groups)
+        own, size, blocks, first, titles, linked = (np.zeros(n, np.int64) for _ in range(6))
+        whole = anchors = headings = 0
+        for text, _, at, group, links, h1 in lines:
+            if group >= 0 and hard[group]:
+                continue
             length = max(0, len(text) - links)
-            while at >= 0 and self.tags[at] not in ("article", "main"):
-                at = self.parents[at]
-            anchor = h1 or at >= 0
+            anchor = h1 or anchored[at]
             whole, anchors, headings = whole + length, anchors + anchor, headings + h1
-            for g in chain[group] if group >= 0 else ():
-                size[g] += length
-                blocks[g] += length >= 40
-                first[g] += anchor
-                titles[g] += h1
-        layout = {g for g in size if 2 * size[g] > whole and blocks[g] >= 3 and first[g] == anchors}
-        layout |= {g for g in titles if self.groups[g][1] == "header" and 0 < titles[g] == headings}
-        return [group >= 0 and not chain[group] <= layout for _, _, _, group, _, _ in lines]
+            if group >= 0:
+                for total, value in ((own, len(text)), (size, length), (blocks, length >= 40), (first, anchor), (titles, h1), (linked, links)):
+                    total[group] += value
+        for g in range(n - 1, -1, -1):
+            if (around := self.groups[g][0]) >= 0:
+                for total in (own, size, blocks, first, titles, linked):
+                    total[around] += total[g]
+        stays: list[bool] = []
+        for g, (around, kind) in enumerate(self.groups):
+            layout = not hard[g] and own[g] and 2 * size[g] > whole and blocks[g] >= 3 and first[g] == anchors
+            keeps = layout or kind == "header" and 0 < titles[g] == headings or kind == "links" and 2 * linked[g] < own[g]
+            stays.append(bool(keeps) and (around < 0 or stays[around]))
+        return [group >= 0 and not stays[group] for _, _, _, group, _, _ in lines]
 
 
 def smoothed(ratios: np.ndarray, radius: int = 2) -> np.ndarray:
@@ -259,13 +299,12 @@ def main_text(html: str | None) -> str:
 
     def around(chosen: list[int], share: float) -> int:
         """The innermost container with a share of the chosen lines' text."""
-        weight: dict[int, int] = {}
+        weight = [0] * len(parser.tags)
         for i in chosen:
-            at = lines[i][2]
-            while at >= 0:
-                weight[at] = weight.get(at, 0) + len(lines[i][0])
-                at = parser.parents[at]
-        return max((c for c in weight if weight[c] >= share * weight[0]), key=lambda c: (depth[c], weight[c]), default=0)
+            weight[lines[i][2]] += len(lines[i][0])
+        for c in range(len(weight) - 1, 0, -1):
+            weight[parser.parents[c]] += weight[c]
+        return max((c for c, w in enumerate(weight) if w and w >= share * weight[0]), key=lambda c: (depth[c], weight[c]), default=0)
 
     at, outer = around(dense, SHARE), {}
     while at >= 0:
@@ -274,12 +313,11 @@ def main_text(html: str | None) -> str:
     bounded = "article" in outer or "main" in outer
     region = outer.get("article", outer.get("main", 0)) if bounded else around(sorted({*dense, *(i for i in wanted if lines[i][5])}), 1)
 
-    def inside(at: int) -> bool:
-        while at >= 0 and at != region:
-            at = parser.parents[at]
-        return at == region
+    within: list[bool] = []
+    for c in range(len(parser.tags)):
+        within.append(c == region or c > 0 and within[parser.parents[c]])
 
-    kept = [(i, lines[i][0], lines[i][4] >= 0.9 * len(lines[i][0])) for i in wanted if inside(lines[i][2])]
+    kept = [(i, lines[i][0], lines[i][4] >= 0.9 * len(lines[i][0])) for i in wanted if within[lines[i][2]]]
     out, k = [], 0
     while k < len(kept):
         end = k

@@ -5,7 +5,9 @@ hexadecimal, are decoded and reported only where their structure confirms them:
 lengths fit, a key in the SSH wire format, an armoured private key around such a body, or a signed token
 whose header names an algorithm. Base spans are never taken back.
 
-Null and empty texts have no spans. Texts are scanned whole; every pattern runs in linear time. Repeated rows are each
+Null and empty texts have no spans. Texts are scanned whole. Candidates overlap, so that none of them is decoded to its end
+before its beginning fits: keys are read where their length fields point, and a run is decoded once for all tokens
+that may begin in it, with parsing taken up where the last one failed. Repeated rows are each
 scanned, and rows without an id too; of spans that begin together the kinds' order decides. An empty table gives an
 empty one. Columns other than id and text are ignored.
 """
@@ -16,11 +18,13 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import textops
 from .spans import Span, digest, joined
 
 KINDS = ("assign", "access", "hex", "token", "key", "armour")
@@ -30,7 +34,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 #: The header of a signed token: a run before a dot. Its decoded text begins with a brace or a blank.
 _HEADER = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}(?=\.)")
-_JSON_START = re.compile(r"(?:e[w-z0-9_-]|I[A-P]|C[Q-Zg-va-f]|D[Q-Za-f])[A-Za-z0-9_-]+")
+_JSON_START = re.compile(r"(?:e[w-z0-9_-]|I[A-P]|C[Q-Zg-va-f]|D[Q-Za-f])[A-Za-z0-9_-]")
+#: A decoded header's beginning up to its first key's first sign.
+_OBJECT = re.compile(r'[ \t\r\n]*\{[ \t\r\n]*"(?=[A-Za-z0-9_])')
+_DECODER = json.JSONDecoder()
+_BLANK_END = re.compile(r"[ \t\r\n]*\Z")
+_KEY_TYPE = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}")
 _REST = re.compile(r"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 #: What a sequence, a length below 256 and the SSH magic look like in base64, and a run from there on.
 _START = re.compile(r"M[A-P]|AAAA|b3Bl")
@@ -64,7 +73,28 @@ def decoded(text: str) -> bytes | None:
         return None
 
 
-def der_parts(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+class Coded:
+    """The bytes that a base64 run from ``start`` to ``end`` stands for, decoded where they are asked for."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.start = text, start
+        while end > start and text[end - 1] == "=":
+            end -= 1
+        self.size = (end - start) * 3 // 4
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, key: int | slice) -> int | bytes:
+        a, b, _ = key.indices(self.size) if isinstance(key, slice) else (key, key + 1, 1)
+        if not 0 <= a <= b <= self.size:
+            raise IndexError(key)
+        first, n = self.start + a // 3 * 4, -(-4 * (b - a // 3 * 3) // 3)
+        data = decoded(self.text[first : first + n])[a % 3 : a % 3 + b - a] if b > a else b""
+        return data if isinstance(key, slice) else data[0]
+
+
+def der_parts(data: bytes | Coded, at: int, end: int) -> list[tuple[int, int, int]] | None:
     """(tag, start, end) of the values that fill data[at:end] exactly, or None where lengths don't fit."""
     out = []
     while at < end:
@@ -83,7 +113,7 @@ def der_parts(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return out
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(data: bytes | Coded) -> bool:
     """Whether the bytes are one sequence whose nested values have fitting lengths and that looks like a key: it begins with a version number or an algorithm, and holds more."""
     if len(data) < 24 or data[0] != 0x30:
         return False
@@ -114,7 +144,7 @@ def is_wire_key(data: bytes) -> bool:
             return False
         fields.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", fields[0]) is not None
+    return at == len(data) and len(fields) >= 2 and _KEY_TYPE.fullmatch(fields[0]) is not None
 
 
 def is_signed_token(text: str) -> bool:
@@ -139,7 +169,7 @@ def key_end(text: str, start: int, end: int) -> int:
         to = start + -(-4 * n // 3)
         if to > end or to < end and text[to] not in "/+_-=":
             return 0
-        return end if text[to:end].strip("=") == "" else to
+        return end if end - to <= 2 and text[to:end].strip("=") == "" else to
 
     if text[start] == "M":
         head = decoded(text[start : start + 8]) or b""
@@ -148,24 +178,62 @@ def key_end(text: str, start: int, end: int) -> int:
         size = head[1] & 0x7F
         size = 2 + size + int.from_bytes(head[2 : 2 + size], "big") if head[1] >= 0x80 and 1 <= size <= 4 else 2 + size
         to = at_byte(size)
-        data = decoded(text[start:to]) if to else None
-        return to if data is not None and is_der_key(data) else 0
-    body = text[start:end].rstrip("=")
-    data = decoded(body[: len(body) - (len(body) % 4 == 1)])
-    if data is None:
-        return 0
-    if data.startswith(b"openssh-key-v1\0"):
+        return to if to and is_der_key(Coded(text, start, to)) else 0
+    data = Coded(text, start, end)
+    if data[:15] == b"openssh-key-v1\0":
         return end
     at, found = 0, 0
     for n in range(64):
         if at + 4 > len(data) or (size := int.from_bytes(data[at : at + 4], "big")) > len(data) - at - 4:
             break
+        if not n and (size > 64 or not _KEY_TYPE.fullmatch(data[4 : 4 + size])):
+            break
         at += 4 + size
-        if n and (to := at_byte(at)) and is_wire_key(data[:at]):
+        if n and (to := at_byte(at)):
             found = to
     return found
 
 
+def object_end(text: str, at: int) -> tuple[bool, int]:
+    """(True, its end) of the JSON object that begins here, or (False, where it can't go on). Reads little more than that, as an error's cost grows with the text given."""
+    width = 256
+    while True:
+        part = text[at : at + width]
+        try:
+            return True, at + _DECODER.raw_decode(part)[1]
+        except json.JSONDecodeError as e:
+            if at + width >= len(text) or not e.msg.startswith("Unterminated") and e.pos < len(part) - 16:
+                return False, at + e.pos
+        except RecursionError:
+            return False, at
+        width *= 4
+
+
+def token_start(text: str, start: int, end: int, rest: int) -> int:
+    """Where the first signed token begins whose header ends with the run text[start:end] and that ends at ``rest``; -1 if none.
+
+    The run is decoded once for each of the four ways in which its signs can be grouped. Where the parser gave up on an object, it would do so on all objects within
+    too: an object begins with a key, and one that begins in a string of another ends that string, so that its key is where the parser gave up.
+    """
+    runs: dict[int, str] = {}
+    given_up = [0, 0, 0, 0]
+    for at in range(start, end - 11):
+        if (end - at) % 4 == 1 or not _JSON_START.match(text, at, end) or not starts_value(text, at):
+            continue
+        group = (at - start) % 4
+        if group not in runs:
+            runs[group] = (decoded(text[start + group : end]) or b"").decode("latin-1")
+        header = runs[group]
+        m = _OBJECT.match(header, (at - start - group) // 4 * 3)
+        if not m or m.end() < given_up[group]:
+            continue
+        whole, to = object_end(header, header.index("{", m.start()))
+        given_up[group] = max(to, m.end() + 1)
+        if whole and _BLANK_END.match(header, to) and is_signed_token(text[at:rest]):
+            return at
+    return -1
+
+
 def armour_body(text: str) -> tuple[bytes | None, dict[str, str]]:
     """The bytes and the header lines of what stands in an armour; line ends may be escaped, also more than once."""
     headers: dict[str, str] = {}
@@ -200,15 +268,15 @@ def confirmed_spans(text: str) -> list[Span]:
     if "." in text:
         for m in _HEADER.finditer(text):
             rest = _REST.match(text, m.end())
-            if rest:
-                for at in range(m.start(), m.end() - 11):
-                    if starts_value(text, at) and _JSON_START.match(text, at, m.end()) and is_signed_token(text[at : rest.end()]):
-                        out.append(("token", at, rest.end()))
-                        break
+            if rest and (at := token_start(text, m.start(), m.end(), rest.end())) >= 0:
+                out.append(("token", at, rest.end()))
     if "PRIVATE KEY-----" in text:
-        for m in _ARMOUR.finditer(text):
-            end = text.find(f"-----END {m[1]}-----", m.end())
-            if end >= 0 and is_armoured_key(text[m.end() : end]):
+        begins = list(_ARMOUR.finditer(text))
+        ends = {label: [m.start() for m in re.finditer(f"-----END {label}-----", text)] for label in {m[1] for m in begins}}
+        for m, after in zip(begins, [*begins[1:], None], strict=True):
+            at = bisect_left(ends[m[1]], m.end())
+            end = ends[m[1]][at] if at < len(ends[m[1]]) else -1
+            if end >= 0 and (after is None or end <= after.start()) and is_armoured_key(text[m.end() : end]):
                 out.append(("armour", m.start(), end + len(m[1]) + 14))
     done = end = 0
     for m in _START.finditer(text):
@@ -238,7 +306,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     counts = ("assign", "access", "hex")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textops.pieces(batches):
             base, every = [], []
             for text in batch.column(1):
                 text = text.as_py() or ""

@@ -61,3 +61,30 @@ def test_headers_by_class_and_what_stays_in_the_article():
     assert text(f"<article><div class='entry-header'><h1>Title</h1></div>{body}</article>") == ["Title", t, t]
     assert text(f"<article>{body}<div class='related-work'><p>{LONG}</p></div><p>See <math><mi>x</mi></math></p></article>") == [t, t, t, "See x"]
     assert text(f"<article>{body}</article><div class='related-posts'><p>{LONG}</p></div>") == [t, t]
+
+
+def test_names_inside_an_article_are_topics():
+    t = html.unescape(LONG)
+    article = lambda x: html_extract.main_text(f"<body><article><h1>Title</h1><p>{LONG}</p>{x}<p>End.</p></article></body>").split("\n")
+    for block in ("<p class=side>Kept.</p>", "<p class=alert>Kept.</p>", "<section id=search-algorithm>Kept.</section>", "<div class=social-history>Kept.</div>", "<section id=discussion>Kept.</section>",
+                  "<blockquote class=reply>Kept.</blockquote>", "<table class=widget><tr><td>Kept.</table>"):
+        assert article(block) == ["Title", t, "Kept.", "End."], block
+    for block in ("<div class=cookie-box>Gone.</div>", "<div class=ad-slot-2>Gone.</div>", "<div class=social>Gone.</div>", "<ul class=widget><li><a href=1>Gone</a></ul>", "<!-- no end <p>Gone."):
+        assert article(block) == ["Title", t, *([] if "!--" in block else ["End."])], block
+    assert html_extract.main_text(f"<body><div class=alert>Gone. {LONG}</div><article><p>{LONG}</p></article></body>") == t
+
+
+def test_elements_in_a_line_do_not_end_it():
+    assert html_extract.main_text(f"<article><p>One <button>x<div>y</div></button>two <svg><text>z</text></svg><script>q</script>three</p><p>{LONG}</p></article>").startswith("One two three\n")
+
+
+def test_deep_pages_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    for page in ("<div class=ad>" * 20_000 + "x", "<div>text" * 20_000, "<p>a</p>" + "<section><div>b</div>" * 10_000, "<article>" + "<div class=widget>w" * 10_000):
+        tracemalloc.start()
+        began = time.time()
+        html_extract.main_text(page)
+        assert time.time() - began < 40 and tracemalloc.get_traced_memory()[1] < 200e6
+        tracemalloc.stop()
