@@ -121,37 +121,34 @@ def place_from_title(title: Column) -> Column:
     return F.coalesce(after, F.trim(found(title, r"^.*,\s*([^,]+)$")))
 
 
-# What portals put around a title, phrases that are put into Spanish, and what stands beside a title's place.
-AROUND = (r"^\s*(?:\d[\d.,]*\s*€\s*)?(?:€\s*\d[\d.,]*\s*)?", r"\s*\(Ref:.*?\)", r"\s*-\s*€.*")
-PHRASES = ((r"\bfor sale\b", "en venta"), (r"(\d+)\s+bedroom\s+", "$1 habitaciones "))
-BEFORE_PLACE, AFTER_PLACE = ("en venta en", "in"), ("Hotel", "Guesthouse")
-#: Words from which on a title may have been said twice, and characters in which both halves agree then.
+# What a portal puts around an item's title, its phrases with their Spanish, and what stands before and after the place.
+AROUND_TITLE = r"^\s*(?:\d[\d.,]*\s*€\s*)?(?:€\s*\d[\d.,]*\s*)?|\s*\(Ref:.*?\)|\s*-\s*€.*"
+PHRASES = {r"(?i)\bfor sale\b": "en venta", r"(?i)(\d+)\s+bedroom\s+": "$1 habitaciones "}
+TITLE_PLACE = r"(?i)(?:en venta en|in)\s+(.+?)(?:\s+Hotel|\s+Guesthouse|$)"
+# Words from which on a title may stand twice in a name, and characters in which both halves agree then.
 TWICE_WORDS, TWICE_CHARACTERS = 8, 20
 
 
 def said_once(title: Column) -> Column:
-    """The first half of the words where the second half begins like it."""
-    both = F.transform(
-        F.array(F.regexp_extract_all(title, F.lit(r"(\S+)"))),
-        lambda w: F.struct(F.size(w).alias("n"), F.array_join(F.slice(w, 1, F.floor(F.size(w) / 2).cast("int")), " ").alias("x"), F.array_join(F.slice(w, F.floor(F.size(w) / 2).cast("int") + 1, F.size(w)), " ").alias("y")),
-    )[0]
-    begins = F.left(F.lower(both["x"]), F.lit(TWICE_CHARACTERS)) == F.left(F.lower(both["y"]), F.lit(TWICE_CHARACTERS))
-    return F.when((both["n"] >= TWICE_WORDS) & begins, both["x"]).otherwise(title)
+    """A title of many words whose second half begins with the characters of its first is cut to the first half."""
+    words = F.regexp_extract_all(title, F.lit(r"(\S+)"))
+    half = F.floor(F.size(words) / 2).cast("int")
+    opening = lambda of: F.substr(F.lower(F.array_join(of, " ")), F.lit(1), F.lit(TWICE_CHARACTERS))
+    doubled = (F.size(words) >= TWICE_WORDS) & (opening(F.slice(words, 1, half)) == opening(F.slice(words, half + 1, F.size(words))))
+    return F.when(doubled, F.array_join(F.slice(words, 1, half), " ")).otherwise(title)
 
 
 def portal_title(name: Column) -> Column:
-    """A portal's item name as title: no leading price, reference or trailing price; a title said twice once; key phrases translated."""
-    c = F.trim(F.regexp_replace(name, "|".join(AROUND), ""))
-    c = said_once(c)
-    for phrase, spanish in PHRASES:
-        c = F.regexp_replace(c, "(?i)" + phrase, spanish)
-    return F.trim(c)
+    """A portal's item name as a title: without prices and references, said once, its phrases in Spanish."""
+    bare = said_once(F.trim(F.regexp_replace(name, AROUND_TITLE, "")))
+    for phrase, spanish in PHRASES.items():
+        bare = F.regexp_replace(bare, phrase, spanish)
+    return F.trim(bare)
 
 
 def portal_place(title: Column) -> Column:
     """The place in a portal title, 'España' if there is none."""
-    place = found(title, rf"(?i)(?:{'|'.join(BEFORE_PLACE)})\s+(.+?)(?:\s+(?:{'|'.join(AFTER_PLACE)})|$)")
-    return F.coalesce(F.trim(F.rtrim(F.trim(place), F.lit(","))), F.lit("España"))
+    return F.coalesce(F.trim(F.rtrim(F.trim(found(title, TITLE_PLACE)), F.lit(","))), F.lit("España"))
 
 
 def city_in_title(title: Column) -> Column:

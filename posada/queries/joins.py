@@ -302,12 +302,26 @@ def quote_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_registro", "nombre", "habitaciones", c("google_travel.precio_tipico").alias("google"), c("booking.precio_noche").alias("booking"), c("booking.precio_sospechoso").alias("suspicious"), c("fecha_consulta").alias("checkin"))
 
 
-@register("j9_match_score", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.7 END::DOUBLE AS score FROM supplier")
+_j9 = "greatest(0, 1 - levenshtein(lower(s_name), lower(n_name || ' ' || s_name)) / greatest(length(s_name), length(n_name) + length(s_name) + 1)::DOUBLE)"
+
+
+@register("j9_match_score", f"SELECT s_suppkey, round_even(least(1.0, 0.70::DOUBLE * round_even({_j9}, 6) + CASE s_suppkey % 3 WHEN 2 THEN 0.0 ELSE 0.2 END::DOUBLE + CASE s_suppkey % 3 WHEN 0 THEN 0.1 ELSE 0.0 END::DOUBLE), 3) AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that differ, with the likeness that SQL has; ``f38_title_ratio`` has the library's own."""
     s, n = bind.table(spark, sf_dir, "supplier"), bind.table(spark, sf_dir, "nation")
-    met = s.join(n, c("s_nationkey") == c("n_nationkey")).withColumn("new", F.lower("s_name")).withColumn("old", F.lower("s_name"))
+    new, old = F.lower("s_name"), F.lower(F.concat("n_name", F.lit(" "), "s_name"))
+    likeness = F.bround(1 - F.levenshtein(new, old) / F.greatest(F.length(new), F.length(old)), 6)
     text = bind.by_remainder("s_suppkey", F.concat(F.lit("en "), "n_name", F.lit(" junto a Mayor")), F.concat(F.lit("en "), "n_name"), F.lit("nada"))
-    return dedup.scored(met).select("s_suppkey", model.match_score(c("ratio"), c("n_name"), F.lit("Calle Mayor 5"), text).alias("score"))
+    met = s.join(F.broadcast(n), c("s_nationkey") == c("n_nationkey"))
+    return met.select("s_suppkey", model.match_score(likeness, c("n_name"), F.lit("Calle Mayor 5"), text).alias("score"))
+
+
+@register("j9_match_score_ratio")
+def match_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``j9_match_score``, with the library's own likeness of the names, which SQL lacks."""
+    s, n = bind.table(spark, sf_dir, "supplier"), bind.table(spark, sf_dir, "nation")
+    met = s.join(F.broadcast(n), c("s_nationkey") == c("n_nationkey")).withColumn("new", F.lower("s_name")).withColumn("old", F.lower(F.concat("n_name", F.lit(" "), "s_name")))
+    return dedup.scored(met).select("s_suppkey", model.match_score(c("ratio"), c("n_name"), F.lit("Calle Mayor 5"), F.concat(F.lit("en "), "n_name")).alias("score"))
 
 
 @register("f38_title_ratio", None)
@@ -404,6 +418,22 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.last_per_key(read, "url").select("url", "ord", "price")
 
 
+@register("k2_parted_upsert", f"WITH {bind.LISTINGS}, {STORED} SELECT url, CASE WHEN s.url IS NOT NULL THEN s.price ELSE o.price END AS price, CASE WHEN s.url IS NOT NULL THEN s.source ELSE o.source END AS source FROM stored o FULL JOIN (SELECT * FROM seen WHERE price <> '1€') s USING (url)")
+def parted_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored listings in parts by URL, of which a run rewrites those whose URLs it has seen with a price."""
+    import uuid
+
+    from posada.operators.shared import folder
+    from posada.sources import store
+
+    old, new = stored(spark, sf_dir)
+    table = store.PartedTable(spark, f"{folder(spark)}/parted-{uuid.uuid4().hex}", parts=16)
+    columns = ["url", "price", "source"]
+    table.upsert(old.select(*columns))
+    table.upsert(new.where("price != '1€'").select(*columns))
+    return table.read(old.select(*columns).schema)
+
+
 @register(
     "s2_enriched_last_wins",
     f"WITH {bind.LICENCES} SELECT n_reg AS n_registro, max(ord) AS ord, arg_max(denominacion, ord) AS nombre, arg_max((ord % 90)::INT, ord) AS precio_noche, arg_max([(ord % 90)::INT, 500], ord) AS rango FROM licences WHERE n_reg <> '' GROUP BY n_reg",

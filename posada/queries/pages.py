@@ -111,7 +111,7 @@ def extract_portals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "s8_extract_more",
     "SELECT p_partkey AS page_id, 'Finca ' || p_name AS title, p_size::VARCHAR || '.500 €' AS price, CASE WHEN p_partkey % 2 = 0 THEN 'Ciutadella, ' || p_brand ELSE 'Costa Brava' END AS location, "
-    "CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'About ' || p_type END AS description, CASE WHEN p_partkey % 2 = 0 THEN 'EngelVolkers' ELSE 'OiRealEstate' END AS source FROM part",
+    "CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'About ' || p_type END AS description, CASE WHEN p_partkey % 2 = 0 THEN 'Engel & Völkers' ELSE 'Oi Real Estate' END AS source FROM part",
 )
 def extract_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place out of a card's first lines, and one out of the URL."""
@@ -119,11 +119,31 @@ def extract_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = _say('<article><a href="/es/es/exposes/1"><img alt="Finca ', name, '"></a>\n<p>Nuevo</p>\n<p>Ciutadella, ', c("p_brand"), ", España</p>\n<p>", size, ".500 €</p></article>")
     two = _say("<body><h1>Finca ", name, '</h1><b>', size, '.500 €</b><div class="desc">About ', c("p_type"), "</div></body>")
     made = bind.table(spark, sf_dir, "part").select(
-        c("p_partkey").alias("page_id"), F.lit("https://x.example/propiedad/7/finca-en-venta-en-costa-brava").alias("url"), F.when(even, one).otherwise(two).alias("html"), F.when(even, "EngelVolkers").otherwise("OiRealEstate").alias("source")
+        c("p_partkey").alias("page_id"), F.lit("https://x.example/propiedad/7/finca-en-venta-en-costa-brava").alias("url"), F.when(even, one).otherwise(two).alias("html"), F.when(even, "Engel & Völkers").otherwise("Oi Real Estate").alias("source")
     )
     return pages.extract_listings(made).select("page_id", "title", "price", "location", "description", "source")
 
 
+@register(
+    "s8_extract_others",
+    "SELECT p_partkey AS page_id, '/comprar-vivienda/espana/x' || p_partkey::VARCHAR || '.html' AS url, 'Casa ' || p_name AS title, p_size::VARCHAR || '.000 €' AS price, p_brand AS location, 'Lucas Fox' AS source FROM part WHERE p_partkey % 4 = 0 "
+    "UNION ALL SELECT p_partkey, 'https://www.kyero.com/es/property/' || p_partkey::VARCHAR, 'Hotel ' || p_name || ' en ' || p_brand, '€' || p_size::VARCHAR || '.000', p_brand, 'Kyero' FROM part WHERE p_partkey % 4 = 1 "
+    "UNION ALL SELECT p_partkey, 'https://www.fotocasa.es/es/hotel/' || p_partkey::VARCHAR, 'Hotel ' || p_name, p_size::VARCHAR || '.000 €', p_brand, 'Fotocasa' FROM part WHERE p_partkey % 4 = 2 "
+    "UNION ALL SELECT p_partkey, 'https://www.habitaclia.com/h' || p_partkey::VARCHAR || '.htm', 'Finca grande ' || p_name, 'Precio a consultar', p_brand, 'Habitaclia' FROM part WHERE p_partkey % 4 = 3",
+)
+def extract_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices beside a card, places in titles, titles that are not about hotels, and cards by their second kind of element."""
+    key, name, size, brand = c("p_partkey").cast("string"), c("p_name"), c("p_size").cast("string"), c("p_brand")
+    one = _say('<ul><li><a href="/comprar-vivienda/espana/x', key, '.html">x</a><h3 class="the-title">Casa ', name, '</h3><p class="price">Desde ', size, '.000 €</p><span class="area">', brand, "</span></li><li>x</li></ul>")
+    two = _say('<div><a href="/es/property/', key, '?x=1"><img alt="Hotel ', name, " en ", brand, ' - foto 1"></a><b>€ ', size, '.000</b></div><div><a href="/es/property/0"><img alt="Piso ', name, '"></a></div>')
+    card = lambda kind: _say('<div class="re-Card"><a href="/es/hotel/', key, '?a=1">x</a><h3 class="re-Card-title">', kind, " ", name, '</h3><i class="re-Card-price">', size, '.000 €</i><i class="re-Card-location">', brand, "</i></div>")
+    three = F.concat(card("Hotel"), card("Piso"))
+    four = _say('<div class="list-item"><h3>Finca grande ', name, '</h3><i class="zona">', brand, '</i><a href="h', key, '.htm?b=2">x</a></div>')
+    by = lambda *values: bind.by_remainder("p_partkey", *values)
+    made = bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), F.lit("https://x.example/page").alias("url"), by(one, two, three, four).alias("html"), by(*map(F.lit, ("Lucas Fox", "Kyero", "Fotocasa", "Habitaclia"))).alias("source"))
+    return pages.extract_listings(made).select("page_id", "url", "title", "price", "location", "source")
+
+
 @register("s9_detail_patch", "SELECT p_partkey AS page_id, CASE WHEN p_size BETWEEN 1 AND 500 THEN p_size END AS rooms, CASE WHEN p_partkey BETWEEN 20 AND 100000 THEN p_partkey::INT END AS m2, p_brand AS location_city FROM part")
 def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit('<head><meta name="city" content="'), c("p_brand"), F.lit('"></head><ul><li><b>Habitaciones</b>: '), c("p_size").cast("string"), F.lit("</li><li>"), c("p_partkey").cast("string"), F.lit(" m²</li></ul>"))

@@ -121,6 +121,10 @@ class Rule:
     defaults: dict[str, str] = field(default_factory=dict)
     least_title: int = 1
     needs: tuple[str, ...] = ()
+    #: Elements that are the cards where a page has none of ``card``, in order.
+    other_cards: tuple[tuple[str, str, str], ...] = ()
+    #: Whether only titles about hotels are listed.
+    hotels: bool = False
     finish: dict[str, Callable[[], Column]] = field(default_factory=dict)
 
 
@@ -130,7 +134,7 @@ AMOUNT = r"match:(\d[\d.,]*\s*€|€\s*\d[\d.,]*)"
 PORTALS = {
     r.source: r
     for r in (
-        Rule("LucasFox", ("li", "", ""), {"url": (("a", "href", r"/comprar-vivienda/espana/.*\.html$", "href"),), "title": (("", "class", "title|name", "text"),), "price": (("", "class", "price", AMOUNT),), "location": (("", "class", "location|area", "text"),)}, least_title=5),
+        Rule("Lucas Fox", ("li", "", ""), {"url": (("a", "href", r"/comprar-vivienda/espana/.*\.html$", "href"),), "title": (("", "class", "title|name", "text"),), "price": (("", "class", "price", AMOUNT),), "location": (("", "class", "location|area", "text"),)}, least_title=5),
         Rule(
             "LuxuryEstate", ("li", "class", "search-list__item"),
             {"url": (("a", "href", r"/es/p\d+", "href"),), "title": (("h[234]", "", "", "text"), ("a", "href", r"/es/p\d+", "text")), "price": (("", "class", "price", "text"),), "description": (("p", "", "", "text"),)},
@@ -142,7 +146,7 @@ PORTALS = {
             least_title=5, needs=("url",), finish={"price": lambda: price_or_request(F.col("price"))},
         ),
         Rule(
-            "EngelVolkers", ("article", "", ""),
+            "Engel & Völkers", ("article", "", ""),
             {"url": (("a", "href", "/es/es/exposes/", "href"),), "title": (("img", "alt", ".", "alt"),), "price": (("", "", "", r"match:(\d[\d.,]*\s*€)"),), "location": (("", "", "", "lines"),)},
             least_title=8, needs=("url",), finish={"location": lambda: place_in_lines(F.col("location"))},
         ),
@@ -152,7 +156,7 @@ PORTALS = {
             least_title=8, finish={"price": lambda: price_or_request(F.col("price")), "description": lambda: F.left("description", F.lit(1500))},
         ),
         Rule(
-            "OiRealEstate", ("body", "", ""), {"title": (("h1", "", "", "text"),), "price": (("", "", "", r"match:(\d[\d.,]*\s*€)"),), "description": (("div", "class", "(?i)desc|content|text|body", "text"),)},
+            "Oi Real Estate", ("body", "", ""), {"title": (("h1", "", "", "text"),), "price": (("", "", "", r"match:(\d[\d.,]*\s*€)"),), "description": (("div", "class", "(?i)desc|content|text|body", "text"),)},
             least_title=8, finish={"location": lambda: F.coalesce(place_from_slug(F.col("url"), r"/propiedad/\d+/[^/]+-en-venta-en-(.+)$"), F.lit(DEFAULTS["location"])), "description": lambda: F.left("description", F.lit(1500))},
         ),
         Rule(
@@ -160,9 +164,21 @@ PORTALS = {
             {"url": (("", "data-element-id", ".", "own"), ), "title": (("a", "title", ".", "title"),), "price": (("span", "class", "item-price", "text"),), "description": (("p", "class", "ellipsis", "text"), ("", "class", "item-description", "text"))},
             least_title=8, needs=("url",), finish={"url": lambda: F.concat(F.lit("https://www.idealista.com/inmueble/"), F.col("url"), F.lit("/")), "location": lambda: F.coalesce(F.trim(found(F.col("title"), r",\s*[^,]+,\s*([^,]+)$")), F.col("location"))},
         ),
-        Rule("Kyero", ("a", "href", "/es/property/"), {"url": (("", "", "", "href"),), "title": (("img", "alt", ".", "alt"),), "price": (("", "", "", AMOUNT),)}),
-        Rule("Fotocasa", ("", "class", "re-Card"), {"url": (("a", "href", ".", "href"),), "title": (("", "class", "[Tt]itle", "text"),), "price": (("", "class", "[Pp]rice", "text"),)}),
-        Rule("Habitaclia", ("article", "", ""), {"url": (("a", "href", ".", "href"),), "title": (("h3", "", "", "text"),), "price": (("", "class", "price", "text"),)}),
+        Rule(
+            "Kyero", ("a", "href", "/es/property/"), {"url": (("", "", "", "href"),), "title": (("img", "alt", ".", "alt"),), "price": (("", "", "", r"up 1:match:(€\s*[\d.,]+)"),)}, least_title=5, hotels=True,
+            finish={"url": lambda: absolute(F.col("url"), "https://www.kyero.com"), "title": lambda: F.trim(F.split_part("title", F.lit(" - foto"), F.lit(1))), "price": lambda: F.when(F.contains("price", F.lit("€")), F.replace("price", F.lit(" "), F.lit(""))).otherwise(F.col("price")),
+                    "location": lambda: F.coalesce(F.trim(found(F.split_part("title", F.lit(" - foto"), F.lit(1)), r"^.*? en (.*)$")), F.lit(DEFAULTS["location"]))},
+        ),
+        Rule(
+            "Fotocasa", ("", "class", r"(?i)re-Card\b"),
+            {"url": (("a", "href", "", "href"),), "title": (("", "class", "(?i)re-Card-title|CardTitle", "text"), ("h[234]", "", "", "text")), "price": (("", "class", "(?i)re-Card-price|CardPrice|price", "text"),), "location": (("", "class", "(?i)re-Card-location|CardLocation|location", "text"),)},
+            least_title=8, other_cards=(("article", "", ""), ("li", "class", "(?i)listing|result|property")), hotels=True, finish={"url": lambda: absolute(F.col("url"), "https://www.fotocasa.es")},
+        ),
+        Rule(
+            "Habitaclia", ("article", "", ""),
+            {"url": (("a", "href", "", "href"),), "title": (("h[234]", "", "", "text"), ("", "class", "(?i)title|name", "text")), "price": (("", "class", "(?i)price|precio", "text"),), "location": (("", "class", "(?i)location|zona|area|town", "text"),)},
+            least_title=8, other_cards=(("", "class", "(?i)list-item|property|result"),), finish={"url": lambda: absolute(F.col("url"), "https://www.habitaclia.com")},
+        ),
         # Every page of the plain kind: its heading and first paragraph.
         Rule("plain", ("article", "", ""), {"title": (("h1", "", "", "text"),), "description": (("p", "", "", "text"),)}),
     )
@@ -268,7 +284,7 @@ def _value(card: Node, ways: tuple[tuple[str, str, str, str], ...]) -> str | Non
             n, what = what[3:].split(":", 1)
             tops = _around(card, int(n))
         for top in tops:
-            nodes = [card] if not tag and not attribute else [n for n in top.walk() if n is not card and n is not top and _fits(n, tag, attribute, pattern)]
+            nodes = [top] if not tag and not attribute else [n for n in top.walk() if n is not card and n is not top and _fits(n, tag, attribute, pattern)]
             if nodes and (value := _read(nodes, pattern, what)):
                 return value
     return None
@@ -278,12 +294,13 @@ def cards(html: str | None, rule: Rule) -> list[dict[str, str | None]]:
     parser = Tree()
     parser.feed(html or "")
     parser.close()
+    kinds = (rule.card, *rule.other_cards)
+    nodes = next((some for kind in kinds if (some := [n for n in parser.root.walk() if _fits(n, *kind)])), [])
     out = []
-    for node in parser.root.walk():
-        if _fits(node, *rule.card):
-            row = {f: _value(node, rule.fields.get(f, ())) or rule.defaults.get(f, DEFAULTS.get(f)) for f in ("url", "title", "price", "location", "description")}
-            if row["title"] and len(row["title"]) >= rule.least_title and all(row[n] for n in rule.needs):
-                out.append(row)
+    for node in nodes:
+        row = {f: _value(node, rule.fields.get(f, ())) or rule.defaults.get(f, DEFAULTS.get(f)) for f in ("url", "title", "price", "location", "description")}
+        if row["title"] and len(row["title"]) >= rule.least_title and all(row[n] for n in rule.needs):
+            out.append(row)
     return out
 
 
@@ -313,7 +330,15 @@ def extract_listings(pages: DataFrame, rules: dict[str, Rule] | None = None) ->
                 value = F.when(F.col("source") == rule.source, rule.finish[name]()).otherwise(value)
         return value.alias(name)
 
-    return read.select("page_id", "pos", *map(final, names), "source")
+    listed = read.select("page_id", "pos", *map(final, names), "source")
+    picky = [s for s, rule in known.items() if rule.hotels]
+    return listed.where(~F.col("source").isin(*picky) | about_hotels(F.col("title"))) if picky else listed
+
+
+def absolute(url: Column, site: str) -> Column:
+    """A link of a site's page as a whole URL, without its query."""
+    path = F.split_part(url, F.lit("?"), F.lit(1))
+    return F.when(F.startswith(path, F.lit("http")), path).otherwise(F.concat(F.lit(site), F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))))
 
 
 def reordered(price: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -72,6 +72,83 @@ def optional_json(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
+#: Parts of a table that is stored by the hashes of its keys.
+PARTS = 64
+
+
+class PartedTable:
+    """A table in parts by the hash of its key, each with versions of its own, so that a run rewrites only the parts whose rows it changes.
+
+    A version of a part is a folder that is never written to again; the table's version is a small list of the parts' versions, written
+    last. A write that fails leaves the former list, and every former list can be read as long as it is kept. Rows with a null key are one part's.
+    One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str = "url", parts: int = PARTS):
+        self.spark, self.root, self.key, self.parts = spark, root, key, parts
+
+    def _lists(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema("version long, part int, of long").json(f"{self.root}/versions")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+
+    def version(self) -> int:
+        """The last version, 0 before the first write."""
+        lists = self._lists()
+        return 0 if lists is None else lists.agg(F.max("version")).first()[0] or 0
+
+    def versions_of_parts(self, version: int | None = None) -> dict[int, int]:
+        lists = self._lists()
+        if lists is None:
+            return {}
+        at = self.version() if version is None else version
+        return {r.part: r.of for r in lists.where(F.col("version") == at).collect()}
+
+    def part_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
+
+    def read(self, schema: T.StructType, version: int | None = None, parts: list[int] | None = None) -> DataFrame:
+        """The table, or some parts of it, as of a version."""
+        paths = [f"{self.root}/part={p}/v={v}" for p, v in self.versions_of_parts(version).items() if parts is None or p in parts]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def write(self, rows: DataFrame, parts: list[int]) -> int:
+        """A new version: the parts given are the rows, all others stay as they are. Rows of other parts are not written."""
+        version, known = self.version() + 1, self.versions_of_parts()
+        some = rows.withColumn("__part", self.part_of(F.col(self.key))).where(F.col("__part").isin(*parts)).repartition(max(1, len(parts)), "__part")
+        # Folders are made by one write, and moved to their parts' versions by name only.
+        some.withColumnRenamed("__part", "part").write.partitionBy("part").parquet(f"{self.root}/incoming={version}")
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        fs = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for p in parts:
+            source, target = path(f"{self.root}/incoming={version}/part={p}"), path(f"{self.root}/part={p}/v={version}")
+            fs.delete(target, True)  # of a write that failed
+            fs.mkdirs(target.getParent())
+            if fs.exists(source):
+                fs.rename(source, target)
+                known[p] = version
+            else:
+                known.pop(p, None)
+        fs.delete(path(f"{self.root}/incoming={version}"), True)
+        now = [(version, p, v) for p, v in sorted(known.items())] or [(version, -1, -1)]
+        self.spark.createDataFrame(now, "version long, part int, of long").coalesce(1).write.mode("append").json(f"{self.root}/versions")
+        return version
+
+    def changed_parts(self, changes: DataFrame) -> list[int]:
+        """The parts in which the rows' keys are; at most as many as there are parts."""
+        return sorted(r.p for r in changes.select(self.part_of(F.col(self.key)).alias("p")).distinct().collect())
+
+    def upsert(self, changes: DataFrame) -> int:
+        """Rows of known keys replace theirs, others come in; one row per key. Reads and writes only the parts of those keys."""
+        parts = self.changed_parts(changes)
+        old = self.read(changes.schema, parts=parts)
+        return self.write(old.join(changes.select(self.key), self.key, "left_anti").select(*changes.columns).unionByName(changes), parts)
+
+
 def save_version(rows: DataFrame, root: str, version: int) -> str:
     """Writes the table as a further version, so that the former one is the backup; gives the path."""
     path = f"{root}/v{version:08d}"

@@ -150,3 +150,24 @@ def test_numbered_wide_table(spark):
     df = spark.range(n, numPartitions=7).select((F.col("id") * 7919 % n).alias("x"), F.sha2(F.col("id").cast("string"), 256).alias("rest"))
     found = order.numbered(df, [F.col("x")]).agg(F.count(F.when(F.col("x") != F.col("ord"), 1)).alias("wrong"), F.countDistinct("ord").alias("numbers"), F.max(F.length("rest")).alias("m")).first()
     assert tuple(found) == (0, n, 64)
+
+
+def test_parted_table_rewrites_only_the_parts_of_changed_urls(spark, tmp_path):
+    table = store.PartedTable(spark, str(tmp_path / "t"), parts=8)
+    kind = "url string, price string"
+    schema = spark.createDataFrame([], kind).schema
+    assert table.version() == 0 and table.read(schema).count() == 0
+    first = {f"u{i}": str(i) for i in range(60)} | {None: "n"}
+    table.upsert(spark.createDataFrame(list(first.items()), kind))
+    before = table.versions_of_parts()
+    changes = {"u3": "x", "new": "y"}
+    table.upsert(spark.createDataFrame(list(changes.items()), kind))
+    after = table.versions_of_parts()
+    assert dict(table.read(schema).collect()) == first | changes
+    assert dict(table.read(schema, version=1).collect()) == first
+    assert 1 <= sum(after[p] != before.get(p) for p in after) <= 2
+    merged = table.read(schema).where("url is null or url != 'u5'")
+    table.write(merged, list(range(8)))
+    assert "u5" not in dict(table.read(schema).collect()) and table.read(schema, version=2).count() == 62
+    table.write(merged.where("false"), list(range(8)))
+    assert table.version() == 4 and table.read(schema).count() == 0

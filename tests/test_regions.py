@@ -19,3 +19,11 @@ def test_keys_are_searched_in_whole_texts(spark, tmp_path, name):
     want = {b: min((v for k, v in keys.items() if k in b), default=(None,))[-1] for b in bodies}
     got = {r.body: r.region for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
     assert got == want and want["nothing\nblue ox"] is not None
+
+
+def test_every_portal_has_one_name():
+    from posada.sources import details, pages
+
+    of_details = {s for rule in details.LATER for s in rule.sources} | {"ThinkSpain"}
+    only_lists = {"Kyero", "Fotocasa", "Habitaclia", "plain"}  # no later visit to these
+    assert set(pages.PORTALS) - only_lists <= of_details and of_details - {"ThinkSpain"} <= set(pages.PORTALS)
