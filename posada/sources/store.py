@@ -105,7 +105,7 @@ class PartedTable:
         if lists is None:
             return {}
         at = self.version() if version is None else version
-        return {r.part: r.of for r in lists.where(F.col("version") == at).collect()}
+        return {r.part: r.of for r in lists.where((F.col("version") == at) & (F.col("part") >= 0)).collect()}
 
     def part_of(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
@@ -134,7 +134,7 @@ class PartedTable:
             else:
                 known.pop(p, None)
         fs.delete(path(f"{self.root}/incoming={version}"), True)
-        now = [(version, p, v) for p, v in sorted(known.items())] or [(version, -1, -1)]
+        now = [(version, p, v) for p, v in sorted(known.items())] or [(version, -1, -1)]  # a table without rows has no part
         self.spark.createDataFrame(now, "version long, part int, of long").coalesce(1).write.mode("append").json(f"{self.root}/versions")
         return version
 
