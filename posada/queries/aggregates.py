@@ -129,6 +129,26 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.document(rows)
 
 
+@register(
+    "k3_published_listings",
+    f"WITH {bind.LISTINGS} SELECT row_number() OVER (ORDER BY CASE WHEN date IS NULL OR date = '' THEN DATE '2000-01-01' ELSE coalesce(try_strptime(date, '%d/%m/%Y')::DATE, DATE '0001-01-01') END DESC, ord) - 1 AS ord, "
+    "url, price, date, rooms, md5(title) AS title, md5(description) AS description FROM listings",
+)
+def published_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All listings published as one JSON document, latest first, and that document read again by ranges, with each record's place."""
+    import uuid
+
+    from posada.operators.shared import folder
+    from posada.sources import json_array
+
+    rows = bind.listings(spark, sf_dir)
+    path = f"{folder(spark)}/document-{uuid.uuid4().hex}"
+    json_array.write_array(rows, f"{path}/parts")
+    json_array.join_parts(spark, f"{path}/parts", f"{path}/listings.json")
+    read = json_array.read_array(spark, f"{path}/listings.json", rows.schema)
+    return read.select("ord", "url", "price", "date", "rooms", F.md5("title").alias("title"), F.md5("description").alias("description"))
+
+
 _title = TRIM(unescaped(_tags("regexp_extract(html, '<title>(.*?)</title>', 1)")))
 _url = "regexp_replace(split_part(trim(coalesce(url, '')), '?', 1), '/+$', '')"
 

@@ -12,7 +12,7 @@ from posada.functions.attributes import alias_value
 from posada.functions.dates import query_day
 from posada.functions.prices import digits
 from posada.functions.text import TITLE_STOPWORDS, canonical_url, folded_lower
-from posada.operators import dedup, enrich, geo, merge, model, order
+from posada.operators import dedup, enrich, geo, lives, merge, model, order
 from posada.schema import BOOKING
 
 from . import bind
@@ -359,16 +359,47 @@ def difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.missing_from(rows.where("ord % 2 = 0").select("url").distinct(), rows.where("ord % 5 = 0"), "url")
 
 
-@register(
-    "w3_lifecycle_replay",
+_LIVES = (
     f"WITH {bind.SIGHTINGS}, r AS (SELECT DISTINCT url, run_no FROM sightings), i AS (SELECT *, run_no - lag(run_no) OVER w AS gap FROM r WINDOW w AS (PARTITION BY url ORDER BY run_no)), "
-    "n AS (SELECT *, sum(CASE WHEN gap > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY url ORDER BY run_no) AS island FROM i), e AS (SELECT url, island, min(run_no) AS first_run, max(run_no) AS seen_run FROM n GROUP BY url, island), "
-    "l AS (SELECT url, arg_max(first_run, island) AS first_run, arg_max(seen_run, island) AS seen_run FROM e GROUP BY url) SELECT url, first_run, seen_run, ((SELECT max(run_no) FROM sightings) - seen_run)::INT AS ausencias FROM l WHERE (SELECT max(run_no) FROM sightings) - seen_run < 3",
+    "n AS (SELECT *, sum(CASE WHEN gap > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY url ORDER BY run_no) AS island FROM i), e AS (SELECT url, island, min(run_no) AS first_run, max(run_no) AS seen_run FROM n GROUP BY url, island)"
+)
+_REPLAY = (
+    f"{_LIVES}, l AS (SELECT url, arg_max(first_run, island) AS first_run, arg_max(seen_run, island) AS seen_run FROM e GROUP BY url) "
+    "SELECT url, first_run, seen_run, ((SELECT max(run_no) FROM sightings) - seen_run)::INT AS ausencias FROM l WHERE (SELECT max(run_no) FROM sightings) - seen_run < 3"
 )
+
+
+@register("w3_lifecycle_replay", _REPLAY)
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.replay(bind.sightings(spark, sf_dir))
 
 
+def _last_run(seen: DataFrame) -> int:
+    return seen.agg(F.max("run_no")).first()[0]
+
+
+@register("w3_lives", f"{_LIVES} SELECT url, first_run, seen_run, CASE WHEN seen_run + 3 <= (SELECT max(run_no) FROM sightings) THEN seen_run + 3 END AS evicted_run FROM e")
+def all_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every life of every URL: its insert run, last sighting and the run that evicted it."""
+    seen = bind.sightings(spark, sf_dir)
+    return lives.stories(lives.lives(seen), _last_run(seen))
+
+
+@register("w3_lifecycle_in_batches", _REPLAY)
+def lifecycle_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``w3_lifecycle_replay``, from lives stored in parts that three batches of sightings, out of order, have advanced."""
+    import uuid
+
+    from posada.operators.shared import folder
+    from posada.sources import store
+
+    seen = bind.sightings(spark, sf_dir)
+    table = store.PartedTable(spark, f"{folder(spark)}/lives-{uuid.uuid4().hex}", parts=16)
+    for k in (2, 0, 1):
+        lives.advance(table, seen.where(c("event_id") % 3 == k))
+    return lives.living(table.read(lives.lives(seen).schema), _last_run(seen))
+
+
 @register("w1_last_sighting", f"WITH {bind.SIGHTINGS} SELECT url, arg_max(event_type, (run_no, event_id)) AS event_type, max(run_no) AS run_no FROM sightings GROUP BY url")
 def last_sighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.first_per_key(bind.sightings(spark, sf_dir), ["url"], [c("run_no"), c("event_id")], last=True).select("url", "event_type", "run_no")
