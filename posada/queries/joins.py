@@ -12,7 +12,7 @@ from posada.functions.attributes import alias_value
 from posada.functions.dates import query_day
 from posada.functions.prices import digits
 from posada.functions.text import TITLE_STOPWORDS, canonical_url, folded_lower
-from posada.operators import dedup, enrich, geo, lives, merge, model, order
+from posada.operators import candidates, dedup, enrich, geo, lives, merge, model, order
 from posada.schema import BOOKING
 
 from . import bind
@@ -324,6 +324,43 @@ def match_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.scored(met).select("s_suppkey", model.match_score(c("ratio"), c("n_name"), F.lit("Calle Mayor 5"), F.concat(F.lit("en "), "n_name")).alias("score"))
 
 
+_NAMED = """
+x AS (SELECT c_custkey AS licence, n_name AS town, lower(c_mktsegment || ' ' || n_name || ' ' || (c_custkey % 40)::VARCHAR) AS name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+y AS (SELECT s_suppkey AS card, lower('hotel ' || n_name || ' ' || (s_suppkey % 40)::VARCHAR) AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+w AS (SELECT licence, card, town, x.name AS new, y.name AS old, list_distinct(string_split(x.name, ' ')) AS a, list_distinct(string_split(y.name, ' ')) AS b FROM x, y),
+met AS (SELECT *, len(list_intersect(a, b))::INT AS shared FROM w WHERE list_has_any(a, b) AND len(list_intersect(a, b)) >= greatest(len(a), len(b)) - 1)"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Licences by segment, nation and number, and cards whose names have another first word."""
+    cust, s, n = (bind.table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    name = lambda first, number: F.lower(F.concat_ws(" ", first, "n_name", (c(number) % 40).cast("string")))
+    x = cust.join(F.broadcast(n), c("c_nationkey") == c("n_nationkey")).select(c("c_custkey").alias("id"), c("n_name").alias("town"), name(c("c_mktsegment"), "c_custkey").alias("name"))
+    return x, s.join(F.broadcast(n), c("s_nationkey") == c("n_nationkey")).select(c("s_suppkey").alias("id"), name(F.lit("hotel"), "s_suppkey").alias("name"))
+
+
+@register("j9_candidates", f"WITH {_NAMED} SELECT licence, card, shared FROM met")
+def name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of names that differ by one word at most."""
+    return candidates.candidates(*_named(spark, sf_dir))
+
+
+_near = "round_even(1 - levenshtein(new, old) / greatest(length(new), length(old))::DOUBLE, 6)"
+
+
+@register(
+    "j9_best_card",
+    f"WITH {_NAMED}, s AS (SELECT licence, card, round_even(least(1.0, 0.70::DOUBLE * {_near} + 0.2::DOUBLE), 3) AS score FROM met) "
+    "SELECT licence, arg_min(card, (-score, card)) AS card, max(score) AS score FROM s GROUP BY licence",
+)
+def best_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The card of each licence that has candidates, by the match score with the likeness that SQL has."""
+    x, y = _named(spark, sf_dir)
+    met = candidates.candidates(x, y).join(x.select(c("id").alias("licence"), "town", c("name").alias("new")), "licence").join(y.select(c("id").alias("card"), c("name").alias("old")), "card")
+    likeness = F.bround(1 - F.levenshtein("new", "old") / F.greatest(F.length("new"), F.length("old")), 6)
+    return candidates.best_cards(met, likeness, c("town"), F.lit(None).cast("string"), c("old"))
+
+
 @register("f38_title_ratio", None)
 def title_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = bind.table(spark, sf_dir, "part")
