@@ -17,31 +17,33 @@ from posada.operators.order import latest_first
 _RANGE = ["file", "block"]
 
 
-def _count(text: Column, others: str) -> Column:
-    """How many signs a text has, apart from the others."""
-    return F.length(F.regexp_replace(text, others, ""))
-
-
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, i, value): the text between closing braces, by range and in order."""
+    """(file, block, i, value, signs): the text between closing braces, by range and in order; signs are its quotes and brackets that no backslash precedes.
+
+    Signs are small, and all that decides where records end; whole texts are shuffled once.
+    """
     source = spark.read.option("lineSep", "}").text(path)
     at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
-    return source.select(*at, F.monotonically_increasing_id().alias("i"), "value").repartition(*_RANGE)
+    signs = F.regexp_replace("value", r'(?s)\\.|[^"\[\]{\\]+', "")
+    return source.select(*at, F.monotonically_increasing_id().alias("i"), "value", signs.alias("signs")).repartition(*_RANGE)
+
+
+def _depth(signs: Column) -> Column:
+    """How much deeper the brackets outside strings lead."""
+    return F.length(F.translate(signs, "]", "")) - F.length(F.translate(signs, "[{", ""))
 
 
 def _with_cases(pieces: DataFrame) -> DataFrame:
     """How quotes and depth change over a piece and its brace, if its range begins outside (0) or inside (1) a string."""
-    bare = F.regexp_replace("value", r"(?s)\\.", "")
-    outside = F.regexp_replace(bare, r'"[^"]*("|\z)', "")
-    inside = F.regexp_replace(F.regexp_replace(bare, r'\A[^"]*("|\z)', ""), r'"[^"]*("|\z)', "")
-    quotes = _count(bare, '[^"]') % 2
+    outside = F.regexp_replace("signs", r'"[^"]*("|\z)', "")
+    inside = F.regexp_replace(F.regexp_replace("signs", r'\A[^"]*("|\z)', ""), r'"[^"]*("|\z)', "")
+    quotes = (F.length("signs") - F.length(F.translate("signs", '"', ""))) % 2
     before = Window.partitionBy(*_RANGE).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     rows = pieces.withColumn("quotes", quotes).withColumn("began", F.coalesce(F.sum("quotes").over(before), F.lit(0)))
     for case in (0, 1):
         within = (F.col("began") + case) % 2 == 1
         ends_within = (F.col("began") + case + F.col("quotes")) % 2 == 1
-        text = F.when(within, inside).otherwise(outside)
-        change = _count(text, r"[^\[{]") - _count(text, r"[^\]]") - F.when(ends_within, 0).otherwise(1)
+        change = _depth(F.when(within, inside).otherwise(outside)) - F.when(ends_within, 0).otherwise(1)
         rows = rows.withColumns({f"change_{case}": change, f"closes_{case}": ~ends_within})
     return rows
 
