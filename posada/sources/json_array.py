@@ -96,6 +96,17 @@ def read_array(spark: SparkSession, path: str, schema: T.StructType, on_corrupt:
     return rows.where("r.__corrupt is null").select(*(F.col("r")[n].alias(n) for n in schema.fieldNames() if n not in ("file", "ord")), "file", "ord")
 
 
+def read_licence_array(spark: SparkSession, path: str, on_corrupt: str = "fail") -> DataFrame:
+    """(record VARIANT, ord) of licence files that are one array each, by many tasks; as ``store.read_licences`` gives it for such files.
+
+    ``store.read_licences`` also reads files whose list is within an object, one task a file. A record that does not parse fails the read
+    ('fail') or is left out ('skip').
+    """
+    parse = F.parse_json if on_corrupt == "fail" else F.try_parse_json
+    rows = array_texts(spark, path, on_corrupt).select(parse("text").alias("record"), F.struct("file", "at").alias("ord"))
+    return rows.where("record is not null")
+
+
 #: The name of the file that ends a document in parts; it comes after all parts.
 END = "z-end"
 

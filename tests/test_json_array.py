@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from posada.sources import json_array
+from posada.sources import json_array, store
 
 KIND = "url string, title string, date string, tags array<string>, inner struct<a: int, b: string>"
 
@@ -74,3 +74,13 @@ def test_document_in_parts(spark, tmp_path):
     json_array.write_array(df.where("false"), folder)
     json_array.join_parts(spark, folder, file)
     assert json.loads((tmp_path / "doc.json").read_text()) == []
+
+
+def test_licence_array_equals_whole_files(spark, tmp_path, small_ranges):
+    small_ranges(150)
+    licences = [{"id": str(i), "nombre": f'Casa "{i}" {{x}}', "extra": {"a": [i]}} for i in range(40)]
+    (tmp_path / "l.json").write_text(json.dumps(licences, indent=1))
+    fields = lambda rows: [(r.id, r.nombre) for r in store.licence_fields(rows, ["id", "nombre"]).orderBy("ord").collect()]
+    want = [(x["id"], x["nombre"]) for x in licences]
+    assert fields(json_array.read_licence_array(spark, str(tmp_path / "l.json"))) == want
+    assert fields(store.read_licences(spark, str(tmp_path / "l.json"))) == want
