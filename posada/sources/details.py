@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from posada.functions.attributes import from_text
 from posada.functions.base import found, number, present, within
 
-from .pages import PLACE_METAS, Tree, crumb_before_last, last_crumb, meta_place, meta_value, visible_text
+from .events import Element, Reader
+from .pages import PLACE_METAS, crumb_before_last, last_crumb, meta_place, meta_value, visible_text
 
 # The classes that mark a page's parts.
 CRUMB_CLASSES, FEATURE_CLASSES = "breadcrumb|location", "feature|detail|spec|propert|info|characteristic|bedroom|bathroom"
@@ -26,28 +27,73 @@ DESCRIPTION_CLASSES, BODY_CLASSES = "description|descrip", "text|content|body"
 PARTS = "heading string, description string, crumbs array<string>, features string"
 
 
-def parts(pages: DataFrame) -> DataFrame:
-    """The rows (page_id, url, html, and others) with heading, description, crumbs and features; null or empty where a page lacks them."""
+#: Elements that a crumb can be.
+CRUMB_TAGS = ("a", "li", "span")
+CRUMBS, FEATURES, ABOUT, BODY, BREAD = (regex.compile(p, regex.I) for p in (CRUMB_CLASSES, FEATURE_CLASSES, DESCRIPTION_CLASSES, BODY_CLASSES, "bread"))
+
+
+class PartsReader(Reader):
+    """The parts of a detail page in one pass: the first element of each role, and all feature lists. Text is kept while one of them is open."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.seen: dict[str, str | None] = {}
+        self.crumbs: dict[str, list[str]] = {"trail": [], "trail by class": []}
+        self.lists: dict[int, str] = {}
+        self.wanted = self.crumb_tags = 0
+        self.trails: set[str] = set()  # those open
+
+    def opened(self, x: Element) -> None:
+        classes = x.attrs.get("class", "")
+        ways = (
+            ("heading", x.tag == "h1"), ("about", ABOUT.search(classes)), ("body", x.tag == "div" and BODY.search(classes)),
+            ("trail", x.tag == "nav" and BREAD.search(x.attrs.get("aria-label", ""))), ("trail by class", CRUMBS.search(classes)),
+        )
+        x.roles = [role for role, fits in ways if fits and role not in self.seen]
+        self.seen.update(dict.fromkeys(x.roles))
+        self.trails.update(role for role in x.roles if role in self.crumbs)
+        if x.tag in ("ul", "div", "table") and FEATURES.search(classes):
+            self.lists[x.number] = ""
+            x.roles.append("list")
+        if x.tag in CRUMB_TAGS:
+            self.crumb_tags += 1
+            x.inner = self.crumb_tags
+        self.wanted += bool(x.roles)
+        self.keeps = self.wanted > 0
+
+    def closed(self, x: Element) -> None:
+        if self.trails and x.inner and x.inner == self.crumb_tags and (text := self.text(x)):
+            for role in self.trails:
+                self.crumbs[role].append(text)
+        for role in x.roles or ():
+            if role == "list":
+                self.lists[x.number] = self.text(x)
+            elif role in self.crumbs:
+                self.trails.discard(role)
+            else:
+                self.seen[role] = self.text(x)
+        self.wanted -= bool(x.roles)
+        if not self.wanted:
+            self.keeps = False
+            self.pieces.clear()
+
+
+def read_parts(html: str | None) -> tuple[str | None, str | None, list[str], str]:
+    """(heading, description, crumbs, features) of a page."""
+    reader = PartsReader()
+    reader.read(html)
+    about = reader.seen.get("about") if "about" in reader.seen else reader.seen.get("body")
+    crumbs = reader.crumbs["trail" if "trail" in reader.seen else "trail by class"]
+    return reader.seen.get("heading"), about, crumbs, " ".join(reader.lists.values())
 
-    def read(html: str | None) -> tuple:
-        parser = Tree()
-        parser.feed(html or "")
-        parser.close()
-        nodes = list(parser.root.walk())
-        has = lambda n, classes: regex.search(classes, n.attrs.get("class", ""), regex.I) is not None
-        first = lambda on: next((n for n in nodes if on(n)), None)
-        heading = first(lambda n: n.tag == "h1")
-        about = first(lambda n: has(n, DESCRIPTION_CLASSES)) or first(lambda n: n.tag == "div" and has(n, BODY_CLASSES))
-        trail = first(lambda n: n.tag == "nav" and regex.search("bread", n.attrs.get("aria-label", ""), regex.I)) or first(lambda n: has(n, CRUMB_CLASSES))
-        crumbs = [] if trail is None else [t for n in trail.walk() if n.tag in ("a", "li", "span") and not any(x.tag in ("a", "li", "span") for x in n.walk() if x is not n) and (t := n.text())]
-        lists = [n.text() for n in nodes if n.tag in ("ul", "div", "table") and has(n, FEATURE_CLASSES)]
-        return heading and heading.text(), about and about.text(), crumbs, " ".join(lists)
 
+def parts(pages: DataFrame) -> DataFrame:
+    """The rows (page_id, url, html, and others) with heading, description, crumbs and features; null or empty where a page lacks them."""
     names = [c for c in pages.columns if c not in ("heading", "description", "crumbs", "features")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.concat([part.reset_index(drop=True), pd.DataFrame([read(x) for x in part["html"]], columns=["heading", "description", "crumbs", "features"], dtype=object)], axis=1)
+            yield pd.concat([part.reset_index(drop=True), pd.DataFrame([read_parts(x) for x in part["html"]], columns=["heading", "description", "crumbs", "features"], dtype=object)], axis=1)
 
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names)
     return pages.select(*names).mapInPandas(run, f"{kinds}, {PARTS}")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 import pandas as pd
 import regex
@@ -16,6 +16,8 @@ from posada.functions.places import place_from_slug, portal_place, portal_title
 from posada.functions.prices import portal_price, price_or_request
 from posada.functions.text import about_hotels, canonical_url, clean, unescape
 
+from .events import Element, Reader
+
 _DROPPED = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
 
@@ -185,121 +187,188 @@ PORTALS = {
 }
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children: list[Node | str] = []
-
-    def walk(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-
-    def text(self, lines: str = "") -> str:
-        """The text with blanks collapsed, or with ``lines`` given as it stands, parts joined by that."""
-        parts, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                parts.append(node)
-            elif node.tag not in ("script", "style"):
-                stack += reversed(node.children)
-        return lines.join(parts) if lines else " ".join(" ".join(parts).split())
-
-
-class Tree(HTMLParser):
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in self.VOID:
-            self.at = node
-
-    def handle_endtag(self, tag: str) -> None:
-        up = self.at
-        while up.parent is not None and up.tag != tag:
-            up = up.parent
-        if up.parent is not None:
-            self.at = up.parent
-
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
-
-def _fits(node: Node, tag: str, attribute: str, pattern: str) -> bool:
-    return (not tag or node.tag == tag or regex.fullmatch(tag, node.tag) is not None) and (not attribute or attribute in node.attrs and regex.search(pattern, node.attrs[attribute]) is not None)
-
-
-def _around(node: Node, n: int) -> Iterator[Node]:
-    while n and node.parent is not None:
-        node, n = node.parent, n - 1
-        yield node
-
-
-def _before(node: Node) -> str:
-    """The bold text of the nearest element of the same kind before the node."""
-    rows = [x for x in node.parent.children if isinstance(x, Node) and x.tag == node.tag] if node.parent else []
-    at = rows.index(node) if node in rows else 0
-    bold = next((x for x in rows[at - 1].walk() if x.tag == "strong"), None) if at else None
-    return bold.text() if bold else ""
-
-
-def _read(nodes: list[Node], pattern: str, what: str) -> str | None:
-    if what == "long":
-        return " ".join(t for t in (n.text() for n in nodes) if len(t) > 40)
-    for node in nodes:
-        if what == "text":
-            value = node.text()
-        elif what == "lines":
-            value = "\n".join([x for x in (line.strip() for line in node.text("\n").split("\n")) if x][:3])
-        elif what == "before":
-            value = _before(node) if regex.search(pattern, node.text(), regex.I) else ""
-        elif what.startswith("match:"):
-            m = regex.search(what[6:], node.text())
-            value = m[1] if m else ""
-        else:
-            value = node.attrs.get(what, "")
-        if value:
-            return value
-    return None
-
-
-def _value(card: Node, ways: tuple[tuple[str, str, str, str], ...]) -> str | None:
-    for tag, attribute, pattern, what in ways:
-        if what == "own":
-            if value := card.attrs.get(attribute):
-                return value
-            continue
-        tops: list[Node] | Iterator[Node] = [card]
+@dataclass(frozen=True)
+class Way:
+    """One way to a field: as in ``Rule``, with the number of elements around the card that it looks in (0: the card)."""
+
+    tag: str
+    attribute: str
+    pattern: str
+    what: str
+    around: int = 0
+
+    @classmethod
+    def of(cls, tag: str, attribute: str, pattern: str, what: str) -> Way:
+        around = 0
         if what.startswith("up "):
             n, what = what[3:].split(":", 1)
-            tops = _around(card, int(n))
-        for top in tops:
-            nodes = [top] if not tag and not attribute else [n for n in top.walk() if n is not card and n is not top and _fits(n, tag, attribute, pattern)]
-            if nodes and (value := _read(nodes, pattern, what)):
-                return value
-    return None
+            around = int(n)
+            if what in ("long", "before"):
+                raise ValueError(f"a rule can look for '{what}' within a card only")
+        return cls(tag, attribute, pattern, what, around)
+
+    @property
+    def itself(self) -> bool:
+        """Whether it reads the card (or the element around it) and none within."""
+        return self.what == "own" or not self.tag and not self.attribute
+
+
+class Plan:
+    """A rule made ready for a stream of elements: which of its patterns an element of a name can fit is decided once a name."""
+
+    def __init__(self, rule: Rule):
+        self.rule = rule
+        self.kinds = (rule.card, *rule.other_cards)
+        self.ways: list[Way] = []
+        self.fields: dict[str, list[int]] = {}
+        for name, ways in rule.fields.items():
+            self.fields[name] = list(range(len(self.ways), len(self.ways) + len(ways)))
+            self.ways += [Way.of(*w) for w in ways]
+        self.around = any(w.around for w in self.ways)
+        self._by_tag: dict[str, tuple] = {}
+
+    def of_tag(self, tag: str) -> tuple[list, list, bool]:
+        """((number, attribute, pattern) of the kinds of cards, the same of the ways, whether ways look before such an element)."""
+        if tag not in self._by_tag:
+            named = lambda t: not t or t == tag or regex.fullmatch(t, tag) is not None
+            kinds = [(i, a, regex.compile(p)) for i, (t, a, p) in enumerate(self.kinds) if named(t)]
+            ways = [(i, w.attribute, regex.compile(w.pattern)) for i, w in enumerate(self.ways) if not w.itself and named(w.tag)]
+            self._by_tag[tag] = kinds, ways, any(self.ways[i].what == "before" for i, _, _ in ways)
+        return self._by_tag[tag]
 
 
-def cards(html: str | None, rule: Rule) -> list[dict[str, str | None]]:
-    parser = Tree()
-    parser.feed(html or "")
-    parser.close()
-    kinds = (rule.card, *rule.other_cards)
-    nodes = next((some for kind in kinds if (some := [n for n in parser.root.walk() if _fits(n, *kind)])), [])
+class Card:
+    """A card's element and what was read of it so far: of each field the way that found it and the value."""
+
+    __slots__ = ("element", "got")
+
+    def __init__(self, element: Element):
+        self.element = element
+        self.got: dict[str, tuple[int, str]] = {}
+
+
+class CardReader(Reader):
+    """Reads all cards of a page in one pass.
+
+    Elements that fit a way are listed by way in page order while a card is open, so those of a card are the ones since
+    its own number; they are read when it closes. Ways that look around a card wait in the elements around it, and
+    then the text of the page is kept, else only the text since the outermost open card.
+    """
+
+    def __init__(self, plan: Plan):
+        super().__init__()
+        self.plan = plan
+        self.kind, self.inside, self.keeps = len(plan.kinds), 0, plan.around
+        self.cards: list[Card] = []
+        self.found: list[list[Element]] = [[] for _ in plan.ways]
+        self.rows: list[Element] = []  # open elements that ways may look before
+
+    def opened(self, x: Element) -> None:
+        kinds, ways, row = self.plan.of_tag(x.tag)
+        fits = lambda attribute, pattern: not attribute or attribute in x.attrs and pattern.search(x.attrs[attribute]) is not None
+        if self.keeps:
+            for i, attribute, pattern in ways:
+                if fits(attribute, pattern):
+                    self.found[i].append(x)
+            if row:
+                x.before = (self.open[-1].last or {}).get(x.tag, "")
+                self.rows.append(x)
+            if x.tag == "strong":
+                for around in reversed(self.rows):
+                    if around.bold is not None:
+                        break
+                    around.bold = x
+        kind = next((i for i, attribute, pattern in kinds if i <= self.kind and fits(attribute, pattern)), None)
+        if kind is None:
+            return
+        if kind < self.kind:  # cards of the kinds that come later count for nothing from here on
+            self.kind = kind
+            self.cards.clear()
+        x.card = Card(x)
+        self.cards.append(x.card)
+        self.inside += 1
+        self.keeps = True
+
+    def value(self, x: Element, way: Way) -> str:
+        if way.what == "text":
+            return self.text(x)
+        if way.what == "own":
+            return x.attrs.get(way.attribute, "")
+        if way.what == "lines":
+            return "\n".join([y for y in (line.strip() for line in "\n".join(self.pieces[x.start : x.end]).split("\n")) if y][:3])
+        if way.what == "before":
+            return x.before if regex.search(way.pattern, self.text(x), regex.I) else ""
+        if way.what.startswith("match:"):
+            m = regex.search(way.what[6:], self.text(x))
+            return m[1] or "" if m else ""
+        return x.attrs.get(way.what, "")
+
+    def first(self, i: int, top: Element, card: Element) -> str:
+        """What way i finds in a closed element, the card itself left out. Elements that have nothing to find are forgotten."""
+        way, some = self.plan.ways[i], self.found[i]
+        if way.itself:
+            return self.long([top]) if way.what == "long" else self.value(top, way)
+        at = bisect_right(some, top.number, key=lambda x: x.number)
+        if way.what == "long":
+            return self.long(some[at:])
+        while at < len(some):
+            if some[at] is card:
+                at += 1
+            elif value := self.value(some[at], way):
+                return value
+            else:
+                del some[at]
+        return ""
+
+    def long(self, some: list[Element]) -> str:
+        return " ".join(t for t in map(self.text, some) if len(t) > 40)
+
+    def closed(self, x: Element) -> None:
+        if self.rows and self.rows[-1] is x:
+            self.rows.pop()
+            parent = self.open[-1]
+            parent.last = parent.last or {}
+            parent.last[x.tag] = "" if x.bold is None else self.text(x.bold)
+        for card, name, i, left in x.waiting or ():
+            if name in card.got and card.got[name][0] < i:
+                continue
+            if value := self.first(i, x, card.element):
+                card.got[name] = i, value
+            elif left > 1:
+                self.wait(card, name, i, left - 1)
+        x.waiting = None
+        if x.card is None:
+            return
+        for name, ways in self.plan.fields.items():
+            for i in ways:
+                if n := self.plan.ways[i].around:
+                    self.wait(x.card, name, i, n)
+                elif value := self.first(i, x, x):
+                    x.card.got[name] = i, value
+                    break
+        self.inside -= 1
+        if not self.inside and not self.plan.around:
+            self.keeps = False
+            self.pieces.clear()
+            for some in self.found:
+                some.clear()
+
+    def wait(self, card: Card, name: str, i: int, left: int) -> None:
+        if self.open:
+            around = self.open[-1]
+            around.waiting = around.waiting or []
+            around.waiting.append((card, name, i, left))
+
+
+def cards(html: str | None, rule: Rule | Plan) -> list[dict[str, str | None]]:
+    """The cards of a page in page order, nested ones too."""
+    plan = rule if isinstance(rule, Plan) else Plan(rule)
+    reader = CardReader(plan)
+    reader.read(html)
     out = []
-    for node in nodes:
-        row = {f: _value(node, rule.fields.get(f, ())) or rule.defaults.get(f, DEFAULTS.get(f)) for f in ("url", "title", "price", "location", "description")}
-        if row["title"] and len(row["title"]) >= rule.least_title and all(row[n] for n in rule.needs):
+    for card in reader.cards:
+        row = {f: card.got.get(f, (0, ""))[1] or plan.rule.defaults.get(f, DEFAULTS.get(f)) for f in ("url", "title", "price", "location", "description")}
+        if row["title"] and len(row["title"]) >= plan.rule.least_title and all(row[n] for n in plan.rule.needs):
             out.append(row)
     return out
 
@@ -312,10 +381,11 @@ def extract_listings(pages: DataFrame, rules: dict[str, Rule] | None = None) ->
     known = PORTALS if rules is None else rules
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plans = {source: Plan(rule) for source, rule in known.items()}
         for part in batches:
             out = []
             for key, url, html, source in zip(part["page_id"], part["url"], part["html"], part["source"], strict=True):
-                for pos, row in enumerate(cards(html, known[source])):
+                for pos, row in enumerate(cards(html, plans[source])):
                     out.append((key, pos, row["url"] or url, row["title"], row["price"], row["location"], row["description"], source))
             yield pd.DataFrame(out, columns=["page_id", "pos", "url", "title", "price", "location", "description", "source"])
 
