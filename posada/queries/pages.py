@@ -156,7 +156,27 @@ def posted(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = bind.by_remainder(
         "o_orderkey", F.concat(F.lit('<p>x</p><time datetime="'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T10:00">hoy</time>')), F.concat(F.lit("<p>Publicado hace "), (c("o_orderkey") % 20).cast("string"), F.lit(" <b>días</b></p>")), F.lit("<p>nada</p>")
     )
-    return bind.table(spark, sf_dir, "orders").select("o_orderkey", pages.posted_date(html, F.lit(bind.AS_OF).cast("date")).alias("posted"))
+    made = bind.table(spark, sf_dir, "orders").select(c("o_orderkey").alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html"))
+    return pages.posted_dates(made, F.lit(bind.AS_OF).cast("date")).select(c("page_id").alias("o_orderkey"), "posted")
+
+
+@register(
+    "s9_posted_by_portal",
+    "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 4 THEN strftime(DATE '2024-05-31' - 7 * (1 + o_orderkey % 5)::INT, '%d/%m/%Y') WHEN 6 THEN '31/05/2024' "
+    "WHEN 7 THEN strftime(o_orderdate, '%d') || '/05/' || strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%d/%m/%Y') END AS posted FROM orders",
+)
+def posted_by_portal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When a page was published, by its portal's own signs, with a time element that tells something else beside them."""
+    day, iso = F.date_format("o_orderdate", "dd/MM/yyyy"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    other = '<time datetime="2001-01-01">x</time>'
+    html = bind.by_remainder(
+        "o_orderkey", _say(other, "<ul><li>2 rooms</li></ul><p>Anuncio <b>publicado el ", day, "</b></p>"), _say(other, "<p>publicado hoy</p><i data-date='", iso, "'></i>"), _say(other, "<span>Listed: ", day, "</span>"),
+        _say(other, "<b class='x listing-date'>", day, "</b>"), _say(other, "<i class=re-Card-date>Hace ", (c("o_orderkey") % 5 + 1).cast("string"), " semanas</i>"), _say("<script>2001-01-01</script><p>2001-01-01</p><time>", day, "</time>"),
+        _say("<time datetime='", iso, "'>x</time>"), _say("<p>2001-01-01</p><p>Publicada el ", F.date_format("o_orderdate", "d"), " <b>de mayo</b> de ", F.date_format("o_orderdate", "yyyy"), "</p>"),
+    )
+    site = bind.by_remainder("o_orderkey", *map(F.lit, ("idealista", "idealista", "thinkspain", "kyero", "fotocasa", "other", "lucasfox", "other")))
+    made = bind.table(spark, sf_dir, "orders").select(c("o_orderkey").alias("page_id"), _say("https://www.", site, ".example/1").alias("url"), html.alias("html"))
+    return pages.posted_dates(made, F.lit(bind.AS_OF).cast("date")).select(c("page_id").alias("o_orderkey"), "posted")
 
 
 @register("s3_licence_records", "SELECT c_custkey::VARCHAR AS n_reg, c_name AS nombre FROM customer UNION ALL SELECT c_custkey::VARCHAR || 'b', 'b' FROM customer WHERE c_custkey % 4 = 2")

@@ -8,6 +8,8 @@ from html.parser import HTMLParser
 # Elements without content, and those whose content is no text of a page.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = ("script", "style")
+#: What stands for the name of the page itself, which holds all elements.
+PAGE = "#page"
 
 
 class Element:
@@ -34,7 +36,7 @@ class Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open = [Element("", {}, 0, 0)]
+        self.open = [Element(PAGE, {}, 0, 0)]
         self.names: Counter[str] = Counter()
         self.count = self.silent = 0
         self.pieces: list[str] = []

@@ -16,7 +16,7 @@ from posada.functions.places import place_from_slug, portal_place, portal_title
 from posada.functions.prices import portal_price, price_or_request
 from posada.functions.text import about_hotels, canonical_url, clean, unescape
 
-from .events import Element, Reader
+from .events import PAGE, Element, Reader
 
 _DROPPED = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
@@ -108,10 +108,11 @@ def app_state_items(pages: DataFrame, html: str = "html", key: str = "page_id")
 class Rule:
     """How one portal's pages are read.
 
-    ``card`` names the element of a row as (tag, attribute, pattern); an empty tag takes any. A field is a list
+    ``card`` names the element of a row as (tag, attribute, pattern); an empty tag takes any, ``PAGE`` the whole page. A field is a list
     of ways, tried in order: (tag, attribute, pattern, what), where what is 'text', 'lines' (the first three lines
     of text), 'long' (texts of all such elements of more than 40 characters, joined), 'before' (the text of the bold
-    part of the element of the same kind before it), an attribute's name, or 'match:REGEX' on the text of the
+    part of the element of the same kind before it), 'first:NAME' (that attribute of the first such element, else its text, else a
+    blank: later elements and ways are not asked), an attribute's name, or 'match:REGEX' on the text of the
     element; a tag of '' with no attribute stands for the card itself. 'up N:' before that looks in the nearest of
     N elements around the card that has such an element. A card needs all of ``needs``. ``finish`` makes the
     columns final, from those that were read.
@@ -259,9 +260,13 @@ class CardReader(Reader):
         super().__init__()
         self.plan = plan
         self.kind, self.inside, self.keeps = len(plan.kinds), 0, plan.around
+        self.whole = ""  # the text of the page, where it is the card
         self.cards: list[Card] = []
         self.found: list[list[Element]] = [[] for _ in plan.ways]
         self.rows: list[Element] = []  # open elements that ways may look before
+        if plan.kinds[0][0] == PAGE:
+            self.kind = 0
+            self.enter(self.open[0])
 
     def opened(self, x: Element) -> None:
         kinds, ways, row = self.plan.of_tag(x.tag)
@@ -284,6 +289,9 @@ class CardReader(Reader):
         if kind < self.kind:  # cards of the kinds that come later count for nothing from here on
             self.kind = kind
             self.cards.clear()
+        self.enter(x)
+
+    def enter(self, x: Element) -> None:
         x.card = Card(x)
         self.cards.append(x.card)
         self.inside += 1
@@ -292,6 +300,8 @@ class CardReader(Reader):
     def value(self, x: Element, way: Way) -> str:
         if way.what == "text":
             return self.text(x)
+        if way.what.startswith("first:"):
+            return x.attrs.get(way.what[6:], "") or self.text(x) or " "
         if way.what == "own":
             return x.attrs.get(way.attribute, "")
         if way.what == "lines":
@@ -346,6 +356,8 @@ class CardReader(Reader):
                 elif value := self.first(i, x, x):
                     x.card.got[name] = i, value
                     break
+        if x.number == 0:
+            self.whole = self.text(x)
         self.inside -= 1
         if not self.inside and not self.plan.around:
             self.keeps = False
@@ -460,14 +472,53 @@ def detail_patch(pages: DataFrame) -> DataFrame:
     return seen.select("page_id", "url", "x.*", "location_city")
 
 
-def posted_date(html: Column, as_of: Column) -> Column:
-    """The listing's date on its page: a time element's day, else the first of the body's date forms."""
+# Where the portals, known by a part of their URLs, say when a page was published; the portal whose pages count as of today;
+# and the forms of a date in the text of a page, in the order in which they are tried.
+TIME = (("time", "", "", "first:datetime"),)
+POSTED = {
+    "idealista": (("p|span|div|time", "", "", r"match:(?is)^(.*publicad[oa]\s+(?:el\s+)?\d.*)$"), ("", "data-date", ".", "data-date")),
+    "thinkspain": (("span|p|div|time", "", "", r"match:(?is)^(.*(?:listed|added|posted|publicad|fecha)[\s:]+.*)$"),),
+    "kyero": (("", "class", "listing-date|date-added|property-date", "first:"),),
+    "fotocasa": (("", "class", "re-Card-date|publicationDate|date", "first:"),),
+    "": (),
+}
+ALWAYS_TODAY = "lucasfox"
+BODY_DATES = (
+    r"(?i)publicad[oa]\s+(?:el\s+)?(\d{1,2}\s+de\s+[a-záéíóúñ]+(?:\s+de\s+\d{4})?)",
+    r"(?i)(hace\s+\d+\s+(?:día|dia|semana|mes|año)s?)",
+    r"(?i)(\d{1,2}\s+de\s+[a-záéíóúñ]+\s+(?:de\s+)?\d{4})",
+    r"(\d{4}-\d{2}-\d{2})",
+)
+
+
+def posted_dates(pages: DataFrame, as_of: Column) -> DataFrame:
+    """(page_id, url, posted) of pages (page_id, url, html): when a listing was published, as 'dd/MM/yyyy'.
+
+    The portal's own rule comes first, then the first ``time`` element, then the forms of a date in the text. Of
+    elements whose text says when, the outermost counts. Without any of these, without a page, and for one portal
+    always, it is ``as_of``. A null URL is one of no portal. Repeated rows count each for itself; order and other columns do not matter.
+    """
     from posada.functions.dates import listing_date
 
-    text = visible_text(html)
-    ways = [found(html, r'(?i)<time[^>]*\bdatetime="(\d{4}-\d{2}-\d{2})')]
-    ways += [found(text, p) for p in (r"(?i)(?:publicado|actualizado|published|updated)[^\d]{0,20}(\d{1,2}/\d{1,2}/\d{4})", r"(\d{1,2}/\d{1,2}/\d{4})", r"(\d{4}-\d{2}-\d{2})", r"(?i)(hace\s+\d+\s+(?:días?|dias?|semanas?|mes(?:es)?|años?))")]
-    return listing_date(F.coalesce(*ways, F.lit("")), as_of)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plans = {portal: Plan(Rule(portal, (PAGE, "", ""), {"posted": ways + TIME})) for portal, ways in POSTED.items()}
+        for part in batches:
+            out = []
+            for url, html in zip(part["url"], part["html"], strict=True):
+                reader = CardReader(plans[next(portal for portal in plans if portal in (url or ""))])
+                reader.read(html)
+                page = reader.cards[0]
+                said = page.got.get("posted", (0, None))[1]
+                out.append((said, reader.whole if said is None else None))
+            yield pd.concat([part[["page_id", "url"]].reset_index(drop=True), pd.DataFrame(out, columns=["said", "body"], dtype=object)], axis=1)
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    always = F.coalesce(F.contains("url", F.lit(ALWAYS_TODAY)), F.lit(False))
+    some = pages.select("page_id", F.col("url").cast("string").alias("url"), F.when(~always, F.col("html").cast("string")).alias("html"))
+    read = some.mapInPandas(run, f"page_id {kind}, url string, said string, body string")
+    # A column of its own, so that the forms are searched once for all that the date is made of.
+    dated = read.select("page_id", "url", F.coalesce(F.trim("said"), *(found(F.col("body"), p) for p in BODY_DATES), F.lit("")).alias("said"))
+    return dated.select("page_id", "url", listing_date(F.col("said"), as_of).alias("posted"))
 
 
 # The words after a count of reviews on a booking card.

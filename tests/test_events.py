@@ -8,9 +8,10 @@ from html.parser import HTMLParser
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from posada.sources.details import BODY_CLASSES, CRUMB_CLASSES, DESCRIPTION_CLASSES, FEATURE_CLASSES, read_parts
-from posada.sources.pages import DEFAULTS, PORTALS, Rule, Way, cards
+from posada.sources.pages import DEFAULTS, PORTALS, POSTED, TIME, Rule, Way, cards, posted_dates
 
 
 class Node:
@@ -44,7 +45,7 @@ class Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.root = self.at = Node("#page", {}, None)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
@@ -91,6 +92,8 @@ def _read(nodes: list, pattern: str, what: str) -> str | None:
             value = "\n".join([x for x in (line.strip() for line in node.text("\n").split("\n")) if x][:3])
         elif what == "before":
             value = _before(node) if regex.search(pattern, node.text(), regex.I) else ""
+        elif what.startswith("first:"):
+            value = node.attrs.get(what[6:], "") or node.text() or " "
         elif what.startswith("match:"):
             m = regex.search(what[6:], node.text())
             value = m[1] if m else ""
@@ -149,10 +152,10 @@ def tree_parts(html):
 
 
 CLASSES = ("search-list__item", "listviewtitle", "numPrice", "textintro", "item-price", "ellipsis", "item-description", "re-Card", "re-Card-title", "re-Card-price price", "location", "area",
-           "name title", "list-item", "property", "description", "content", "breadcrumb", "features", "price", "")
+           "name title", "list-item", "property", "description", "content", "breadcrumb", "listing-date", "publicationDate", "features", "price", "")
 HREFS = ("/comprar-vivienda/espana/x.html", "/es/p12", "/es/es/exposes/7", "/es/property/hotel-1", "/otra")
-TAGS = ("li", "ul", "div", "div", "p", "a", "span", "h1", "h2", "h3", "article", "body", "strong", "nav", "img", "br", "table", "script", "style", "section")
-WORDS = ("Ciudad", "Hotel", "€ 100.000", "250.000 €", " ", "\n", "a long text of more than forty characters, for a paragraph ", "&eacute;", "x")
+TAGS = ("li", "ul", "div", "div", "p", "a", "span", "h1", "h2", "h3", "article", "body", "strong", "nav", "img", "br", "time", "table", "script", "style", "section")
+WORDS = ("Ciudad", "Hotel", "€ 100.000", "250.000 €", " ", "\n", "a long text of more than forty characters, for a paragraph ", "&eacute;", "Publicado el 3/4/2020 ", "Added: 5/6/2021 ", "x")
 
 
 STARTS = ('<li class="search-list__item">', '<h2 class="listviewtitle">', '<article data-element-id="5">', '<a href="/es/property/hotel-1">', '<div class="re-Card">', '<span class="numPrice">', '<span class="textintro">', "<h3>", '<a href="/es/p12">',
@@ -167,7 +170,7 @@ def random_page(rng):
             out.append(rng.choice(STARTS))
         elif kind < 0.45:
             tag = rng.choice(TAGS)
-            attrs = [f'class="{rng.choice(CLASSES)}"', f'href="{rng.choice(HREFS)}"', 'alt="Hotel in a town"', 'title="Hotel, a town"', 'data-element-id="5"', 'aria-label="Breadcrumbs"', 'alt=""']
+            attrs = [f'class="{rng.choice(CLASSES)}"', f'href="{rng.choice(HREFS)}"', 'alt="Hotel in a town"', 'title="Hotel, a town"', 'data-element-id="5"', 'data-date="2020-05-06"', 'datetime="2019-01-02"', 'aria-label="Breadcrumbs"', 'alt=""']
             body = f"<{tag} {' '.join(a for a in attrs if rng.random() < 0.4)}{'/' if rng.random() < 0.05 else ''}>"
             out.append(body + (f"hidden</{tag}>" if tag in ("script", "style") else ""))
         elif kind < 0.75:
@@ -180,6 +183,7 @@ def random_page(rng):
 OWN = (
     Rule("long and around", ("li", "class", "."), {"url": (("", "class", "", "own"),), "title": (("p|li", "", "", "long"), ("", "", "", "long"), ("", "", "", "text")), "price": (("p", "class", "price", "up 2:match:(€ [0-9.]+)"), ("li", "", "", "up 1:text"), ("", "", "", "up 9:match:([0-9.]+ €)")), "description": (("span", "", "", "lines"),)}),
     Rule("before", ("ul|div", "", ""), {"title": (("li", "", "Ciudad", "before"), ("strong", "", ".", "before"), ("a", "href", "", "href")), "description": (("", "", "", "up 1:lines"),)}, other_cards=(("article", "", ""), ("p", "", ""))),
+    *(Rule(f"posted {portal}", ("#page", "", ""), {"title": ways + TIME, "description": (("", "class", "price", "first:alt"),)}) for portal, ways in POSTED.items()),
 )
 
 
@@ -236,3 +240,16 @@ def test_deep_pages(html):
 def test_what_a_rule_cannot_ask():
     with pytest.raises(ValueError):
         Way.of("p", "", "", "up 2:long")
+
+
+def test_posted_dates_of_odd_pages(spark):
+    rows = [
+        (1, None, None), (2, "https://kyero.example", ""), (3, "https://kyero.example", "<b class=date-added></b><time datetime=2020-01-02>x</time>"), (4, "https://x.example", "<time></time><p>2020-01-02</p>"),
+        (5, None, "<p>2020-01-02"), (5, None, "<p>2020-01-02"), (None, "https://lucasfox.example", "<p>2020-01-02"), (6, "https://idealista.example", "<div>top <p>Publicado el 1/2/2020</p> 2019-03-04</div>"), (7, "u", "word " * 200_000 + "2020-01-02"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS said", "'y' AS posted")
+    as_of = F.lit("2024-05-31").cast("date")
+    got = sorted((r.page_id or 0, r.posted) for r in posted_dates(pages, as_of).collect())
+    today = "31/05/2024"
+    assert got == [(0, today), (1, today), (2, today), (3, today), (4, today), (5, "02/01/2020"), (5, "02/01/2020"), (6, "04/03/2019"), (7, "02/01/2020")]
+    assert posted_dates(pages.limit(0), as_of).count() == 0
