@@ -20,19 +20,13 @@ from pyspark.sql import functions as F
 from posada.functions.prices import digits
 from posada.functions.text import canonical_url, title_key
 
-from .likeness import alike_pairs, blocks, near_by_edits, ratio, scored  # noqa: F401
+from . import likeness
+from .likeness import banded, block_pairs, met_in_blocks, near_by_edits, ratio, ratios_reach, scored  # noqa: F401
 from .order import first_per_key
 from .shared import checkpointed
 
 #: Distinct titles of one price that are compared with one another in one go, and the pairs for which one task is made.
-BLOCK, PAIRS_A_TASK, MOST_TASKS = 256, 50_000, 100_000
-
-
-def banded(rows: DataFrame, least: float, text: str = "title") -> DataFrame:
-    """The rows in the ``band`` of their length and, as ``low``, in the next one: texts further apart than two neighbours can't have lengths in the ratio ``least``."""
-    own = F.floor(F.log(1 / least, F.greatest(F.length(text), F.lit(1))) + 1e-9) if least < 1 else F.length(text)
-    bands = rows.withColumn("__band", own.cast("int"))
-    return bands.withColumn("band", F.explode(F.array("__band", F.col("__band") + 1))).withColumn("low", F.col("band") != F.col("__band")).drop("__band")
+BLOCK, PAIRS_A_TASK = likeness.BLOCK, likeness.PAIRS_A_TASK
 
 
 def like_values(values: DataFrame, least: float, strict: bool = False, places: bool = False) -> DataFrame:
@@ -40,29 +34,21 @@ def like_values(values: DataFrame, least: float, strict: bool = False, places: b
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["value"])
-        ids, titles, place, own, low = (part[c].to_numpy() for c in ("value", "title", "place", "own", "low"))
-        right, left = np.triu_indices(len(part), 1)
-        met = ~(low[left] & low[right])
-        if len(part) and part["a"].iloc[0] != part["b"].iloc[0]:
-            met &= own[left] != own[right]
-        left, right = left[met], right[met]
+        ids, titles = part["value"].to_numpy(), list(part["title"])
+        within = None
         if places:
-            within = np.array([p in q or q in p for p, q in zip(place[left], place[right], strict=True)], bool)
-            left, right = left[within], right[within]
-        pairs = alike_pairs(list(titles), left, right, least, strict)
+            names, number = np.unique(part["place"].to_numpy(), return_inverse=True)
+            inside = np.array([[p in q or q in p for q in names] for p in names], bool).reshape(len(names), len(names))
+            within = lambda rows, columns: inside[np.ix_(number[rows], number[columns])]
+        pairs = ratios_reach(titles, *block_pairs(part, least, allowed=within), least, strict)
         return pd.DataFrame([(ids[i], ids[j]) for i, j in pairs], columns=["new", "old"]).astype("int64")
 
     # With lengths m <= n the ratio is 2 m / (m + n) at most.
-    ranged = banded(values, least / (2 - least)).withColumn("key", F.struct("price", "band"))
-    met = checkpointed(blocks(ranged, "key", "value", BLOCK))
-    # A number of tasks from the number of pairs; without one, small groups of rows with much work would be merged into one task.
-    pairs = met.groupBy("key", "a", "b").count().select(F.sum(F.col("count") * F.col("count") / 2)).first()[0] or 0
-    tasks = int(min(MOST_TASKS, max(1, pairs // PAIRS_A_TASK)))
-    return met.repartition(tasks, "key", "a", "b").groupBy("key", "a", "b").applyInPandas(compare, "new long, old long")
+    return met_in_blocks(banded(values, least / (2 - least)), "value", BLOCK, PAIRS_A_TASK).applyInPandas(compare, "new long, old long")
 
 
 def like_values_native(values: DataFrame, least: float) -> DataFrame:
-    """As ``like_values``, with 1 - Levenshtein distance / longer length as the likeness, by shared rare grams."""
+    """As ``like_values``, with 1 - Levenshtein distance / longer length as the likeness."""
     return near_by_edits(values, least)
 
 
