@@ -5,7 +5,7 @@ gives its rank. Rows are not moved: regions are columns, worked out where the ro
 is cut into shards by hash of the key, each an automaton of its own that texts pass one after another; the best rank of all counts.
 
 Null texts have no region; an empty text holds no key. Empty keys are left out; of a key given twice the last region counts, at the
-first one's place. An empty gazetteer gives null everywhere.
+first one's place; of keys at one place the least counts. An empty gazetteer gives null everywhere.
 """
 
 from __future__ import annotations
@@ -64,13 +64,13 @@ class Gazetteer:
         for i in range(n):
             part = keys.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i).orderBy("rank", "key").collect()
             names = [f" {r.key} " if whole_words else r.key for r in part]
-            values = [(r["rank"].length, r["rank"].ord, r.region) for r in part]
+            values = [(r["rank"].length, r["rank"].ord, r.key, r.region) for r in part]
             self.shards.append((uuid.uuid4().hex, spark.sparkContext.broadcast((names, values))))
 
     def _hit(self, shard: tuple, text: Column) -> Column:
         name, sent = shard
 
-        @F.pandas_udf("length int, ord long, region string")
+        @F.pandas_udf("length int, ord long, key string, region string")
         def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             names, values = sent.value
             if name not in _BUILT:
@@ -78,20 +78,20 @@ class Gazetteer:
                     _BUILT.clear()
                 _BUILT[name] = automaton(names)
             machine = _BUILT[name]
-            none = (None, None, None)
+            none = (None, None, None, None)
             for texts in batches:
                 hits = [-1 if t is None else best_of(machine, t) for t in texts]
-                out = pd.DataFrame([values[i] if i >= 0 else none for i in hits], columns=["length", "ord", "region"])
+                out = pd.DataFrame([values[i] if i >= 0 else none for i in hits], columns=["length", "ord", "key", "region"])
                 yield out.astype({"length": "Int32", "ord": "Int64"})
 
         return find(text)
 
     def best(self, text: Column) -> Column:
-        """struct(length, ord, region) of the best key in the text, its fields null if there is none."""
+        """struct(length, ord, key, region) of the best key in the text, its fields null if there is none."""
         hay = F.concat(F.lit(" "), text, F.lit(" ")) if self.whole_words else text
         found = [self._hit(shard, hay) for shard in self.shards]
         if not found:
-            return F.lit(None).cast("struct<length:int,ord:bigint,region:string>")
+            return F.lit(None).cast("struct<length:int,ord:bigint,key:string,region:string>")
         # A null field is the least in an order of structs, so that no hit must be no struct.
         hits = [F.when(h["length"].isNotNull(), h) for h in found]
         return hits[0] if len(hits) == 1 else F.least(*hits)
