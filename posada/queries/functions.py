@@ -46,15 +46,27 @@ def hit(e: str, pattern: str, group: int = 1, flags: str = "") -> str:
     return f"CASE WHEN regexp_matches({e}, '{pattern}'{more}) THEN regexp_extract({e}, '{pattern}', {group}{more}) END"
 
 
-#: The references that the given pages have; the SQL replaces them one after another, the ampersand's last.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\xa0", "euro": "€", "copy": "©", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "amp": "&"}
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
 
 
-def unescaped(e: str) -> str:
-    for name, sign in ENTITIES.items():
-        quoted = sign.replace("'", "''")
-        e = f"replace({e}, '&{name};', '{quoted}')"
-    return e
+def mapped(entries: dict[str, str]) -> str:
+    return f"MAP([{', '.join(map(quoted, entries))}], [{', '.join(map(quoted, entries.values()))}])"
+
+
+def unescaped(e: str, beginnings: bool = False) -> str:
+    """Character references by the rule of ``text.unescape``: whole names only. With ``beginnings`` the parser's rule: else the longest name without a semicolon with which the run begins."""
+    code = "CASE WHEN r[2] NOT IN ('x', 'X') THEN try_cast(substr(rtrim(r, ';'), 2, 12) AS BIGINT) WHEN length(rtrim(r, ';')) <= 12 THEN try_cast('0x' || substr(rtrim(r, ';'), 3) AS BIGINT) ELSE 1099511627776 END"
+    nothing = "n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR (n & 65534) = 65534"
+    sign = f"CASE WHEN n NOT BETWEEN 1 AND 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) WHEN {nothing} THEN '' ELSE coalesce(map_extract_value({mapped(text.WINDOWS)}, n::VARCHAR), chr(n::INT)) END"
+    bare = sorted((n for n in text.REFERENCES if not n.endswith(";")), key=lambda n: (-len(n), n))
+    run = "regexp_extract(p, '^(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?')"
+    beginning = f"regexp_extract(p, '^(?:{'|'.join(bare)})')"
+    named = f"map_extract_value({mapped(text.REFERENCES)}, r)"
+    r = f"CASE WHEN {run} = '' OR {run}[1] = '#' OR {named.replace(', r)', f', {run})')} IS NOT NULL THEN {run} ELSE {beginning} END" if beginnings else run
+    value = f"CASE WHEN r[1] = '#' THEN list_transform([{code}], lambda n: {sign})[1] ELSE {named} END"
+    one = f"list_transform([{r}], lambda r: coalesce({value} || substr(p, length(r) + 1), '&' || p))[1]"
+    return f"list_transform([string_split({e}, '&')], lambda w: w[1] || array_to_string(list_transform(w[2:], lambda p: {one}), ''))[1]"
 
 
 _tags = lambda e: f"regexp_replace(coalesce({e}, ''), '<[^>]+>', ' ', 'g')"
@@ -102,7 +114,9 @@ _f12 = "trim(" + head(cut("location", WITH, GARAGE, POOL, "\\s*-\\s*(?:â|€|£
 _f12 = cut(_f12, CITY, "(?i)\\s+ciudad\\b.*")
 scalar("f12_clean_place_final", lambda: {"place": places.clean_place_final(c("location"))}, {"place": "trim(" + head(_f12, "([^,]{3,35}),\\s*.{3,}") + ")"})
 _f13 = "trim(" + cut("location", WITH, "\\s*-\\s*[â€¬\\d].*", "\\s*[â€¬]\\s*[\\d,. ]+.*", "\\s*\\(.*?\\)") + ")"
-_titled = lambda e: f"array_to_string(list_transform(regexp_extract_all(lower({e}), '(\\p{{L}}+|\\P{{L}}+)'), lambda p: upper(p[1]) || p[2:]), '')"
+#: Letters whose title case is not their upper case, or not one letter.
+_TITLES = {c: c.title() for c in map(chr, range(0x80, 0x10000)) if c.isalpha() and c.lower() == c and (c.title() != c.upper() or len(c.title()) > 1)}
+_titled = lambda e: f"array_to_string(list_transform(regexp_extract_all(lower({e}), '(\\p{{L}}+|\\P{{L}}+)'), lambda p: coalesce(map_extract_value({mapped(_TITLES)}, p[1]), upper(p[1])) || p[2:]), '')"
 scalar("f13_clean_place_titled", lambda: {"place": places.clean_place_titled(c("location"))}, {"place": f"CASE WHEN location IS NOT NULL THEN {_titled(_f13)} END"})
 
 # F-14: each branch of the date grammar, chosen by the row's number.

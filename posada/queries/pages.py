@@ -79,7 +79,8 @@ def app_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.app_state_items(bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), html.alias("html"))).select("page_id", "title", "price", "location")
 
 
-_first_p = "trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_BLANKS = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+_first_p = f"trim(regexp_replace({unescaped("regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g')", beginnings=True)}, '{_BLANKS}', ' ', 'g'))"
 
 
 @register("s8_extract_plain", f"SELECT page_id, {_first_p} AS title, 'Precio a consultar' AS price FROM pages")
