@@ -39,6 +39,14 @@ def _table(entries: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
 
 
+def _reference(name: Column) -> Column:
+    """What a named reference stands for; names are looked up among those of their first letter, as a map is searched from its start."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for key, value in REFERENCES.items():
+        by_letter.setdefault(key[0], {})[key] = value
+    return F.try_element_at(F.try_element_at(F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>"), F.left(name, F.lit(1))), name)
+
+
 def unescape(c: Column) -> Column:
     """Decodes numeric and named character references, once. A name without its semicolon counts only if it is a whole run of letters and digits."""
 
@@ -56,7 +64,7 @@ def unescape(c: Column) -> Column:
             F.when(ref == "", None)
             .when(bare.rlike("^#[xX]"), sign(hexadecimal))
             .when(F.startswith(bare, F.lit("#")), sign(decimal))
-            .otherwise(F.try_element_at(_table(REFERENCES), ref))
+            .otherwise(_reference(ref))
         )
         return F.coalesce(F.concat(value, F.substring(part, F.length(ref) + 1, F.length(part))), F.concat(F.lit("&"), part))
 

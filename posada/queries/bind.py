@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table whose rows take much work each that one task gets.
+ROWS_A_TASK = 10_000
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of small rows that are much work each, dealt to tasks by number: its few bytes alone would all go to one task."""
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(max(1, -(-rows.count() // ROWS_A_TASK)), key)
+
+
 def by_remainder(column: str, *values):  # noqa: ANN002, ANN201
     """The value at the column's remainder."""
     out = F.when(F.col(column) % len(values) == 0, values[0])

@@ -18,7 +18,7 @@ ORACLE_SQL: dict[str, str] = {}
 def scalar(name: str, columns: Callable[[], dict[str, Column]], sql: dict[str, str] | None, source: str = "listings", key: str = "ord") -> None:
     """Registers a query of columns computed row by row from a bound table."""
     tables = {"listings": (bind.listings, bind.LISTINGS), "licences": (bind.licences, bind.LICENCES)}
-    read, cte = tables.get(source, (lambda s, d: bind.table(s, d, source), ""))
+    read, cte = tables.get(source, (lambda s, d: bind.dealt(s, d, source, key) if source == "part" else bind.table(s, d, source), ""))
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return read(spark, sf_dir).select(key, *(c.alias(n) for n, c in columns().items()))

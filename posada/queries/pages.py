@@ -45,19 +45,19 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = lambda n, v: F.concat(F.lit(f'<meta property="{n}" content="'), v, F.lit('">'))
     html = F.concat(tag("og:locality", bind.by_remainder("p_partkey", c("p_brand"), F.lit("España"), F.lit(""))), tag("geo.placename", bind.by_remainder("p_partkey", F.lit("x"), c("p_type"), F.lit("Spain"))))
-    return bind.table(spark, sf_dir, "part").select("p_partkey", pages.meta_place(html).alias("place"))
+    return bind.dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", pages.meta_place(html).alias("place"))
 
 
 @register("s13_crumbs", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END AS last, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END AS before_last FROM part")
 def crumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     trail = F.when(c("p_partkey") % 2 == 0, F.array(F.lit("Inicio"), c("p_type"), F.lit("Hoteles"))).otherwise(F.array(F.lit("España"), c("p_brand"), F.lit("home")))
-    return bind.table(spark, sf_dir, "part").select("p_partkey", pages.last_crumb(trail).alias("last"), pages.crumb_before_last(trail).alias("before_last"))
+    return bind.dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", pages.last_crumb(trail).alias("last"), pages.crumb_before_last(trail).alias("before_last"))
 
 
 @register("s14_page_status", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'blocked' WHEN 1 THEN 'no_result' WHEN 2 THEN 'consent' ELSE 'ok' END AS status FROM part")
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(bind.by_remainder("p_partkey", F.lit("Enable JavaScript, no Robot "), F.lit("No se han encontrado "), F.lit("Before you continue "), F.lit("x ")), c("p_name"))
-    return bind.table(spark, sf_dir, "part").select("p_partkey", pages.page_status(html, pages.visible_text(html)).alias("status"))
+    return bind.dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", pages.page_status(html, pages.visible_text(html)).alias("status"))
 
 
 @register("s6_json_ld_items", "SELECT p_partkey AS page_id, 'https://x.example/' || p_partkey::VARCHAR AS url, p_name AS name, p_type AS description FROM part")
@@ -66,7 +66,7 @@ def json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.to_json(F.struct(F.struct(F.when(c("p_partkey") % 2 == 0, url).alias("url"), url.alias("@id"), c("p_name").alias("name"), c("p_type").alias("description")).alias("item")))
     one = F.concat(F.lit('{"@type":"ItemList","itemListElement":['), item, F.lit("]}"))
     body = F.when(c("p_partkey") % 3 == 0, F.concat(F.lit('[{"@type":"Other"},'), one, F.lit("]"))).otherwise(one)
-    made = bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), F.concat(F.lit('<html><script type="application/ld+json">{bad</script><script type="application/ld+json">'), body, F.lit("</script></html>")).alias("html"))
+    made = bind.dealt(spark, sf_dir, "part", "p_partkey").select(c("p_partkey").alias("page_id"), F.concat(F.lit('<html><script type="application/ld+json">{bad</script><script type="application/ld+json">'), body, F.lit("</script></html>")).alias("html"))
     return pages.json_ld_items(made).select("page_id", "url", "name", "description")
 
 
@@ -76,7 +76,7 @@ def app_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat(F.lit('{"title":"'), c("p_name"), F.lit('","price":'), price, F.lit(',"address":{"province":"'), c("p_type"), F.lit('"}}'))
     listed = F.when(c("p_partkey") % 3 == 0, F.concat(F.lit('"initialProps":{"listings":['), item, F.lit("]}"))).when(c("p_partkey") % 3 == 1, F.concat(F.lit('"listings":['), item, F.lit("]"))).otherwise(F.concat(F.lit('"result":{"items":['), item, F.lit("]}")))
     html = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{'), listed, F.lit("}}}</script>"))
-    return pages.app_state_items(bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), html.alias("html"))).select("page_id", "title", "price", "location")
+    return pages.app_state_items(bind.dealt(spark, sf_dir, "part", "p_partkey").select(c("p_partkey").alias("page_id"), html.alias("html"))).select("page_id", "title", "price", "location")
 
 
 _BLANKS = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
@@ -105,7 +105,7 @@ def extract_portals(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = _say('<div><span class="numPrice">', price, '</span><div><div><h2 class="listviewtitle"><a href="https://x.example/n">', name, '</a></h2><span class="textintro">', kind, "</span></div></div></div>")
     four = _say("<body><h1>Hotel ", name, "</h1><p>€1</p><ul><li><strong>", kind, "</strong></li><li>Ciudad</li></ul></body>")
     by = lambda *values: bind.by_remainder("p_partkey", *values)
-    made = bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), F.lit("https://x.example/page").alias("url"), by(one, two, three, four).alias("html"), by(*map(F.lit, ("Idealista", "LuxuryEstate", "NegociosEnVenta", "HotelSeVende"))).alias("source"))
+    made = bind.dealt(spark, sf_dir, "part", "p_partkey").select(c("p_partkey").alias("page_id"), F.lit("https://x.example/page").alias("url"), by(one, two, three, four).alias("html"), by(*map(F.lit, ("Idealista", "LuxuryEstate", "NegociosEnVenta", "HotelSeVende"))).alias("source"))
     return pages.extract_listings(made).select("page_id", "url", "title", "price", "location", "source")
 
 
@@ -119,7 +119,7 @@ def extract_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, size, even = c("p_name"), c("p_size").cast("string"), c("p_partkey") % 2 == 0
     one = _say('<article><a href="/es/es/exposes/1"><img alt="Finca ', name, '"></a>\n<p>Nuevo</p>\n<p>Ciutadella, ', c("p_brand"), ", España</p>\n<p>", size, ".500 €</p></article>")
     two = _say("<body><h1>Finca ", name, '</h1><b>', size, '.500 €</b><div class="desc">About ', c("p_type"), "</div></body>")
-    made = bind.table(spark, sf_dir, "part").select(
+    made = bind.dealt(spark, sf_dir, "part", "p_partkey").select(
         c("p_partkey").alias("page_id"), F.lit("https://x.example/propiedad/7/finca-en-venta-en-costa-brava").alias("url"), F.when(even, one).otherwise(two).alias("html"), F.when(even, "Engel & Völkers").otherwise("Oi Real Estate").alias("source")
     )
     return pages.extract_listings(made).select("page_id", "title", "price", "location", "description", "source")
@@ -141,14 +141,14 @@ def extract_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = F.concat(card("Hotel"), card("Piso"))
     four = _say('<div class="list-item"><h3>Finca grande ', name, '</h3><i class="zona">', brand, '</i><a href="h', key, '.htm?b=2">x</a></div>')
     by = lambda *values: bind.by_remainder("p_partkey", *values)
-    made = bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), F.lit("https://x.example/page").alias("url"), by(one, two, three, four).alias("html"), by(*map(F.lit, ("Lucas Fox", "Kyero", "Fotocasa", "Habitaclia"))).alias("source"))
+    made = bind.dealt(spark, sf_dir, "part", "p_partkey").select(c("p_partkey").alias("page_id"), F.lit("https://x.example/page").alias("url"), by(one, two, three, four).alias("html"), by(*map(F.lit, ("Lucas Fox", "Kyero", "Fotocasa", "Habitaclia"))).alias("source"))
     return pages.extract_listings(made).select("page_id", "url", "title", "price", "location", "source")
 
 
 @register("s9_detail_patch", "SELECT p_partkey AS page_id, CASE WHEN p_size BETWEEN 1 AND 500 THEN p_size END AS rooms, CASE WHEN p_partkey BETWEEN 20 AND 100000 THEN p_partkey::INT END AS m2, p_brand AS location_city FROM part")
 def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit('<head><meta name="city" content="'), c("p_brand"), F.lit('"></head><ul><li><b>Habitaciones</b>: '), c("p_size").cast("string"), F.lit("</li><li>"), c("p_partkey").cast("string"), F.lit(" m²</li></ul>"))
-    made = bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    made = bind.dealt(spark, sf_dir, "part", "p_partkey").select(c("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
     return pages.detail_patch(made).select("page_id", "rooms", "m2", "location_city")
 
 
@@ -157,7 +157,7 @@ def posted(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = bind.by_remainder(
         "o_orderkey", F.concat(F.lit('<p>x</p><time datetime="'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T10:00">hoy</time>')), F.concat(F.lit("<p>Publicado hace "), (c("o_orderkey") % 20).cast("string"), F.lit(" <b>días</b></p>")), F.lit("<p>nada</p>")
     )
-    made = bind.table(spark, sf_dir, "orders").select(c("o_orderkey").alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html"))
+    made = bind.dealt(spark, sf_dir, "orders", "o_orderkey").select(c("o_orderkey").alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html"))
     return pages.posted_dates(made, F.lit(bind.AS_OF).cast("date")).select(c("page_id").alias("o_orderkey"), "posted")
 
 
@@ -176,7 +176,7 @@ def posted_by_portal(spark: SparkSession, sf_dir: str) -> DataFrame:
         _say("<time datetime='", iso, "'>x</time>"), _say("<p>2001-01-01</p><p>Publicada el ", F.date_format("o_orderdate", "d"), " <b>de mayo</b> de ", F.date_format("o_orderdate", "yyyy"), "</p>"),
     )
     site = bind.by_remainder("o_orderkey", *map(F.lit, ("idealista", "idealista", "thinkspain", "kyero", "fotocasa", "other", "lucasfox", "other")))
-    made = bind.table(spark, sf_dir, "orders").select(c("o_orderkey").alias("page_id"), _say("https://www.", site, ".example/1").alias("url"), html.alias("html"))
+    made = bind.dealt(spark, sf_dir, "orders", "o_orderkey").select(c("o_orderkey").alias("page_id"), _say("https://www.", site, ".example/1").alias("url"), html.alias("html"))
     return pages.posted_dates(made, F.lit(bind.AS_OF).cast("date")).select(c("page_id").alias("o_orderkey"), "posted")
 
 
@@ -201,7 +201,7 @@ def _say(*parts):  # noqa: ANN002, ANN202
 
 def _parts_as_pages(spark: SparkSession, sf_dir: str, source: str, html, title=None, url=None, location=None) -> DataFrame:  # noqa: ANN001
     none = F.lit(None).cast("string")
-    return bind.table(spark, sf_dir, "part").select(
+    return bind.dealt(spark, sf_dir, "part", "p_partkey").select(
         c("p_partkey").alias("page_id"), (F.lit("https://x.example/1") if url is None else url).alias("url"), html.alias("html"), F.lit(source).alias("source"),
         (none if title is None else title).alias("title"), (none if location is None else location).alias("location"),
     )
@@ -281,7 +281,7 @@ def think_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = _say("€ ", c("p_size").cast("string"), ",000 Hotel for sale in ", c("p_brand"), " (Ref: 7)")
     item = F.to_json(F.struct(F.struct(_say("https://x.example/", c("p_partkey").cast("string"), "/?a=b").alias("url"), name.alias("name"), _say("<b>", c("p_type"), "</b>").alias("description")).alias("item")))
     html = _say('<script type="application/ld+json">{"@type":"ItemList","itemListElement":[', item, "]}</script>")
-    return pages.think_listings(bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), html.alias("html"))).select("page_id", "url", "price", "title", "location", "description", "source")
+    return pages.think_listings(bind.dealt(spark, sf_dir, "part", "p_partkey").select(c("p_partkey").alias("page_id"), html.alias("html"))).select("page_id", "url", "price", "title", "location", "description", "source")
 
 
 @register(
@@ -294,7 +294,7 @@ def regex_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = c("p_partkey").cast("string")
     one = _say('<article class="property-card"><a href="/es/un-hotel-', key, '"><h2>Hotel ', c("p_name"), "</h2></a><b>", c("p_size").cast("string"), ".000 €</b><span class='location'> ", c("p_type"), " </span></article>")
     html = _say("<div>", one, '<div class="result"><h3>Hotel ', c("p_brand"), '</h3></div><div class="card"><h3>Garage of ', c("p_brand"), '</h3></div><div class="card">hotel</div></div>')
-    made = bind.table(spark, sf_dir, "part").select(c("p_partkey").alias("page_id"), F.lit("https://x.example/list").alias("url"), html.alias("html"))
+    made = bind.dealt(spark, sf_dir, "part", "p_partkey").select(c("p_partkey").alias("page_id"), F.lit("https://x.example/list").alias("url"), html.alias("html"))
     return pages.regex_cards(made, "https://x.example").select("page_id", "pos", "url", "title", "price", "location")
 
 
@@ -305,11 +305,11 @@ def booking_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _say("Hotel Sol, ", F.when(even, "Marbella").otherwise("Ronda"), " 8,5 Fabuloso 1.234 comentarios € ", (c("p_size") + 20).cast("string"), " 4.000 €")
     match = model.match_score(F.when(even, 1.0).otherwise(0.5), F.lit("Marbella"), none, text)
     quote = pages.booking_quote(text, [_say("€ ", (c("p_size") + 20).cast("string"))], F.lit("Hotel Sol"), F.lit("u"), match)
-    return bind.table(spark, sf_dir, "part").select("p_partkey", quote.alias("q")).select("p_partkey", c("q.precio_noche").alias("price"), c("q.precios_vistos").alias("seen"), "q.rating", "q.reviews", "q.match")
+    return bind.dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", quote.alias("q")).select("p_partkey", c("q.precio_noche").alias("price"), c("q.precios_vistos").alias("seen"), "q.rating", "q.reviews", "q.match")
 
 
 @register("s9_travel_page", "SELECT p_partkey, 4.5::DOUBLE AS rating, p_size::INT AS reviews, (p_size + 100)::INT AS typical, [(p_size + 50)::INT, (p_size + 100)::INT] AS span FROM part")
 def travel_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quote from a travel page's text."""
     text = _say("Hotel Sol 4,5 (", c("p_size").cast("string"), " reseñas) ", (c("p_size") + 50).cast("string"), " € ", (c("p_size") + 100).cast("string"), " € 9 €")
-    return bind.table(spark, sf_dir, "part").select("p_partkey", pages.travel_quote(text, F.lit("u")).alias("q")).select("p_partkey", "q.rating", "q.reviews", c("q.precio_tipico").alias("typical"), c("q.rango").alias("span"))
+    return bind.dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", pages.travel_quote(text, F.lit("u")).alias("q")).select("p_partkey", "q.rating", "q.reviews", c("q.precio_tipico").alias("typical"), c("q.rango").alias("span"))
