@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .components import components, ensure_checkpoints, settled, stored
+from .components import components, ensure_checkpoints, settled, stored, tidy
 from .samples import BitFilter, bit_filter, frequent
 
 #: A set's posting is shuffled, met with its list and compared again; a subset is only shuffled.
@@ -478,6 +478,7 @@ def grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
     edges = settled(edges.union(found.where("linked").select("u", "v")))
     failed = found.where("not linked").select("u", "v")
     rest = settled(spread.where("m > 2").select("key", "sig", "n"))
+    tidy(spark)
     width = 1
     while True:
         labels = settled(components(edges))
@@ -497,9 +498,9 @@ def grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
         both = rest.join(missed, rest["sig"] == missed["u"]).select("key", "v").join(rest, "key").where("sig = v").select("key").distinct()
         rest = settled(rest.join(both, "key", "left_semi"))
         width *= 16
-        textops.release(collect=True)
+        tidy(spark)
     classes = classes.drop("body").withColumnRenamed("id", "class_id").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    textops.release(collect=True)
+    tidy(spark)
     least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
     classes = classes.join(least, "component").select("sig", "n", "class_id", "component", "component_id")
     return every.select("id", "body", "n", "sig").join(classes, ["sig", "n"], "left").drop("sig")
@@ -520,6 +521,7 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     keyed = docs.select(F.struct("*").alias("doc"), docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("body"))
     out = keyed.join(kept.where("m = 1"), ["id", "body"], "left_semi").select("doc")
     several = kept.where("m > 1")
+    tidy(docs.sparkSession)
     if not several.isEmpty():
         again = keyed.join(several, ["id", "body"], "left_semi")
         out = out.union(again.groupBy("id", "body").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc"))

@@ -36,3 +36,31 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def jobs_and_tasks(spark, name, work):
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        out = work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker = context.statusTracker()
+    jobs = tracker.getJobIdsForGroup(name)
+    return out, len(jobs), sum(tracker.getStageInfo(s).numCompletedTasks for j in jobs for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s))
+
+
+def test_components_of_few_edges_take_few_jobs_and_of_many_are_the_same(spark, monkeypatch):
+    edges = spark.range(0, 3000, 1, 16).selectExpr("(id * 7919) % 3001 as u", "((id + 1) * 7919) % 3001 as v").union(spark.createDataFrame([(9000, 9001), (9001, 9000), (5, 5), (None, 1), (9500, 9500)], "u long, v long"))
+    expected = {i: 0 for i in range(3001)} | {9000: 9000, 9001: 9000}
+    rows, jobs, _ = jobs_and_tasks(spark, "few", lambda: components.components(edges).collect())
+    assert {r.node: r.component for r in rows} == expected and len(rows) == len(expected) and jobs <= 6
+    monkeypatch.setattr(components, "ROWS_A_TASK", 500)
+    rows = components.components(edges).collect()
+    assert {r.node: r.component for r in rows} == expected and len(rows) == len(expected)
+
+
+def test_settled_rows_of_many_partitions_are_counted_in_few_tasks(spark):
+    rows, _, tasks = jobs_and_tasks(spark, "settled", lambda: components.settled(spark.range(0, 1000, 1, 64)))
+    assert rows.count() == 1000 and rows.rdd.getNumPartitions() == 1 and 64 <= tasks <= 64 + spark.sparkContext.defaultParallelism + 1
