@@ -47,9 +47,9 @@ def like_values(values: DataFrame, least: float, strict: bool = False, places: b
     return met_in_blocks(banded(values, least / (2 - least)), "value", BLOCK, PAIRS_A_TASK).applyInPandas(compare, "new long, old long")
 
 
-def like_values_native(values: DataFrame, least: float) -> DataFrame:
-    """As ``like_values``, with 1 - Levenshtein distance / longer length as the likeness."""
-    return near_by_edits(values, least)
+def like_values_native(values: DataFrame, least: float, of_bytes: bool = False) -> DataFrame:
+    """As ``like_values``, with 1 - Levenshtein distance (of characters or bytes) / longer length as the likeness."""
+    return near_by_edits(values, least, of_bytes=of_bytes)
 
 
 def first_accepted(rows: DataFrame, values_alike: Callable[[DataFrame], DataFrame], price: Column, title: Column, place: Column, guarded: Column) -> DataFrame:
@@ -89,9 +89,12 @@ def admissible(rows: DataFrame, least_title: int = 8) -> DataFrame:
 
 
 def fuzzy_dedup(rows: DataFrame, least: float = 0.72, scorer: str = "ratcliff") -> DataFrame:
-    """Equal price digits and alike titles. Rows without digits or with an empty title key are never duplicates by title."""
+    """Equal price digits and alike titles. Rows without digits or with an empty title key are never duplicates by title.
+
+    Scorers are ``ratcliff``, ``levenshtein`` and ``levenshtein of bytes``.
+    """
     price, title = digits(F.col("price")), title_key(F.col("title"))
-    alike = (lambda v: like_values(v, least)) if scorer == "ratcliff" else (lambda v: like_values_native(v, least))
+    alike = (lambda v: like_values(v, least)) if scorer == "ratcliff" else (lambda v: like_values_native(v, least, scorer == "levenshtein of bytes"))
     return first_accepted(rows, alike, price, title, F.lit(""), (price == "") | (title == ""))
 
 

@@ -87,3 +87,15 @@ def test_distinct_prices_of_a_source(spark, tmp_path):
 
     path = listings_of(spark, tmp_path, [(3, "a"), (4, "b")])
     assert sorted(tuple(r) for r in QUERIES["d8_distinct_price_rows"](spark, path).collect()) == [("s3", "1€"), ("s4", "900,000")]
+
+
+@pytest.mark.parametrize("name", ["j6_price_block_pairs", "d9_levenshtein_dedup"])
+def test_edit_distances_of_queries_count_bytes_as_their_sql(spark, tmp_path, name):
+    from posada.queries import ORACLE_SQL, QUERIES
+
+    from .compare import difference
+
+    # 25 characters: seven other letters are alike (0.72), but not where a letter of two bytes stands for one of one byte.
+    titles = ["tür " * 28, "tor " * 28, "abcdefghijklmnopqrstuvwxy", "ABCDEFGHIJKLMNOPQRyyyyyyy", "äbcdefghijklmnopqryyyyyyx", "äbcdefghijklmnopqrzzzzzzx", "ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ", "ΟΔΟΣ ΟΔΟΣ ΟΔΟΝ", "İİİİİİİİİİİ", "iiiiiiiiiii"]
+    path = listings_of(spark, tmp_path, [(3 + 5 * k, t) for k, t in enumerate(titles)])
+    assert difference(spark, QUERIES[name], ORACLE_SQL[name], path) is None
