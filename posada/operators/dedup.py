@@ -21,7 +21,7 @@ from posada.functions.prices import digits
 from posada.functions.text import canonical_url, title_key
 
 from . import likeness
-from .likeness import banded, block_pairs, met_in_blocks, near_by_edits, ratio, ratios_reach, scored  # noqa: F401
+from .likeness import alike_by_price, near_by_edits, ratio, ratios_reach, scored  # noqa: F401
 from .order import first_per_key
 from .shared import checkpointed
 
@@ -32,19 +32,28 @@ BLOCK, PAIRS_A_TASK = likeness.BLOCK, likeness.PAIRS_A_TASK
 def like_values(values: DataFrame, least: float, strict: bool = False, places: bool = False) -> DataFrame:
     """(new, old): ids of distinct values (value, price, title, place) of one price that are alike in this order of arguments."""
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["value"])
+    def found(part: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
         ids, titles = part["value"].to_numpy(), list(part["title"])
-        within = None
         if places:
-            names, number = np.unique(part["place"].to_numpy(), return_inverse=True)
-            inside = np.array([[p in q or q in p for q in names] for p in names], bool).reshape(len(names), len(names))
-            within = lambda rows, columns: inside[np.ix_(number[rows], number[columns])]
-        pairs = ratios_reach(titles, *block_pairs(part, least, allowed=within), least, strict)
+            names = part["place"].to_numpy()
+            within = np.array([p in q or q in p for p, q in zip(names[i], names[j], strict=True)], bool)
+            i, j = i[within], j[within]
+        pairs = ratios_reach(titles, i, j, least, strict)
         return pd.DataFrame([(ids[i], ids[j]) for i, j in pairs], columns=["new", "old"]).astype("int64")
 
+    def allowed(part: pd.DataFrame) -> Callable:
+        """A place within another has none but the other's characters, which are told apart by 64 bits."""
+        names, number = np.unique(part["place"].to_numpy(), return_inverse=True)
+        bits = np.array([sum(1 << b for b in {ord(c) % 64 for c in name}) for name in names], np.uint64)[number]
+
+        def within(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+            both, mine, theirs = np.bitwise_and.outer(bits[rows], bits[columns]), bits[rows][:, None], bits[columns]
+            return (both == mine) | (both == theirs)
+
+        return within
+
     # With lengths m <= n the ratio is 2 m / (m + n) at most.
-    return met_in_blocks(banded(values, least / (2 - least)), "value", BLOCK, PAIRS_A_TASK).applyInPandas(compare, "new long, old long")
+    return alike_by_price(values, "value", least, least / (2 - least), found, "new long, old long", allowed=allowed if places else None, size=BLOCK, pairs_a_task=PAIRS_A_TASK)
 
 
 def like_values_native(values: DataFrame, least: float, of_bytes: bool = False) -> DataFrame:
