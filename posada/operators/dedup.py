@@ -2,7 +2,7 @@
 
 Rows conflict if they have one URL, or one price and titles that are alike. The rows that stay are the
 lexicographically first maximal independent set by ``ord``. It is found in rounds: a row stays once no earlier
-undecided row conflicts with it, and goes once an earlier row that stayed does.
+undecided row conflicts with it, and goes once an earlier row that stayed does. Rows that go by their URL are not compared by title.
 
 Likeness is worked out between distinct titles of one price, not between rows, so that copies cost nothing; a
 popular price is split into blocks of titles that meet two by two, on as many tasks as the number of pairs asks for. Rows with a null ``ord`` are dropped.
@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posada.functions.prices import digits
@@ -61,17 +61,46 @@ def like_values_native(values: DataFrame, least: float, of_bytes: bool = False)
     return near_by_edits(values, least, of_bytes=of_bytes)
 
 
+#: How many of its rows a URL is represented by at first, and the factor by which they grow while all of them go.
+AT_FIRST, GROWTH = 1, 4
+
+
 def first_accepted(rows: DataFrame, values_alike: Callable[[DataFrame], DataFrame], price: Column, title: Column, place: Column, guarded: Column) -> DataFrame:
-    """The rows that stay. ``guarded`` rows are never duplicates by their title."""
+    """The rows that stay. ``guarded`` rows are never duplicates by their title.
+
+    A row after one of its URL that stays goes, whatever its title is, so that it need not meet others. Each URL is represented by its first rows, and the rule
+    is applied to these alone; URLs of which no row stays get more of theirs, until each URL has a row that stays or is there with all its rows. Then the rows that
+    stay are those of the rule over all rows: earlier rows decide on a row, and those that are not there would not have stayed.
+    """
     base = rows.where(F.col("ord").isNotNull()).withColumn("__url", canonical_url(F.col("url")))
     value = F.when(~guarded, F.xxhash64(price, title, place))
     keyed = base.select("ord", F.col("__url").alias("url"), value.alias("value"), price.alias("price"), title.alias("title"), place.alias("place"))
-    keyed = checkpointed(keyed)
+    keyed, number = checkpointed(keyed), AT_FIRST
+    some = checkpointed(_first_of(keyed, number))
+    while True:
+        kept = _greedy(some, values_alike)
+        without = keyed.join(kept.select("url").distinct(), "url", "left_anti")
+        number *= GROWTH
+        more = checkpointed(_first_of(without, number).join(some.select("ord"), "ord", "left_anti"))
+        if more.isEmpty():
+            return base.drop("__url").join(kept.select("ord"), "ord", "left_semi")
+        some = checkpointed(some.union(more.select(*some.columns)))
+
+
+def _first_of(keyed: DataFrame, number: int) -> DataFrame:
+    """So many rows of each URL, those after them with the same ``ord`` as well."""
+    if number == 1:
+        return keyed.join(keyed.groupBy("url").agg(F.min("ord").alias("__low")), "url").where("ord = __low").drop("__low")
+    return keyed.withColumn("__rank", F.rank().over(Window.partitionBy("url").orderBy("ord"))).where(F.col("__rank") <= number).drop("__rank")
+
+
+def _greedy(keyed: DataFrame, values_alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(ord, url) of the rows (ord, url, value, price, title, place) that stay among these."""
     values = keyed.where("value is not null").select("value", "price", "title", "place").distinct()
     alike = values_alike(values)
     # Equal titles are alike as well; both kinds of edges run from the later to the earlier value.
     edges = checkpointed(alike.union(values.select("value", "value")).distinct())
-    open_rows, kept = keyed.select("ord", "url", "value"), None
+    open_rows, kept = keyed.select("ord", "url", "value"), keyed.select("ord", "url").where("false")
     while True:
         by_value = open_rows.where("value is not null").groupBy("value").agg(F.min("ord").alias("low"))
         near = edges.join(by_value.withColumnRenamed("value", "old"), "old").groupBy(F.col("new").alias("value")).agg(F.min("low").alias("by_title"))
@@ -79,17 +108,14 @@ def first_accepted(rows: DataFrame, values_alike: Callable[[DataFrame], DataFram
         staying = open_rows.join(by_url, "url").join(near, "value", "left").where((F.col("ord") <= F.col("by_url")) & (F.col("by_title").isNull() | (F.col("ord") <= F.col("by_title"))))
         staying = checkpointed(staying.select("ord", "url", "value"))
         if staying.isEmpty():
-            break
-        kept = staying.select("ord") if kept is None else kept.union(staying.select("ord"))
+            return kept
+        kept = kept.union(staying.select("ord", "url"))
         low = staying.where("value is not null").groupBy("value").agg(F.min("ord").alias("low"))
         struck = edges.join(low.withColumnRenamed("value", "old"), "old").groupBy(F.col("new").alias("value")).agg(F.min("low").alias("by_title"))
         urls = staying.groupBy("url").agg(F.min("ord").alias("by_url"))
         left = open_rows.join(staying.select("ord"), "ord", "left_anti").join(urls, "url", "left").join(struck, "value", "left")
         gone = F.coalesce(F.col("by_url") < F.col("ord"), F.lit(False)) | F.coalesce(F.col("by_title") < F.col("ord"), F.lit(False))
         open_rows = checkpointed(left.where(~gone).select("ord", "url", "value"))
-    if kept is None:
-        return rows.where("false")
-    return base.drop("__url").join(kept, "ord", "left_semi")
 
 
 def admissible(rows: DataFrame, least_title: int = 8) -> DataFrame:

@@ -99,3 +99,28 @@ def test_edit_distances_of_queries_count_bytes_as_their_sql(spark, tmp_path, nam
     titles = ["tür " * 28, "tor " * 28, "abcdefghijklmnopqrstuvwxy", "ABCDEFGHIJKLMNOPQRyyyyyyy", "äbcdefghijklmnopqryyyyyyx", "äbcdefghijklmnopqrzzzzzzx", "ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ", "ΟΔΟΣ ΟΔΟΣ ΟΔΟΝ", "İİİİİİİİİİİ", "iiiiiiiiiii"]
     path = listings_of(spark, tmp_path, [(3 + 5 * k, t) for k, t in enumerate(titles)])
     assert difference(spark, QUERIES[name], ORACLE_SQL[name], path) is None
+
+
+def test_rows_behind_one_of_their_url_that_stays_meet_no_titles(spark):
+    rows = [(i, f"https://x/{i % 4}", f"{'abcdefghijklmnopqrstuvwxyz'[i % 26] * 9} {i * 7919}", "9", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "ord long, url string, title string, price string, location string")
+    met = []
+
+    def alike(values):
+        met.append(values.count())
+        return dedup.like_values(values, 0.72)
+
+    found = dedup.first_accepted(df, alike, F.col("price"), F.col("title"), F.lit(""), F.lit(False))
+    assert sorted(r.ord for r in found.collect()) == [0, 1, 2, 3]
+    # All 400 titles before.
+    assert met == [4]
+
+
+def test_urls_whose_first_rows_go_are_represented_by_later_ones(spark):
+    """The first rows of URLs 1 and 2 are copies of rows of URL 0, and of each other further on; what stays late strikes rows that others had counted on."""
+    titles = {0: ["a" * 9], 1: ["a" * 9] * 6 + ["b" * 9], 2: ["a" * 9] * 3 + ["b" * 9] * 9 + ["c" * 9], 3: ["a" * 9, "b" * 9, "c" * 9], 4: ["c" * 9]}
+    order = [(k, u) for u in titles for k in range(len(titles[u]))]
+    rows = [(i, f"https://x/{u}", titles[u][k], "9", None) for i, (k, u) in enumerate(sorted(order))]
+    df = spark.createDataFrame(rows, "ord long, url string, title string, price string, location string")
+    want = greedy(rows, lambda new, old: new[1] == old[1] or new[2] == old[2])
+    assert sorted(r.ord for r in dedup.fuzzy_dedup(df).collect()) == want
